@@ -8,15 +8,26 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
-#: Chunks that a worker remembers before it starts over.
-MEMO = 1 << 18
+#: Chunks and words that a worker remembers before it starts over.
+MEMO, WORDS = 1 << 18, 1 << 19
 #: Characters that Python takes as white space and the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word of Latin letters (all in normal form, as none composes with another) between ASCII signs: pre-tokens of their own.
+_SIGNS = r"[!-&(-/:-@\[-`{-~]*"
+_LATIN_WORD = re.compile(f"({_SIGNS})([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)({_SIGNS})")
+_WORD_ONLY = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+
+
+def _byte_letters() -> list[str]:
+    """The model's letter for each byte: itself if printable Latin-1, else the next letter from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
 class WordIds:
@@ -28,29 +39,43 @@ class WordIds:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.model, self.letters = self.library.model, _byte_letters()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """A single pre-token goes to the library's model directly."""
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks: a run of ASCII letters with ASCII signs around it is two or three pre-tokens, each asked for once."""
-        split, asked = {}, {}
+        """Ids of chunks: a Latin word and the signs around it are looked up apart, any other chunk is asked for whole."""
+        learnt, whole = {}, []
+        if len(self.words) > WORDS:
+            self.words.clear()
         for c in chunks:
-            m = _LETTERS.search(c) if c.isascii() and "'" not in c else None
-            parts = [p for p in (c[: m.start()], c[m.start() : m.end()].lower(), c[m.end() :]) if p] if m else [c]
-            split[c] = parts
-            for p in parts:
-                if p not in self.words:
-                    asked[p] = None
-        fresh = dict(zip(asked, self._ask(list(asked)))) if asked else {}
-        if len(self.words) + len(fresh) > 2 * MEMO:
-            fresh |= {p: self.words[p] for parts in split.values() for p in parts if p in self.words}
-            self.words = {}
-        for p, ids in fresh.items():
-            if len(p) <= 64:
-                self.words[p] = ids
-        words = self.words
-        return {c: b"".join([fresh[p] if p in fresh else words[p] for p in parts]) for c, parts in split.items()}
+            if (m := _LATIN_WORD.fullmatch(c)) is None:
+                whole.append(c)
+                continue
+            before, word, after = m.groups()
+            word = word.lower()
+            if (ids := self.words.get(word)) is None:
+                self.words[word] = ids = self._word(word)
+            if before or after:
+                ids = self._signs(before) + ids + self._signs(after)
+            learnt[c] = ids
+        if whole:
+            learnt.update(zip(whole, self._ask(whole)))
+        return learnt
+
+    def _signs(self, signs: str) -> bytes:
+        if not signs:
+            return b""
+        if (ids := self.words.get(signs)) is None:
+            self.words[signs] = ids = self._ask([signs])[0]
+        return ids
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
