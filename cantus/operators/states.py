@@ -6,6 +6,7 @@ DataFrames.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -38,15 +39,14 @@ class Space:
 
 def beat_intervals(shortest: float, longest: float, count: int | None = None) -> np.ndarray:
     """All whole intervals, or about ``count`` of them in equal ratios."""
-    low, high = round(shortest), round(longest)
-    every = np.arange(low, high + 1)
+    every = np.arange(round(shortest), round(longest) + 1)
     if count is None or count >= len(every):
         return every
-    tried, found = count, np.zeros(0, np.int64)
-    while len(found) < count:
-        found = np.unique(np.round(np.logspace(math.log2(low), math.log2(high), tried, base=2)).astype(np.int64))
-        tried += 1
-    return found
+    # rounding makes some ratios meet, so more of them are tried until enough are left
+    for tried in itertools.count(count):
+        found = np.unique(np.rint(np.geomspace(shortest, longest, tried)).astype(np.int64))
+        if len(found) >= count:
+            return found
 
 
 def beat_space(shortest: float, longest: float, count: int | None = None) -> Space:
