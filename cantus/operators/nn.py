@@ -46,8 +46,8 @@ def batch_norm(rows: DataFrame, beta: float, gamma: float, mean: float, inv_std:
 def convolve(rows: DataFrame, kernel: Array, bias: float = 0.0, activation: Callable[[Column], Column] | None = None) -> DataFrame:
     """Valid convolution (the kernel is turned round) over (frame, bin): every value meets the places it reaches."""
     height, width = kernel.shape
-    table = weight_table(rows.sparkSession, kernel, ("df", "db"))
-    reach = rows.join(F.broadcast(table), how="cross").select("track", (F.col("frame") + F.col("df") - (height - 1)).alias("frame"), (F.col("bin") + F.col("db") - (width - 1)).alias("bin"), (F.col("x") * F.col("w")).alias("_p"))
+    taps = F.array(*[F.struct(F.lit(i).alias("df"), F.lit(j).alias("db"), F.lit(float(w)).alias("w")) for (i, j), w in np.ndenumerate(kernel)])
+    reach = rows.select("track", "frame", "bin", "x", F.inline(taps)).select("track", (F.col("frame") + F.col("df") - (height - 1)).alias("frame"), (F.col("bin") + F.col("db") - (width - 1)).alias("bin"), (F.col("x") * F.col("w")).alias("_p"))
     summed = reach.groupBy("track", "frame", "bin").agg(F.sum("_p").alias("_s"), F.count("*").alias("_n")).filter(F.col("_n") == height * width)
     x = F.col("_s") + bias
     return summed.select("track", "frame", "bin", (activation(x) if activation else x).alias("x"))

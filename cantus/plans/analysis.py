@@ -6,12 +6,13 @@ caller, as array functions; what several tasks need is computed once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import beats, filterbanks, frames, labels, nn, onsets, sequence, spectra, tempo
@@ -65,8 +66,8 @@ def mel_branches(samples: DataFrame, sample_rate: float, sizes: tuple[int, ...]
     parts = []
     for i, size in enumerate(sizes):
         bank = filterbanks.mel_filterbank(samples.sparkSession, size // 2, sample_rate, bands, 27.5, 16000.0)
-        spec = sg.log_compress(sg.apply_filterbank(spectrogram(samples, sample_rate, size, fps), bank), 1.0, onsets.EPSILON, None)
-        parts.append(spec.select("track", "frame", F.col("bin"), F.lit(i).alias("branch"), "mag"))
+        spec = sg.log_compress(sg.apply_filterbank(spectrogram(samples, sample_rate, size, fps), bank), 1.0, onsets.EPSILON, math.e)
+        parts.append(spec.select("track", "frame", "bin", F.lit(i).alias("branch"), "mag"))
     stacked = reduce(DataFrame.unionByName, parts).groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("bin", "branch", "mag"))).alias("s"))
     return stacked.select("track", "frame", F.col("s.mag").alias("x"))
 
@@ -180,6 +181,40 @@ class Analyzer:
         return {t: getattr(self, t)() for t in tasks}
 
 
+def _per_beat(features: DataFrame, times: DataFrame, divisions: int, fps: float) -> DataFrame:
+    """Beat-synchronous features as one array per beat."""
+    synced = beats.sync_features(features, times, divisions, fps)
+    rows = synced.groupBy("track", "beat").agg(F.sort_array(F.collect_list(F.struct("division", "bin", "mag"))).alias("s"))
+    return rows.select("track", F.col("beat").cast("bigint").alias("frame"), F.col("s.mag").alias("x"))
+
+
+def bar_activations(samples: DataFrame, sample_rate: int, times: DataFrame, rhythmic: list[nn.Layer], harmonic: list[nn.Layer], fps: float = 100.0) -> DataFrame:
+    """Downbeat activations of beats (track, t): (track, t, a), the mean of a rhythmic and a harmonic ensemble.
+
+    The rhythmic one sees spectral differences in four parts of a beat, the harmonic one chroma in two. The last beat has
+    NaN, as nothing follows it.
+    """
+    flux = sg.difference(log_filtered(samples, sample_rate, 2048, fps, 6), 1, 3, positive=True).select("track", "frame", "bin", F.col("diff").alias("mag"))
+    chroma = sg.clp_chroma(semitone_energies(samples, sample_rate, fps)).select("track", "frame", F.col("pc").cast("bigint").alias("bin"), F.col("value").alias("mag"))
+    parts = [nn.run_networks(_per_beat(f, times, d, fps), nets) for f, d, nets in ((flux, 4, rhythmic), (chroma, 2, harmonic))]
+    acts = parts[0].unionByName(parts[1]).groupBy("track", "frame").agg(F.avg("x").alias("a"))
+    numbered = times.withColumn("frame", (F.row_number().over(Window.partitionBy("track").orderBy("t")) - 1).cast("bigint"))
+    return numbered.join(acts, ["track", "frame"], "left").select("track", "t", F.coalesce("a", F.lit(float("nan"))).alias("a"))
+
+
+def pattern_features(samples: DataFrame, sample_rate: float, crossovers: tuple[float, ...] = (270.0,), fps: float = 50.0) -> DataFrame:
+    """Positive differences of a few bands, as pattern models see them: (track, frame, x array)."""
+    logged = log_filtered(samples, sample_rate, 2048, fps, 12)
+    diff = sg.difference(logged, 1, positive=True).select("track", "frame", "bin", F.col("diff").alias("mag"))
+    edges = [0, *(int(12 * math.log2(c / 30.0)) for c in crossovers), 10_000]
+    band = F.lit(0)
+    for low in edges[1:-1]:
+        band = band + (F.col("bin") >= low).cast("int")
+    means = diff.groupBy("track", "frame", band.alias("band")).agg(F.avg("mag").alias("mag"))
+    rows = means.groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("band", "mag"))).alias("s"))
+    return rows.select("track", "frame", F.col("s.mag").alias("x"))
+
+
 def semitone_energies(samples: DataFrame, sample_rate: int, fps: float = 50.0, fmin: float = 27.5, fmax: float = 4200.0) -> DataFrame:
     """Energy of each semitone's band per frame: (track, frame, midi, energy).
 

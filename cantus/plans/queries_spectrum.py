@@ -89,7 +89,7 @@ def _(spark, sf):
 def _(spark, sf):
     freqs = fb.log_frequencies(spark, 6, 300.0, 16000.0)
     every, once = fb.frequencies2bins(freqs, BINS, RATE), fb.frequencies2bins(freqs, BINS, RATE, unique=True)
-    return every.crossJoin(once.agg(F.count("*").alias("bins"))).select(F.col("idx").cast("bigint").alias("idx"), "bin", "bins")
+    return every.withColumn("bins", F.lit(once.count()).cast("bigint")).select(F.col("idx").cast("bigint").alias("idx"), "bin", "bins")
 
 
 @query("filterbank_log", f"WITH {_LOGFB} SELECT band, bin, {s6('w')} AS weight FROM fbk")

@@ -117,6 +117,20 @@ def test_analyzer(spark):
             analyzer.analyze(("nothing",))
 
 
+def test_bar_activations(spark):
+    rate, x = 8000, tone(2.0, 8000)
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "track string, n bigint, x double")
+    times = spark.createDataFrame([("a", 0.5 * k + 0.1) for k in range(4)], "track string, t double")
+    network = nn.Network((lambda v: v.mean(1, keepdims=True), nn.sigmoid))
+    quick = analysis.filterbanks.semitone_bands
+    analysis.filterbanks.semitone_bands = lambda fmin, fmax: [b for b in quick(fmin, fmax) if 60 <= b["midi"] < 72 and b["rate"] == 4410]
+    try:
+        got = analysis.bar_activations(rows, rate, times, [network], [network]).orderBy("t").collect()
+    finally:
+        analysis.filterbanks.semitone_bands = quick
+    assert len(got) == 4 and np.isnan(got[-1].a) and all(0 < r.a < 1 for r in got[:-1])
+
+
 def test_composition(spark):
     chain = analysis.sequential(None, lambda d: d.filter("id > 2"), analysis.sequential(lambda d: d.limit(3)))
     assert chain(spark.range(10)).count() == 3
