@@ -1,7 +1,8 @@
-"""Token ids of whole texts with the ``tokenizers`` library, remembered per white-space-free chunk.
+"""Token ids of whole texts with the ``tokenizers`` library, remembered per pre-token.
 
-The tokenizer's pre-tokens never span white space, so a text's ids are those of its chunks in order. A worker asks the
-library only for chunks that it hasn't met lately.
+The tokenizer lower-cases a text and splits it before its merges; a text of ASCII and Latin letters is split here the
+same way, and the library's model is asked only for pre-tokens that a worker hasn't met lately. Other texts are taken
+apart at white space, which no pre-token spans, and what is left in other scripts goes to the library as it is.
 """
 
 from __future__ import annotations
@@ -12,15 +13,15 @@ import struct
 
 import numpy as np
 
-#: Chunks and words that a worker remembers before it starts over.
-MEMO, WORDS = 1 << 18, 1 << 19
-#: Characters that Python takes as white space and the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Pre-tokens, and chunks in other scripts, that a worker remembers before it starts over.
+WORDS, CHUNKS = 3 << 18, 1 << 17
+
+# Latin letters that stand for themselves in normal form and whose lower case does too; ASCII but the separators that
+# Python takes as white space and the tokenizer does not.
+_LETTER = "a-zß-öø-įı-ſ"
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-įı-ſ]*")
+_PRE_TOKENS = re.compile(f"[{_LETTER}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{_LETTER}0-9]+")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-#: A word of Latin letters (all in normal form, as none composes with another) between ASCII signs: pre-tokens of their own.
-_SIGNS = r"[!-&(-/:-@\[-`{-~]*"
-_LATIN_WORD = re.compile(f"({_SIGNS})([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)({_SIGNS})")
-_WORD_ONLY = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
 
 def _byte_letters() -> list[str]:
@@ -30,6 +31,22 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class Memo(dict):
+    """Ids by pre-token, as packed little-endian unsigned 32-bit integers; starts over beyond a bound."""
+
+    def __init__(self, compute, bound: int) -> None:
+        super().__init__()
+        self.compute, self.bound = compute, bound
+
+    def __missing__(self, key: str) -> bytes:
+        packed = self.compute(key)
+        if len(key) <= 64:
+            if len(self) >= self.bound:
+                self.clear()
+            self[key] = packed
+        return packed
+
+
 class WordIds:
     def __init__(self, tokenizer_json: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,61 +54,31 @@ class WordIds:
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.model, self.letters = self.library.model, _byte_letters()
+        self.words, self.chunks = Memo(self._pre_token, WORDS), Memo(self._chunk, CHUNKS)
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
+    def _pre_token(self, word: str) -> bytes:
         """A single pre-token goes to the library's model directly."""
-        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
+        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8")])
         ids = [t.id for t in self.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks: a Latin word and the signs around it are looked up apart, any other chunk is asked for whole."""
-        learnt, whole = {}, []
-        if len(self.words) > WORDS:
-            self.words.clear()
-        for c in chunks:
-            if (m := _LATIN_WORD.fullmatch(c)) is None:
-                whole.append(c)
-                continue
-            before, word, after = m.groups()
-            word = word.lower()
-            if (ids := self.words.get(word)) is None:
-                self.words[word] = ids = self._word(word)
-            if before or after:
-                ids = self._signs(before) + ids + self._signs(after)
-            learnt[c] = ids
-        if whole:
-            learnt.update(zip(whole, self._ask(whole)))
-        return learnt
-
-    def _signs(self, signs: str) -> bytes:
-        if not signs:
-            return b""
-        if (ids := self.words.get(signs)) is None:
-            self.words[signs] = ids = self._ask([signs])[0]
-        return ids
+    def _chunk(self, chunk: str) -> bytes:
+        if _PLAIN.fullmatch(chunk):
+            return self._plain(chunk)
+        return np.asarray(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _PRE_TOKENS.findall(text.lower())))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if _PLAIN.fullmatch(text):
+            return self._plain(text)
+        return b"".join([self.chunks[c] for c in _SPACE.split(text) if c])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        lists = [[c for c in _SPACE.split(t) if c] if _SEPARATORS.search(t) else t.split() for t in texts]
-        unknown = list(set().union(*lists).difference(self.chunks))
-        learnt = self._learn(unknown) if unknown else {}
-        if len(self.chunks) + len(learnt) > MEMO:
-            needed = set().union(*lists)
-            self.chunks = {c: v for c, v in self.chunks.items() if c in needed}
-        self.chunks.update(learnt)
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in lists]
-        for c in learnt:
-            if len(c) > 64:
-                del self.chunks[c]
-        return out
+        return [self.encode(t) for t in texts]
 
 
 _WORKER: dict[object, WordIds] = {}
