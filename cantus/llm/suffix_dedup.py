@@ -5,7 +5,7 @@ bucketed by that anchor: a slice is a run of consecutive suffix starts that shar
 whole are settled by counting, and a slice whose anchor occurs once is alone. The suffixes of the remaining slices are
 sorted bucket by bucket, to a depth of 200 bytes: first by a short prefix, then long ties by the ranks of sampled
 suffixes. The sample's positions are a difference cover: for any two suffixes some short shift leads both to sampled
-ones, whose ranks and common prefixes are computed beforehand. A task holds the suffixes of a few megabytes at a time.
+ones, whose ranks and common prefixes are computed beforehand. A task holds the suffixes of half a megabyte at a time.
 
 An anchor that very many slices share is split by the context at the side where a window reaches farther from it; such
 anchors are found by a count over all documents, and the threshold bounds how many there can be.
@@ -27,7 +27,7 @@ LENGTH, ANCHOR = 200, 64
 WINDOW = LENGTH - ANCHOR + 1
 SIDE = (LENGTH - ANCHOR) // 2
 #: Bytes that a task hashes at a time (below 2**24), and that it sorts at a time.
-BLOCK, SORTED = 1 << 21, 1 << 21
+BLOCK, SORTED = 1 << 20, 1 << 19
 #: Occurrences from which an anchor is split, and the most anchors that can be (the threshold rises with the corpus).
 HEAVY, HEAVY_KEYS = 4096, 1 << 18
 #: Modulus of the difference cover.
