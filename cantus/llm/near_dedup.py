@@ -8,8 +8,8 @@ agree often enough are compared shingle by shingle. Classes are the connected co
 
 Documents with the same words are one representative from the start. A band's bucket may hold any number of
 documents and is never expanded into all its pairs: documents are compared with the bucket's member that shares most
-buckets with others, and then, round after round while links are found, with their likeliest partners outside their
-component.
+buckets with others, and then, round after round, with their likeliest partners outside their component, until no pair
+of different components is left that shares a bucket, is likely and has not been compared.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ REGISTERS, BAND = 96, 4
 #: Share of agreeing registers from which a pair is verified: 3.4 standard errors under the similarity.
 LIKELY = 0.66
 #: Members that one task compares with each other. Partners that the first round tries for a document; each
-#: later round tries as many more as all before it, until one that makes DEEPEST or more of them finds no link.
-BUCKET_ROWS, PARTNERS, DEEPEST = 2048, 4, 16
+#: later round tries as many more as all before it, until there are none left.
+BUCKET_ROWS, PARTNERS = 2048, 4
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -181,17 +181,22 @@ def _likely_partners(partners: int):
             for key, band, ci, cj, chunk, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "ci", "cj", "chunk", "id", "comp", "sig", "asked"))):
                 if (key, band, ci, cj) != current:
                     if current is not None:
-                        yield from _partners(held, *current[1:], partners)
+                        yield from _both_ask(held, *current[1:], partners)
                     held, current = {}, (key, band, ci, cj)
                 held.setdefault(chunk, []).append(member)
         if current is not None:
-            yield from _partners(held, *current[1:], partners)
+            yield from _both_ask(held, *current[1:], partners)
 
     return run
 
 
-def _partners(held: dict, band: int, ci: int, cj: int, partners: int):
-    left, right = held.get(ci, []), held.get(cj, [])
+def _both_ask(held: dict, band: int, ci: int, cj: int, partners: int):
+    yield from _partners(held.get(ci, []), held.get(cj, []), band, partners)
+    if ci != cj:
+        yield from _partners(held.get(cj, []), held.get(ci, []), band, partners)
+
+
+def _partners(left: list, right: list, band: int, partners: int):
     if not left or not right:
         return
     rows, cols = (np.frombuffer(b"".join([m[2] for m in side]), "<u4").reshape(-1, REGISTERS) for side in (left, right))
@@ -262,15 +267,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = met.select("key", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "band", "id", "comp", "sig", "asked")
         found = met.repartition("key", "ci", "cj").sortWithinPartitions("key", "band", "ci", "cj").mapInArrow(_likely_partners(partners), "doc bigint, other bigint, share double").distinct()
         order = Window.partitionBy("doc").orderBy(F.desc("share"), "other")
+        # a document without an untried partner proposes none; the search ends when none has one
         best = written(found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= partners).select("doc", "other"), "proposed")
         pairs = best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
         fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "partners")
-        more = verified(fresh, "links")
-        if more.isEmpty() and depth >= DEEPEST:
+        if best.isEmpty():
             break
+        more = verified(fresh, "links")
         partners, depth = depth, 2 * depth
-        tried, links, proposed = tried.unionByName(fresh), links.unionByName(more), proposed.unionByName(best)
-        labels = components(links)
+        tried, proposed = tried.unionByName(fresh), proposed.unionByName(best)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
 
     classes = reps.join(labels, "id", "left").select("print", F.coalesce("comp", "id").alias("class_id"))
     alone = F.col("sig").isNull() | F.col("doc_id").isNull()

@@ -114,6 +114,20 @@ def test_near_dedup_matches_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] for r in got.values())
 
 
+def test_near_dedup_finds_a_link_behind_many_likelier_refuted_pairs(spark):
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for at in rng.sample(range(400), 6):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = brute_classes(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(set(want.values())) == 76 and {r.doc_id: r.class_id for r in got} == want
+
+
 def test_near_dedup_awkward_rows(docs):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
