@@ -3,8 +3,10 @@
 Texts are sets of five-word shingles weighted by the damped number of their occurrences. Each shingle is a Poisson
 process over the registers, whose rate is its weight; a register keeps the shingle that arrives first, and a shingle's
 arrivals end as soon as they come later than every register's. Two signatures agree in a register with the probability
-Jaccard of the weighted sets. Documents that agree in a band of registers are candidates; candidates whose signatures
-agree often enough are compared shingle by shingle. Classes are the connected components of the verified links.
+Jaccard of the weighted sets. A second signature, of the sets without weights, agrees with their plain Jaccard; it is
+the same one for a text that repeats no shingle, and is then left out. Documents that agree in a band of registers of
+either signature are candidates; candidates that agree often enough in one of the two are compared shingle by shingle.
+Classes are the connected components of the verified links.
 
 Documents with the same words are one representative from the start. A band's bucket may hold any number of
 documents and is never expanded into all its pairs: documents are compared with the bucket's member that shares most
@@ -29,10 +31,10 @@ from .components import components
 
 #: Words of a shingle, and the similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
-#: Registers in all and of a band: a link at 0.8 is missed by all bands in 3 of a million cases.
+#: Registers of a signature and of a band: a link at 0.8 is missed by all bands in 3 of a million cases.
 REGISTERS, BAND = 96, 4
-#: Share of agreeing registers from which a pair is verified: 3.4 standard errors under the similarity.
-LIKELY = 0.66
+#: Share of agreeing registers from which a pair is verified: 4.9 standard errors under the similarity.
+LIKELY = 0.6
 #: Members that one task compares with each other. Partners that the first round tries for a document; each
 #: later round tries as many more as all before it, until there are none left.
 BUCKET_ROWS, PARTNERS = 2048, 4
@@ -137,13 +139,29 @@ def _sign(batches):
             weights = 1 + np.log(np.diff(np.concatenate((head, [len(h)]))))
             signatures = _mix(prob_min_hash(h[head], weights, owner[head], len(parts))).astype("<u4")
             packed = [s.tobytes() if w else None for s, w in zip(signatures, lists)]
+            # the signature without weights, of texts that repeat a shingle
+            repeats = np.unique(owner[head][weights > 1])
+            of = np.flatnonzero(np.isin(owner[head], repeats))
+            plain = _mix(prob_min_hash(h[head][of], np.ones(len(of)), np.searchsorted(repeats, owner[head][of]), len(repeats))).astype("<u4")
+            for i, s in zip(repeats.tolist(), plain):
+                packed[i] += s.tobytes()
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "print", "sig"])
 
 
+def _arms(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures with and without weights; one array twice where all are the same."""
+    size = 4 * REGISTERS
+    arms = [np.frombuffer(b"".join([s[:size] for s in sigs]), "<u4").reshape(-1, REGISTERS)] * 2
+    if any(len(s) > size for s in sigs):
+        arms[1] = np.frombuffer(b"".join([s[-size:] for s in sigs]), "<u4").reshape(-1, REGISTERS)
+    return arms[0], arms[1]
+
+
 def _estimate(batches):
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((a == b).mean(1) >= LIKELY))
+        (a, plain_a), (b, plain_b) = (_arms(batch.column(c).to_pylist()) for c in ("sig_a", "sig_b"))
+        share = np.maximum((a == b).mean(1), (plain_a == plain_b).mean(1))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(share >= LIKELY))
 
 
 def _verify(batches):
@@ -199,17 +217,22 @@ def _both_ask(held: dict, band: int, ci: int, cj: int, partners: int):
 def _partners(left: list, right: list, band: int, partners: int):
     if not left or not right:
         return
-    rows, cols = (np.frombuffer(b"".join([m[2] for m in side]), "<u4").reshape(-1, REGISTERS) for side in (left, right))
+    rows, cols = (_arms([m[2] for m in side]) for side in (left, right))
+    one = rows[0] is rows[1] and cols[0] is cols[1]
     ids, comps = np.asarray([m[0] for m in right]), np.asarray([m[1] for m in right])
     docs, others, shares = [], [], []
-    for (doc, comp, _, asked), sig in zip(left, rows):
-        share = (cols == sig).mean(1)
+    for (doc, comp, _, asked), *sigs in zip(left, *rows):
+        share = (cols[0] == sigs[0]).mean(1)
+        if not one:
+            share = np.maximum(share, (cols[1] == sigs[1]).mean(1))
         share[comps == comp] = 0
         if asked:
             share[np.isin(ids, asked)] = 0
         best = np.flatnonzero(share >= LIKELY)
         best = best[np.lexsort((ids[best], -share[best]))[:partners]]
-        best = best[~(cols[best, : band * BAND] == sig[: band * BAND]).reshape(len(best), band, BAND).all(2).any(1)]
+        for sig in sigs[:1] if one else sigs:  # a band's bucket holds both signatures
+            for col in cols[:1] if one else cols:
+                best = best[~(col[best, : band * BAND] == sig[: band * BAND]).reshape(len(best), band, BAND).all(2).any(1)]
         docs += [doc] * len(best)
         others += ids[best].tolist()
         shares += share[best].tolist()
@@ -231,8 +254,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = signed.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
     reps = written(some.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "representatives")
 
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.expr("sig").substr(i * (4 * BAND) + 1, F.lit(4 * BAND))))
-    keyed = reps.select("id", F.posexplode(bands).alias("band", "key"))
+    in_band = lambda i: i % (REGISTERS // BAND)
+    bands = F.transform(
+        F.sequence(F.lit(0), (F.octet_length("sig") / (4 * BAND)).cast("int") - 1),
+        lambda i: F.struct(in_band(i).alias("band"), F.xxhash64(in_band(i), F.expr("sig").substr(i * (4 * BAND) + 1, F.lit(4 * BAND))).alias("key")),
+    )
+    keyed = reps.select("id", F.inline(F.array_distinct(bands)))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(keyed.join(counts.hint("merge"), "key"), "buckets")
     fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
@@ -298,5 +325,7 @@ def content_binary(column: str):
 
 
 def expected_miss(similarity: float = SIMILAR) -> float:
-    """Share of pairs of that similarity that no band brings together."""
-    return math.pow(1 - similarity**BAND, REGISTERS // BAND)
+    """Share of pairs of that similarity that no band brings together or whose signatures agree too seldom, at most."""
+    least = math.ceil(LIKELY * REGISTERS)
+    seldom = sum(math.comb(REGISTERS, k) * similarity**k * (1 - similarity) ** (REGISTERS - k) for k in range(least))
+    return math.pow(1 - similarity**BAND, REGISTERS // BAND) + seldom

@@ -128,6 +128,20 @@ def test_near_dedup_finds_a_link_behind_many_likelier_refuted_pairs(spark):
     assert len(set(want.values())) == 76 and {r.doc_id: r.class_id for r in got} == want
 
 
+def test_near_dedup_finds_texts_that_only_repeat_more(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words + words[:150] * 200))]
+    want = {i: i - i % 2 for i, _ in rows}
+    sets = [near_dedup.shingles(near_dedup.words_of(t)) for _, t in rows[:2]]
+    assert near_dedup.similarity(*sets) >= 0.8 > 0.7 > near_dedup.probability_jaccard(*map(near_dedup.weighted, sets))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+    assert near_dedup.expected_miss() < 1e-5
+
+
 def test_near_dedup_awkward_rows(docs):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
