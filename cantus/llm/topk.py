@@ -5,7 +5,8 @@ least one there, is never negative and has a bound; terms in order of their boun
 tail that together cannot lift a vector to the current k-th score. The essential terms' postings are traversed for
 all vectors of the shard, the others are probed while vectors remain competitive, and the shards' results are merged.
 
-Queries come in blocks of a checked size; a block is broadcast and meets every shard where it lies, without a shuffle.
+Rows that repeat an item are dropped first. Queries come in blocks of a checked size; a block is broadcast and meets
+every shard where it lies.
 """
 
 from __future__ import annotations
@@ -84,10 +85,11 @@ def maxscore_topk(items: DataFrame, queries: DataFrame, k: int, block_queries: i
     """
     spark = items.sparkSession
     whole = "id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)"
-    items = items.select("id", "vector").filter(whole)
+    items = items.select("id", "vector").filter(whole).distinct()  # copies would take the places of real neighbours
     wanted = queries.select("id", "vector").filter(whole).groupBy("id").agg(F.min("vector").alias("vector"))
     blocks = -(-wanted.count() // (block_queries // 2))
     wanted = written(wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))), "queries") if blocks > 1 else wanted.withColumn("block", F.lit(0))
+    items = written(items, "items") if blocks > 1 else items
     parts = []
     for b in range(max(1, blocks)):
         rows = wanted.filter(F.col("block") == b).limit(block_queries + 1).collect()  # one block
@@ -100,7 +102,7 @@ def maxscore_topk(items: DataFrame, queries: DataFrame, k: int, block_queries: i
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -294,6 +294,13 @@ def test_topk_equals_brute_force(spark, shard):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_with_repeated_rows(spark):
+    rows = [(0, [1, 0])] + [(1, [9, 0])] * 10 + [(i, [i, 0]) for i in range(2, 7)] + [(6, [6, 1])]
+    items = spark.createDataFrame(rows, "id bigint, vector array<bigint>").coalesce(1)
+    got = topk.maxscore_topk(items, items.filter("id = 0"), 4).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 9), (0, 2, 6, 6), (0, 3, 6, 6), (0, 4, 5, 5)]
+
+
 def test_topk_in_several_blocks(spark):
     rng = np.random.default_rng(9)
     items = spark.createDataFrame([(i, rng.integers(-9, 9, 4).tolist()) for i in range(60)], "id bigint, vector array<bigint>")
