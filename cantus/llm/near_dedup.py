@@ -145,7 +145,7 @@ def _sign(batches):
             plain = _mix(prob_min_hash(h[head][of], np.ones(len(of)), np.searchsorted(repeats, owner[head][of]), len(repeats))).astype("<u4")
             for i, s in zip(repeats.tolist(), plain):
                 packed[i] += s.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "print", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("salt"), pa.array(prints, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "salt", "print", "sig"])
 
 
 def _arms(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,8 @@ def _pack(batches):
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack(t) for t in batch.column("content").to_pylist()], pa.binary())], names=["id", "packed"])
+        packed = pa.array([pack(t) for t in batch.column("content").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), packed], names=["doc_id", "salt", "packed"])
 
 
 def _likely_partners(partners: int):
@@ -244,15 +245,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Classes of near duplicates: ``id_col``, class_id, class_size, kept, one row per input row.
 
     The row with the least id of a class stays; class_id is that id. Texts without words are classes of their own
-    and all stay, as do rows without an id (class_id is null). Rows that agree in the id are of one class; one row of
-    them stays. Null texts count as empty; other columns are ignored; an empty table gives no rows.
+    and all stay, as do rows without an id (class_id is null). Rows that agree in the id are judged by their texts: of
+    those in one class, one stays at most, and unrelated ones are in classes of their own, each with a row that stays.
+    Null texts count as empty; other columns are ignored; an empty table gives no rows.
     """
+    return near_rows(docs, id_col, text_col).drop("salt")
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with a salt (hash of the text), which tells rows apart that agree in the id."""
     spark = docs.sparkSession
     content = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), content.alias("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id bigint, print binary, sig binary"), "signed")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(content.cast("binary")).alias("salt"), content.alias("text"))
+    signed = written(rows.mapInArrow(_sign, "doc_id bigint, salt bigint, print binary, sig binary"), "signed")
     some = signed.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
-    reps = written(some.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "representatives")
+    first = some.groupBy("print").agg(F.min(F.struct("doc_id", "salt")).alias("first"), F.min("sig").alias("sig"))
+    # a number of its own for every representative, as its row's id may belong to other texts too
+    reps = written(first.select("print", "first", "sig", F.monotonically_increasing_id().alias("id")), "representatives")
 
     in_band = lambda i: i % (REGISTERS // BAND)
     bands = F.transform(
@@ -272,8 +281,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the texts that may have to be compared, once and packed
     wanted = members.select("id").distinct()
-    contents = rows.select(F.col("doc_id").alias("id"), content_binary("text").alias("content")).mapInArrow(_pack, "id bigint, packed binary")
-    texts = written(contents.hint("merge").join(wanted.hint("merge"), "id").distinct(), "texts")
+    wanted = wanted.join(reps.select("id", "first.doc_id", "first.salt"), "id")
+    contents = rows.select("doc_id", "salt", content_binary("text").alias("content")).mapInArrow(_pack, "doc_id bigint, salt bigint, packed binary")
+    texts = written(contents.hint("merge").join(wanted.hint("merge"), ["doc_id", "salt"]).select("id", "packed").distinct(), "texts")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a")).hint("merge"), "a")
@@ -307,16 +317,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = links.unionByName(more)
             labels = components(links)
 
-    classes = reps.join(labels, "id", "left").select("print", F.coalesce("comp", "id").alias("class_id"))
+    placed = reps.join(labels, "id", "left").select("print", "first", F.coalesce("comp", "id").alias("comp"))
+    heads = placed.groupBy("comp").agg(F.min("first").alias("head"))
+    classes = placed.join(heads, "comp").select("print", "comp", "head")
     alone = F.col("sig").isNull() | F.col("doc_id").isNull()
-    placed = signed.select("doc_id", "print", alone.alias("alone"))
-    joined = placed.filter("NOT alone").hint("merge").join(classes, "print").select("doc_id", "class_id")
-    # rows that agree in the id: all their texts' classes have the id as a link
-    sizes = joined.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    copies = joined.groupBy("class_id", "doc_id").agg(F.count("*").alias("copies"))
-    kept = copies.hint("merge").join(sizes, "class_id").select("doc_id", "class_id", "class_size", F.posexplode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy", "one"))
-    kept = kept.select("doc_id", "class_id", "class_size", ((F.col("doc_id") == F.col("class_id")) & (F.col("copy") == 0)).alias("kept"))
-    singles = placed.filter("alone").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
+    placed = signed.select("doc_id", "salt", "print", alone.alias("alone"))
+    joined = placed.filter("NOT alone").hint("merge").join(classes, "print").select("doc_id", "salt", "comp", "head")
+    sizes = joined.groupBy("comp").agg(F.count("*").alias("class_size"))
+    # rows that agree in id and text are counted here and told apart below
+    copies = joined.groupBy("comp", "head", "doc_id", "salt").agg(F.count("*").alias("copies"))
+    kept = copies.hint("merge").join(sizes, "comp").select("doc_id", "salt", "head", "class_size", F.posexplode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy", "one"))
+    stays = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("salt") == F.col("head.salt")) & (F.col("copy") == 0)
+    kept = kept.select("doc_id", "salt", F.col("head.doc_id").alias("class_id"), "class_size", stays.alias("kept"))
+    singles = placed.filter("alone").select("doc_id", "salt", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
     return kept.unionByName(singles).withColumnRenamed("doc_id", id_col)
 
 

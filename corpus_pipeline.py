@@ -29,8 +29,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    gone = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = near_dedup.near_rows(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"), "salt")
+    marked = docs.withColumn("_salt", F.xxhash64(text_of("text").cast("binary")))
+    return marked.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_salt") == F.col("salt")), "left_anti").drop("_salt")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

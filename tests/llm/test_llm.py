@@ -444,6 +444,16 @@ def test_chat_prefix_tree(spark):
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    x, y, z = (" ".join(f"{c}{k}" for k in range(80)) for c in "xyz")
+    rows = [(7, x), (7, y), (8, x + " more"), (9, z), (9, z + " more"), (9, "")]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    got = collections.Counter((r.doc_id, r.text.removesuffix(" more")) for r in left)
+    assert got == collections.Counter([(7, x), (7, y), (9, z), (9, "")])
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 
