@@ -8,7 +8,9 @@ suffixes. The sample's positions are a difference cover: for any two suffixes so
 ones, whose ranks and common prefixes are computed beforehand. A task holds the suffixes of half a megabyte at a time.
 
 An anchor that very many slices share is split by the context at the side where a window reaches farther from it; such
-anchors are found by a count over all documents, and the threshold bounds how many there can be.
+anchors are found by a count over all documents, and the threshold bounds how many there can be. A bucket that is
+larger than what a task sorts at a time even so is not sorted in one task: its strings of 200 bytes are dealt out by
+128-bit hashes of their own and counted by Spark.
 """
 
 from __future__ import annotations
@@ -324,6 +326,18 @@ def _bytes_of_slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
+def _strings(batches):
+    """Hash and place of every 200-byte string of the slices."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            rows = []
+            for r in batch.slice(lo, 256).to_pylist():
+                text = r["content"]
+                rows += [(hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest(), r["doc_id"], r["salt"], r["start"] + i, r["open"]) for i in range(r["n"])]
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["string", "doc_id", "salt", "start", "open"])
+
+
 def _sort_suffixes(batches):
     """Repeated strings of the open slices, bucket after bucket."""
     held = [b for b in batches if b.num_rows]
@@ -420,9 +434,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows that agree in id and text are alike in every respect: one stands for all
     found = packed.alias("p").join(wanted.alias("w"), (F.col("p.salt") == F.col("w.salt")) & F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")))
     pieces = found.select("p.doc_id", "p.salt", "packed", "slices").mapInArrow(_bytes_of_slices, "doc_id bigint, salt bigint, start int, n int, key bigint, open boolean, content binary")
-    pieces = pieces.repartition(parts, "key")
-    sorted_marks = written(pieces.mapInArrow(_sort_suffixes, "doc_id bigint, salt bigint, start int, n int"), "marks")
+    sizes = kinds.filter(F.col("kind") != _DUPLICATE).groupBy("key").agg(F.sum(F.col("n") + LENGTH - 1).alias("bytes"))
+    hot = written(sizes.filter(F.col("bytes") > SORTED).select("key"), "hot")
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        pieces = written(pieces, "pieces")
+    cold = pieces.hint("merge").join(hot, "key", "left_anti").select(pieces.columns) if some_hot else pieces
+    sorted_marks = written(cold.repartition(parts, "key").mapInArrow(_sort_suffixes, "doc_id bigint, salt bigint, start int, n int"), "marks")
     marks = kinds.filter(F.col("kind") == _DUPLICATE).select("doc_id", "salt", "start", "n").unionByName(sorted_marks)
+    if some_hot:
+        strings = pieces.hint("merge").join(hot, "key", "left_semi").mapInArrow(_strings, "string binary, doc_id bigint, salt bigint, start int, open boolean")
+        strings = written(strings, "strings")
+        again = strings.groupBy("string").agg(F.count("*").alias("times")).filter("times > 1").select("string")
+        found_again = strings.filter("open").hint("merge").join(again, "string", "left_semi").select("doc_id", "salt", "start", F.lit(1).alias("n"))
+        marks = marks.unionByName(written(found_again, "marks"))
     return marks.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
 
 

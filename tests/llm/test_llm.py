@@ -352,6 +352,25 @@ def test_suffix_dedup_with_heavy_anchors(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute_spans([(i, t.encode()) for i, t in rows])
 
 
+def test_suffix_dedup_sorts_no_bucket_over_the_bound(spark, monkeypatch):
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line, tail = noise(150), noise(150)
+    rows = [(i, noise(150) + line + (tail if i % 5 == 0 else noise(150))) for i in range(40)]
+    sorted_bytes = []
+    plain = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "SORTED", 4000)
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda text, starts: sorted_bytes.append(len(text)) or plain(text, starts))
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, label: df.sparkSession.createDataFrame(df.collect(), df.schema))
+    collect = lambda df, function, schema: df.sparkSession.createDataFrame(
+        [tuple(r.values()) for b in function(iter(df.toArrow().combine_chunks().to_batches())) for r in b.to_pylist()], schema
+    )
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.mapInArrow", collect)
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_spans([(i, t.encode()) for i, t in rows])
+    assert sorted_bytes and max(sorted_bytes) <= 4000
+
+
 def test_difference_cover():
     for v in (7, 13, 32, 64):
         cover = suffix_dedup.difference_cover(v)
