@@ -105,8 +105,8 @@ _STEP = "FROM p JOIN i ON i.track = p.track AND i.frame = p.frame + 1"
 _UNITS = f"SELECT track, frame, 0::BIGINT AS unit, {s6('h0')} AS x FROM p WHERE frame >= 0 UNION ALL SELECT track, frame, 1, {s6('h1')} FROM p WHERE frame >= 0"
 
 
-def _layer(salt: int):
-    return weights(3, 2, salt), np.array([0.1, -0.1]), weights(2, 2, salt + 1)
+def _layer(salt: int, inputs: int = 3):
+    return weights(inputs, 2, salt), np.array([0.1, -0.1]), weights(2, 2, salt + 1)
 
 
 @query("rnn", RS + f"{_INPUT}, p(track, frame, h0, h1) AS ({_START} FROM i UNION ALL SELECT i.track, i.frame, " + ", ".join(f"tanh({_in(0, u)} + {b} + {_rec(1, u)})" for u, b in ((0, 0.1), (1, -0.1))) + f" {_STEP}) {_UNITS}")
@@ -149,7 +149,7 @@ def _(spark, sf):
 
 @query("bidirectional_rnn")
 def _(spark, sf):
-    return nn.run_networks(arrays_of(spark, sf, 3), [nn.Bidirectional(nn.Recurrent(*_layer(0)), nn.Recurrent(*_layer(2)))])
+    return nn.run_networks(arrays_of(spark, sf, 64), [nn.Bidirectional(nn.Recurrent(*_layer(0, 64)), nn.Recurrent(*_layer(2, 64)))])
 
 
 @query("convolutional_network")

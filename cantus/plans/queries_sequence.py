@@ -326,7 +326,8 @@ def _(spark, sf):
 
 @query("dbn_bars")
 def _(spark, sf):
-    marked = act_view(spark, sf).filter("frame % 12 = 0").select("track", (F.col("frame") / 2.0).alias("t"), F.greatest(F.least("a", F.lit(0.99)), F.lit(0.01)).alias("a"))
+    blocks = act_view(spark, sf).groupBy("track", F.expr("frame div 12").alias("block")).agg(F.avg("a").alias("a"))
+    marked = blocks.select("track", (F.col("block") * 6.0).alias("t"), F.greatest(F.least("a", F.lit(0.99)), F.lit(0.01)).alias("a"))
     return beats.dbn_bars(marked)
 
 

@@ -155,3 +155,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_without_sql_read_their_whole_tables(spark, small, monkeypatch):
+    from cantus.plans import queries_nn, queries_sequence
+
+    read = {}
+    monkeypatch.setattr(queries_sequence.beats, "dbn_bars", lambda marked: read.setdefault("bars", marked))
+    monkeypatch.setattr(queries_nn.nn, "run_networks", lambda features, networks: read.setdefault("rnn", features))
+    queries = __import__("cantus.plans.catalog", fromlist=["queries"]).queries()
+    queries["dbn_bars"](spark, small), queries["bidirectional_rnn"](spark, small)
+    blocks = {}
+    for r in queries_sequence.act_view(spark, small).collect():
+        blocks.setdefault((r.track, r.frame // 12 * 6.0), []).append(r.a)
+    want = {k: min(max(sum(v) / len(v), 0.01), 0.99) for k, v in blocks.items()}
+    assert {(r.track, r.t): r.a for r in read["bars"].collect()} == pytest.approx(want)
+    row = read["rnn"].first()
+    assert len(row.x) == 64
