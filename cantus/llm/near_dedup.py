@@ -5,13 +5,13 @@ process over the registers, whose rate is its weight; a register keeps the shing
 arrivals end as soon as they come later than every register's. Two signatures agree in a register with the probability
 Jaccard of the weighted sets. A second signature, of the sets without weights, agrees with their plain Jaccard; it is
 the same one for a text that repeats no shingle, and is then left out. Documents that agree in a band of registers of
-either signature are candidates; candidates that agree often enough in one of the two are compared shingle by shingle.
-Classes are the connected components of the verified links.
+either signature share a bucket, and what shares a bucket is compared exactly, shingle by shingle, unless links found
+before connect it already. Classes are the connected components of the links.
 
-Documents with the same words are one representative from the start. A band's bucket may hold any number of
-documents and is never expanded into all its pairs: documents are compared with the bucket's member that shares most
-buckets with others, and then, round after round, with their likeliest partners outside their component, until no pair
-of different components is left that shares a bucket, is likely and has not been compared.
+Documents with the same words are one representative from the start, and buckets with the same members are one bucket.
+Every representative is first compared inside its largest bucket. Of the buckets that hold several components after
+that, the members outside the bucket's largest component meet all members, once, in cells of bounded size. A task holds
+one cell and gives links between components, at most one less than there are, so no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
@@ -33,11 +33,8 @@ from .components import components
 SHINGLE, SIMILAR = 5, 0.8
 #: Registers of a signature and of a band: a link at 0.8 is missed by all bands in 3 of a million cases.
 REGISTERS, BAND = 96, 4
-#: Share of agreeing registers from which a pair is verified: 4.9 standard errors under the similarity.
-LIKELY = 0.6
-#: Members that one task compares with each other. Partners that the first round tries for a document; each
-#: later round tries as many more as all before it, until there are none left.
-BUCKET_ROWS, PARTNERS = 2048, 4
+#: Representatives and shingles on a side of a cell, about: a bucket is dealt out by hash to keep to both.
+CELL_ROWS, CELL_SHINGLES = 512, 1 << 20
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -125,10 +122,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sign(batches):
+    """Per row: digest of its words, signatures (null without words), number of different shingles, the packed text."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    names = ["doc_id", "salt", "print", "sig", "shingles", "packed"]
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            lists = [words_of(t) for t in part.column("text").to_pylist()]
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            given = part.column("text").to_pylist()
+            lists = [words_of(t) for t in given]
             prints = [hashlib.md5(" ".join(w).encode()).digest() for w in lists]
             parts = [shingles(w) for w in lists]
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -138,107 +141,119 @@ def _sign(batches):
             head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.zeros(0, np.int64)
             weights = 1 + np.log(np.diff(np.concatenate((head, [len(h)]))))
             signatures = _mix(prob_min_hash(h[head], weights, owner[head], len(parts))).astype("<u4")
-            packed = [s.tobytes() if w else None for s, w in zip(signatures, lists)]
+            signed = [s.tobytes() if w else None for s, w in zip(signatures, lists)]
             # the signature without weights, of texts that repeat a shingle
             repeats = np.unique(owner[head][weights > 1])
             of = np.flatnonzero(np.isin(owner[head], repeats))
             plain = _mix(prob_min_hash(h[head][of], np.ones(len(of)), np.searchsorted(repeats, owner[head][of]), len(repeats))).astype("<u4")
             for i, s in zip(repeats.tolist(), plain):
-                packed[i] += s.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("salt"), pa.array(prints, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "salt", "print", "sig"])
-
-
-def _arms(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures with and without weights; one array twice where all are the same."""
-    size = 4 * REGISTERS
-    arms = [np.frombuffer(b"".join([s[:size] for s in sigs]), "<u4").reshape(-1, REGISTERS)] * 2
-    if any(len(s) > size for s in sigs):
-        arms[1] = np.frombuffer(b"".join([s[-size:] for s in sigs]), "<u4").reshape(-1, REGISTERS)
-    return arms[0], arms[1]
+                signed[i] += s.tobytes()
+            sizes = np.bincount(owner[head], minlength=len(parts))
+            packed = pa.array([pack(t.encode("utf-8", "replace")) for t in given], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("salt"), pa.array(prints, pa.binary()), pa.array(signed, pa.binary()), pa.array(sizes, pa.int64()), packed], names=names)
+    _HASHES.clear()
 
 
-def _estimate(batches):
-    for batch in batches:
-        (a, plain_a), (b, plain_b) = (_arms(batch.column(c).to_pylist()) for c in ("sig_a", "sig_b"))
-        share = np.maximum((a == b).mean(1), (plain_a == plain_b).mean(1))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(share >= LIKELY))
-
-
-def _verify(batches):
+def _sets(batches):
+    """Shingle hashes of each text, sorted, and their numbers where one occurs more than once."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        keep, last, mine = [], None, None
-        for text_a, text_b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-            if text_a != last:
-                last, mine = text_a, shingles(words_of(unpack(text_a).decode("utf-8", "replace")))
-            keep.append(similarity(mine, shingles(words_of(unpack(text_b).decode("utf-8", "replace")))) >= SIMILAR)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            elements, numbers = [], []
+            for packed in part.column("packed").to_pylist():
+                e, n = np.unique(shingles(words_of(unpack(packed).decode())), return_counts=True)
+                elements.append(e.astype("<u8").tobytes())
+                numbers.append(n.astype("<u4").tobytes() if n.max(initial=0) > 1 else None)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(elements, pa.binary()), pa.array(numbers, pa.binary())], names=["id", "elements", "numbers"])
+    _HASHES.clear()
 
 
-def _pack(batches):
-    import zstandard
+#: Sides of a cell that a row stands on.
+_LEFT, _RIGHT = 1, 2
 
-    pack = zstandard.ZstdCompressor(level=1).compress
+
+def links_of_cell(comps: list[int], sides: list[int], sets: list[tuple[np.ndarray, np.ndarray | None]]) -> list[tuple[int, int]]:
+    """Links between components: every right row is compared with the left rows that nothing connects it with yet.
+
+    A set is its sorted shingle hashes and their numbers (None: all 1). The links form no cycle.
+    """
+    names, comp = np.unique(np.asarray(comps, np.int64), return_inverse=True)
+    roots, side = np.arange(len(names)), np.asarray(sides)
+    left, right = np.flatnonzero(side & _LEFT), np.flatnonzero(side & _RIGHT)
+    if len(names) < 2 or not len(left) or not len(right):
+        return []
+    right = right[np.argsort(comp[right], kind="stable")]
+    sizes = np.asarray([len(s[0]) for s in sets])
+    codes = np.split(np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    repeats = np.asarray([s[1] is not None for s in sets])
+    weights = [np.ones(len(s[0])) if s[1] is None else 1 + np.log(s[1]) for s in sets] if repeats.any() else []
+    shares = [w / w.sum() for w in weights]
+    space = 1 + max(int(c.max()) for c in codes)
+    mine, mass = np.zeros(space, np.int32), np.zeros(space if weights else 0)
+    out, held, held_codes, held_shares, heads = [], np.zeros(0, np.int64), None, None, None
+    in_held = np.zeros(len(sets), bool)
+    for f in right.tolist():
+        open_ = np.zeros(len(sets), bool)
+        open_[left[roots[comp[left]] != roots[comp[f]]]] = True
+        count = int(open_.sum())
+        if not count:
+            continue
+        if (open_ & ~in_held).any() or 2 * count < len(held):
+            held, in_held = np.flatnonzero(open_), open_
+            held_codes = np.concatenate([codes[i] for i in held])
+            held_shares = np.concatenate([shares[i] for i in held]) if weights else None
+            heads = np.cumsum(sizes[held]) - sizes[held]
+        mine[codes[f]] = 1
+        both = np.add.reduceat(mine[held_codes], heads)
+        mine[codes[f]] = 0
+        linked = both / (sizes[f] + sizes[held] - both) >= SIMILAR
+        if weights and (repeats[f] or repeats[held].any()):
+            # probability Jaccard is at most the common mass of the two distributions
+            mass[codes[f]] = shares[f]
+            common = np.add.reduceat(np.minimum(mass[held_codes], held_shares), heads)
+            mass[codes[f]] = 0
+            for k in np.flatnonzero((common >= SIMILAR - 1e-9) & ~linked & (repeats[held] | repeats[f]) & open_[held]).tolist():
+                linked[k] = probability_jaccard((sets[f][0], weights[f]), (sets[held[k]][0], weights[held[k]])) >= SIMILAR
+        for other in np.unique(comp[held[linked]]).tolist():
+            a, b = roots[comp[f]], roots[other]
+            if a != b:
+                out.append((int(names[comp[f]]), int(names[other])))
+                roots[roots == b] = a
+    return out
+
+
+def _cells(batches):
+    """Links of cell after cell; the rows of a cell follow each other."""
+    current, rows = None, []
     for batch in batches:
-        packed = pa.array([pack(t) for t in batch.column("content").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), packed], names=["doc_id", "salt", "packed"])
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            for key, i, j, comp, side, elements, numbers in zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "comp", "side", "elements", "numbers"))):
+                if (key, i, j) != current:
+                    yield from _cell(rows)
+                    current, rows = (key, i, j), []
+                rows.append((comp, side, (np.frombuffer(elements, "<u8"), None if numbers is None else np.frombuffer(numbers, "<u4"))))
+    yield from _cell(rows)
 
 
-def _likely_partners(partners: int):
-    """Of each bucket (or pair of its chunks): for every member, the likeliest members of other components.
+def _cell(rows: list):
+    links = links_of_cell(*map(list, zip(*rows))) if len(rows) > 1 else []
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
-    A pair comes out of the first band that it shares only; a member's likeliest partners overall are among the
-    likeliest of each bucket that holds them, so none of them is lost.
-    """
 
-    def run(batches):
-        held: dict[int, list] = {}
-        current = None
-        for batch in batches:
-            for key, band, ci, cj, chunk, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "ci", "cj", "chunk", "id", "comp", "sig", "asked"))):
-                if (key, band, ci, cj) != current:
-                    if current is not None:
-                        yield from _both_ask(held, *current[1:], partners)
-                    held, current = {}, (key, band, ci, cj)
-                held.setdefault(chunk, []).append(member)
-        if current is not None:
-            yield from _both_ask(held, *current[1:], partners)
-
-    return run
-
-
-def _both_ask(held: dict, band: int, ci: int, cj: int, partners: int):
-    yield from _partners(held.get(ci, []), held.get(cj, []), band, partners)
-    if ci != cj:
-        yield from _partners(held.get(cj, []), held.get(ci, []), band, partners)
-
-
-def _partners(left: list, right: list, band: int, partners: int):
-    if not left or not right:
-        return
-    rows, cols = (_arms([m[2] for m in side]) for side in (left, right))
-    one = rows[0] is rows[1] and cols[0] is cols[1]
-    ids, comps = np.asarray([m[0] for m in right]), np.asarray([m[1] for m in right])
-    docs, others, shares = [], [], []
-    for (doc, comp, _, asked), *sigs in zip(left, *rows):
-        share = (cols[0] == sigs[0]).mean(1)
-        if not one:
-            share = np.maximum(share, (cols[1] == sigs[1]).mean(1))
-        share[comps == comp] = 0
-        if asked:
-            share[np.isin(ids, asked)] = 0
-        best = np.flatnonzero(share >= LIKELY)
-        best = best[np.lexsort((ids[best], -share[best]))[:partners]]
-        for sig in sigs[:1] if one else sigs:  # a band's bucket holds both signatures
-            for col in cols[:1] if one else cols:
-                best = best[~(col[best, : band * BAND] == sig[: band * BAND]).reshape(len(best), band, BAND).all(2).any(1)]
-        docs += [doc] * len(best)
-        others += ids[best].tolist()
-        shares += share[best].tolist()
-    if docs:
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.array(shares, pa.float64())], names=["doc", "other", "share"])
+def _cuts(rows: str, shingles_: str):
+    """Number of parts that keeps both measures within a cell's bounds."""
+    return F.greatest(F.ceil(F.col(rows) / CELL_ROWS), F.ceil(F.col(shingles_) / CELL_SHINGLES), F.lit(1)).cast("int")
+
+
+def _compare(rows: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """Links (a, b) between the components of each cell (key, i, j)."""
+    full = rows.join(sets.hint("merge"), "id").select("key", "i", "j", "comp", "side", "elements", "numbers")
+    return written(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cells, "a bigint, b bigint"), label)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,91 +269,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``near_duplicates`` with a salt (hash of the text), which tells rows apart that agree in the id."""
-    spark = docs.sparkSession
     content = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(content.cast("binary")).alias("salt"), content.alias("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id bigint, salt bigint, print binary, sig binary"), "signed")
+    signed = rows.mapInArrow(_sign, "doc_id bigint, salt bigint, print binary, sig binary, shingles bigint, packed binary")
+    signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     some = signed.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
-    first = some.groupBy("print").agg(F.min(F.struct("doc_id", "salt")).alias("first"), F.min("sig").alias("sig"))
-    # a number of its own for every representative, as its row's id may belong to other texts too
-    reps = written(first.select("print", "first", "sig", F.monotonically_increasing_id().alias("id")), "representatives")
+    first = F.min(F.struct("doc_id", "salt", "row")).alias("first")
+    reps = some.groupBy("print").agg(first, F.min("sig").alias("sig"), F.min("shingles").alias("shingles"), F.count("*").alias("rows"))
+    reps = written(reps.withColumn("id", F.col("first.row")), "representatives")
 
     in_band = lambda i: i % (REGISTERS // BAND)
     bands = F.transform(
         F.sequence(F.lit(0), (F.octet_length("sig") / (4 * BAND)).cast("int") - 1),
-        lambda i: F.struct(in_band(i).alias("band"), F.xxhash64(in_band(i), F.expr("sig").substr(i * (4 * BAND) + 1, F.lit(4 * BAND))).alias("key")),
+        lambda i: F.struct(F.xxhash64(in_band(i), F.expr("sig").substr(i * (4 * BAND) + 1, F.lit(4 * BAND))).alias("key")),
     )
-    keyed = reps.select("id", F.inline(F.array_distinct(bands)))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(keyed.join(counts.hint("merge"), "key"), "buckets")
-    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
-    members = written(shared.join(fame, "id").join(reps.select("id", "sig"), "id"), "members")
-
-    pivot = members.groupBy("key").agg(F.max(F.struct("fame", "id", "sig")).alias("pivot"))
-    star = members.select("key", "id", "sig").join(pivot.hint("merge"), "key").filter("pivot.id <> id")
-    star = star.select(F.least("pivot.id", "id").alias("a"), F.greatest("pivot.id", "id").alias("b"), F.col("pivot.sig").alias("sig_a"), F.col("sig").alias("sig_b"))
-    tried = written(star.mapInArrow(_estimate, "a bigint, b bigint").distinct(), "candidates")
-
-    # the texts that may have to be compared, once and packed
+    keyed = reps.select("id", "shingles", F.inline(F.array_distinct(bands)))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
+    buckets = buckets.groupBy("n", "who").agg(F.min("key").alias("key"))
+    members = written(keyed.join(buckets.select("key", "n").hint("merge"), "key"), "members")
     wanted = members.select("id").distinct()
-    wanted = wanted.join(reps.select("id", "first.doc_id", "first.salt"), "id")
-    contents = rows.select("doc_id", "salt", content_binary("text").alias("content")).mapInArrow(_pack, "doc_id bigint, salt bigint, packed binary")
-    texts = written(contents.hint("merge").join(wanted.hint("merge"), ["doc_id", "salt"]).select("id", "packed").distinct(), "texts")
-
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a")).hint("merge"), "a")
-        with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("text_b")).hint("merge"), "b")
-        return written(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"), label)
-
-    links = verified(tried, "links")
-    labels, partners, depth = components(links), PARTNERS, PARTNERS
-    proposed = spark.createDataFrame([], "doc bigint, other bigint")
-    while True:
-        asked = proposed.groupBy(F.col("doc").alias("id")).agg(F.collect_list("other").alias("asked"))  # no more than ``depth``
-        placed = members.join(labels, "id", "left").join(asked, "id", "left").select("key", "band", "id", "sig", "asked", "n", F.coalesce("comp", "id").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        chunks = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
-        chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
-        # a chunk meets every chunk of its bucket; (ci, cj) is the pair's name
-        met = placed.join(mixed.hint("merge"), "key").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        met = met.select("key", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "band", "id", "comp", "sig", "asked")
-        found = met.repartition("key", "ci", "cj").sortWithinPartitions("key", "band", "ci", "cj").mapInArrow(_likely_partners(partners), "doc bigint, other bigint, share double").distinct()
-        order = Window.partitionBy("doc").orderBy(F.desc("share"), "other")
-        # a document without an untried partner proposes none; the search ends when none has one
-        best = written(found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= partners).select("doc", "other"), "proposed")
-        pairs = best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-        fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "partners")
-        if best.isEmpty():
-            break
-        more = verified(fresh, "links")
-        partners, depth = depth, 2 * depth
-        tried, proposed = tried.unionByName(fresh), proposed.unionByName(best)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-
-    placed = reps.join(labels, "id", "left").select("print", "first", F.coalesce("comp", "id").alias("comp"))
-    heads = placed.groupBy("comp").agg(F.min("first").alias("head"))
-    classes = placed.join(heads, "comp").select("print", "comp", "head")
+    sets = signed.select(F.col("row").alias("id"), "packed").hint("merge").join(wanted, "id").mapInArrow(_sets, "id bigint, elements binary, numbers binary")
+    sets = written(sets, "sets")
+
+    # each one inside its largest bucket; one row of the bucket is in all of its parts
+    chosen = members.groupBy("id").agg(F.max(F.struct("n", "key")).alias("to"), F.min("shingles").alias("shingles")).select("id", "shingles", "to.key")
+    parts = chosen.groupBy("key").agg(F.count("*").alias("m"), F.sum("shingles").alias("s"), F.min("id").alias("pivot")).filter("m > 1").withColumn("parts", _cuts("m", "s"))
+    dealt = chosen.join(parts.hint("merge"), "key")
+    part = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "key"), "parts").cast("int")))
+    dealt = dealt.select("key", "id", F.explode(part).alias("i"), F.lit(0).alias("j"), F.col("id").alias("comp"), F.lit(_LEFT | _RIGHT).alias("side"))
+    labels = components(_compare(dealt, sets, "links"))
+
+    # what different components of a bucket have left to compare
+    placed = members.join(labels, "id", "left").select("key", "id", "shingles", F.coalesce("comp", "id").alias("comp"))
+    by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("shingles").alias("s"))
+    largest = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "comp")).alias("top")).filter("comps > 1")
+    largest = largest.withColumn("rest_m", F.col("m") - F.col("top.m")).withColumn("rest_s", F.col("s") - F.col("top.s"))
+    largest = largest.select("key", F.col("top.comp").alias("top"), _cuts("m", "s").alias("lefts"), _cuts("rest_m", "rest_s").alias("rights"))
+    mixed = placed.join(largest.hint("merge"), "key")
+    at = F.pmod(F.xxhash64("id", "key"), "lefts").cast("int")
+    right_at = F.pmod(F.xxhash64("key", "id"), "rights").cast("int")
+    outside = F.col("comp") != F.col("top")
+    lefts = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(at.alias("i"), j.alias("j"), F.when(outside & (j == right_at), _LEFT | _RIGHT).otherwise(_LEFT).alias("side")))
+    rights = F.transform(F.filter(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: outside & (i != at)), lambda i: F.struct(i.alias("i"), right_at.alias("j"), F.lit(_RIGHT).alias("side")))
+    dealt = mixed.select("key", "id", "comp", F.inline(F.concat(lefts, rights)))
+    joined = components(_compare(dealt, sets, "links"))
+
+    placed = reps.join(labels, "id", "left").select("print", "first", "rows", F.coalesce("comp", "id").alias("part"))
+    placed = placed.join(joined.select(F.col("id").alias("part"), F.col("comp").alias("whole")), "part", "left").select("print", "first", "rows", F.coalesce("whole", "part").alias("comp"))
+    heads = placed.groupBy("comp").agg(F.min("first").alias("head"), F.sum("rows").alias("class_size"))
+    classes = placed.select("print", "comp").hint("merge").join(heads, "comp").select("print", "head", "class_size")
     alone = F.col("sig").isNull() | F.col("doc_id").isNull()
-    placed = signed.select("doc_id", "salt", "print", alone.alias("alone"))
-    joined = placed.filter("NOT alone").hint("merge").join(classes, "print").select("doc_id", "salt", "comp", "head")
-    sizes = joined.groupBy("comp").agg(F.count("*").alias("class_size"))
-    # rows that agree in id and text are counted here and told apart below
-    copies = joined.groupBy("comp", "head", "doc_id", "salt").agg(F.count("*").alias("copies"))
-    kept = copies.hint("merge").join(sizes, "comp").select("doc_id", "salt", "head", "class_size", F.posexplode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy", "one"))
-    stays = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("salt") == F.col("head.salt")) & (F.col("copy") == 0)
-    kept = kept.select("doc_id", "salt", F.col("head.doc_id").alias("class_id"), "class_size", stays.alias("kept"))
-    singles = placed.filter("alone").select("doc_id", "salt", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
+    rows = signed.select("doc_id", "salt", "row", "print", alone.alias("alone"))
+    kept = rows.filter("NOT alone").hint("merge").join(written(classes, "classes"), "print")
+    kept = kept.select("doc_id", "salt", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
+    singles = rows.filter("alone").select("doc_id", "salt", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
     return kept.unionByName(singles).withColumnRenamed("doc_id", id_col)
 
 
-def content_binary(column: str):
-    return F.col(column).cast("binary")
-
-
 def expected_miss(similarity: float = SIMILAR) -> float:
-    """Share of pairs of that similarity that no band brings together or whose signatures agree too seldom, at most."""
-    least = math.ceil(LIKELY * REGISTERS)
-    seldom = sum(math.comb(REGISTERS, k) * similarity**k * (1 - similarity) ** (REGISTERS - k) for k in range(least))
-    return math.pow(1 - similarity**BAND, REGISTERS // BAND) + seldom
+    """Share of pairs of that similarity that no band brings together, at most."""
+    return math.pow(1 - similarity**BAND, REGISTERS // BAND)

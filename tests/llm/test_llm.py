@@ -128,6 +128,52 @@ def test_near_dedup_finds_a_link_behind_many_likelier_refuted_pairs(spark):
     assert len(set(want.values())) == 76 and {r.doc_id: r.class_id for r in got} == want
 
 
+def test_near_dedup_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 7)
+    rng = random.Random(2)
+    rows = []
+    for family in range(3):
+        base = [f"v{rng.randrange(2000)}" for _ in range(200)]
+        for edits in (1, 2, 4, 6, 8, 10) * 6:
+            words = list(base)
+            for at in rng.sample(range(200), edits):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words + words[: 40 * (family == 2)] * rng.randrange(3))))
+    want = brute_classes(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want and 3 < len(set(want.values())) < len(rows)
+
+
+def test_links_of_a_cell_connect_what_brute_force_connects():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        universe, sets, comps = rng.integers(1, 1 << 60, 40).astype(np.uint64), [], []
+        for i in range(14):
+            drawn = np.sort(rng.choice(universe, rng.integers(30, 41), replace=False))
+            sets.append((drawn, rng.integers(1, 4, len(drawn)) if rng.random() < 0.4 else None))
+            comps.append(int(rng.integers(0, 9)))
+        sides = [3 if c else 1 for c in comps]
+        parent = {c: c for c in comps}
+
+        def root(c):
+            while parent[c] != c:
+                c = parent[c]
+            return c
+
+        for a in range(14):
+            for b in range(14):
+                x, y = (np.repeat(s[0], 1 if s[1] is None else s[1]) for s in (sets[a], sets[b]))
+                if comps[a] != comps[b] and near_dedup.similarity(x, y) >= near_dedup.SIMILAR:
+                    parent[root(comps[a])] = root(comps[b])
+        want = {frozenset(c for c in parent if root(c) == root(d)) for d in parent}
+        links = near_dedup.links_of_cell(comps, sides, sets)
+        parent = {c: c for c in comps}
+        for a, b in links:
+            assert root(a) != root(b)
+            parent[root(a)] = root(b)
+        assert {frozenset(c for c in parent if root(c) == root(d)) for d in parent} == want
+
+
 def test_near_dedup_finds_texts_that_only_repeat_more(spark):
     rng = random.Random(5)
     rows = []
