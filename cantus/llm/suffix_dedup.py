@@ -8,9 +8,9 @@ suffixes. The sample's positions are a difference cover: for any two suffixes so
 ones, whose ranks and common prefixes are computed beforehand. A task holds the suffixes of half a megabyte at a time.
 
 An anchor that very many slices share is split by the context at the side where a window reaches farther from it; such
-anchors are found by a count over all documents, and the threshold bounds how many there can be. A bucket that is
-larger than what a task sorts at a time even so is not sorted in one task: its strings of 200 bytes are dealt out by
-128-bit hashes of their own and counted by Spark.
+anchors are found by a count over all documents, and the threshold bounds how many there can be. Keys that very many
+slices share even so, found by a second count, and buckets that are larger than what a task sorts at a time go to no
+single task: their strings of 200 bytes are dealt out by 128-bit hashes of their own and counted by Spark.
 """
 
 from __future__ import annotations
@@ -80,18 +80,23 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+_KINDS = (np.int64, np.int64, np.uint64, np.uint64, bool, bool)
+
+
 def slices_of(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Slices of concatenated pieces [begins, ends): first start, number of starts, anchor key, digest, and whether the
-    anchor stands at several places in it, so that the slice may repeat a string by itself."""
+    """Slices of concatenated pieces [begins, ends): first start, number of starts, anchor key, digest, whether the
+    anchor stands at several places in it, so that the slice may repeat a string by itself, and whether the anchor is
+    a heavy one, so that the key is of its context too."""
     windows = len(text) - LENGTH + 1
     if windows <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, bool))
+        return tuple(np.zeros(0, t) for t in _KINDS)
     h = hashes(text, ANCHOR)
     least = window_minima(((h >> _U(24)) << _U(24)) | np.arange(len(h), dtype=np.uint64), WINDOW)
     anchor = (least & _U(0xFFFFFF)).astype(np.int64)
-    key = h[anchor]
+    key, split = h[anchor], np.zeros(windows, bool)
     if len(heavy):
         at = np.flatnonzero(np.isin(key, heavy))
+        split[at] = True
         if len(at):
             a = anchor[at]
             left = a - at >= SIDE
@@ -113,7 +118,7 @@ def slices_of(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, heavy: np.
     digest = _mix(total[first + n] - total[first] + _GOLDEN * n.astype(np.uint64))
     keep = valid[first]
     several = anchor[first] != anchor[first + n - 1]
-    return first[keep], n[keep], key[first][keep], digest[keep], several[keep]
+    return first[keep], n[keep], key[first][keep], digest[keep], several[keep], split[first][keep]
 
 
 def _blocks(texts: list[bytes]):
@@ -141,13 +146,13 @@ def _joined(held):
 
 
 def _batch_slices(texts: list[bytes], heavy: np.ndarray) -> list[np.ndarray]:
-    """document, start, n, key, digest, several of all slices of some texts."""
+    """document, start, n, key, digest, several, split of all slices of some texts."""
     out = []
     for text, begins, ends, doc, offset in _blocks(texts):
-        first, n, key, digest, several = slices_of(text, begins, ends, heavy)
+        first, *rest = slices_of(text, begins, ends, heavy)
         piece = np.searchsorted(begins, first, "right") - 1
-        out.append((doc[piece], first - begins[piece] + offset[piece], n, key, digest, several))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool)]
+        out.append((doc[piece], first - begins[piece] + offset[piece], *rest))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, *_KINDS)]
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -242,17 +247,18 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return marked
 
 
-_SLICE = "doc_id bigint, salt bigint, start int, n int, key bigint, digest bigint, several boolean, twice boolean, deal bigint"
+_SLICE = "doc_id bigint, salt bigint, start int, n int, key bigint, digest bigint, several boolean, twice boolean, hot boolean, deal bigint"
 
 
-def _cut(shared: Shared):
-    """Slices of each document. Of slices of a batch that are alike, one goes to its bucket; the others are settled."""
+def _cut(heavy_anchors: Shared, hot_keys: Shared):
+    """Slices of each document. Of slices of a batch that are alike, one goes to its bucket; the others are settled.
+    Slices of hot keys are dealt out at random, as no task needs to see them together."""
 
     def run(batches):
-        heavy = shared.value
+        heavy, hot_ones = heavy_anchors.value, hot_keys.value
         for batch in batches:
             texts = batch.column("content").to_pylist()
-            doc, start, n, key, digest, several = _batch_slices(texts, heavy)
+            doc, start, n, key, digest, several, split = _batch_slices(texts, heavy)
             order = np.lexsort((digest, key))
             head = _runs(key[order], digest[order])
             size = np.diff(np.concatenate((head, [len(order)])))
@@ -260,42 +266,60 @@ def _cut(shared: Shared):
             twice[order] = np.repeat(size > 1, size)
             rest = np.ones(len(order), bool)
             rest[order[head]] = False
-            deal = np.where(rest, _mix(digest + start.astype(np.uint64) * _GOLDEN + doc.astype(np.uint64)), key).view(np.int64)
+            hot = split & np.isin(key, hot_ones) & ~rest
+            deal = np.where(rest | hot, _mix(digest + start.astype(np.uint64) * _GOLDEN + doc.astype(np.uint64)), key).view(np.int64)
             ids, salts = batch.column("doc_id"), batch.column("salt").to_numpy()
             for lo in range(0, len(doc), 100_000):
                 at = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(doc[at])), pa.array(salts[doc[at]]), pa.array(start[at].astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(key[at].view(np.int64)), pa.array(digest[at].view(np.int64)), pa.array(several[at]), pa.array(twice[at]), pa.array(deal[at])],
-                    names=["doc_id", "salt", "start", "n", "key", "digest", "several", "twice", "deal"],
+                    [ids.take(pa.array(doc[at])), pa.array(salts[doc[at]]), pa.array(start[at].astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(key[at].view(np.int64)), pa.array(digest[at].view(np.int64)), pa.array(several[at]), pa.array(twice[at]), pa.array(hot[at]), pa.array(deal[at])],
+                    names=["doc_id", "salt", "start", "n", "key", "digest", "several", "twice", "hot", "deal"],
                 )
 
     return run
 
 
-def _count_anchors(batches):
-    """Anchors that a batch has in slices of different content, with their number: only these can be heavy."""
-    for batch in batches:
-        _, _, _, key, digest, _ = _batch_slices(batch.column("content").to_pylist(), np.zeros(0, np.uint64))
-        order = np.lexsort((digest, key))
-        key = key[order][_runs(key[order], digest[order])]
-        head = _runs(key)
-        size = np.diff(np.concatenate((head, [len(key)])))
-        many = size > 1
-        yield pa.RecordBatch.from_arrays([pa.array(key[head[many]].view(np.int64)), pa.array(size[many].astype(np.int64))], names=["key", "n"])
+def _count_keys(heavy_anchors: Shared | None):
+    """Keys with their number of different slices in a batch: all of them, or those that heavy anchors split into."""
+
+    def run(batches):
+        for batch in batches:
+            _, _, _, key, digest, _, split = _batch_slices(batch.column("content").to_pylist(), heavy_anchors.value if heavy_anchors else np.zeros(0, np.uint64))
+            if heavy_anchors:
+                key, digest = key[split], digest[split]
+            order = np.lexsort((digest, key))
+            key = key[order][_runs(key[order], digest[order])]
+            head = _runs(key)
+            size = np.diff(np.concatenate((head, [len(key)])))
+            for lo in range(0, len(head), 100_000):
+                at = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[head[at]].view(np.int64)), pa.array(size[at].astype(np.int64))], names=["key", "n"])
+
+    return run
+
+
+def _frequent(rows: DataFrame, least: int, heavy_anchors: Shared | None = None) -> Shared:
+    """Keys of ``least`` slices or more, a broadcast: ``least`` is chosen so that there are a few HEAVY_KEYS at most."""
+    counts = rows.select("content").mapInArrow(_count_keys(heavy_anchors), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found = [r["key"] for r in counts.filter(F.col("n") >= least).select("key").collect()]
+    return Shared(rows.sparkSession, np.sort(np.asarray(found, np.int64).view(np.uint64)))
 
 
-_DUPLICATE, _OPEN, _WITNESS = 1, 2, 3
+#: Slices that repeat as a whole; slices to sort, and repeated ones that others may share a string with; the same of
+#: hot keys, whose strings are counted.
+_DUPLICATE, _OPEN, _WITNESS, _HOT_OPEN, _HOT_WITNESS = range(1, 6)
 
 
 def _classify(batches):
-    """Of the slices of a partition: those that repeat as a whole, and those whose suffixes must be sorted."""
+    """Of the slices of a partition: those that repeat as a whole, and those whose suffixes must be sorted or counted."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
-    key, digest, deal, twice, several = (table.column(c).to_numpy() for c in ("key", "digest", "deal", "twice", "several"))
-    settled = np.flatnonzero(key != deal)
-    mine = np.flatnonzero(key == deal)
+    key, digest, deal, twice, several, hot = (table.column(c).to_numpy() for c in ("key", "digest", "deal", "twice", "several", "hot"))
+    settled = np.flatnonzero((key != deal) & ~hot)
+    loose = np.flatnonzero(hot)
+    mine = np.flatnonzero((key == deal) & ~hot)
     order = mine[np.lexsort((digest[mine], key[mine]))]
     head = _runs(key[order], digest[order])
     size = np.diff(np.concatenate((head, [len(order)])))
@@ -304,17 +328,23 @@ def _classify(batches):
     groups = np.diff(np.concatenate((bucket, [len(head)])))
     new = np.add.reduceat((~again).astype(np.int64), bucket) if len(bucket) else np.zeros(0, np.int64)
     to_sort = np.repeat((groups > 1) & (new > 0), groups) | (~again & several[order[head]])
-    rows = np.concatenate((settled, order[np.repeat(again, size)], order[head[to_sort]]))
-    kinds = np.concatenate((np.full(len(settled) + int(size[again].sum()), _DUPLICATE), np.where(again[to_sort], _WITNESS, _OPEN))).astype(np.int32)
-    table = table.select(["doc_id", "salt", "start", "n", "key"]).take(pa.array(rows)).append_column("kind", pa.array(kinds))
-    yield from table.combine_chunks().to_batches(max_chunksize=100_000)
+    parts = [
+        (settled, _DUPLICATE), (order[np.repeat(again, size)], _DUPLICATE), (loose[twice[loose]], _DUPLICATE),
+        (order[head[to_sort & again]], _WITNESS), (order[head[to_sort & ~again]], _OPEN), (loose[twice[loose]], _HOT_WITNESS), (loose[~twice[loose]], _HOT_OPEN),
+    ]
+    rows = np.concatenate([at for at, _ in parts])
+    kinds = np.concatenate([np.full(len(at), kind, np.int32) for at, kind in parts])
+    table = table.select(["doc_id", "salt", "start", "n", "key"])
+    for lo in range(0, len(rows), 100_000):
+        taken = table.take(pa.array(rows[lo : lo + 100_000])).append_column("kind", pa.array(kinds[lo : lo + 100_000]))
+        yield from taken.combine_chunks().to_batches()
 
 
 def _bytes_of_slices(batches):
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    schema = pa.schema([("doc_id", pa.int64()), ("salt", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("open", pa.bool_()), ("content", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("salt", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("open", pa.bool_()), ("hot", pa.bool_()), ("content", pa.binary())])
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             rows = []
@@ -322,7 +352,7 @@ def _bytes_of_slices(batches):
                 text = unpack(r["packed"])
                 # identical rows of the table list a slice each: once is enough
                 for start, n, key, kind in {(s["start"], s["n"], s["key"], s["kind"]) for s in r["slices"]}:
-                    rows.append((r["doc_id"], r["salt"], start, n, key, kind == _OPEN, text[start : start + n + LENGTH - 1]))
+                    rows.append((r["doc_id"], r["salt"], start, n, key, kind in (_OPEN, _HOT_OPEN), kind in (_HOT_OPEN, _HOT_WITNESS), text[start : start + n + LENGTH - 1]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
@@ -339,38 +369,39 @@ def _strings(batches):
 
 
 def _sort_suffixes(batches):
-    """Repeated strings of the open slices, bucket after bucket."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).sort_by("key")
-    key, n = table.column("key").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+    """Repeated strings of the open slices; rows come sorted by key, and as many buckets as fit are sorted at a time."""
+    held, size, key, head, before = [], 0, None, 0, 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                if row[4] != key:
+                    key, head, before = row[4], len(held), size
+                held.append(row)
+                size += len(row[6])
+                if size > SORTED and head:
+                    yield _sort_buckets(held[:head])
+                    held, size, head = held[head:], size - before, 0
+    if held:
+        yield _sort_buckets(held)
+
+
+def _sort_buckets(rows: list[tuple]) -> pa.RecordBatch:
+    doc, salt, start, n, _, open_, content = zip(*rows)
+    n, start = np.asarray(n, np.int64), np.asarray(start, np.int64)
     sizes = n + LENGTH - 1
-    head = np.concatenate((_runs(key), [len(key)]))
-    ends = np.cumsum(sizes)[head[1:] - 1]
-    lo = 0
-    while lo < len(head) - 1:
-        before = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, before + SORTED, "right")))
-        rows = np.arange(head[lo], head[hi])
-        lo = hi
-        part = table.slice(int(rows[0]), len(rows))
-        text = np.frombuffer(b"".join(part.column("content").to_pylist()), np.uint8)
-        begins = np.cumsum(sizes[rows]) - sizes[rows]
-        first = np.cumsum(n[rows]) - n[rows]
-        of = np.repeat(np.arange(len(rows)), n[rows])
-        inside = np.arange(int(n[rows].sum())) - first[of]
-        marked = repeated_windows(text, begins[of] + inside) & part.column("open").to_numpy(zero_copy_only=False)[of]
-        edge = np.ones(len(marked), bool)
-        edge[1:] = (marked[1:] != marked[:-1]) | (of[1:] != of[:-1])
-        at = np.flatnonzero(edge)
-        length = np.diff(np.concatenate((at, [len(marked)])))
-        keep = marked[at]
-        at, length = at[keep], length[keep]
-        take = pa.array(of[at])
-        start = part.column("start").to_numpy()[of[at]] + inside[at]
-        out = part.select(["doc_id", "salt"]).take(take)
-        yield from out.append_column("start", pa.array(start.astype(np.int32))).append_column("n", pa.array(length.astype(np.int32))).combine_chunks().to_batches()
+    begins, first = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+    of = np.repeat(np.arange(len(rows)), n)
+    inside = np.arange(int(n.sum())) - first[of]
+    marked = repeated_windows(np.frombuffer(b"".join(content), np.uint8), begins[of] + inside) & np.asarray(open_)[of]
+    edge = np.ones(len(marked), bool)
+    edge[1:] = (marked[1:] != marked[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(edge)
+    length = np.diff(np.concatenate((at, [len(marked)])))
+    keep = marked[at]
+    at, length = at[keep], length[keep]
+    rows_of = of[at].tolist()
+    columns = [pa.array([doc[i] for i in rows_of], pa.int64()), pa.array([salt[i] for i in rows_of], pa.int64()), pa.array((start[of[at]] + inside[at]).astype(np.int32)), pa.array(length.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "salt", "start", "n"])
 
 
 def _packed(batches):
@@ -394,23 +425,41 @@ def spans_of(starts: list[int], counts: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _apply(batches):
-    import zstandard
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans widened over the UTF-8 characters at their edges; those that meet then are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        while a > 0 and a < len(text) and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            rows = []
-            for r in batch.slice(lo, 512).to_pylist():
-                text, kept, at = unpack(r["packed"]), [], 0
-                spans = spans_of([m["start"] for m in r["marks"] or ()], [m["n"] for m in r["marks"] or ()])
-                for a, b in spans:
-                    kept.append(text[at:a])
-                    at = b
-                kept = b"".join([*kept, text[at:]])
-                rows.append((r["doc_id"], r["salt"], len(text), len(text) - len(kept), [list(s) for s in spans], kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "salt", "n_bytes", "n_removed", "spans", "kept"])
+
+def _apply(widen: bool):
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                rows = []
+                for r in batch.slice(lo, 256).to_pylist():
+                    text, kept, at = unpack(r["packed"]), [], 0
+                    spans = spans_of([m["start"] for m in r["marks"] or ()], [m["n"] for m in r["marks"] or ()])
+                    spans = whole_characters(text, spans) if widen else spans
+                    for a, b in spans:
+                        kept.append(text[at:a])
+                        at = b
+                    kept = b"".join([*kept, text[at:]])
+                    rows.append((r["doc_id"], r["salt"], len(text), len(text) - len(kept), [list(s) for s in spans], kept))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "salt", "n_bytes", "n_removed", "spans", "kept"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,41 +470,45 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     parts = partitions_for(spark, total, 32 << 20)
 
-    counts = rows.select("content").mapInArrow(_count_anchors, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     least = max(HEAVY, total // WINDOW // HEAVY_KEYS)
-    heavy = [r["key"] for r in counts.filter(F.col("n") >= least).select("key").collect()]  # at most a few HEAVY_KEYS by the threshold
-    shared = Shared(spark, np.sort(np.asarray(heavy, np.int64).view(np.uint64)))
+    heavy = _frequent(rows, least)
+    hot_keys = _frequent(rows, least, heavy) if len(heavy.value) else heavy
 
-    slices = rows.mapInArrow(_cut(shared), _SLICE)
+    slices = rows.mapInArrow(_cut(heavy, hot_keys), _SLICE)
     kinds = written(slices.repartition(parts, "deal").mapInArrow(_classify, "doc_id bigint, salt bigint, start int, n int, key bigint, kind int"), "slices")
 
     wanted = kinds.filter(F.col("kind") != _DUPLICATE).groupBy("doc_id", "salt").agg(F.collect_list(F.struct("start", "n", "key", "kind")).alias("slices"))
     packed = rows.mapInArrow(_packed, "doc_id bigint, salt bigint, packed binary").hint("merge")
     # rows that agree in id and text are alike in every respect: one stands for all
     found = packed.alias("p").join(wanted.alias("w"), (F.col("p.salt") == F.col("w.salt")) & F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")))
-    pieces = found.select("p.doc_id", "p.salt", "packed", "slices").mapInArrow(_bytes_of_slices, "doc_id bigint, salt bigint, start int, n int, key bigint, open boolean, content binary")
-    sizes = kinds.filter(F.col("kind") != _DUPLICATE).groupBy("key").agg(F.sum(F.col("n") + LENGTH - 1).alias("bytes"))
-    hot = written(sizes.filter(F.col("bytes") > SORTED).select("key"), "hot")
-    some_hot = not hot.isEmpty()
-    if some_hot:
+    schema = "doc_id bigint, salt bigint, start int, n int, key bigint, open boolean, hot boolean, content binary"
+    pieces = found.select("p.doc_id", "p.salt", "packed", "slices").mapInArrow(_bytes_of_slices, schema)
+    # buckets over the bound, which the second count did not find because few slices or plain anchors make them
+    sizes = kinds.filter(F.col("kind").isin(_OPEN, _WITNESS)).groupBy("key").agg(F.sum(F.col("n") + LENGTH - 1).alias("bytes"))
+    large = written(sizes.filter(F.col("bytes") > SORTED).select("key"), "large")
+    some_large, some_hot = not large.isEmpty(), len(hot_keys.value) > 0
+    if some_large or some_hot:
         pieces = written(pieces, "pieces")
-    cold = pieces.hint("merge").join(hot, "key", "left_anti").select(pieces.columns) if some_hot else pieces
-    sorted_marks = written(cold.repartition(parts, "key").mapInArrow(_sort_suffixes, "doc_id bigint, salt bigint, start int, n int"), "marks")
+    to_sort, to_count = pieces.filter("NOT hot"), pieces.filter("hot")
+    if some_large:
+        to_count = to_count.unionByName(to_sort.hint("merge").join(large, "key", "left_semi").select(pieces.columns))
+        to_sort = to_sort.hint("merge").join(large, "key", "left_anti").select(pieces.columns)
+    to_sort = to_sort.select("doc_id", "salt", "start", "n", "key", "open", "content")
+    sorted_marks = written(to_sort.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort_suffixes, "doc_id bigint, salt bigint, start int, n int"), "marks")
     marks = kinds.filter(F.col("kind") == _DUPLICATE).select("doc_id", "salt", "start", "n").unionByName(sorted_marks)
-    if some_hot:
-        strings = pieces.hint("merge").join(hot, "key", "left_semi").mapInArrow(_strings, "string binary, doc_id bigint, salt bigint, start int, open boolean")
-        strings = written(strings, "strings")
+    if some_large or some_hot:
+        strings = written(to_count.mapInArrow(_strings, "string binary, doc_id bigint, salt bigint, start int, open boolean"), "strings")
         again = strings.groupBy("string").agg(F.count("*").alias("times")).filter("times > 1").select("string")
         found_again = strings.filter("open").hint("merge").join(again, "string", "left_semi").select("doc_id", "salt", "start", F.lit(1).alias("n"))
         marks = marks.unionByName(written(found_again, "marks"))
     return marks.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widen: bool = False) -> DataFrame:
     """Remove every byte covered by a 200-byte string that starts anywhere else too.
 
     Returns per row: ``id_col``, salt, n_bytes, n_removed, spans (maximal removed runs, as [start, end)), kept (binary:
-    the remaining bytes). Texts are judged as UTF-8 bytes on the input; matches never cross rows; a null text counts as
+    the remaining bytes). With ``widen``, a character of which a byte goes is removed whole. Texts are judged as UTF-8 bytes on the input; matches never cross rows; a null text counts as
     empty. Repeated rows are copies of each other, so they lose their bytes from 200 on. Ids may be null; other columns
     are ignored; an empty table gives no rows.
     """
@@ -464,7 +517,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = rows.mapInArrow(_packed, "doc_id bigint, salt bigint, packed binary").hint("merge")
     marks = repeated_spans(docs, id_col, text_col)
     joined = packed.alias("p").join(marks.alias("m"), (F.col("p.salt") == F.col("m.salt")) & F.col("p.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("p.doc_id", "p.salt", "packed", "marks")
-    out = joined.mapInArrow(_apply, "doc_id bigint, salt bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary")
+    out = joined.mapInArrow(_apply(widen), "doc_id bigint, salt bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary")
     return out.withColumnRenamed("doc_id", id_col)
 
 
@@ -472,6 +525,3 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -417,6 +417,33 @@ def test_suffix_dedup_sorts_no_bucket_over_the_bound(spark, monkeypatch):
     assert sorted_bytes and max(sorted_bytes) <= 4000
 
 
+def test_suffix_dedup_counts_anchors_over_all_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 20)
+    rng = random.Random(14)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line, tail = noise(190), noise(60)
+    rows = [(i, noise(150) + line + (tail if i % 9 == 0 else noise(60)) + noise(40)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(30)
+    found = []
+    plain = suffix_dedup._frequent
+    monkeypatch.setattr(suffix_dedup, "_frequent", lambda *a: found.append(plain(*a)) or found[-1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = suffix_dedup.digests(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(len(keys.value) for keys in found) and len(found) == 2
+    assert sorted((tuple(r) for r in got), key=str) == brute_spans([(i, t.encode()) for i, t in rows])
+
+
+def test_whole_characters():
+    text = "aé日b".encode()
+    assert suffix_dedup.whole_characters(text, [(2, 3)]) == [(1, 3)]
+    assert suffix_dedup.whole_characters(text, [(1, 2), (4, 5)]) == [(1, 6)]
+    assert suffix_dedup.whole_characters(text, [(0, len(text))]) == [(0, len(text))]
+
+
 def test_difference_cover():
     for v in (7, 13, 32, 64):
         cover = suffix_dedup.difference_cover(v)
@@ -451,6 +478,20 @@ def test_matches_are_whole_words_outside_exceptions():
     assert matcher.features("") == (0.0, 0.0, 0.0)
 
 
+def test_matches_equal_a_naive_scan():
+    rng = random.Random(8)
+    terms = {"ab": 1.0, "abc": 2.0, "b": 0.5, "cab": 1.5, "bc": 3.0}
+    phrases = ("ab bc", "b c", "cab")
+    matcher = toxicity.Matcher({t: w for t, w in terms.items() if t not in phrases}, phrases)
+    for _ in range(3000):
+        text = "".join(rng.choice("abc  .") for _ in range(rng.randint(0, 14)))
+        whole = lambda a, b: (a == 0 or not text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha())
+        at = [(a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if whole(a, b)]
+        excused = [(a, b) for a, b in at if text[a:b] in phrases]
+        want = [(a, b, terms[text[a:b]]) for a, b in at if text[a:b] in terms and text[a:b] not in phrases and not any(x <= a and b <= y for x, y in excused)]
+        assert sorted(matcher.spans(text)) == sorted(want)
+
+
 def test_toxicity_on_held_out_rows(spark, small):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").collect()
@@ -519,6 +560,75 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     assert got == collections.Counter([(7, x), (7, y), (9, z), (9, "")])
 
 
+CLASHING = ("_id", "_text", "_score", "_sha", "_kept", "salt", "n_removed", "row", "id", "rest", "sha", "key")
+
+
+def pipeline_rows():
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("ba", "co", "di", "fu", "gé") for b in ("lo", "ma", "nis", "rê", "tor", "ux", "zen")]
+    prose = lambda n: " ".join(rng.choice(words) + rng.choice(("", "", "s", "ni")) for _ in range(n))
+    passage, base = prose(70), prose(150)
+    rows = [(i, prose(rng.randint(20, 90))) for i in range(12)]
+    rows += [(20, rows[0][1]), (21, rows[0][1]), (21, rows[0][1]), (22, rows[1][1])]  # exact copies
+    rows += [(30 + k, " ".join([f"w{k}", *base.split()[1:-1], f"v{k}"])) for k in range(4)]  # near copies
+    rows += [(40 + k, f"{prose(10)}\ufffd{prose(20)} \ufffd {passage} {prose(20)}") for k in range(3)]  # a shared passage
+    rows += [(50, "you idiot, you worthless pathetic scum " * 3), (51, "you 1d10t and scum, moron, " * 4)]  # toxic
+    return rows + [(None, prose(40)), (60, None), (61, ""), (9, prose(45))]
+
+
+def clashing(spark, rows):
+    table = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    return table.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = pipeline_rows()
+    clashing(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = [(i, t) for i, t in rows if i not in (50, 51)]
+    best = {}
+    for i, t in left:
+        best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+    left = sorted({(None if i < 0 else i, t) for t, i in best.items()}, key=str)
+    numbered = [(n, t) for n, (i, t) in enumerate(left) if i is not None]
+    classes = brute_classes(numbered)
+    least = {}
+    for n, c in classes.items():
+        least[c] = min(least.get(c, n), n, key=lambda m: left[m])
+    left = [(i, t) for n, (i, t) in enumerate(left) if i is None or least[classes[n]] == n]
+    count = collections.Counter(b[k : k + 200] for b in (t.encode() for _, t in left) for k in range(len(b) - 199))
+    want = []
+    for i, t in left:
+        b = t.encode()
+        covered = [any(count[b[k : k + 200]] > 1 for k in range(max(0, at - 199), min(at, len(b) - 200) + 1)) for at in range(len(b))]
+        ends = np.cumsum([len(c.encode()) for c in t]).tolist()
+        want.append((i, "".join(c for c, b, a in zip(t, ends, [0, *ends]) if not any(covered[a:b]))))
+    assert sum(len(t) for _, t in want) < sum(len(t) for _, t in left) - 800 and any("\ufffd" in t for _, t in want)
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == columns, name
+    got = docs.collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == sorted(want, key=str)
+    assert all(r.n_chars == len(r.text or "") and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in CLASHING) for r in got)
+
+    encoder = word_ids.WordIds(word_ids.read_tokenizer(tokenizer_file("word_bpe_49k.json")))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.doc_tokens) if r.doc_id is not None else (-1, r.doc_tokens) for r in pieces) == sorted((-1 if i is None else i, len(encoder.encode(t)) // 4 + 1) for i, t in want)
+
+
+def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = clashing(spark, [(1, "x")]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 
