@@ -8,7 +8,6 @@ from a file of fixed size and broadcast with the hash's displacement table (abou
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import struct
 
@@ -184,6 +183,3 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     out = encode_documents(docs, ranks_path, pattern)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a folder of our own only where none is configured."""
+    """The folder that all executors see. A local session that has none gets a folder of its own; a cluster must name one."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         configured = tempfile.mkdtemp(prefix="cantus-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
@@ -35,7 +37,6 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-
 class Shared:
     """A broadcast value of bounded size, with a key by which a Python worker remembers what it has built from it."""
 

@@ -9,8 +9,6 @@ document ids, so a file's place in the whole follows from the files' totals alon
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -151,6 +149,3 @@ def token_file_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, all from the files read back."""
     return read_token_files(write_token_files(docs, tokenizer_path)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
-
-def crc(packed: bytes) -> int:
-    return zlib.crc32(packed)

@@ -10,14 +10,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, text_of
+from .common import Shared, text_of, written
 
 #: The classifier is fitted on at most so many labelled rows, those of the least hash; the lexicon holds at most so many words.
 TRAIN_ROWS, LEXICON_WORDS = 20_000, 2_000
@@ -98,13 +100,13 @@ def held_out(id_col: str = "doc_id"):
 def _distinct_words(batches):
     """Distinct folded words of each text, and the least hash of its five-word shingles, by which near copies meet."""
     for batch in batches:
-        words, prints = [], []
-        for text in batch.column("text").to_pylist():
-            found = _WORD.findall(fold(text))
-            grams = [" ".join(found[i : i + 5]) for i in range(max(1, len(found) - 4))]
-            prints.append(min(xxhash.xxh64_intdigest(g) for g in grams) >> 1)
-            words.append(list(dict.fromkeys(w for w in found if 2 < len(w) <= 40)))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(prints, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["toxic", "print", "words"])
+        for lo in range(0, batch.num_rows, 500):
+            part, words, prints = batch.slice(lo, 500), [], []
+            for text in part.column("text").to_pylist():
+                found = _WORD.findall(fold(text))
+                prints.append(min(xxhash.xxh64_intdigest(" ".join(found[i : i + 5])) for i in range(max(1, len(found) - 4))) >> 1)
+                words.append(list(dict.fromkeys(w for w in found if 2 < len(w) <= 40)))
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(prints, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["toxic", "print", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float], list[float]]:
@@ -118,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().filter(~held_out("id"))
         .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
     )
-    train = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(drawn), "id").select("text", "toxic")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
+    train = written(texts.join(F.broadcast(drawn), "id").select("text", "toxic"), "train")
     words = train.mapInArrow(_distinct_words, "toxic int, print bigint, words array<string>").groupBy("print").agg(F.max_by(F.struct("toxic", "words"), F.size("words")).alias("row")).select("row.*")
     words = words.select("toxic", F.explode_outer(F.array_append("words", F.lit(""))).alias("word"))  # "" counts the documents
     counted = words.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def measure(batches):
         matcher = _matcher(shared)
         for batch in batches:
-            x = [matcher.features(t) for t in batch.column("text").to_pylist()]
+            x = [matcher.features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([r[k] for r in x], pa.float64()) for k in range(3))], names=["toxic", "x0", "x1", "x2"])
 
     table = train.mapInArrow(measure, "toxic int, x0 double, x1 double, x2 double").toPandas()  # train_rows at most
@@ -157,30 +160,27 @@ def _matcher(shared: Shared) -> Matcher:
     return _MATCHERS[shared.id]
 
 
-def score(docs: DataFrame, weights: dict[str, float], logistic: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All input columns and ``_score`` for every row; a null text counts as empty and gets the score of no match."""
-    shared = Shared(docs.sparkSession, weights)
-    w = np.asarray(logistic)
+def score_of(spark: SparkSession, weights: dict[str, float], logistic: list[float], text_col: str = "text") -> Column:
+    """The score of a text column, a vectorised function: only the texts go to Python. A null text counts as empty."""
+    shared, w = Shared(spark, weights), np.asarray(logistic)
 
-    def run(batches):
+    def score(parts):
         matcher = _matcher(shared)
-        for batch in batches:
-            x = np.array([(1.0, *matcher.features(t or "")) for t in batch.column("_text").to_pylist()]).reshape(-1, 4)
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(p, pa.float64())], names=[batch.schema.names[i] for i in keep] + ["_score"])
+        for texts in parts:
+            x = np.array([(1.0, *matcher.features(t)) for t in texts]).reshape(-1, 4)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
-    kept = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(*kept, text_of(text_col).alias("_text")).mapInArrow(run, fields + ", _score double")
+    score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(score, "double")(text_of(text_col))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Score all documents with a model fitted on the labels that aren't held out.
 
-    Returns per row: ``id_col``, held_out, score, predicted. Null texts count as empty; a null id is not held out;
-    repeated rows are scored alike; other columns are ignored. Without labels the seed words alone decide.
+    Returns per row: ``id_col``, held_out, score, predicted. Null texts count as empty and get the score of no match;
+    a null id is not held out; repeated rows are scored alike; other columns are ignored. Without labels the seed
+    words alone decide. An empty table gives no rows.
     """
     weights, logistic = fit(docs, labels, id_col, text_col)
-    rows = score(docs.select(F.col(id_col), F.col(text_col)), weights, logistic, id_col, text_col)
-    return rows.select(id_col, held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col), score_of(docs.sparkSession, weights, logistic, text_col).alias("score"))
+    return rows.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
