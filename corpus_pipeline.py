@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantus.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
@@ -16,32 +16,37 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not predict toxic."""
     weights, logistic = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, weights, logistic).filter(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return docs.filter(toxicity.score_of(spark, weights, logistic) < toxicity.THRESHOLD)
+
+
+def whole(docs: DataFrame, *keys: Column) -> DataFrame:
+    """Rows in one column, so that no name of theirs meets a key's."""
+    return docs.select(F.struct("*").alias("row"), *keys)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_kept"))
-    marked = docs.withColumn("_sha", F.unhex(F.sha2(text_of("text").cast("binary"), 256)))
-    stay = marked.join(kept.hint("merge"), (F.col("_sha") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return stay.dropDuplicates(["_sha", "doc_id"]).drop("_sha")
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
+    rows = whole(docs, F.col("doc_id").cast("bigint").alias("id"), F.unhex(F.sha2(text_of("text").cast("binary"), 256)).alias("sha"))
+    stay = rows.join(kept.hint("merge"), (F.col("sha") == F.col("kept_sha")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return stay.dropDuplicates(["sha", "id"]).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    gone = near_dedup.near_rows(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"), "salt")
-    marked = docs.withColumn("_salt", F.xxhash64(text_of("text").cast("binary")))
-    return marked.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_salt") == F.col("salt")), "left_anti").drop("_salt")
+    gone = near_dedup.near_rows(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("salt").alias("gone_salt"))
+    rows = whole(docs, F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text_of("text").cast("binary")).alias("salt"))
+    return rows.join(gone.hint("merge"), (F.col("id") == F.col("gone_id")) & (F.col("salt") == F.col("gone_salt")), "left_anti").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without their repeated strings; a character that a cut would split goes with the string."""
-    cut = suffix_dedup.suffix_dedup(docs).select(F.col("doc_id").alias("_id"), "salt", F.expr("replace(make_valid_utf8(cast(kept AS string)), '�', '')").alias("_text"), "n_removed").filter("n_removed > 0").dropDuplicates(["_id", "salt"])
-    marked = docs.withColumn("_salt", F.xxhash64(text_of("text").cast("binary")))
-    joined = marked.join(cut.hint("merge"), (F.col("_salt") == F.col("salt")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("n_removed") > 0, F.col("_text")).otherwise(F.col("text"))
-    changed = {"text": text.alias("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("_text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars")}
-    return joined.select(*(changed.get(c, F.col(c)) for c in docs.columns))
+    cut = suffix_dedup.suffix_dedup(docs, widen=True).filter("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("salt").alias("cut_salt"), F.col("kept").cast("string").alias("rest")).dropDuplicates(["cut_id", "cut_salt"])
+    rows = whole(docs, F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text_of("text").cast("binary")).alias("salt"))
+    joined = rows.join(cut.hint("merge"), (F.col("salt") == F.col("cut_salt")) & F.col("id").eqNullSafe(F.col("cut_id")), "left")
+    changed = {"text": F.coalesce("rest", "row.text"), "n_chars": F.when(F.col("rest").isNotNull(), F.char_length("rest").cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return joined.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
