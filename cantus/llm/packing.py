@@ -1,7 +1,8 @@
 """Sequence packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
 A document's pieces are cut before packing (whole sequences, then the rest), so ids are digested where they are made
-and only piece sizes are shuffled. Groups are drawn by a hash of the document id and packed independently.
+and only piece sizes are shuffled. Groups are drawn by a hash of the piece, so that no long document and no repeated or
+null id fills one, and are packed independently.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def pack_pieces(pieces: DataFrame, groups: int, length: int = LENGTH, seed: int
     Rows of a group are sorted before they are packed, so a lost task gives the same sequences again.
     """
     names = [c for c in pieces.columns if c != "ids"]
-    chosen = pieces.select(*names, F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).alias("_group"))
+    chosen = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32", F.lit(seed)), F.lit(groups)).alias("_group"))
 
     def pack(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -99,7 +100,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, g
     """Pack whole documents into sequences of at most ``length`` ids.
 
     Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text counts as empty
-    and has the end id only. Rows with the same id are packed as documents of their own; null ids share a group. An
+    and has the end id only. Rows with the same id are packed as documents of their own; null ids are spread like others. An
     empty table gives no rows.
     """
     count = docs.count()

@@ -20,8 +20,9 @@ from .word_ids import read_tokenizer, worker_encoder
 #: Ids per word by selector; the width is 60 // count. Selector 0 is the escape: one id of up to 60 bits.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
 WIDTHS = tuple(60 // n for n in COUNTS)
-#: Ids after which a block is closed (a longer document has a block of its own), and words between two offsets.
-BLOCK_IDS, STRIDE = 1 << 16, 256
+#: Ids after which a block is closed (a longer document has a block of its own), words between two offsets, and ids
+#: that are decoded at a time.
+BLOCK_IDS, STRIDE, RUN_IDS = 1 << 16, 256, 1 << 14
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -101,7 +102,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_
     end = np.asarray([end_id], "<u4").tobytes()
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(partitions_for(spark, total, file_bytes), "id").sortWithinPartitions("id", "text")
+    # the texts' beginnings part rows that agree in the id, in the order of the whole texts
+    ordered = rows.repartitionByRange(partitions_for(spark, total, file_bytes), "id", F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -130,17 +132,21 @@ def read_token_files(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     bases = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_base"))
     within = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     places = blocks.select("file", "block", "n_ids").withColumn("block_base", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).drop("n_ids").join(bases, "file")
-    placed = blocks.join(places, ["file", "block"]).select((F.col("file_base") + F.col("block_base")).alias("base"), "doc_ids", "lengths", "words")
+    placed = blocks.join(places, ["file", "block"]).select((F.col("file_base") + F.col("block_base")).alias("base"), "doc_ids", "lengths", "offsets", "words")
 
     def run(batches):
         for batch in batches:
-            for base, names, lengths, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                ids = decode_words(np.frombuffer(words, "<u8")).astype("<u4")
+            for i in range(batch.num_rows):
+                base, names, lengths, offsets, words = (c[i].as_py() for c in batch.columns)
+                words, offsets = np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(starts + base, pa.int64()), pa.array(lengths, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=[id_col, "start", "n_tokens", "ids"]
-                )
+                # runs of documents, each decoded from the word group that its first id lies in
+                heads = np.flatnonzero(np.concatenate(([True], np.diff(starts // RUN_IDS) > 0)))
+                for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(names)]):
+                    ids = decode_slice(words, offsets, int(starts[lo]), int(ends[hi - 1])).astype("<u4")
+                    parts = pa.array([ids[a:b].tobytes() for a, b in zip(starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi], pa.int64()), pa.array(starts[lo:hi] + base, pa.int64()), pa.array(lengths[lo:hi], pa.int64()), parts], names=[id_col, "start", "n_tokens", "ids"])
 
     return placed.mapInArrow(run, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids binary")
 

@@ -287,6 +287,21 @@ def test_token_files(docs):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_token_files_of_one_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "RUN_IDS", 64)
+    rows = [(None if k % 2 else 7, f"text {k * 7919 % 101} " * (k % 40)) for k in range(120)]
+    path = tokenizer_file("word_bpe_49k.json")
+    files = token_files.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string"), path, file_bytes=2000, block_ids=500)
+    got = token_files.read_token_files(files).orderBy("start").collect()
+    encoder, at, want = word_ids.WordIds(word_ids.read_tokenizer(path)), 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[1])):
+        ids = encoder.encode(t) + b"\1\0\0\0"
+        want.append((i, at, len(ids) // 4, ids))
+        at += len(ids) // 4
+    assert [(r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in got] == want
+    assert files.select("file").distinct().count() > 4
+
+
 def test_packing(docs):
     encoder = word_ids.WordIds(word_ids.read_tokenizer(tokenizer_file("word_bpe_49k.json")))
     end = np.asarray([1], "<u4").tobytes()
