@@ -10,29 +10,15 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import states, tempo
 from .sequence import Mixture, viterbi
+from .series import map_series
 from .signal import hamming
 
 
-def per_track(df: DataFrame, columns: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, keys: tuple[str, ...] = ("track",), order: str = "frame") -> DataFrame:
-    """Apply ``fn`` to each track's columns in order; it returns the columns of ``schema``."""
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        out = pd.DataFrame(fn({c: rows[c].to_numpy() for c in columns}))
-        for name, value in zip(reversed(keys), reversed(key)):
-            out.insert(0, name, value)
-        return out
-
-    return df.select(*dict.fromkeys([*keys, order, *columns])).groupBy(*keys).applyInPandas(run, f"{fields}, {schema}")
-
-
 def threshold_activations(acts: DataFrame, threshold: float, value: Column | str = "a") -> DataFrame:
     """Frames between the first and last that reach the threshold; none if the only one is frame 0."""
     track = Window.partitionBy("track")
@@ -70,7 +56,7 @@ def dbn_beats(acts: DataFrame, fps: float, min_bpm: float = 55.0, max_bpm: float
         return {"t": at[np.asarray(found, np.int64)] / fps}
 
     chosen = threshold_activations(acts, threshold) if threshold else acts
-    return per_track(chosen, ["frame", "a"], decode, "t double")
+    return map_series(chosen, ["frame", "a"], decode, "t double")
 
 
 def dbn_intervals(acts: DataFrame, fps: float, min_bpm: float = 40.0, max_bpm: float = 250.0, transition_lambda: float = 100.0, observation_lambda: int = 16) -> DataFrame:
@@ -83,7 +69,7 @@ def dbn_intervals(acts: DataFrame, fps: float, min_bpm: float = 40.0, max_bpm: f
         tau = np.unique(space.interval)
         return {"tau": tau, "bin": np.bincount(space.interval[path], minlength=tau[-1] + 1)[tau].astype(float)}
 
-    return per_track(acts, ["a"], decode, "tau bigint, bin double")
+    return map_series(acts, ["a"], decode, "tau bigint, bin double")
 
 
 def dbn_downbeats(acts: DataFrame, fps: float, beats_per_bar: tuple[int, ...] = (3, 4), min_bpm: float = 55.0, max_bpm: float = 215.0, num_tempi: int | None = 60, transition_lambda: float = 100.0, observation_lambda: int = 16, threshold: float = 0.05, correct: bool = True) -> DataFrame:
@@ -117,7 +103,7 @@ def dbn_downbeats(acts: DataFrame, fps: float, beats_per_bar: tuple[int, ...] =
             return {"score": [score], "t": [math.nan], "beat": [0]}
         return {"score": np.full(len(found), score), "t": at[found] / fps, "beat": number[found]}
 
-    decoded = per_track(spread, ["frame", "beat", "downbeat", "meter"], decode, "score double, t double, beat bigint", ("track", "meter"))
+    decoded = map_series(spread, ["frame", "beat", "downbeat", "meter"], decode, "score double, t double, beat bigint", ("track", "meter"))
     best = F.max(F.struct(F.col("score"), (-F.col("meter")).alias("m"))).over(Window.partitionBy("track"))
     return decoded.withColumn("_best", best).filter("_best.m = -meter AND NOT isnan(t)").select("track", "t", "beat")
 
@@ -137,7 +123,7 @@ def dbn_bars(beats: DataFrame, beats_per_bar: tuple[int, ...] = (3, 4), observat
         meter = beats_per_bar[space.pattern[path[-1]]]
         return {"t": c["t"], "beat": np.concatenate((number, [number[-1] % meter + 1]))}
 
-    return per_track(beats, ["t", "a"], decode, "t double, beat bigint", order="t")
+    return map_series(beats, ["t", "a"], decode, "t double, beat bigint", order="t")
 
 
 def pattern_beats(features: DataFrame, fps: float, patterns: list[tuple[int, list[Mixture]]], min_bpm: float, max_bpm: float, num_tempi: int | None = None, transition_lambda: float = 100.0, change: float | None = None) -> DataFrame:
@@ -154,7 +140,7 @@ def pattern_beats(features: DataFrame, fps: float, patterns: list[tuple[int, lis
         found = np.flatnonzero(np.diff(number)) + 1
         return {"t": c["frame"][found] / fps, "beat": number[found]}
 
-    return per_track(features, ["frame", "x"], decode, "t double, beat bigint")
+    return map_series(features, ["frame", "x"], decode, "t double, beat bigint")
 
 
 # --- beats from a tempo ---------------------------------------------------------------------------------------------
@@ -189,6 +175,29 @@ def follow_beats(a: np.ndarray, interval: int, look_aside: float = 0.2) -> np.nd
     return np.asarray(max(walks, key=lambda w: a[w].sum())) if walks else np.zeros(0, np.int64)
 
 
+def local_beats(a: np.ndarray, ahead: int, shortest: int, interval_of: Callable[[np.ndarray], int], look_aside: float = 0.2) -> np.ndarray:
+    """Beats whose interval may change: each is the one nearest to where the last lets expect it.
+
+    Intervals and beats are those of the ``ahead`` frames on either side of that place; two beats are never nearer to
+    each other than ``shortest``. Where no beat follows, the track ends.
+    """
+
+    def after(expected: int, earliest: float) -> tuple[int, int] | None:
+        scene = _window(a, expected, 2 * ahead)
+        interval = interval_of(scene)
+        places = follow_beats(scene, interval, look_aside) + (expected - ahead)
+        distance = np.where(places >= earliest, np.abs(places - expected), np.inf)
+        nearest = int(np.argmin(distance)) if len(places) else 0
+        return (int(places[nearest]), interval) if len(places) and np.isfinite(distance[nearest]) else None
+
+    found: list[int] = []
+    step = after(0, 0)
+    while step is not None:
+        found.append(step[0])
+        step = after(sum(step), step[0] + shortest) if sum(step) < len(a) else None
+    return np.asarray(found, np.int64)
+
+
 def beat_detection(acts: DataFrame, fps: float, look_aside: float = 0.2, look_ahead: float | None = None, min_bpm: float = 40.0, max_bpm: float = 250.0, act_smooth: float = 0.14, hist_smooth: int = 9, alpha: float = 0.79) -> DataFrame:
     """Beats (track, t) at a global tempo, or with ``look_ahead`` seconds at the tempo around each beat."""
     taus = tempo.intervals(fps, min_bpm, max_bpm)
@@ -198,24 +207,11 @@ def beat_detection(acts: DataFrame, fps: float, look_aside: float = 0.2, look_ah
 
     def decode(c):
         a = tempo.smoothed(c["a"], int(fps * act_smooth))
-        if look_ahead is None:
-            found = follow_beats(a, main_interval(a), look_aside)
-        else:
-            ahead, at, found = int(look_ahead * fps), 0, []
-            while at < len(a):
-                around = _window(a, at, 2 * ahead)
-                interval = main_interval(around)
-                near = follow_beats(around, interval, look_aside) + at - ahead
-                near = near[near >= (found[-1] + taus[0] if found else 0)]
-                if not len(near):
-                    break
-                found.append(int(near[np.abs(near - at).argmin()]))
-                at = found[-1] + interval
-            found = np.asarray(found)
+        found = follow_beats(a, main_interval(a), look_aside) if look_ahead is None else local_beats(a, int(look_ahead * fps), int(taus[0]), main_interval, look_aside)
         t = found / fps
         return {"t": t[t >= 0]}
 
-    return per_track(acts, ["a"], decode, "t double")
+    return map_series(acts, ["a"], decode, "t double")
 
 
 def crf_transition(interval: int, sigma: float) -> np.ndarray:
@@ -233,13 +229,19 @@ def crf_norm(a: np.ndarray, transition: np.ndarray) -> np.ndarray:
 
 
 def crf_sequence(a: np.ndarray, interval: int, sigma: float) -> tuple[np.ndarray, float]:
-    """Best sequence of beats about ``interval`` apart and its log probability, in single precision."""
+    """Best sequence of beats about ``interval`` apart and its log probability, in single precision.
+
+    There are as many beats as whole intervals; the first one lies in the first interval, anywhere with weight one, so
+    that its place favours no interval. A clip shorter than the interval has no beats.
+    """
     a = a.astype(np.float32)
     n, transition = len(a), crf_transition(interval, sigma)
+    beats = n // interval
+    if not beats:
+        return np.zeros(0, np.int64), -math.inf
     with np.errstate(divide="ignore", invalid="ignore"):
-        start = np.log(np.where(np.arange(n) < interval, 1.0 / min(interval, n), 0.0)).astype(np.float32)
+        start = np.where(np.arange(n) < interval, 0.0, -np.inf).astype(np.float32)
         moves, norm, act = np.log(transition), np.log(crf_norm(a, transition).astype(np.float32)), np.log(a)
-        beats = max(1, int(math.ceil(n / interval)))
         gain = act + norm
         score, back = start + act + norm, np.zeros((beats, n), np.int64)
         for k in range(1, beats):
@@ -274,11 +276,11 @@ def crf_beats(acts: DataFrame, fps: float, sigma: float = 0.18, use_factors: boo
             return {"t": np.zeros(0)}
         tried = [int(spans[0] * f) for f in factors if taus[0] <= int(spans[0] * f) <= taus[-1]] if use_factors else [int(s) for s in spans[:num_intervals]]
         a = tempo.smoothed(c["a"], int(fps * act_smooth))
-        results = [crf_sequence(a, i, sigma) for i in sorted(tried, reverse=True)]
-        best = max(results, key=lambda r: r[1] / len(r[0]))
+        results = [r for i in sorted(tried, reverse=True) if len((r := crf_sequence(a, i, sigma))[0])]
+        best = max(results, key=lambda r: r[1] / len(r[0]), default=(np.zeros(0), 0.0))
         return {"t": best[0] / fps}
 
-    return per_track(acts, ["a"], decode, "t double")
+    return map_series(acts, ["a"], decode, "t double")
 
 
 def select_model(predictions: DataFrame) -> DataFrame:
@@ -314,25 +316,27 @@ def sync_features(features: DataFrame, beats: DataFrame, divisions: int, fps: fl
 
 
 def adsr_notes(acts: DataFrame, fps: float = 50.0, onset_prob: float = 0.8, note_prob: float = 0.8, offset_prob: float = 0.5, attack: float = 0.04, decay: float = 0.04, release: float = 0.02, complete: bool = True, onset_threshold: float = 0.5, note_threshold: float = 0.5, pitch_offset: int = 21) -> DataFrame:
-    """Notes (track, pitch, onset, duration) of activations (track, pitch, frame, note, onset, offset); a task per pitch."""
+    """Notes (track, pitch, onset, duration) of activations (track, pitch, frame, note, onset, offset); frames start at 0.
+
+    Each pitch is decoded as a series of its own. Where its states begin to sound or cease to, a stretch ends; every
+    second stretch is a note, from the frame before it sounds to its last but one. A note stays if both activations
+    reach their thresholds and, with ``complete``, it goes through all states from attack to release.
+    """
     space = states.NoteStates(*(max(1, int(x * fps)) for x in (attack, decay, release)))
     model, pointers = states.note_transitions(space, onset_prob, note_prob, offset_prob), states.note_pointers(space)
-    whole = set(range(space.attack, space.release))
 
     def decode(c):
-        note, onset = c["note"], c["onset"]
-        path, _ = viterbi(model, states.note_densities(note, onset, c["offset"]), pointers)
-        sounding = (path > space.attack) & (path < space.release)
-        change = np.flatnonzero(np.diff(sounding.astype(np.int8))).tolist()
-        if len(change) % 2:
-            change.append(len(note))
-        kept = []
-        for lo, hi in zip(change[::2], change[1::2]):
-            missing = whole - set(path[lo:hi].tolist())
-            if complete and missing or note[lo:hi].max() < note_threshold or onset[lo:hi].max() < onset_threshold:
-                continue
-            kept.append((lo / fps, (hi - lo) / fps))
-        return {"onset_s": np.asarray([k[0] for k in kept]), "duration": np.asarray([k[1] for k in kept])}
-
-    notes = per_track(acts, ["note", "onset", "offset"], decode, "onset_s double, duration double", ("track", "pitch"))
-    return notes.select("track", (F.col("pitch") + pitch_offset).alias("pitch"), F.col("onset_s").alias("onset"), "duration")
+        path, _ = viterbi(model, states.note_densities(c["note"], c["onset"], c["offset"]), pointers)
+        return {k: v[: len(path)] for k, v in {**c, "state": path}.items()}
+
+    decoded = map_series(acts, ["frame", "note", "onset", "offset"], decode, "frame bigint, note double, onset double, state bigint", ("track", "pitch"))
+    series = Window.partitionBy("track", "pitch").orderBy("frame")
+    sounds = (F.col("state") > space.attack) & (F.col("state") < space.release)
+    turns = F.coalesce(sounds != F.lead(sounds).over(series), F.lit(False)).cast("int")
+    stretches = decoded.withColumn("turns", turns).withColumn("stretch", F.sum("turns").over(series))
+    inside = F.when((F.col("state") >= space.attack) & (F.col("state") < space.release), F.col("state"))
+    notes = stretches.filter("stretch % 2 = 1").groupBy("track", "pitch", "stretch").agg(F.min("frame").alias("first"), F.count("*").alias("frames"), F.max("note").alias("note"), F.max("onset").alias("struck"), F.count_distinct(inside).alias("stages"))
+    kept = notes.filter((F.col("note") >= note_threshold) & (F.col("struck") >= onset_threshold))
+    if complete:
+        kept = kept.filter(F.col("stages") == space.release - space.attack)
+    return kept.select("track", (F.col("pitch") + pitch_offset).alias("pitch"), (F.col("first") / fps).alias("onset"), (F.col("frames") / fps).alias("duration"))

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .series import map_series
+
 Array = np.ndarray
 Layer = Callable[[Array], Array]
 
@@ -129,15 +130,21 @@ class Dense:
         return self.activation(y) if self.activation else y
 
 
+def _state(initial: Array | None, size: int) -> Array:
+    """State before the first frame: every clip starts from it anew."""
+    return np.zeros(size) if initial is None else np.asarray(initial, float)
+
+
 @dataclass(frozen=True)
 class Recurrent:
     weights: Array
     bias: Array
     recurrent: Array
     activation: Layer = np.tanh
+    initial: Array | None = None
 
     def __call__(self, x: Array) -> Array:
-        inputs, h = x @ self.weights + self.bias, np.zeros(len(self.recurrent))
+        inputs, h = x @ self.weights + self.bias, _state(self.initial, len(self.recurrent))
         out = np.empty((len(x), len(h)))
         for t, now in enumerate(inputs):
             out[t] = h = self.activation(now + h @ self.recurrent)
@@ -158,11 +165,13 @@ class Lstm:
     """Gates in the order input, forget, cell, output, each (weights, bias, recurrent, peephole or None)."""
 
     gates: tuple[tuple[Array, Array, Array, Array | None], ...]
+    initial: Array | None = None
+    initial_cell: Array | None = None
 
     def __call__(self, x: Array) -> Array:
         pre = [x @ w + b for w, b, _, _ in self.gates]
         size = len(self.gates[0][1])
-        h, c, out = np.zeros(size), np.zeros(size), np.empty((len(x), size))
+        h, c, out = _state(self.initial, size), _state(self.initial_cell, size), np.empty((len(x), size))
         peep = [p if p is not None else np.zeros(size) for *_, p in self.gates]
         rec = [r for _, _, r, _ in self.gates]
         for t in range(len(x)):
@@ -181,10 +190,11 @@ class Gru:
     reset: tuple[Array, Array, Array]
     update: tuple[Array, Array, Array]
     cell: tuple[Array, Array, Array]
+    initial: Array | None = None
 
     def __call__(self, x: Array) -> Array:
         pre = [x @ w + b for w, b, _ in (self.reset, self.update, self.cell)]
-        h, out = np.zeros(len(self.cell[1])), np.empty((len(x), len(self.cell[1])))
+        h, out = _state(self.initial, len(self.cell[1])), np.empty((len(x), len(self.cell[1])))
         for t in range(len(x)):
             r, u = sigmoid(pre[0][t] + h @ self.reset[2]), sigmoid(pre[1][t] + h @ self.update[2])
             c = np.tanh(pre[2][t] + r * (h @ self.cell[2]))
@@ -200,6 +210,7 @@ class Conv:
     bias: Array
     activation: Layer | None = None
     pad: str = "valid"
+    stride: tuple[int, int] = (1, 1)
 
     def __call__(self, x: Array) -> Array:
         x = x[..., None] if x.ndim == 2 else x
@@ -208,22 +219,40 @@ class Conv:
             x = np.pad(x, ((h // 2, h - 1 - h // 2), (w // 2, w - 1 - w // 2), (0, 0)))
         elif self.pad != "valid":
             raise ValueError(f"no padding {self.pad!r}")
-        windows = np.lib.stride_tricks.sliding_window_view(x, (h, w), axis=(0, 1))
+        windows = np.lib.stride_tricks.sliding_window_view(x, (h, w), axis=(0, 1))[:: self.stride[0], :: self.stride[1]]
         y = np.einsum("fbchw,cohw->fbo", windows, self.weights[:, :, ::-1, ::-1], optimize=True) + self.bias
         return self.activation(y) if self.activation else y
 
 
 @dataclass(frozen=True)
 class MaxPool:
-    size: tuple[int, int]
+    """Largest values of blocks, or over a whole axis."""
+
+    size: tuple[int, int] = (1, 1)
     stride: tuple[int, int] | None = None
+    axis: int | None = None
 
     def __call__(self, x: Array) -> Array:
+        if self.axis is not None:
+            return x.max(self.axis)
         step = self.stride or self.size
         windows = np.lib.stride_tricks.sliding_window_view(x, self.size, axis=(0, 1))
         return windows[:: step[0], :: step[1]].max((-2, -1))
 
 
+@dataclass(frozen=True)
+class Pad:
+    """``width`` more values at both ends of each axis: a constant, or the outermost ones where the value is None."""
+
+    width: int
+    axes: tuple[int, ...] = (0,)
+    value: float | None = 0.0
+
+    def __call__(self, x: Array) -> Array:
+        widths = [(self.width, self.width) if axis in self.axes else (0, 0) for axis in range(x.ndim)]
+        return np.pad(x, widths, mode="edge") if self.value is None else np.pad(x, widths, constant_values=self.value)
+
+
 @dataclass(frozen=True)
 class BatchNorm:
     beta: Array
@@ -250,19 +279,16 @@ class Network:
 def run_networks(features: DataFrame, networks: list[Layer]) -> DataFrame:
     """Outputs of an ensemble on features (track, frame, x array): (track, frame, unit, x), the mean over networks.
 
-    A track and a network are one group, so a task holds one clip and runs one network. The outputs of a network that
-    shortens the clip are numbered from 0.
+    A track and a network are one series, so a task holds one clip at a time and runs one network. The outputs of a
+    network that shortens the clip are numbered from 0.
     """
-    kind = features.schema["track"].dataType.simpleString()
     spread = features.select("track", "frame", "x").withColumn("model", F.explode(F.array(*[F.lit(i) for i in range(len(networks))])))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        out = np.asarray(networks[int(key[1])](np.stack(rows.x.to_numpy()).astype(float)))
+    def run(c):
+        out = np.asarray(networks[int(c["model"][0])](np.stack(c["x"]).astype(float)))
         out = out.reshape(len(out), -1)
         n, units = out.shape
-        frames = rows.frame.to_numpy() if n == len(rows) else np.arange(n)
-        return pd.DataFrame({"track": key[0], "frame": np.repeat(frames, units), "unit": np.tile(np.arange(units), n), "model": key[1], "x": out.ravel()})
+        frames = c["frame"] if n == len(c["frame"]) else np.arange(n)
+        return {"frame": np.repeat(frames, units), "unit": np.tile(np.arange(units), n), "x": out.ravel()}
 
-    outputs = spread.groupBy("track", "model").applyInPandas(run, f"track {kind}, frame bigint, unit bigint, model int, x double")
-    return average_predictions(outputs)
+    return average_predictions(map_series(spread, ["frame", "x", "model"], run, "frame bigint, unit bigint, x double", ("track", "model")))

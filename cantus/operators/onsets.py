@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scales import wrap_to_pi
+from .series import map_series
 from .signal import smooth
 from .spectrogram import difference
 
@@ -132,25 +134,28 @@ def frames_of(value: float, fps: float) -> int:
 
 
 def combine_events(events: DataFrame, delta: float, how: str = "mean", keys: tuple[str, ...] = ("track",), time: str = "t") -> DataFrame:
-    """Merge events of a series that are within ``delta`` of the last one kept; a series' events are folded in order.
+    """Merge events of a series that are within ``delta`` of the last one kept.
 
-    'left' keeps the first, 'right' the last, 'mean' moves the kept one half way each time.
+    'left' keeps the first, 'right' the last, 'mean' moves the kept one half way each time. What 'right' keeps is the
+    last event before each gap; the others depend on what was kept before, so a series is gone through once, in order.
     """
     if how not in ("mean", "left", "right"):
         raise ValueError(f"no way {how!r} to combine events")
-    times = F.array_sort(F.collect_list(F.col(time)))
-    reach = F.lit(delta + 1e-12)
-
-    def merge(kept, t):
-        last = F.element_at(kept, -1)
-        merged = {"mean": (last + t) * 0.5, "left": last, "right": t}[how]
-        return F.when((F.size(kept) > 0) & (t - F.coalesce(F.get(kept, F.size(kept) - 1), F.lit(0.0)) <= reach), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(merged))).otherwise(F.concat(kept, F.array(t)))
-
-    def safe(kept, t):
-        return F.when(F.size(kept) == 0, F.array(t)).otherwise(merge(kept, t))
-
-    folded = events.groupBy(*keys).agg(F.aggregate(times, F.array().cast("array<double>"), safe).alias("_kept"))
-    return folded.select(*keys, F.explode("_kept").alias(time))
+    reach = delta + 1e-12
+    if how == "right":
+        gap = F.lead(time).over(Window.partitionBy(*keys).orderBy(time)) - F.col(time)
+        return events.select(*keys, time).withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") > reach)).drop("_gap")
+
+    def kept(c):
+        out: list[float] = []
+        for t in c[time].tolist():
+            if out and t - out[-1] <= reach:
+                out[-1] = (out[-1] + t) * 0.5 if how == "mean" else out[-1]
+            else:
+                out.append(t)
+        return {time: np.asarray(out)}
+
+    return map_series(events, [time], kept, f"`{time}` double", keys, time)
 
 
 def pick_onsets(acts: DataFrame, fps: float, threshold: float, smooth_s: float = 0.0, pre_avg: float = 0.0, post_avg: float = 0.0, pre_max: float = 0.0, post_max: float = 0.0, combine: float = 0.03, delay: float = 0.0, keys: tuple[str, ...] = ("track",)) -> DataFrame:

@@ -10,10 +10,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .series import map_series
+
 
 @dataclass(frozen=True)
 class Transitions:
@@ -115,29 +116,39 @@ def decode_symbols(observations: DataFrame, transitions: Transitions, probabilit
         raise ValueError("a state's observation probabilities must sum to 1")
     with np.errstate(divide="ignore"):
         columns = np.log(probabilities.T)
-    kind = observations.schema["track"].dataType.simpleString()
+    pointers = np.arange(transitions.states)
+
+    def decode(c):
+        path, score = viterbi(transitions, columns[c["symbol"]], pointers, initial)
+        return {"frame": c["frame"][: len(path)], "state": path, "log_prob": np.full(len(path), score)}
+
+    return map_series(observations, ["frame", "symbol"], decode, "frame bigint, state bigint, log_prob double")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        path, score = viterbi(transitions, columns[rows.symbol.to_numpy()], np.arange(transitions.states), initial)
-        rows = rows.iloc[: len(path)]
-        return pd.DataFrame({"track": rows.track, "frame": rows.frame, "state": path, "log_prob": score})
 
-    return observations.select("track", "frame", "symbol").groupBy("track").applyInPandas(run, f"track {kind}, frame bigint, state bigint, log_prob double")
+def decode_densities(frames: DataFrame, transitions: Transitions, initial: np.ndarray | None = None, pointers: np.ndarray | None = None) -> DataFrame:
+    """Viterbi over any observation model, given as log densities (track, frame, densities array): (track, frame, state, log_prob).
+
+    ``pointers`` name the density of each state, the state's own without them.
+    """
+    of = np.arange(transitions.states) if pointers is None else np.asarray(pointers)
+
+    def decode(c):
+        path, score = viterbi(transitions, np.stack(c["densities"]).astype(float), of, initial)
+        return {"frame": c["frame"][: len(path)], "state": path, "log_prob": np.full(len(path), score)}
+
+    return map_series(frames, ["frame", "densities"], decode, "frame bigint, state bigint, log_prob double")
 
 
 def forward_symbols(observations: DataFrame, transitions: Transitions, probabilities: np.ndarray, initial: np.ndarray | None = None) -> DataFrame:
     """Forward probabilities over symbols: (track, frame, state, prob)."""
     columns = np.asarray(probabilities, float).T
-    kind = observations.schema["track"].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        probs = forward(transitions, columns[rows.symbol.to_numpy()], np.arange(transitions.states), initial)
+    def run(c):
+        probs = forward(transitions, columns[c["symbol"]], np.arange(transitions.states), initial)
         n, s = probs.shape
-        return pd.DataFrame({"track": np.repeat(rows.track.to_numpy(), s), "frame": np.repeat(rows.frame.to_numpy(), s), "state": np.tile(np.arange(s), n), "prob": probs.ravel()})
+        return {"frame": np.repeat(c["frame"], s), "state": np.tile(np.arange(s), n), "prob": probs.ravel()}
 
-    return observations.select("track", "frame", "symbol").groupBy("track").applyInPandas(run, f"track {kind}, frame bigint, state bigint, prob double")
+    return map_series(observations, ["frame", "symbol"], run, "frame bigint, state bigint, prob double")
 
 
 @dataclass(frozen=True)
@@ -169,13 +180,8 @@ class ConditionalRandomField:
 
 def crf_decode(features: DataFrame, model: ConditionalRandomField) -> DataFrame:
     """Best states of features (track, frame, x array): (track, frame, state)."""
-    kind = features.schema["track"].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        return pd.DataFrame({"track": rows.track, "frame": rows.frame, "state": model.decode(np.stack(rows.x.to_numpy()).astype(float))})
-
-    return features.select("track", "frame", "x").groupBy("track").applyInPandas(run, f"track {kind}, frame bigint, state bigint")
+    decode = lambda c: {"frame": c["frame"], "state": model.decode(np.stack(c["x"]).astype(float))}
+    return map_series(features, ["frame", "x"], decode, "frame bigint, state bigint")
 
 
 # --- Gaussian mixtures ----------------------------------------------------------------------------------------------

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import map_series
 from .signal import hamming, smooth
 
 
@@ -26,22 +26,40 @@ def comb_forward(df: DataFrame, tau: int, alpha: float) -> DataFrame:
     return df.withColumn("y", F.col("x") + F.coalesce(F.lag("x", tau).over(Window.partitionBy("track").orderBy("n")), F.lit(0.0)) * alpha)
 
 
-def _resonate(df: DataFrame, taus: list[int], alpha: float) -> DataFrame:
-    """Backward filters as folds, a task per track and delay: (track, n, tau, y). The factor has single precision."""
+#: Delays that one task filters a track with.
+TOGETHER = 16
+
+
+def factors_of(taus: list[int], alpha: float | list[float]) -> list[float]:
+    """One factor per delay: a number serves all of them."""
+    factors = [float(alpha)] * len(taus) if isinstance(alpha, (int, float)) else [float(a) for a in alpha]
+    if len(factors) != len(taus):
+        raise ValueError(f"{len(factors)} factors for {len(taus)} delays")
     if min(taus) <= 0:
         raise ValueError("a delay must be positive")
-    factor, kind = float(np.float32(alpha)), df.schema["track"].dataType.simpleString()
-    spread = df.select("track", "n", "x", F.explode(F.array(*[F.lit(int(t)) for t in taus])).alias("tau"))
+    return factors
+
+
+def resonated(x: np.ndarray, tau: int, factor: float) -> np.ndarray:
+    """x plus the delayed output; the factor has single precision."""
+    y, factor = np.array(x, float), float(np.float32(factor))
+    for lo in range(tau, len(y), tau):  # a delay's worth of samples depends on the one before as a whole
+        part = y[lo : lo + tau]
+        part += factor * y[lo - tau : lo - tau + len(part)]
+    return y
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        tau, y = int(rows.tau.iloc[0]), rows.x.to_numpy(float).copy()
-        for lo in range(tau, len(y), tau):  # a delay's worth of samples depends on the one before as a whole
-            part = y[lo : lo + tau]
-            part += factor * y[lo - tau : lo - tau + len(part)]
-        return pd.DataFrame({"track": rows.track, "n": rows.n, "tau": rows.tau, "y": y})
 
-    return spread.groupBy("track", "tau").applyInPandas(fold, f"track {kind}, n bigint, tau int, y double")
+def _resonate(df: DataFrame, taus: list[int], alpha: float | list[float]) -> DataFrame:
+    """Backward filters, a series per track and some delays: (track, n, tau, y)."""
+    factors = factors_of(taus, alpha)
+    blocks = [list(zip(taus, factors))[i : i + TOGETHER] for i in range(0, len(taus), TOGETHER)]
+    spread = df.select("track", "n", "x", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))).alias("block")) if len(blocks) > 1 else df.select("track", "n", "x", F.lit(0).alias("block"))
+
+    def filtered(c):
+        mine, n = blocks[int(c["block"][0])], len(c["x"])
+        return {"n": np.tile(c["n"], len(mine)), "tau": np.repeat([t for t, _ in mine], n), "y": np.concatenate([resonated(c["x"], t, f) for t, f in mine])}
+
+    return map_series(spread, ["n", "x", "block"], filtered, "n bigint, tau int, y double", ("track", "block"), "n").drop("block")
 
 
 def comb_backward(df: DataFrame, tau: int, alpha: float) -> DataFrame:
@@ -49,15 +67,13 @@ def comb_backward(df: DataFrame, tau: int, alpha: float) -> DataFrame:
     return df.join(_resonate(df, [tau], alpha).drop("tau"), ["track", "n"])
 
 
-def comb_bank(df: DataFrame, taus: list[int], alpha: float, backward: bool = True) -> DataFrame:
-    """One filter per delay: (track, n, tau, y)."""
+def comb_bank(df: DataFrame, taus: list[int], alpha: float | list[float], backward: bool = True) -> DataFrame:
+    """One filter per delay, with a factor for all or one for each: (track, n, tau, y)."""
     if backward:
         return _resonate(df, taus, alpha)
-    if min(taus) <= 0:
-        raise ValueError("a delay must be positive")
-    late = df.select("track", F.col("n").alias("_at"), F.col("x").alias("_x"))
-    spread = df.withColumn("tau", F.explode(F.array(*[F.lit(int(t)) for t in taus]))).withColumn("_at", F.col("n") - F.col("tau"))
-    return spread.join(late, ["track", "_at"], "left").select("track", "n", "tau", (F.col("x") + F.coalesce("_x", F.lit(0.0)) * alpha).alias("y"))
+    factors, series = factors_of(taus, alpha), Window.partitionBy("track").orderBy("n")
+    filtered = [F.struct(F.lit(int(t)).alias("tau"), (F.col("x") + F.coalesce(F.lag("x", int(t)).over(series), F.lit(0.0)) * f).alias("y")) for t, f in zip(taus, factors)]
+    return df.select("track", "n", F.array(*filtered).alias("all")).select("track", "n", F.inline("all"))
 
 
 # --- histograms -----------------------------------------------------------------------------------------------------
@@ -88,8 +104,38 @@ def dominant_interval(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy("track").agg(F.max_by("tau", F.struct("bin", -F.col("tau"))).alias("tau"))
 
 
-def detect_tempo(histogram: DataFrame, fps: float) -> DataFrame:
-    """(track, rank, bpm, strength) of the histogram's peaks, both ends being neighbours; without peaks (NaN, 0)."""
+def spline_between(x: np.ndarray, y: np.ndarray, step: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Places every ``step`` from the first x up to the last, and the quadratic spline through (x, y) there.
+
+    Its knots lie half way between neighbouring x, but for the outermost of these, and three times at each end.
+    """
+    knots = np.concatenate((x[:1].repeat(3), ((x[1:] + x[:-1]) / 2)[1:-1], x[-1:].repeat(3)))
+
+    def basis(at: np.ndarray) -> np.ndarray:
+        inside = np.clip(np.searchsorted(knots, at, "right") - 1, 2, len(x) - 1)
+        values = np.zeros((len(at), len(knots) - 1))
+        values[np.arange(len(at)), inside] = 1
+        for degree in (1, 2):
+            count = len(knots) - 1 - degree
+            rise, fall = knots[degree : degree + count] - knots[:count], knots[degree + 1 : degree + 1 + count] - knots[1 : count + 1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(rise > 0, (at[:, None] - knots[:count]) / rise, 0.0)
+                down = np.where(fall > 0, (knots[degree + 1 : degree + 1 + count] - at[:, None]) / fall, 0.0)
+            values = up * values[:, :count] + down * values[:, 1 : count + 1]
+        return values
+
+    places = np.arange(x[0], x[-1], step)
+    return places, basis(places) @ np.linalg.solve(basis(x), y)
+
+
+def detect_tempo(histogram: DataFrame, fps: float, interpolate: bool = False) -> DataFrame:
+    """(track, rank, bpm, strength) of the histogram's peaks, both ends being neighbours; without peaks (NaN, 0).
+
+    With ``interpolate`` the histogram is read every hundredth of a frame from the quadratic spline through it.
+    """
+    if interpolate:
+        finer = lambda c: dict(zip(("tau", "bin"), spline_between(c["tau"].astype(float), c["bin"])))
+        histogram = map_series(histogram, ["tau", "bin"], finer, "tau double, bin double", order="tau")
     order, whole = Window.partitionBy("track").orderBy("tau"), Window.partitionBy("track")
     ends = histogram.withColumn("_lo", F.min_by("bin", "tau").over(whole)).withColumn("_hi", F.max_by("bin", "tau").over(whole))
     marked = ends.withColumn("_p", F.coalesce(F.lag("bin").over(order), F.col("_hi"))).withColumn("_n", F.coalesce(F.lead("bin").over(order), F.col("_lo")))
@@ -122,10 +168,7 @@ def smoothed(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def comb_bins(a: np.ndarray, taus: np.ndarray, alpha: float) -> np.ndarray:
-    factor, y = float(np.float32(alpha)), np.repeat(np.asarray(a, float)[:, None], len(taus), 1)
-    for i in range(int(taus[0]), len(a)):
-        reach = taus <= i
-        y[i, reach] += factor * y[i - taus[reach], np.flatnonzero(reach)]
+    y = np.stack([resonated(a, int(t), alpha) for t in taus], 1)
     return (y * (y == y.max(1, keepdims=True))).sum(0)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import beats, labels, sequence, states, tempo
+from ..operators.series import map_series
 from .registry import query, r6, s6
 from .views import ACTIVATION, SIGNAL, SPECTROGRAM, SYMBOLS
 from .views import activation as act_view
@@ -295,7 +296,7 @@ _CLIP = "greatest(least(a, 0.99), 0.01)"
 def _(spark, sf):
     a = F.greatest(F.least("a", F.lit(0.99)), F.lit(0.01))
     clipped = act_view(spark, sf).withColumn("a", a)
-    return beats.per_track(clipped, ["frame", "a"], lambda c: {"frame": c["frame"], "rest": states.beat_densities(c["a"], 16)[:, 0], "beat": states.beat_densities(c["a"], 16)[:, 1]}, "frame bigint, rest double, beat double").select("track", "frame", r6("rest").alias("rest"), r6("beat").alias("beat"))
+    return map_series(clipped, ["frame", "a"], lambda c: {"frame": c["frame"], "rest": states.beat_densities(c["a"], 16)[:, 0], "beat": states.beat_densities(c["a"], 16)[:, 1]}, "frame bigint, rest double, beat double").select("track", "frame", r6("rest").alias("rest"), r6("beat").alias("beat"))
 
 
 # --- decoders -------------------------------------------------------------------------------------------------------

@@ -91,18 +91,34 @@ def test_difference_lag():
     assert sg.diff_frames(0.5, 100.0, 2048) == 5
 
 
-def test_peak_picking_example(spark):
-    acts = spark.createDataFrame([(0, i, a) for i, a in enumerate([0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.8, 0.0])], "track int, frame bigint, a double")
-    assert [r.frame for r in onsets.peak_picking(acts, 0.5).orderBy("frame").collect()] == [2, 6]
-    assert [r.t for r in onsets.pick_onsets(acts, 100, 0.5, pre_max=0.01, post_max=0.01, combine=0).orderBy("t").collect()] == [0.02, 0.06]
-
-
-def test_combining_events(spark):
-    events = spark.createDataFrame([(0, t) for t in (1.0, 1.02, 1.04, 2.0)], "track int, t double")
-    times = lambda how: [round(r.t, 4) for r in onsets.combine_events(events, 0.03, how).orderBy("t").collect()]
-    assert times("left") == [1.0, 1.04, 2.0]
-    assert times("right") == [1.04, 2.0]
-    assert times("mean") == [1.025, 2.0]
+def test_peak_picking_equals_plain_form(spark):
+    rng = np.random.default_rng(5)
+    a = np.round(rng.random(60), 3)
+    acts = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(a)], "track int, frame bigint, a double")
+    for threshold, before, after, back, ahead in ((0.55, 0, 0, 1, 1), (0.1, 4, 2, 2, 3), (0.0, 6, 0, 0, 5)):
+        at = lambda i: a[i] if 0 <= i < len(a) else 0.0
+        least = [threshold + (sum(at(i + d) for d in range(-before, after + 1)) / (before + after + 1) if before + after else 0) for i in range(len(a))]
+        held = [v if v >= m else 0.0 for v, m in zip(a, least)]
+        want = [i for i in range(len(a)) if held[i] > 0 and held[i] == max(held[max(0, i - back) : i + ahead + 1])]
+        got = onsets.peak_picking(acts, threshold, None, before, after, back, ahead).orderBy("frame").collect()
+        assert [r.frame for r in got] == want
+
+
+def test_combining_events_equals_plain_form(spark):
+    rng = np.random.default_rng(6)
+    times = {k: sorted(set(np.round(rng.random(40) * 3, 3).tolist())) for k in range(3)}
+    events = spark.createDataFrame([(k, t) for k, ts in times.items() for t in ts], "track int, t double")
+    for how, merge in (("left", lambda x, t: x), ("right", lambda x, t: t), ("mean", lambda x, t: (x + t) / 2)):
+        want = []
+        for k, ts in times.items():
+            kept = []
+            for t in ts:
+                if kept and t - kept[-1] <= 0.05 + 1e-12:
+                    kept[-1] = merge(kept[-1], t)
+                else:
+                    kept.append(t)
+            want += [(k, t) for t in kept]
+        assert series(onsets.combine_events(events, 0.05, how), "track", "t") == want
     with pytest.raises(ValueError):
         onsets.combine_events(events, 0.03, "middle")
 
@@ -112,70 +128,118 @@ def test_unknown_onset_method(spark):
         onsets.onset_function(spark.range(1), "nothing")
 
 
-COMB = [0, 0, 1, 0, 0, 1, 0, 0, 1]
-
-
-def test_comb_filters(spark):
-    x = samples(spark, [float(v) for v in COMB])
-    assert [r.y for r in tempo.comb_forward(x, 3, 0.5).orderBy("n").collect()] == [0, 0, 1, 0, 0, 1.5, 0, 0, 1.5]
-    assert [r.y for r in tempo.comb_backward(x, 3, 0.5).orderBy("n").collect()] == [0, 0, 1, 0, 0, 1.5, 0, 0, 1.75]
-    bank = tempo.comb_bank(x, [2, 3], 0.5, backward=False)
-    assert bank.count() == 18
-    with pytest.raises(ValueError):
-        tempo.comb_forward(x, 0, 0.5)
+def test_comb_filters_equal_their_recursion(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=45)
+    factor = float(np.float32(0.3))
+    for tau in (1, 4, 7):
+        ahead = [v + 0.3 * (x[i - tau] if i >= tau else 0) for i, v in enumerate(x)]
+        back = []
+        for i, v in enumerate(x):
+            back.append(v + factor * (back[i - tau] if i >= tau else 0))
+        assert [r.y for r in tempo.comb_forward(samples(spark, x.tolist()), tau, 0.3).orderBy("n").collect()] == pytest.approx(ahead)
+        assert [r.y for r in tempo.comb_backward(samples(spark, x.tolist()), tau, 0.3).orderBy("n").collect()] == pytest.approx(back)
+    taus, factors = list(range(1, 20)), [0.05 * t for t in range(1, 20)]
+    for backward in (False, True):
+        bank = tempo.comb_bank(samples(spark, x.tolist()), taus, factors, backward)
+        assert bank.count() == 19 * 45
+        single = tempo.comb_backward if backward else tempo.comb_forward
+        for tau in (1, 17, 19):
+            want = [r.y for r in single(samples(spark, x.tolist()), tau, factors[tau - 1]).orderBy("n").collect()]
+            assert [r.y for r in bank.filter(F.col("tau") == tau).orderBy("n").collect()] == pytest.approx(want)
+    for taus, alpha in (([0], 0.5), ([2, 3], [0.5])):
+        with pytest.raises(ValueError):
+            tempo.comb_bank(samples(spark, [1.0]), taus, alpha)
 
 
 def histogram(spark, bins, taus):
     return spark.createDataFrame([(0, t, float(b)) for b, t in zip(bins, taus)], "track int, tau int, bin double")
 
 
-def test_tempo_examples(spark):
-    assert tempo.dominant_interval(histogram(spark, [0, 1, 5, 1, 0], [10, 20, 30, 40, 50])).collect()[0].tau == 30
-    got = tempo.detect_tempo(histogram(spark, [0, 1, 0], [60, 30, 15][::-1]), 60.0).collect()
-    assert [(r.rank, r.bpm, r.strength) for r in got] == [(1, 120.0, 1.0)]
-    none = tempo.detect_tempo(histogram(spark, [0] * 5, range(1, 6)), 1.0).collect()[0]
-    assert math.isnan(none.bpm) and none.strength == 0
-
-
-HMM = sequence.Transitions.of([0, 0, 1, 1], [0, 1, 0, 1], [0.7, 0.3, 0.6, 0.4])
-EMIT = np.array([[0.2, 0.3, 0.5], [0.7, 0.1, 0.2]])
-SEEN = [0, 0, 1, 1, 0, 0, 0, 2, 2]
-
+def test_tempo_histograms_and_peaks(spark):
+    rng = np.random.default_rng(8)
+    taus, bins = np.arange(4, 26), np.round(rng.random(22), 4)
+    table = histogram(spark, bins, taus.tolist())
+    assert tempo.dominant_interval(table).collect()[0].tau == taus[np.argmax(bins)]
+    n = len(bins)
+    at = sorted((i for i in range(n) if bins[i] > bins[i - 1] and bins[i] > bins[(i + 1) % n]), key=lambda i: -bins[i])
+    want = [(k + 1, 3000 / taus[i], bins[i] / sum(bins[j] for j in at)) for k, i in enumerate(at)]
+    got = tempo.detect_tempo(table, 50.0).orderBy("rank").collect()
+    assert [(r.rank, pytest.approx(r.bpm), pytest.approx(r.strength)) for r in got] == want
+    flat = tempo.detect_tempo(histogram(spark, [2] * 6, range(3, 9)), 1.0).collect()[0]
+    assert math.isnan(flat.bpm) and flat.strength == 0
+
+    a = rng.random(70)
+    acts = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(a)], "track int, frame bigint, a double")
+    filtered = np.stack([tempo.resonated(a, t, 0.6) for t in (3, 5, 8)], 1)
+    want = (filtered * (filtered == filtered.max(1, keepdims=True))).sum(0)
+    assert [r.bin for r in tempo.comb_histogram(acts, [3, 5, 8], 0.6).orderBy("tau").collect()] == pytest.approx(want.tolist())
+
+
+def test_interpolated_tempo(spark):
+    x = np.array([2.0, 3.0, 5.0, 6.0, 7.0, 9.0])
+    square = lambda v: 3 * v**2 - 4 * v + 1
+    places, values = tempo.spline_between(x, square(x))
+    assert np.allclose(values, square(places)) and len(places) == 700
+    y = np.array([0.0, 1.0, 4.0, 3.5, 1.0, 0.5])
+    places, values = tempo.spline_between(x, y)
+    assert np.allclose(np.interp(x[:-1], places, values), y[:-1], atol=0.02)
+    assert np.abs(np.diff(values, 2)).max() < 0.001  # no kinks
+    got = tempo.detect_tempo(histogram(spark, [0, 1, 4, 3.5, 1, 0], [5, 6, 7, 8, 9, 10]), 10.0, interpolate=True).orderBy("rank").first()
+    assert 600 / 8 < got.bpm < 600 / 7
+
+
+def small_chain(rng, size=3, symbols=4):
+    dense, emit = rng.random((size, size)) + 0.05, rng.random((size, symbols)) + 0.05
+    dense, emit = dense / dense.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
+    return dense, emit, sequence.Transitions.of(*np.indices((size, size)).reshape(2, -1), dense.ravel())
+
+
+def test_viterbi_and_forward_equal_exhaustive_search(spark):
+    import itertools
 
-def test_viterbi_and_forward_examples(spark):
-    obs = spark.createDataFrame([(0, i, s) for i, s in enumerate(SEEN)], "track int, frame bigint, symbol int")
-    path = sequence.decode_symbols(obs, HMM, EMIT).orderBy("frame").collect()
-    assert [r.state for r in path] == [1, 1, 0, 0, 1, 1, 1, 0, 0]
-    assert path[0].log_prob == pytest.approx(-12.87489873725737)
-    probs = sequence.forward_symbols(obs, HMM, EMIT).filter("state = 0").orderBy("frame").collect()
-    assert [r.prob for r in probs] == pytest.approx([0.34667, 0.33171, 0.83814, 0.86645, 0.38502, 0.33539, 0.33063, 0.81179, 0.84231], abs=5e-6)
+    rng = np.random.default_rng(9)
+    dense, emit, model = small_chain(rng)
+    seen = {k: rng.integers(0, 4, 6).tolist() for k in range(4)}
+    obs = spark.createDataFrame([(k, i, int(s)) for k, v in seen.items() for i, s in enumerate(v)], "track int, frame bigint, symbol int")
+    paths = sequence.decode_symbols(obs, model, emit).orderBy("track", "frame").collect()
+    probs = sequence.forward_symbols(obs, model, emit).orderBy("track", "frame", "state").collect()
+    densities = spark.createDataFrame([(k, i, np.log(emit[:, s]).tolist()) for k, v in seen.items() for i, s in enumerate(v)], "track int, frame bigint, densities array<double>")
+    assert sequence.decode_densities(densities, model).orderBy("track", "frame").collect() == paths
+    for k, v in seen.items():
+        # the first move starts from any state alike
+        score = lambda p: sum(math.log(emit[s, o]) for s, o in zip(p, v)) + sum(math.log(dense[a, b]) for a, b in zip(p, p[1:])) + math.log(dense[:, p[0]].max() / 3)  # noqa: E731, B023
+        best = max(itertools.product(range(3), repeat=6), key=score)
+        mine = [r for r in paths if r.track == k]
+        assert tuple(r.state for r in mine) == best and mine[0].log_prob == pytest.approx(score(best))
+        weight = np.zeros((6, 3))
+        for n in range(1, 7):
+            for p in itertools.product(range(3), repeat=n):
+                start = dense[:, p[0]].sum() / 3
+                weight[n - 1, p[-1]] += start * math.prod(emit[s, o] for s, o in zip(p, v)) * math.prod(dense[a, b] for a, b in zip(p, p[1:]))
+        want = weight / weight.sum(1, keepdims=True)
+        assert [r.prob for r in probs if r.track == k] == pytest.approx(want.ravel().tolist())
 
 
 def test_dead_model_has_no_path():
-    path, score = sequence.viterbi(HMM, np.full((3, 2), -np.inf), np.arange(2))
+    model = small_chain(np.random.default_rng(10), 2)[2]
+    path, score = sequence.viterbi(model, np.full((3, 2), -np.inf), np.arange(2))
     assert len(path) == 0 and score == -math.inf
     with pytest.raises(ValueError):
         sequence.Transitions.of([0], [0], [0.5])
 
 
-def test_viterbi_equals_exhaustive_search():
+def test_crf_equals_exhaustive_search():
     import itertools
 
-    rng = np.random.default_rng(1)
-    dense = rng.random((3, 3)) + 0.01
-    dense /= dense.sum(1, keepdims=True)
-    model = sequence.Transitions.of(*np.indices((3, 3)).reshape(2, -1), dense.ravel())
-    logs = np.log(rng.random((5, 3)))
-    best = max((sum(logs[t, s] for t, s in enumerate(p)) + math.log(sum(dense[a, p[0]] / 3 for a in [int(np.argmax(dense[:, p[0]]))])) + sum(math.log(dense[a, b]) for a, b in zip(p, p[1:])), p) for p in itertools.product(range(3), repeat=5))
-    path, score = sequence.viterbi(model, logs, np.arange(3))
-    assert tuple(path) == best[1] and score == pytest.approx(best[0])
-
-
-def test_crf_example():
-    eta = np.spacing(1)
-    log = lambda x: np.log(np.asarray(x) + eta)
-    crf = sequence.ConditionalRandomField(log([0.7, 0.2, 0.1]), np.ones(3), np.ones(3), log([[0.6, 0.2, 0.2], [0.1, 0.7, 0.2], [0.1, 0.1, 0.8]]), log([[0.9, 0.5, 0.1], [0.1, 0.5, 0.1]]))
-    assert crf.decode(np.eye(2)[[0, 0, 1, 0, 1, 1]]).tolist() == [0, 0, 1, 1, 1, 1]
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        initial, final, bias, moves, weights = (rng.normal(size=s) for s in ((3,), (3,), (3,), (3, 3), (2, 3)))
+        x = rng.normal(size=(5, 2))
+        local = x @ weights + bias
+        score = lambda p: initial[p[0]] + final[p[-1]] + sum(local[t, s] for t, s in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        best = max(itertools.product(range(3), repeat=5), key=score)
+        assert tuple(sequence.ConditionalRandomField(initial, final, bias, moves, weights).decode(x)) == best
 
 
 def test_mixture_kinds_agree(spark):
@@ -201,11 +265,42 @@ def test_state_space_sizes():
     assert (space(3).states, space(4).states) == (11157, 14876)
 
 
-def test_bar_tracking_example(spark):
-    times = [0.1, 0.45, 0.8, 1.12, 1.48, 1.8, 2.15, 2.49]
-    acts = [0.9, 0.1, 0.1, 0.9, 0.1, 0.1, 0.9, math.nan]
-    got = series(beats.dbn_bars(spark.createDataFrame([(0, t, a) for t, a in zip(times, acts)], "track int, t double, a double")), "t")
-    assert [r[1] for r in got] == times and [r[2] for r in got] == [1, 2, 3, 1, 2, 3, 1, 2]
+def test_bars_equal_exhaustive_search(spark):
+    import itertools
+
+    rng = np.random.default_rng(12)
+    for _ in range(4):
+        n = 8
+        t, a = np.cumsum(0.3 + rng.random(n)), rng.random(n) * 0.96 + 0.02
+        got = series(beats.dbn_bars(spark.createDataFrame([(0, float(x), float(y)) for x, y in zip(t, a)], "track int, t double, a double"), (2, 3), 4, 0.01), "t")
+
+        def score(p):  # p: (meter, beat) per beat; a bar ends in another meter with probability 0.01
+            total = 0.0
+            for i, (meter, beat) in enumerate(p):
+                total += math.log(a[i]) if beat == 1 else math.log((1 - a[i]) / 3)
+                if i:
+                    before = p[i - 1]
+                    if beat == 1 and before[1] == before[0]:
+                        total += math.log(0.99 if meter == before[0] else 0.01)
+                    elif (meter, beat) != (before[0], before[1] + 1):
+                        return -math.inf
+                elif beat == 1:  # likeliest move into the first beat
+                    total += math.log(0.99)
+            return total
+
+        places = [(m, b) for m in (2, 3) for b in range(1, m + 1)]
+        # exhaustive over starts and meters of bars, which fix all places
+        best, top = None, -math.inf
+        for start in places:
+            for meters in itertools.product((2, 3), repeat=n):
+                p, bar = [start], iter(meters)
+                while len(p) < n - 1:
+                    p.append((p[-1][0], p[-1][1] + 1) if p[-1][1] < p[-1][0] else (next(bar), 1))
+                if (value := score(p)) > top + 1e-12:
+                    best, top = p, value
+        last = best[-1]
+        assert [r[2] for r in got] == [b for _, b in best] + [last[1] % last[0] + 1]
+        assert [r[1] for r in got] == pytest.approx(t.tolist())
 
 
 def pulse(spark, period, count, height=0.9):
@@ -221,9 +316,36 @@ def test_beats_of_pulses(spark):
 
 
 def test_tempo_of_pulses(spark):
-    for method in ("comb", "acf", "dbn"):
-        got = tempo.estimate_tempo(pulse(spark, 50, 1000), 100.0, method=method).orderBy("rank").first()
-        assert any(abs(got.bpm - b) < 3 for b in (60, 120, 40, 240)), (method, got)
+    for method, period in (("comb", 50), ("acf", 50), ("dbn", 40)):
+        got = tempo.estimate_tempo(pulse(spark, period, 1000), 100.0, 80.0, 170.0, method=method).orderBy("rank").first()
+        assert got.bpm == pytest.approx(6000 / period, abs=1.5), (method, got)
+
+
+def test_crf_sequences_equal_exhaustive_search():
+    import itertools
+
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        n, interval = int(rng.integers(6, 16)), int(rng.integers(3, 6))
+        a, sigma = (rng.random(n) * 0.9 + 0.05).astype(np.float32), float(rng.uniform(0.1, 0.5))
+        moves = beats.crf_transition(interval, sigma).astype(float)
+        reach = [sum(moves[j] * a[i + j] for j in range(2 * interval) if i + j < n) for i in range(n)]
+        log = lambda v: math.log(v) if v > 0 else -math.inf
+
+        def score(p):
+            total = sum(log(a[i]) for i in p) + sum(log(reach[i]) for i in p[:-1])
+            total = total if reach[p[-1]] > 0 else -math.inf  # nor is a frame the last beat that nothing could follow
+            for i, j in zip(p, p[1:]):
+                # a move stays, or goes on by less than two intervals; none leaves the first frame
+                total += log(moves[j - i]) if 0 <= j - i < 2 * interval and i > 0 else -math.inf
+            return total
+
+        count = n // interval
+        top = max(score(p) for p in itertools.combinations_with_replacement(range(n), count) if p[0] < interval)
+        path, got = beats.crf_sequence(a, interval, sigma)
+        assert len(path) == count and got == pytest.approx(top, abs=1e-3)
+        assert path[0] < interval and score(path.tolist()) == pytest.approx(top, abs=1e-3)
+    assert len(beats.crf_sequence(a[:4], 5, 0.2)[0]) == 0
 
 
 def test_downbeats_of_pulses(spark):
@@ -233,27 +355,33 @@ def test_downbeats_of_pulses(spark):
     assert all(abs(t * 2 - round(t * 2)) < 0.03 for _, t, _ in got)
 
 
-def test_threshold_example(spark):
-    acts = spark.createDataFrame([(0, i, a) for i, a in enumerate([0.0, 0.02, 0.1, 0.2, 0.03, 0.0])], "track int, frame bigint, a double")
-    assert [r.frame for r in beats.threshold_activations(acts, 0.05).orderBy("frame").collect()] == [2, 3]
+def test_thresholded_stretch(spark):
+    a = [0.31, 0.12, 0.44, 0.07, 0.52, 0.4, 0.39]
+    acts = spark.createDataFrame([(0, i, v) for i, v in enumerate(a)], "track int, frame bigint, a double")
+    assert [r.frame for r in beats.threshold_activations(acts, 0.42).orderBy("frame").collect()] == [2, 3, 4]
+    assert beats.threshold_activations(acts, 0.9).count() == 0
     assert beats.threshold_activations(acts.withColumn("a", F.when(F.col("frame") == 0, 1.0).otherwise(0.0)), 0.5).count() == 0
 
 
-def test_notes_example(spark):
-    rows = []
-    for pitch, on, n_on, length, n_off in ((10, 5, 3, 15, 3), (40, 20, 4, 10, 2), (55, 0, 3, 5, 2)):
-        for f in range(60):
-            note, onset, offset = on <= f < on + length, on <= f < on + n_on, on + length <= f < on + length + n_off
-            rows.append((0, pitch, f, 0.95 if note else 0.02, 0.95 if onset else 0.02, 0.95 if offset else 0.02))
+def test_notes_are_stretches_of_sounding_states(spark):
+    rows, played = [], {12: (8, 22), 47: (15, 27)}
+    for pitch in (12, 30, 47):
+        lo, hi = played.get(pitch, (99, 99))
+        for f in range(70):
+            level = lambda a, b: 0.93 if a <= f < b else 0.015  # noqa: E731, B023
+            rows.append((0, pitch, f, level(lo, hi), level(lo, lo + 3), level(hi, hi + 2)))
     acts = spark.createDataFrame(rows, "track int, pitch int, frame bigint, note double, onset double, offset double")
     got = series(beats.adsr_notes(acts), "onset")
-    assert {r[1] for r in got} == {31, 61}
+    assert [r[1] for r in got] == [12 + 21, 47 + 21]
+    for (lo, hi), (_, _, onset, duration) in zip(played.values(), got):
+        assert onset == pytest.approx(lo / 50, abs=0.021) and duration == pytest.approx((hi - lo) / 50, abs=0.041)
+    assert beats.adsr_notes(acts, note_threshold=0.95).count() == 0
 
 
-def test_chord_example(spark):
-    rows = [(0, i, s) for i, s in enumerate([24, 24, 0, 0, 0, 12])]
-    got = series(labels.chord_segments(spark.createDataFrame(rows, "track int, frame bigint, state bigint"), 2.0), "start")
-    assert [r[1:] for r in got] == [(0.0, 1.0, "N"), (1.0, 2.5, "A:maj"), (2.5, 3.0, "A:min")]
+def test_chords_are_runs_of_equal_states(spark):
+    states_ = [3, 3, 15, 24, 24, 24, 7]
+    got = series(labels.chord_segments(spark.createDataFrame([(0, i, s) for i, s in enumerate(states_)], "track int, frame bigint, state bigint"), 4.0), "start")
+    assert [r[1:] for r in got] == [(0.0, 0.5, "C:maj"), (0.5, 0.75, "C:min"), (0.75, 1.5, "N"), (1.5, 1.75, "E:maj")]
 
 
 def test_layers_equal_joins(spark):
@@ -270,3 +398,9 @@ def test_layers_equal_joins(spark):
     assert nn.MaxPool((2, 2))(x).shape == (2, 2)
     both = nn.Bidirectional(nn.Recurrent(w, b, np.eye(3) * 0.1), nn.Recurrent(w, b, np.eye(3) * 0.1))(x)
     assert np.allclose(both[-1, 3:], np.tanh(x[-1] @ w + b)) and np.allclose(both[0, :3], np.tanh(x[0] @ w + b))
+    cell = nn.Gru((w, b, np.eye(3) * 0.2), (w, b, np.eye(3) * 0.3), (w, b, np.eye(3) * 0.1))
+    rest = nn.Gru(cell.reset, cell.update, cell.cell, cell(x[:2])[-1])
+    assert np.allclose(np.vstack((cell(x[:2]), rest(x[2:]))), cell(x))
+    assert nn.Conv(kernel[None, None], np.zeros(1), stride=(2, 1))(x).shape == (2, 2, 1)
+    assert np.allclose(nn.MaxPool(axis=1)(x), x.max(1)) and nn.Pad(2, (0, 1), None)(x)[0, 0] == x[0, 0]
+    assert nn.Pad(1, (1,), 3.0)(x)[:, -1].tolist() == [3.0] * 5
