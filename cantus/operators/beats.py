@@ -72,15 +72,30 @@ def dbn_intervals(acts: DataFrame, fps: float, min_bpm: float = 40.0, max_bpm: f
     return map_series(acts, ["a"], decode, "tau bigint, bin double")
 
 
-def dbn_downbeats(acts: DataFrame, fps: float, beats_per_bar: tuple[int, ...] = (3, 4), min_bpm: float = 55.0, max_bpm: float = 215.0, num_tempi: int | None = 60, transition_lambda: float = 100.0, observation_lambda: int = 16, threshold: float = 0.05, correct: bool = True) -> DataFrame:
+def per_model(count: int, **values: object) -> list[tuple]:
+    """One value of each parameter per model: a single one serves all."""
+    columns = []
+    for name, value in values.items():
+        column = list(value) if isinstance(value, (list, tuple)) else [value] * count
+        if len(column) != count:
+            raise ValueError(f"{name} has {len(column)} values for {count} models")
+        columns.append(column)
+    return list(zip(*columns))
+
+
+PerModel = float | tuple[float, ...]
+
+
+def dbn_downbeats(acts: DataFrame, fps: float, beats_per_bar: tuple[int, ...] = (3, 4), min_bpm: PerModel = 55.0, max_bpm: PerModel = 215.0, num_tempi: PerModel | None = 60, transition_lambda: PerModel = 100.0, observation_lambda: int = 16, threshold: float = 0.05, correct: bool = True) -> DataFrame:
     """Beats with their number in the bar (track, t, beat) of activations (track, frame, beat, downbeat).
 
-    Each bar length is a task of its own per track; the likeliest of a track stays (the first of equals).
+    Each bar length is a series of its own per track; the likeliest of a track stays (the first of equals). Tempo limits,
+    number of tempi and transition parameter may differ by bar length.
     """
     models = []
-    for beats in beats_per_bar:
-        space = states.bar_space(beats, 60 * fps / max_bpm, 60 * fps / min_bpm, num_tempi)
-        models.append((space, states.bar_transitions(space, transition_lambda), states.downbeat_pointers(space, observation_lambda)))
+    for beats, (low, high, tempi, change) in zip(beats_per_bar, per_model(len(beats_per_bar), min_bpm=min_bpm, max_bpm=max_bpm, num_tempi=num_tempi, transition_lambda=transition_lambda)):
+        space = states.bar_space(beats, 60 * fps / high, 60 * fps / low, tempi)
+        models.append((space, states.bar_transitions(space, change), states.downbeat_pointers(space, observation_lambda)))
     chosen = threshold_activations(acts, threshold, F.greatest("beat", "downbeat")) if threshold else acts
     spread = chosen.withColumn("meter", F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))))
 
@@ -126,11 +141,12 @@ def dbn_bars(beats: DataFrame, beats_per_bar: tuple[int, ...] = (3, 4), observat
     return map_series(beats, ["t", "a"], decode, "t double, beat bigint", order="t")
 
 
-def pattern_beats(features: DataFrame, fps: float, patterns: list[tuple[int, list[Mixture]]], min_bpm: float, max_bpm: float, num_tempi: int | None = None, transition_lambda: float = 100.0, change: float | None = None) -> DataFrame:
+def pattern_beats(features: DataFrame, fps: float, patterns: list[tuple[int, list[Mixture]]], min_bpm: PerModel, max_bpm: PerModel, num_tempi: PerModel | None = None, transition_lambda: PerModel = 100.0, change: float | None = None) -> DataFrame:
     """Beats with numbers (track, t, beat) of features (track, frame, x array); a pattern is its beats and its mixtures."""
-    spaces = [states.bar_space(b, 60 * fps / max_bpm, 60 * fps / min_bpm, num_tempi) for b, _ in patterns]
+    limits = per_model(len(patterns), min_bpm=min_bpm, max_bpm=max_bpm, num_tempi=num_tempi, transition_lambda=transition_lambda)
+    spaces = [states.bar_space(b, 60 * fps / high, 60 * fps / low, tempi) for (b, _), (low, high, tempi, _) in zip(patterns, limits)]
     space = states.multi_pattern_space(spaces)
-    model = states.multi_pattern_transitions([states.bar_transitions(s, transition_lambda) for s in spaces], space, change)
+    model = states.multi_pattern_transitions([states.bar_transitions(s, limit[3]) for s, limit in zip(spaces, limits)], space, change)
     pointers = states.pattern_pointers(space, [len(m) for _, m in patterns], [b for b, _ in patterns])
     mixtures = [m for _, ms in patterns for m in ms]
 

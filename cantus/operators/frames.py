@@ -7,10 +7,17 @@ A sample finds the frames that hold it by arithmetic, so framing is a generator
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import map_series
+
+#: Frames that are made together: a recording is cut into runs of so many, each with the samples that they reach.
+RUN = 256
+
 
 def origin_of(origin: int | str, size: int) -> int:
     """Samples by which frames lie before their reference sample."""
@@ -47,6 +54,39 @@ def frame(df: DataFrame, size: int, hop: float | None = None, *, fps: float | No
     return spread.select("track", "frame", (n - F.floor(F.col("frame") * step) + before).alias("k"), "x").filter((F.col("k") >= 0) & (F.col("k") < size))
 
 
+def map_frames(df: DataFrame, size: int, fn: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, hop: float | None = None, *, fps: float | None = None, sample_rate: float | None = None, origin: int | str = 0, end: str = "normal", pad: float | str = 0.0) -> DataFrame:
+    """Apply ``fn`` to blocks of whole frames (frames x size) of samples (track, n, x): (track, frame, columns of ``schema``).
+
+    Samples are shuffled once, by track and run of frames; only those near a run's edge go to two runs. A recording of
+    any length is many runs. Samples outside the recording are ``pad``, or its first and last with 'repeat'.
+    """
+    step = hop_of(hop, fps, sample_rate)
+    before, repeat = size // 2 + origin_of(origin, size), pad == "repeat"
+    edges = [F.min_by("x", "n").cast("double").alias("_a"), F.max_by("x", "n").cast("double").alias("_z")] if repeat else []
+    sizes = df.groupBy("track").agg((F.max("n") + 1).cast("bigint").alias("_size"), *edges).withColumn("_frames", num_frames(F.col("_size"), step, end).cast("bigint"))
+    n = F.col("n")
+    low = F.greatest(F.ceil((n + (before - size + 1)) / step), F.lit(0).cast("bigint"))
+    high = F.least(F.ceil((n + (before + 1)) / step) - 1, F.col("_frames") - 1)
+    dealt = df.join(sizes, "track").withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
+    dealt = dealt.withColumn("run", F.explode(F.sequence(F.floor(F.col("_low") / RUN), F.floor(F.col("_high") / RUN)))).withColumn("x", F.col("x").cast("double"))
+
+    def make(c):
+        first, frames, at = int(c["run"][0]) * RUN, int(c["_frames"][0]), c["n"]
+        numbers = np.arange(first, min(first + RUN, frames))
+        starts = np.floor(numbers * step).astype(np.int64) - before
+        low = int(starts[0])
+        line = np.full(int(starts[-1]) + size - low, 0.0 if repeat else float(pad))
+        if repeat:
+            line[: max(0, -low)] = c["_a"][0]
+            line[max(0, int(c["_size"][0]) - low) :] = c["_z"][0]
+        inside = (at >= low) & (at < low + len(line))
+        line[at[inside] - low] = c["x"][inside]
+        return {"frame": numbers, **fn(line[(starts - low)[:, None] + np.arange(size)])}
+
+    columns = ["n", "x", "run", "_frames"] + (["_size", "_a", "_z"] if repeat else [])
+    return map_series(dealt, columns, make, f"frame bigint, {schema}", ("track", "run"), "n").drop("run")
+
+
 def frame_counts(df: DataFrame, hop: float, end: str = "normal") -> DataFrame:
     return df.groupBy("track").agg(num_frames(F.max("n") + 1, hop, end).alias("frames"))
 
@@ -66,13 +106,5 @@ def segment_axis(df: DataFrame, size: int, hop: int) -> DataFrame:
     return spread.select("track", F.explode(F.sequence("_low", "_high")).alias("segment"), "n", "x").select("track", "segment", (n - F.col("segment") * hop).alias("k"), "x")
 
 
-def overlap_factor(size: int, hop: float) -> float:
-    return 1.0 - hop / size
-
-
-def seconds(frame_column: Column, fps: float) -> Column:
-    return frame_column / fps
-
-
 def hann(size: int) -> list[float]:
     return [0.5 - 0.5 * math.cos(2 * math.pi * k / (size - 1)) for k in range(size)]

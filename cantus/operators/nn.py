@@ -253,6 +253,18 @@ class Pad:
         return np.pad(x, widths, mode="edge") if self.value is None else np.pad(x, widths, constant_values=self.value)
 
 
+@dataclass(frozen=True)
+class Context:
+    """Each frame with its neighbours side by side, zeros beyond the clip."""
+
+    frames: int
+
+    def __call__(self, x: Array) -> Array:
+        before = self.frames // 2
+        wide = np.pad(x, ((before, self.frames - 1 - before), (0, 0)))
+        return np.lib.stride_tricks.sliding_window_view(wide, self.frames, axis=0).swapaxes(1, 2).reshape(len(x), -1)
+
+
 @dataclass(frozen=True)
 class BatchNorm:
     beta: Array

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,12 +55,24 @@ def correlation_diff(spec: DataFrame, frames: int = 1, positive: bool = False, b
     return spec.join(moved, ["track", "frame", "bin"], "left").select("track", "frame", "bin", "mag", diff.alias("diff"))
 
 
-def complex_flux(spec: DataFrame, frames: int = 1, max_bins: int = 3, temporal: int = 3) -> DataFrame:
-    """Superflux weighted by the local group delay (column lgd): where it moves little, vibrato is damped."""
-    delay = spec.withColumn("_l", F.abs("lgd"))
-    series = Window.partitionBy("track", "bin").orderBy("frame").rowsBetween(-(temporal // 2), (temporal - 1) // 2)
-    line = Window.partitionBy("track", "frame").orderBy("bin").rowsBetween(-1, 1)
-    mask = delay.withColumn("_l", F.max("_l").over(series)).withColumn("_l", F.min("_l").over(line))
+def complex_flux(spec: DataFrame, frames: int = 1, max_bins: int = 3, temporal: int = 3, origin: int = 0, delays: DataFrame | None = None, filterbank: DataFrame | None = None) -> DataFrame:
+    """Superflux weighted by the share of half a turn that the local group delay is: where it is small, tremolo is damped.
+
+    The delay (column lgd) is the largest of ``temporal`` frames, moved back by ``origin``, and then the least of the
+    neighbouring bins. A filtered spectrogram takes its delays from the unfiltered ``delays`` (track, frame, bin, lgd):
+    the least from one bin below a band of the filterbank to one above it.
+    """
+    delay = (spec if delays is None else delays).withColumn("_l", F.abs("lgd") / math.pi)
+    if temporal > 0:
+        before = temporal // 2 + origin
+        delay = delay.withColumn("_l", F.max("_l").over(Window.partitionBy("track", "bin").orderBy("frame").rowsBetween(-before, temporal - 1 - before)))
+    if filterbank is None:
+        mask = delay.withColumn("_l", F.min("_l").over(Window.partitionBy("track", "frame").orderBy("bin").rowsBetween(-1, 1)))
+    else:
+        spans = filterbank.filter("weight <> 0").groupBy("band").agg(F.sequence(F.min("bin") - 1, F.max("bin") + 1).alias("bins"))
+        reached = delay.join(F.broadcast(spans.select("band", F.explode("bins").alias("bin"))), "bin")
+        least = reached.groupBy("track", "frame", F.col("band").cast("bigint").alias("bin")).agg(F.min("_l").alias("_l"))
+        mask = spec.join(least, ["track", "frame", "bin"])
     return _per_frame(difference(mask, frames, max_bins, positive=True), F.sum(F.col("diff") * F.col("_l")))
 
 

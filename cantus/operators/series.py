@@ -15,8 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 Columns = dict[str, np.ndarray]
-#: Rows that a task gathers before it hands them over.
-OUT_ROWS = 50_000
+#: Values that a task gathers before it hands them over.
+OUT_VALUES = 200_000
 
 
 def _starts(batch: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
@@ -58,14 +58,18 @@ def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Column
     arrow, width = to_arrow_schema(out), len(keys)
 
     def run(batches):
-        names, parts, rows = [], [], 0
+        names, parts, held = [], [], 0
 
         def flush():
             lengths = [len(p[0]) for p in parts]
             at = pa.array(np.repeat(np.arange(len(names)), lengths))
             made = [pa.array([n[i] for n in names], arrow.types[i]).take(at) for i in range(width)]
             for i, kind in enumerate(arrow.types[width:]):
-                made.append(pa.array(np.concatenate([np.asarray(p[i]) for p in parts]), kind))
+                values = np.concatenate([np.asarray(p[i]) for p in parts])
+                if values.ndim == 2:  # a row of values becomes an array
+                    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel())).cast(kind)
+                made.append(values if isinstance(values, pa.Array) else pa.array(values, kind))
             return pa.RecordBatch.from_arrays(made, schema=arrow)
 
         for key, values in _series(batches, keys, columns):
@@ -75,10 +79,10 @@ def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Column
                 continue
             names.append(key)
             parts.append(part)
-            rows += len(part[0])
-            if rows >= OUT_ROWS:
+            held += sum(p.size if isinstance(p, np.ndarray) and p.ndim == 2 else len(p) for p in part)
+            if held >= OUT_VALUES:
                 yield flush()
-                names, parts, rows = [], [], 0
+                names, parts, held = [], [], 0
         if parts:
             yield flush()
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scales import wrap_to_pi
-from .frames import frame_arrays, hann
+from .frames import frame_arrays, hann, map_frames
 
 
 def fft_frequencies(df: DataFrame, bins: int, sample_rate: float) -> DataFrame:
@@ -28,11 +28,7 @@ def stft(framed: DataFrame, size: int, window: list[float] | None = None, fft_si
     The window is scaled down for integer samples instead of the samples. ``circular_shift`` moves the frame's middle
     to the start, so that phases refer to it.
     """
-    fft_size = fft_size or size
-    if fft_size < size:
-        raise ValueError("the transform is at least as long as the frame")
-    taps = np.asarray(hann(size) if window is None else window, float) / full_scale
-    bins = fft_size // 2 + (1 if include_nyquist else 0)
+    transform = _transform(size, window, fft_size, circular_shift, include_nyquist, full_scale)
     track_type = framed.schema["track"].dataType.simpleString()
 
     def run(batches):
@@ -40,23 +36,44 @@ def stft(framed: DataFrame, size: int, window: list[float] | None = None, fft_si
             count = batch.num_rows
             ks, xs = batch.column("ks"), batch.column("xs")
             lengths = np.diff(ks.offsets.to_numpy())
-            block = np.zeros((count, fft_size))
+            block = np.zeros((count, size))
             block[np.repeat(np.arange(count), lengths), ks.flatten().to_numpy()] = xs.flatten().to_numpy()
-            block[:, :size] *= taps
-            if circular_shift:
-                half = size // 2
-                moved = np.zeros_like(block)
-                moved[:, : size - half], moved[:, fft_size - half :] = block[:, half:size], block[:, :half]
-                block = moved
-            spectrum = np.fft.fft(block)[:, :bins]
-            offsets = pa.array(np.arange(0, (count + 1) * bins, bins, dtype=np.int32))
-            re, im = (pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(part).ravel())) for part in (spectrum.real, spectrum.imag))
-            yield pa.RecordBatch.from_arrays([batch.column("track"), batch.column("frame"), re, im], names=["track", "frame", "re", "im"])
+            parts = []
+            for part in transform(block).values():
+                offsets = pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32))
+                parts.append(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(part).ravel())))
+            yield pa.RecordBatch.from_arrays([batch.column("track"), batch.column("frame"), *parts], names=["track", "frame", "re", "im"])
 
     rows = frame_arrays(framed.withColumn("x", F.col("x").cast("double")))
     return rows.mapInArrow(run, f"track {track_type}, frame bigint, re array<double>, im array<double>")
 
 
+def _transform(size: int, window: list[float] | None, fft_size: int | None, circular_shift: bool, include_nyquist: bool, full_scale: float):
+    """Spectra of a block of frames, as arrays re and im."""
+    fft_size = fft_size or size
+    if fft_size < size:
+        raise ValueError("the transform is at least as long as the frame")
+    taps = np.asarray(hann(size) if window is None else window, float) / full_scale
+    bins, half = fft_size // 2 + (1 if include_nyquist else 0), size // 2
+
+    def run(block: np.ndarray) -> dict[str, np.ndarray]:
+        wide = np.zeros((len(block), fft_size))
+        if circular_shift:
+            wide[:, : size - half], wide[:, fft_size - half :] = block[:, half:] * taps[half:], block[:, :half] * taps[:half]
+        else:
+            wide[:, :size] = block * taps
+        spectrum = np.fft.fft(wide)[:, :bins]
+        return {"re": spectrum.real, "im": spectrum.imag}
+
+    return run
+
+
+def stft_of(samples: DataFrame, size: int, hop: float | None = None, *, fps: float | None = None, sample_rate: float | None = None, origin: int | str = 0, end: str = "normal", pad: float | str = 0.0, window: list[float] | None = None, fft_size: int | None = None, circular_shift: bool = False, include_nyquist: bool = False, full_scale: float = 1.0) -> DataFrame:
+    """Framing and transform in one: samples (track, n, x) to (track, frame, re array, im array)."""
+    transform = _transform(size, window, fft_size, circular_shift, include_nyquist, full_scale)
+    return map_frames(samples, size, transform, "re array<double>, im array<double>", hop, fps=fps, sample_rate=sample_rate, origin=origin, end=end, pad=pad)
+
+
 def bins_of(spectra: DataFrame) -> DataFrame:
     """Array spectra to rows (track, frame, bin, re, im)."""
     return spectra.select("track", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "_z")).select("track", "frame", F.col("bin").cast("bigint").alias("bin"), F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))

@@ -15,8 +15,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import beats, filterbanks, frames, labels, nn, onsets, sequence, spectra, tempo
+from ..operators import beats, filterbanks, labels, nn, onsets, sequence, spectra, tempo
 from ..operators import spectrogram as sg
+from ..operators.series import map_series
 from ..operators.signal import resample
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -40,8 +41,13 @@ def mono(samples: DataFrame, sample_rate: int, target: int = MODEL_RATE) -> Data
 
 def spectrogram(samples: DataFrame, sample_rate: float, size: int = 2048, fps: float = 100.0, origin: int | str = 0) -> DataFrame:
     """Magnitudes (track, frame, bin, mag)."""
-    framed = frames.frame(samples, size, fps=fps, sample_rate=sample_rate, origin=origin)
-    return spectra.magnitude(spectra.bins_of(spectra.stft(framed, size))).select("track", "frame", "bin", "mag")
+    return spectra.magnitude(spectra.bins_of(spectra.stft_of(samples, size, fps=fps, sample_rate=sample_rate, origin=origin))).select("track", "frame", "bin", "mag")
+
+
+def phases(samples: DataFrame, sample_rate: float, size: int = 2048, fps: float = 100.0) -> DataFrame:
+    """Magnitudes and phases that refer to the frames' middles: (track, frame, bin, mag, phase)."""
+    rows = spectra.bins_of(spectra.stft_of(samples, size, fps=fps, sample_rate=sample_rate, circular_shift=True))
+    return spectra.phase(spectra.magnitude(rows)).select("track", "frame", "bin", "mag", "phase")
 
 
 def log_filtered(samples: DataFrame, sample_rate: float, size: int, fps: float, per_octave: int, fmin: float = 30.0, fmax: float = 17000.0, mul: float = 1.0, add: float = 1.0, norm: bool = True) -> DataFrame:
@@ -72,12 +78,58 @@ def mel_branches(samples: DataFrame, sample_rate: float, sizes: tuple[int, ...]
     return stacked.select("track", "frame", F.col("s.mag").alias("x"))
 
 
+#: Onset functions that look at phases, bin by bin of the unfiltered spectrum.
+PHASED = ("phase_deviation", "weighted_phase_deviation", "normalized_weighted_phase_deviation", "complex_domain", "rectified_complex_domain")
+
+
+def onset_activations(samples: DataFrame, sample_rate: float, method: str = "superflux", fps: float = 100.0) -> DataFrame:
+    """A spectral onset function of samples: (track, frame, a)."""
+    bank = filterbanks.log_filterbank(samples.sparkSession, 1024, sample_rate, 24, norm=False)
+    if method in PHASED:
+        return onsets.onset_function(phases(samples, sample_rate, 2048, fps), method)
+    if method == "complex_flux":
+        delays = spectra.local_group_delay(phases(samples, sample_rate, 2048, fps))
+        spec = sg.log_compress(sg.apply_filterbank(delays, bank))
+        return onsets.complex_flux(spec, delays=delays, filterbank=bank)
+    return onsets.onset_function(sg.log_compress(sg.apply_filterbank(spectrogram(samples, sample_rate, 2048, fps), bank)), method)
+
+
 def detect_onsets(samples: DataFrame, sample_rate: float, method: str = "superflux", fps: float = 100.0, threshold: float = 1.1, **picking: float) -> DataFrame:
     """Onsets without a network: a spectral function and its peaks."""
-    bank = filterbanks.log_filterbank(samples.sparkSession, 1024, sample_rate, 24, norm=False)
-    spec = sg.log_compress(sg.apply_filterbank(spectrogram(samples, sample_rate, 2048, fps), bank))
     spans = {"pre_max": 0.01, "post_max": 0.05, "pre_avg": 0.15, "post_avg": 0.0, "combine": 0.03} | picking
-    return onsets.pick_onsets(onsets.onset_function(spec, method), fps, threshold, **spans)
+    return onsets.pick_onsets(onset_activations(samples, sample_rate, method, fps), fps, threshold, **spans)
+
+
+def onset_features(samples: DataFrame, sample_rate: float, online: bool = False, fps: float = 100.0) -> DataFrame:
+    """What the recurrent onset networks see: shorter frames where no later sample may be waited for."""
+    sizes = (512, 1024, 2048) if online else (1024, 2048, 4096)
+    return branches(samples, sample_rate, tuple((s, 6) for s in sizes), fps, 0.25, 5.0)
+
+
+def arrays_of(spec: DataFrame) -> DataFrame:
+    """Spectra as one array per frame: (track, frame, x)."""
+    rows = spec.groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("bin", "mag"))).alias("s"))
+    return rows.select("track", "frame", F.col("s.mag").alias("x"))
+
+
+def widened(width: int, networks: list[nn.Layer], value: float | None = None) -> list[nn.Layer]:
+    """Networks that shorten a clip by twice ``width``, on clips with so many more frames at both ends."""
+    return [nn.Network((nn.Pad(width, (0,), value), n)) for n in networks]
+
+
+def chord_features(samples: DataFrame, sample_rate: float, networks: list[nn.Layer]) -> DataFrame:
+    """Features of convolutional chord networks: (track, frame, x array), means over three frames and all bins.
+
+    A network maps (frames, bins) to (frames less 22, bins, features).
+    """
+    spec = arrays_of(log_filtered(samples, sample_rate, 8192, 10.0, 24, 60.0, 2600.0))
+
+    def around(x: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(x, 3, axis=0).mean((1, -1))
+
+    made = nn.run_networks(spec, [nn.Network((n, around)) for n in widened(11, networks, 0.0)])
+    rows = made.groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("unit", "x"))).alias("s"))
+    return rows.select("track", "frame", F.col("s.x").alias("x"))
 
 
 def network_activation(features: DataFrame, networks: list[nn.Layer], unit: int = 0, name: str = "a") -> DataFrame:
@@ -120,7 +172,7 @@ class Analyzer:
     def onsets(self) -> DataFrame:
         if "onsets" not in self.networks:
             return detect_onsets(self.samples, self.rate, fps=self.fps)
-        acts = network_activation(mel_branches(self.samples, self.rate, fps=self.fps), self._nets("onsets"))
+        acts = network_activation(mel_branches(self.samples, self.rate, fps=self.fps), widened(7, self._nets("onsets")))
         return onsets.pick_onsets(acts, self.fps, 0.54, 0.05, pre_max=1 / self.fps, post_max=1 / self.fps)
 
     def beats(self) -> DataFrame:
@@ -139,29 +191,27 @@ class Analyzer:
         if "chroma" not in self.networks:
             bank = filterbanks.pitch_class_filterbank(self.samples.sparkSession, 4096, self.rate)
             return sg.pitch_class_profile(spectrogram(self.samples, self.rate, 8192, 10.0), bank).select("track", "frame", F.col("bin").alias("unit"), F.col("mag").alias("x"))
-        spec = log_filtered(self.samples, self.rate, 8192, 10.0, 24, 65.0, 2100.0)
-        bands = spec.select("bin").distinct().count()
-        wide = sg.context(spec, 15, bands).groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("bin", "mag"))).alias("s"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(15 * bands - 1)), lambda i: F.coalesce(F.get(F.filter("s", lambda s: s["bin"] == i), F.lit(0))["mag"], F.lit(0.0)))
-        return self._once("chroma", lambda: nn.run_networks(wide.select("track", "frame", dense.alias("x")), self._nets("chroma")))
+        spec = arrays_of(log_filtered(self.samples, self.rate, 8192, 10.0, 24, 65.0, 2100.0))
+        return self._once("chroma", lambda: nn.run_networks(spec, [nn.Network((nn.Context(15), n)) for n in self._nets("chroma")]))
 
     def chords(self) -> DataFrame:
+        """From learned features if there are networks for them, else from chroma."""
         if self.crf is None:
             raise KeyError("chords need a conditional random field")
-        rows = self.chroma().groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("unit", "x"))).alias("s"))
-        return labels.chord_segments(sequence.crf_decode(rows.select("track", "frame", F.col("s.x").alias("x")), self.crf), 10.0)
+        if "chords" in self.networks:
+            rows = chord_features(self.samples, self.rate, self._nets("chords"))
+        else:
+            rows = arrays_of(self.chroma().withColumnsRenamed({"unit": "bin", "x": "mag"}))
+        return labels.chord_segments(sequence.crf_decode(rows, self.crf), 10.0)
 
     def key(self) -> DataFrame:
-        spec = log_filtered(self.samples, self.rate, 8192, 5.0, 24, 65.0, 2100.0)
-        rows = spec.groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("bin", "mag"))).alias("s"))
-        scores = nn.run_networks(rows.select("track", "frame", F.col("s.mag").alias("x")), self._nets("key"))
+        scores = nn.run_networks(arrays_of(log_filtered(self.samples, self.rate, 8192, 5.0, 24, 65.0, 2100.0)), self._nets("key"))
         return labels.key_labels(scores.filter("frame = 0").select("track", F.col("unit").alias("state"), F.col("x").alias("p")))
 
     def notes(self) -> DataFrame:
-        """Networks give note, onset and offset activations per pitch, three units in a row."""
-        spec = log_filtered(self.samples, self.rate, 4096, 50.0, 24, 30.0, 10000.0)
-        rows = spec.groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("bin", "mag"))).alias("s"))
-        made = nn.run_networks(rows.select("track", "frame", F.col("s.mag").alias("x")), self._nets("notes"))
+        """Networks give note, onset and offset activations per pitch, three units in a row, for frames but five at each end."""
+        rows = arrays_of(log_filtered(self.samples, self.rate, 4096, 50.0, 24, 30.0, 10000.0))
+        made = nn.run_networks(rows, widened(5, self._nets("notes")))
         kind = lambda i: F.max(F.when(F.col("unit") % 3 == i, F.col("x")))
         acts = made.groupBy("track", F.expr("unit div 3").alias("pitch"), "frame").agg(kind(0).alias("note"), kind(1).alias("onset"), kind(2).alias("offset"))
         return beats.adsr_notes(acts)
@@ -218,45 +268,33 @@ def pattern_features(samples: DataFrame, sample_rate: float, crossovers: tuple[f
 def semitone_energies(samples: DataFrame, sample_rate: int, fps: float = 50.0, fmin: float = 27.5, fmax: float = 4200.0) -> DataFrame:
     """Energy of each semitone's band per frame: (track, frame, midi, energy).
 
-    Each rate's signal is made once by resampling; a band is filtered forth and back per track, a task per track and
-    band, and its squares are summed over half-overlapping frames.
+    Each rate's signal is made once by resampling; all its bands are filtered forth and back together, and only their
+    energies in half-overlapping frames leave the task. A recording is one series, as a filter's state runs through it.
     """
     bands = filterbanks.semitone_bands(fmin, fmax)
-    kind = samples.schema["track"].dataType.simpleString()
     parts = []
     for rate in sorted({b["rate"] for b in bands}):
         mine = [b for b in bands if b["rate"] == rate]
         at_rate = samples.select("track", "n", "x") if rate == sample_rate else resample(samples, rate, sample_rate)
-        spread = at_rate.withColumn("band", F.explode(F.array(*[F.lit(i) for i in range(len(mine))])))
-        filtered = spread.groupBy("track", "band").applyInPandas(_band_filter(mine), f"track {kind}, n bigint, x double, midi int")
-        energy = filtered.select(F.struct("track", "midi").alias("track"), "n", (F.col("x") * F.col("x") / rate * 22050).alias("x"))
-        framed = frames.frame(energy, int(round(2 * rate / fps)), fps=fps, sample_rate=rate)
-        parts.append(framed.groupBy("track", "frame").agg(F.sum("x").alias("energy")).select("track.track", "frame", "track.midi", "energy"))
+        parts.append(map_series(at_rate, ["x"], _band_energies(mine, rate, fps), "frame bigint, midi int, energy double", order="n"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _band_filter(bands: list[dict]):
-    import pandas as pd
-
-    def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Direct form II transposed."""
-        order, state, out = len(a) - 1, [0.0] * (len(a)), np.empty(len(x))
-        b, a = (b / a[0]).tolist(), (a / a[0]).tolist()
-        for i, v in enumerate(x.tolist()):
-            y = b[0] * v + state[0]
-            for k in range(1, order + 1):
-                state[k - 1] = b[k] * v - a[k] * y + state[k]
-            out[i] = y
-        return out
-
-    def run(rows):
-        rows = rows.sort_values("n")
-        band = bands[int(rows.band.iloc[0])]
-        b, a, x = np.asarray(band["b"]), np.asarray(band["a"]), rows.x.to_numpy(float)
-        pad = min(len(x) - 1, 3 * len(a))
+def _band_energies(bands: list[dict], rate: int, fps: float):
+    size, hop = int(round(2 * rate / fps)), rate / fps
+    numbers = np.asarray([b["midi"] for b in bands], np.int32)
+
+    def run(c):
+        filters = filterbanks.BlockFilters([b["b"] for b in bands], [b["a"] for b in bands])
+        x = c["x"].astype(float)
+        pad = min(len(x) - 1, 3 * filters.length)
         # odd extension at both ends, filtered forth and back
         wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
-        y = filtered(b, a, filtered(b, a, wide)[::-1])[::-1][pad : pad + len(x)]
-        return pd.DataFrame({"track": rows.track, "n": rows.n, "x": y, "midi": band["midi"]})
+        y = filters(filters(np.tile(wide, (len(bands), 1)))[:, ::-1])[:, ::-1][:, pad : pad + len(x)]
+        total = np.concatenate((np.zeros((len(bands), 1)), np.cumsum(y * y, 1)), 1)
+        at = np.arange(math.ceil(len(x) / hop))
+        start = np.floor(at * hop).astype(np.int64) - size // 2
+        energy = total[:, np.clip(start + size, 0, len(x))] - total[:, np.clip(start, 0, len(x))]
+        return {"frame": np.tile(at, len(bands)), "midi": np.repeat(numbers, len(at)), "energy": np.maximum(energy, 0).ravel() / rate * 22050}
 
     return run

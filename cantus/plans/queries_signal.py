@@ -115,30 +115,30 @@ def _dft(bins: int = 8, k: str = "k", size: int = 16) -> str:
 
 @query("stft_complex", _dft() + f"SELECT track, frame, bin, {s6('re')} AS re, {s6('im')} AS im FROM tf")
 def _(spark, sf):
-    rows = spectra.bins_of(spectra.stft(frames.frame(view(spark, sf), 16, 8), 16))
+    rows = spectra.bins_of(spectra.stft_of(view(spark, sf), 16, 8))
     return rows.select("track", "frame", "bin", r6("re").alias("re"), r6("im").alias("im"))
 
 
 @query("stft_nyquist", _dft(bins=9) + f"SELECT track, frame, bin, {s6('sqrt(re * re + im * im)')} AS mag FROM tf")
 def _(spark, sf):
-    rows = spectra.magnitude(spectra.bins_of(spectra.stft(frames.frame(view(spark, sf), 16, 8), 16, include_nyquist=True)))
+    rows = spectra.magnitude(spectra.bins_of(spectra.stft_of(view(spark, sf), 16, 8, include_nyquist=True)))
     return rows.select("track", "frame", "bin", r6("mag").alias("mag"))
 
 
 @query("stft_padded", _dft(bins=16, size=32) + f"SELECT track, frame, bin, {s6('sqrt(re * re + im * im)')} AS mag FROM tf")
 def _(spark, sf):
-    rows = spectra.magnitude(spectra.bins_of(spectra.stft(frames.frame(view(spark, sf), 16, 8), 16, fft_size=32)))
+    rows = spectra.magnitude(spectra.bins_of(spectra.stft_of(view(spark, sf), 16, 8, fft_size=32)))
     return rows.select("track", "frame", "bin", r6("mag").alias("mag"))
 
 
 @query("stft_circular", _dft(k="(k - 8)") + f"SELECT track, frame, bin, {s6('re')} AS re, {s6('im')} AS im FROM tf")
 def _(spark, sf):
-    rows = spectra.bins_of(spectra.stft(frames.frame(view(spark, sf), 16, 8), 16, circular_shift=True))
+    rows = spectra.bins_of(spectra.stft_of(view(spark, sf), 16, 8, circular_shift=True))
     return rows.select("track", "frame", "bin", r6("re").alias("re"), r6("im").alias("im"))
 
 
 def _phases(spark, sf):
-    rows = spectra.bins_of(spectra.stft(frames.frame(view(spark, sf), 16, 8), 16, circular_shift=True))
+    rows = spectra.bins_of(spectra.stft_of(view(spark, sf), 16, 8, circular_shift=True))
     return spectra.phase(rows.filter("bin BETWEEN 1 AND 7"))
 
 

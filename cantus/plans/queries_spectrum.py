@@ -297,7 +297,7 @@ _CX = (
 
 
 def _complex(spark, sf):
-    rows = spectra.bins_of(spectra.stft(frames.frame(signal_view(spark, sf), 16, 8), 16, circular_shift=True)).filter("bin BETWEEN 1 AND 7")
+    rows = spectra.bins_of(spectra.stft_of(signal_view(spark, sf), 16, 8, circular_shift=True)).filter("bin BETWEEN 1 AND 7")
     return spectra.phase(spectra.magnitude(rows))
 
 
@@ -316,7 +316,7 @@ for _name, _value in (
 
 @query(
     "complex_flux",
-    _CX + ", ld AS (SELECT track, frame, bin, mag, lead(ph) OVER (PARTITION BY track, frame ORDER BY bin) - ph AS s FROM cx), la AS (SELECT track, frame, bin, mag, abs(coalesce(s - 2 * pi() * floor((s + pi()) / (2 * pi())), 0.0)) AS l FROM ld), "
+    _CX + ", ld AS (SELECT track, frame, bin, mag, lead(ph) OVER (PARTITION BY track, frame ORDER BY bin) - ph AS s FROM cx), la AS (SELECT track, frame, bin, mag, abs(coalesce(s - 2 * pi() * floor((s + pi()) / (2 * pi())), 0.0)) / pi() AS l FROM ld), "
     "l1 AS (SELECT track, frame, bin, mag, max(l) OVER (PARTITION BY track, bin ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS l FROM la), "
     "l2 AS (SELECT track, frame, bin, mag, min(l) OVER (PARTITION BY track, frame ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS l, max(mag) OVER (PARTITION BY track, frame ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM l1), "
     "l3 AS (SELECT track, frame, l * coalesce(greatest(mag - lag(m) OVER (PARTITION BY track, bin ORDER BY frame), 0.0), 0.0) AS v FROM l2) "

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from cantus.operators import nn, sequence
+from cantus.operators import frames, labels, nn, onsets, sequence, spectra
 from cantus.plans import analysis, catalog
 from cantus.sources import models, wav
 from cantus.streaming import stateful
@@ -91,15 +91,20 @@ def test_streaming_difference(spark, tmp_path):
     assert set(diffs) <= set(range(6)) and all(d == ([0.0, 0.0] if f == 0 else [2.0 * f - 1, 0.0]) or f == min(diffs) for f, d in diffs.items())
 
 
-def test_streaming_filter_and_buffer(spark, tmp_path):
-    model = sequence.Transitions.of([0, 0, 1, 1], [0, 1, 0, 1], [0.9, 0.1, 0.1, 0.9])
-    rows = [(0, f, 0 if f < 3 else 1) for f in range(6)]
-    got = drain(stateful.hmm_filter(stream_of(spark, tmp_path, rows, "track int, frame bigint, symbol int"), model, [[0.9, 0.1], [0.1, 0.9]]), spark, tmp_path, "filtered").collect()
-    assert got and all(r.state in (0, 1) for r in got)
-    values = [(0, f, float(f)) for f in range(6)]
-    (tmp_path / "b").mkdir()
-    kept = drain(stateful.ring_buffer(stream_of(spark, tmp_path / "b", values, "track int, frame bigint, a double"), 3), spark, tmp_path / "b", "kept").collect()
-    assert all(len(r.window) == 3 for r in kept)
+def test_streaming_filter_equals_the_batch_form(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    model, emit = sequence.Transitions.of([0, 0, 1, 1], [0, 1, 0, 1], [0.9, 0.1, 0.25, 0.75]), [[0.9, 0.1], [0.2, 0.8]]
+    rows = [(0, f, int(rng.integers(0, 2))) for f in range(12)]
+    schema = "track int, frame bigint, symbol int"
+    got = drain(stateful.hmm_filter(stream_of(spark, tmp_path, rows, schema, 3), model, emit), spark, tmp_path, "filtered").collect()
+    probs = {(r.frame, r.state): r.prob for r in sequence.forward_symbols(spark.createDataFrame(rows, schema), model, np.asarray(emit)).collect()}
+    assert {r.frame: r.state for r in got} == {f: int(probs[f, 1] > probs[f, 0]) for f in range(12)}
+
+
+def test_streaming_buffer_holds_the_last_values(spark, tmp_path):
+    values = [(0, f, float(f)) for f in range(7)]
+    kept = drain(stateful.ring_buffer(stream_of(spark, tmp_path, values, "track int, frame bigint, a double", 3), 4), spark, tmp_path, "kept").collect()
+    assert {r.frame: r.window for r in kept} == {last: [float(max(0, last - 3 + k)) if last - 3 + k >= 0 else 0.0 for k in range(4)] for last in (2, 5, 6)}
 
 
 def test_analyzer(spark):
@@ -117,6 +122,96 @@ def test_analyzer(spark):
             analyzer.analyze(("nothing",))
 
 
+@pytest.fixture(scope="module")
+def recording(spark):
+    """A second and a half at the models' rate: A4, silence, A4."""
+    rows = [("a", i, float(v)) for i, v in enumerate(tone(1.5, analysis.MODEL_RATE))]
+    return spark.createDataFrame(rows, "track string, n bigint, x double").repartition(2).persist()
+
+
+@pytest.mark.parametrize("method", sorted(onsets.METHODS))
+def test_onset_functions_of_samples(recording, method):
+    acts = {r.frame: r.a for r in analysis.onset_activations(recording, analysis.MODEL_RATE, method, 50.0).collect()}
+    assert sorted(acts) == list(range(75)) and all(np.isfinite(a) and a >= 0 for a in acts.values())
+    if method not in ("phase_deviation", "normalized_weighted_phase_deviation", "high_frequency_content"):
+        # apart from the beginning, the largest value is where the tone sets in again or ends
+        assert min(abs(max((f for f in acts if f > 4), key=acts.get) - edge) for edge in (25, 50, 75)) <= 3
+
+
+def test_every_task(recording):
+    mean = nn.Network((lambda v: v.mean(1, keepdims=True), nn.sigmoid))
+    pulses = lambda unit, units, period: nn.Network((lambda v: np.where((np.arange(len(v)) % period == 3)[:, None] & (np.arange(units) == unit), 0.9, 0.02),))
+    level = lambda lo, hi: (lambda n: np.where((np.arange(n) >= lo) & (np.arange(n) < hi), 0.95, 0.02))
+    played = nn.Network((lambda v: np.stack([level(20, 40)(len(v) - 10), level(20, 23)(len(v) - 10), level(40, 42)(len(v) - 10)], 1),))
+    networks = {
+        "beats": [pulses(0, 1, 25)] * 2, "downbeats": [pulses(1, 3, 25)], "key": [nn.Network((lambda v: np.eye(24)[[7]],))], "notes": [played],
+        "chroma": [nn.Network((lambda v: np.tile(np.eye(12)[9], (len(v), 1)),))], "onsets": [nn.Network((lambda v: np.where(np.abs(np.arange(len(v) - 14) - 60) < 2, 0.9, 0.01)[:, None],))],
+    }
+    crf = sequence.ConditionalRandomField(np.zeros(25), np.zeros(25), np.zeros(25), np.eye(25), np.eye(12, 25) * 5)
+    with analysis.Analyzer(recording, analysis.MODEL_RATE, networks, crf, fps=50.0) as analyzer:
+        found = {task: [tuple(r)[1:] for r in df.collect()] for task, df in analyzer.analyze(analyzer.TASKS).items()}
+        spec = {(r.frame, r.bin): r.mag for r in analysis.spectrogram(recording, analysis.MODEL_RATE, 2048, 50.0).collect()}
+    # half a tenth of a second is two frames here, whose smoothing never reaches the threshold
+    assert found["onsets"] == []
+    with analysis.Analyzer(recording, analysis.MODEL_RATE, networks) as analyzer:
+        assert [r.t for r in analyzer.onsets().collect()] == [0.6]
+    assert np.allclose(np.diff(sorted(t for (t,) in found["beats"])), 0.5, atol=0.03)
+    assert sorted(found["tempo"])[0][1] == pytest.approx(120, abs=4)
+    assert [b for _, b in sorted(found["downbeats"])] in ([1, 2, 3], [2, 3, 1], [3, 1, 2], [2, 3, 4], [3, 4, 1], [4, 1, 2], [1, 2], [2, 3])
+    assert found["key"] == [(labels.KEYS[7],)]
+    assert [(round(p), on) for p, on, _ in found["notes"]] == [(21, pytest.approx(0.4, abs=0.03))]
+    assert {(f, u) for f, u, x in found["chroma"] if x > 0.5} == {(f, 9) for f in range(15)}
+    assert [c[-1] for c in found["chords"]] == ["F#:maj"]
+    cepstra = {(f, b): x for f, b, x in found["mfcc"]}
+    # the logarithm of silence is not finite
+    assert len(cepstra) == 75 * 30 and all(np.isfinite(x) == (not 27 <= f <= 48) for (f, _), x in cepstra.items())
+    parts = {}
+    for frame, bin_, *values in found["hpss"]:
+        parts[frame, bin_] = values
+    assert set(parts) == set(spec) and all(any(abs(v - spec[k]) < 1e-9 for v in values) for k, values in parts.items())
+    assert analysis.Analyzer(recording, analysis.MODEL_RATE).chroma().filter("x > 0").count() > 0
+    assert analysis.network_activation(analysis.onset_features(recording, analysis.MODEL_RATE, online=True, fps=10.0), [mean]).count() == 15
+
+
+def test_chord_features_average_three_frames_and_all_bins(recording):
+    network = nn.Network((lambda v: np.stack([v[11:-11], 2 * v[11:-11]], -1),))
+    got = analysis.chord_features(recording, analysis.MODEL_RATE, [network]).orderBy("frame").collect()
+    spec = np.stack([r.x for r in analysis.arrays_of(analysis.log_filtered(recording, analysis.MODEL_RATE, 8192, 10.0, 24, 60.0, 2600.0)).orderBy("frame").collect()])
+    want = [spec[i : i + 3].mean() for i in range(len(spec) - 2)]
+    assert np.allclose([r.x for r in got], [(w, 2 * w) for w in want])
+
+
+def test_frames_and_padding(spark):
+    x = np.arange(1.0, 41.0)
+    table = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "track string, n bigint, x double")
+    for size, hop, origin, pad in ((8, 3, 0, 0.0), (8, 2.5, "right", 7.0), (6, 4, "left", "repeat"), (10, 5, 0, "repeat")):
+        got = frames.map_frames(table, size, lambda block: {"x": block}, "x array<double>", hop, origin=origin, pad=pad).orderBy("frame").collect()
+        before = size // 2 + frames.origin_of(origin, size)
+        at = lambda n: x[n] if 0 <= n < 40 else (x[0] if n < 0 else x[-1]) if pad == "repeat" else pad  # noqa: E731, B023
+        assert [r.x for r in got] == [[at(int(f * hop) - before + k) for k in range(size)] for f in range(int(np.ceil(40 / hop)))]
+
+
+def test_transform_of_many_runs(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=300)
+    table = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "track string, n bigint, x double")
+    rows = lambda df: [(r.frame, np.asarray(r.re), np.asarray(r.im)) for r in df.orderBy("frame").collect()]
+    want = rows(spectra.stft(frames.frame(table, 16, 5), 16, circular_shift=True, fft_size=32))
+    monkeypatch.setattr(frames, "RUN", 4)
+    got = rows(spectra.stft_of(table, 16, 5, circular_shift=True, fft_size=32))
+    assert len(got) == len(want) == 60 and all(a == b and np.allclose(p, q) and np.allclose(s, t) for (a, p, s), (b, q, t) in zip(got, want))
+
+
+def test_block_filters_equal_their_recursion():
+    bands = analysis.filterbanks.semitone_bands()[20:26]
+    x = np.random.default_rng(2).normal(size=(6, 333))
+    got = analysis.filterbanks.BlockFilters([b["b"] for b in bands], [b["a"] for b in bands])(x)
+    for band, row, y in zip(bands, x, got):
+        b, a, want = np.asarray(band["b"]), np.asarray(band["a"]), []
+        for i in range(len(row)):
+            want.append((sum(b[k] * row[i - k] for k in range(len(b)) if i >= k) - sum(a[k] * want[i - k] for k in range(1, len(a)) if i >= k)) / a[0])
+        assert np.allclose(y, want, atol=1e-8)
+
+
 def test_bar_activations(spark):
     rate, x = 8000, tone(2.0, 8000)
     rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "track string, n bigint, x double")
