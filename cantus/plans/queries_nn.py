@@ -80,9 +80,9 @@ def _(spark, sf):
     return nn.stride_blocks(image_of(spark, sf), 3, 64).withColumn("x", r6("x"))
 
 
-@query("transpose_reshape", S + f"SELECT track, (bin * 1000 + frame) // 50 AS frame, (bin * 1000 + frame) % 50 AS bin, {s6('mag')} AS x FROM spec")
+@query("transpose_reshape", S + f"SELECT track, (bin * 1000000 + frame) // 50 AS frame, (bin * 1000000 + frame) % 50 AS bin, {s6('mag')} AS x FROM spec")
 def _(spark, sf):
-    return nn.reshape(nn.transpose(image_of(spark, sf)), 1000, 50).withColumn("x", r6("x"))
+    return nn.reshape(nn.transpose(image_of(spark, sf)), 1_000_000, 50).withColumn("x", r6("x"))
 
 
 @query("ensemble_average", S + f", o AS (SELECT track, frame, j, m, sum(mag * (((bin * 7 + j * 13 + m * 3) % 11 - 5) / 10.0::DOUBLE)) AS x FROM spec, range(0, 4) t(j), range(0, 3) u(m) GROUP BY 1, 2, 3, 4) SELECT track, frame, j AS unit, {s6('avg(x)')} AS x FROM o GROUP BY 1, 2, 3")
@@ -91,27 +91,27 @@ def _(spark, sf):
     return nn.run_networks(arrays_of(spark, sf, 64), networks).withColumn("x", r6("x"))
 
 
-def _in(salt: int, unit: int, source: str = "i") -> str:
-    return " + ".join(f"{source}.x{k} * {float(weights(3, 2, salt)[k, unit])}" for k in range(3))
+def _in(salt: int, unit: int) -> str:
+    return f"i.a{salt}_{unit}"
 
 
 def _rec(salt: int, unit: int) -> str:
     return " + ".join(f"p.h{k} * {float(weights(2, 2, salt)[k, unit])}" for k in range(2))
 
 
-_INPUT = "i AS (SELECT track, frame, max(CASE WHEN bin = 0 THEN mag END) AS x0, max(CASE WHEN bin = 1 THEN mag END) AS x1, max(CASE WHEN bin = 2 THEN mag END) AS x2 FROM spec WHERE bin < 3 GROUP BY 1, 2)"
+_INPUT = "i AS (SELECT track, frame, " + ", ".join(f"sum(mag * {formula('bin', str(u), k)}) AS a{k}_{u}" for k in (0, 2, 4, 6) for u in (0, 1)) + " FROM spec GROUP BY 1, 2)"
 _START = "SELECT DISTINCT track, -1::BIGINT AS frame, 0.0::DOUBLE AS h0, 0.0::DOUBLE AS h1"
 _STEP = "FROM p JOIN i ON i.track = p.track AND i.frame = p.frame + 1"
 _UNITS = f"SELECT track, frame, 0::BIGINT AS unit, {s6('h0')} AS x FROM p WHERE frame >= 0 UNION ALL SELECT track, frame, 1, {s6('h1')} FROM p WHERE frame >= 0"
 
 
-def _layer(salt: int, inputs: int = 3):
+def _layer(salt: int, inputs: int = 64):
     return weights(inputs, 2, salt), np.array([0.1, -0.1]), weights(2, 2, salt + 1)
 
 
 @query("rnn", RS + f"{_INPUT}, p(track, frame, h0, h1) AS ({_START} FROM i UNION ALL SELECT i.track, i.frame, " + ", ".join(f"tanh({_in(0, u)} + {b} + {_rec(1, u)})" for u, b in ((0, 0.1), (1, -0.1))) + f" {_STEP}) {_UNITS}")
 def _(spark, sf):
-    return nn.run_networks(arrays_of(spark, sf, 3), [nn.Recurrent(*_layer(0))]).withColumn("x", r6("x"))
+    return nn.run_networks(arrays_of(spark, sf, 64), [nn.Recurrent(*_layer(0))]).withColumn("x", r6("x"))
 
 
 _SIG = "(1 / (1 + exp(-({}))))"
@@ -128,7 +128,7 @@ def _gru_sql() -> str:
 
 @query("gru", _gru_sql())
 def _(spark, sf):
-    return nn.run_networks(arrays_of(spark, sf, 3), [nn.Gru(_layer(0), _layer(2), _layer(4))]).withColumn("x", r6("x"))
+    return nn.run_networks(arrays_of(spark, sf, 64), [nn.Gru(_layer(0), _layer(2), _layer(4))]).withColumn("x", r6("x"))
 
 
 def _lstm_sql() -> str:
@@ -144,17 +144,31 @@ def _lstm_sql() -> str:
 def _(spark, sf):
     peep = (np.full(2, 0.3), np.full(2, 0.2), None, np.full(2, -0.4))
     gates = tuple((*_layer(2 * g), peep[g]) for g in range(4))
-    return nn.run_networks(arrays_of(spark, sf, 3), [nn.Lstm(gates)]).withColumn("x", r6("x"))
+    return nn.run_networks(arrays_of(spark, sf, 64), [nn.Lstm(gates)]).withColumn("x", r6("x"))
 
 
-@query("bidirectional_rnn")
-def _(spark, sf):
-    return nn.run_networks(arrays_of(spark, sf, 64), [nn.Bidirectional(nn.Recurrent(*_layer(0, 64)), nn.Recurrent(*_layer(2, 64)))])
+def _tanh_units(salt: int, name: str) -> str:
+    return ", ".join(f"tanh({_in(salt, u)} + {b} + {_rec(salt + 1, u).replace('p.', name + '.')})" for u, b in ((0, 0.1), (1, -0.1)))
 
 
-@query("convolutional_network")
+@query(
+    "bidirectional_rnn",
+    RS + f"{_INPUT}, p(track, frame, h0, h1) AS ({_START} FROM i UNION ALL SELECT i.track, i.frame, {_tanh_units(0, 'p')} {_STEP}), "
+    f"q(track, frame, h0, h1) AS (SELECT track, max(frame) + 1, 0.0::DOUBLE, 0.0::DOUBLE FROM i GROUP BY 1 UNION ALL SELECT i.track, i.frame, {_tanh_units(2, 'q')} FROM q JOIN i ON i.track = q.track AND i.frame = q.frame - 1) "
+    f"{_UNITS} UNION ALL SELECT q.track, q.frame, u + 2, {s6('CASE WHEN u = 0 THEN q.h0 ELSE q.h1 END')} FROM q JOIN i ON i.track = q.track AND i.frame = q.frame, range(0, 2) t(u)",
+)
 def _(spark, sf):
-    network = nn.Network((nn.BatchNorm(0.0, 1.0, 0.1, 2.0), nn.Conv(np.stack([np.stack([weights(3, 3, o) for o in range(4)])]), np.zeros(4), nn.elu), nn.MaxPool((1, 2)), nn.Conv(np.stack([np.stack([weights(3, 3, c + o) for o in range(2)]) for c in range(4)]), np.zeros(2), nn.relu, "same"), lambda x: x.mean((0, 1), keepdims=True), nn.softmax))
-    return nn.run_networks(arrays_of(spark, sf, 64), [network])
+    return nn.run_networks(arrays_of(spark, sf, 64), [nn.Bidirectional(nn.Recurrent(*_layer(0)), nn.Recurrent(*_layer(2)))]).withColumn("x", r6("x"))
 
 
+@query(
+    "convolutional_network",
+    S + f", c1 AS (SELECT track, frame - i AS frame, bin - j AS bin, o, sum((mag - 0.1) * 2.0 * (((2 - i) * 7 + (2 - j) * 13 + o * 3) % 11 - 5) / 10.0::DOUBLE) AS x FROM spec, range(0, 3) a(i), range(0, 3) b(j), range(0, 4) c(o) GROUP BY 1, 2, 3, 4 HAVING count(*) = 9), "
+    "pl AS (SELECT track, frame, bin // 2 AS bin, o AS c, max(CASE WHEN x < 0 THEN exp(x) - 1 ELSE x END) AS x FROM c1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 2), "
+    "pg AS (SELECT DISTINCT track, frame, bin FROM pl), "
+    "c2 AS (SELECT pg.track, pg.frame, pg.bin, r.o, sum(x * r.w) AS x FROM (SELECT track, frame + 1 - i AS frame, bin + 1 - j AS bin, o, (((2 - i) * 7 + (2 - j) * 13 + (c + o) * 3) % 11 - 5) / 10.0::DOUBLE AS w, x FROM pl, range(0, 3) a(i), range(0, 3) b(j), range(0, 2) d(o)) r JOIN pg ON pg.track = r.track AND pg.frame = r.frame AND pg.bin = r.bin GROUP BY 1, 2, 3, 4), "
+    f"mn AS (SELECT track, o, avg(greatest(x, 0)) AS x FROM c2 GROUP BY 1, 2) SELECT track, 0::BIGINT AS frame, o AS unit, {s6('exp(x) / sum(exp(x)) OVER (PARTITION BY track)')} AS x FROM mn",
+)
+def _(spark, sf):
+    network = nn.Network((nn.BatchNorm(0.0, 1.0, 0.1, 2.0), nn.Conv(np.stack([np.stack([weights(3, 3, o) for o in range(4)])]), np.zeros(4), nn.elu), nn.MaxPool((1, 2)), nn.Conv(np.stack([np.stack([weights(3, 3, c + o) for o in range(2)]) for c in range(4)]), np.zeros(2), nn.relu, "same"), lambda x: x.mean((0, 1), keepdims=True), nn.softmax))
+    return nn.run_networks(arrays_of(spark, sf, 64), [network]).withColumn("x", r6("x"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import frames, signal, spectra
@@ -154,3 +156,22 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return spectra.local_group_delay(_phases(spark, sf)).select("track", "frame", "bin", r6("lgd").alias("lgd"))
+
+
+def _resampling_taps(up: int, down: int, half_width: int = 10, beta: float = 5.0) -> list[float]:
+    """Kaiser-windowed sinc, from the window's series."""
+    bessel = lambda x: sum((x / 2) ** (2 * k) / math.factorial(k) ** 2 for k in range(40))
+    reach = half_width * max(up, down)
+    sinc = lambda x: math.sin(math.pi * x) / (math.pi * x) if x else 1.0
+    raw = [sinc(t / max(up, down)) * bessel(beta * math.sqrt(1 - (t / reach) ** 2)) / bessel(beta) for t in range(-reach, reach + 1)]
+    return [v * up / sum(raw) for v in raw]
+
+
+@query(
+    "resample",
+    f"WITH {SIGNAL}, tp(tap, h) AS (SELECT tap, h::DOUBLE FROM (VALUES {', '.join(str((i, f'{h:.17g}')) for i, h in enumerate(_resampling_taps(2, 3)))}) t(tap, h)), "
+    "sz AS (SELECT track, (count(*) * 2) // 3 AS size FROM sig GROUP BY 1) "
+    f"SELECT sig.track, (n * 2 + tap - 30) // 3 AS n, {s6('sum(x * h)')} AS x FROM sig JOIN sz ON sz.track = sig.track JOIN tp ON n * 2 + tap >= 30 AND (n * 2 + tap - 30) % 3 = 0 AND (n * 2 + tap - 30) // 3 < size GROUP BY 1, 2",
+)
+def _(spark, sf):
+    return signal.resample(view(spark, sf).withColumn("x", F.col("x").cast("double")), 2, 3).withColumn("x", r6("x"))
