@@ -29,14 +29,27 @@ def weight_table(spark: SparkSession, weights: Array, names: tuple[str, ...]) ->
     return spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names) + ", w double")
 
 
+#: Outputs up to which a layer is one aggregation with a sum for each.
+SUMS = 32
+
+
 def dense(rows: DataFrame, weights: Array, bias: Array, activation: Callable[[Column], Column] | None = None) -> DataFrame:
-    """x W + b over units."""
+    """x W + b over units.
+
+    Few outputs are sums of one aggregation, combined before the shuffle; a layer with more of them meets its weights in
+    a broadcast join, whose size the layer fixes.
+    """
+    act = activation or (lambda x: x)
+    if len(bias) <= SUMS:
+        at = lambda j: F.get(F.array(*[F.lit(float(w)) for w in np.asarray(weights)[:, j]]), F.col("unit").cast("int"))
+        sums = rows.groupBy("track", "frame").agg(*[F.sum(F.col("x") * at(j)).alias(f"_{j}") for j in range(len(bias))])
+        made = F.array(*[act(F.col(f"_{j}") + float(b)) for j, b in enumerate(bias)])
+        return sums.select("track", "frame", F.posexplode(made).alias("unit", "x")).withColumn("unit", F.col("unit").cast("bigint"))
     spark = rows.sparkSession
     table = weight_table(spark, weights, ("unit", "out"))
     biases = spark.createDataFrame([(j, float(b)) for j, b in enumerate(bias)], "out bigint, b double")
     summed = rows.join(F.broadcast(table), "unit").groupBy("track", "frame", "out").agg(F.sum(F.col("x") * F.col("w")).alias("_s"))
-    x = F.col("_s") + F.col("b")
-    return summed.join(F.broadcast(biases), "out").select("track", "frame", F.col("out").alias("unit"), (activation(x) if activation else x).alias("x"))
+    return summed.join(F.broadcast(biases), "out").select("track", "frame", F.col("out").alias("unit"), act(F.col("_s") + F.col("b")).alias("x"))
 
 
 def batch_norm(rows: DataFrame, beta: float, gamma: float, mean: float, inv_std: float, activation: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -390,6 +390,9 @@ def test_layers_equal_joins(spark):
     rows = spark.createDataFrame([(0, f, u, float(x[f, u])) for f in range(5) for u in range(4)], "track int, frame bigint, unit bigint, x double")
     got = [r.x for r in nn.dense(rows, w, b).orderBy("frame", "unit").collect()]
     assert np.allclose(got, nn.Dense(w, b)(x).ravel())
+    wide, bias = rng.normal(size=(4, nn.SUMS + 1)), rng.normal(size=nn.SUMS + 1)
+    got = [r.x for r in nn.dense(rows, wide, bias).orderBy("frame", "unit").collect()]
+    assert np.allclose(got, nn.Dense(wide, bias)(x).ravel())
     kernel = rng.normal(size=(2, 3))
     image = rows.withColumnRenamed("unit", "bin")
     got = [r.x for r in nn.convolve(image, kernel).orderBy("frame", "bin").collect()]
