@@ -2,8 +2,8 @@
 
 A file is a sequence of blocks. A block codes the ids of consecutive documents as 64-bit words: the top four bits
 select how many ids share the word and their width; an id too wide for any shared word has one of its own (the
-escape). A block carries its documents' ids and lengths and the id count before each word group, so any part of it can
-be decoded with array operations. Blocks are rows of Parquet files that Spark writes and commits; files are ranges of
+escape). A block carries its documents' ids and lengths, the file's ids before it and its ids before each word group, so any
+part of it can be decoded with array operations. Blocks are rows of Parquet files that Spark writes and commits; files are ranges of
 document ids, so a file's place in the whole follows from the files' totals alone.
 """
 
@@ -22,13 +22,22 @@ COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
 WIDTHS = tuple(60 // n for n in COUNTS)
 #: Ids after which a block is closed (a longer document has a block of its own), words between two offsets, and ids
 #: that are decoded at a time.
-BLOCK_IDS, STRIDE, RUN_IDS = 1 << 16, 256, 1 << 14
+BLOCK_IDS, STRIDE, RUN_IDS = 1 << 16, 256, 1 << 16
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     return np.frexp(ids.astype(np.float64))[1].astype(np.int8)  # exact under 2**53
 
 
+def _in_a_row(small: np.ndarray, count: int) -> np.ndarray:
+    """Where ``count`` true values begin, by doubling the length that is known."""
+    known = 1
+    while 2 * known <= count:
+        small, known = small[:-known] & small[known:], 2 * known
+    rest = count - known
+    return small[:-rest] & small[rest:] if rest else small
+
+
 def encode_words(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of unsigned ids below 2**53: each takes the longest run that fits."""
     n = len(ids)
@@ -39,9 +48,7 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
         count, width = COUNTS[selector], WIDTHS[selector]
         if count > n:
             continue
-        wide = np.concatenate(([0], np.cumsum(bits > width)))
-        fits = wide[count:] == wide[:-count]
-        best[: n - count + 1][fits] = selector
+        np.copyto(best[: n - count + 1], selector, where=_in_a_row(bits <= width, count))
     starts, at, counts = [], 0, [COUNTS[s] for s in range(len(COUNTS))]
     chosen = best.tolist()
     while at < n:
@@ -79,16 +86,16 @@ def decode_slice(words: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np
     return decode_words(words[a * STRIDE : b * STRIDE])[lo - base : hi - base]
 
 
-def _block(file: int, number: int, docs: list, parts: list[bytes]) -> tuple:
+def _block(file: int, number: int, before: int, docs: list, parts: list[bytes]) -> tuple:
     ids = np.frombuffer(b"".join(parts), "<u4")
     words = encode_words(ids)
     ends = np.cumsum(np.asarray(COUNTS)[(words >> np.uint64(60)).astype(np.int64)])
     offsets = np.concatenate(([0], ends[STRIDE - 1 :: STRIDE]))[: -(-len(words) // STRIDE)].astype("<u4")
-    return file, number, docs, [len(p) // 4 for p in parts], len(ids), offsets.tobytes(), words.tobytes()
+    return file, number, before, docs, [len(p) // 4 for p in parts], len(ids), offsets.tobytes(), words.tobytes()
 
 
-_BLOCK = "file bigint, block bigint, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, offsets binary, words binary"
-_BLOCK_ARROW = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("offsets", pa.binary()), ("words", pa.binary())])
+_BLOCK = "file bigint, block bigint, before bigint, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, offsets binary, words binary"
+_BLOCK_ARROW = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("offsets", pa.binary()), ("words", pa.binary())])
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 64 << 20, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -108,7 +115,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, file, number, names, parts, held = worker_encoder(shared), TaskContext.get().partitionId(), 0, [], [], 0
+        encoder, file, number, before, names, parts, held = worker_encoder(shared), TaskContext.get().partitionId(), 0, 0, [], [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -117,22 +124,21 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_
                     parts.append(ids + end)
                     held += len(ids) // 4 + 1
                     if held >= block_ids:
-                        yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK_ARROW.names, _block(file, number, names, parts)))], _BLOCK_ARROW)
-                        number, names, parts, held = number + 1, [], [], 0
+                        yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK_ARROW.names, _block(file, number, before, names, parts)))], _BLOCK_ARROW)
+                        number, before, names, parts, held = number + 1, before + held, [], [], 0
         if names:
-            yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK_ARROW.names, _block(file, number, names, parts)))], _BLOCK_ARROW)
+            yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK_ARROW.names, _block(file, number, before, names, parts)))], _BLOCK_ARROW)
 
     return written(ordered.mapInArrow(run, _BLOCK), "token-files")
 
 
 def read_token_files(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents of the files: id, start (ids before it in all files), n_tokens, ids (binary)."""
-    # one row per file, then one per block of a file: only totals are summed in order
+    # one row per file, which is some 64 MB of text: only their totals are summed in order; written, so that its size
+    # is known and decides between a broadcast and a shuffle
     files = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
-    bases = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_base"))
-    within = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = blocks.select("file", "block", "n_ids").withColumn("block_base", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).drop("n_ids").join(bases, "file")
-    placed = blocks.join(places, ["file", "block"]).select((F.col("file_base") + F.col("block_base")).alias("base"), "doc_ids", "lengths", "offsets", "words")
+    bases = written(files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "file-bases")
+    placed = blocks.join(bases, "file").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "lengths", "offsets", "words")
 
     def run(batches):
         for batch in batches:
