@@ -147,7 +147,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """Encode whole texts; decode the ids again.
 
     Returns per row: ``id_col``, ids (binary, little-endian unsigned 32-bit), n_tokens, decoded (binary; null without
-    ``roundtrip``). A null text counts as empty and has no ids; ids may be null or repeated, other columns are ignored.
+    ``roundtrip``). A null text counts as empty and has no ids; ids may be null or repeated, other columns are ignored;
+    an empty table gives no rows.
     """
     shared = Shared(docs.sparkSession, PerfectHash(load_ranks(ranks_path)))
 

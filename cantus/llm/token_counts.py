@@ -19,6 +19,8 @@ from .common import Shared, text_of
 
 #: Distinct pre-tokens whose counts a worker remembers before it starts over.
 MEMO = 1 << 19
+#: Bytes of a pre-token that the trie holds; what a longer one has beyond them is scored without being inserted.
+DEEP = 1 << 12
 
 
 def unigram_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:
@@ -48,22 +50,26 @@ class Trie:
             node = child
             path.append(node)
         scores, longest = self.scores, self.longest
+        recent = [forward[at] for at in path[-longest:]]
         for i in range(len(path), n + 1):
-            best = None
-            for j in range(max(0, i - longest), i):
+            best, low = None, i - len(recent)
+            for j in range(low, i):
                 if (s := scores.get(piece[j:i])) is None:
                     if j != i - 1:
                         continue
                     s = self.unknown
-                before = forward[path[j]]
+                before = recent[j - low]
                 candidate = (before[0] + s, before[1] - 1)
                 if best is None or candidate > best:
                     best = candidate
-            children[node][piece[i - 1]] = node = len(children)
-            children.append({})
-            forward.append(best)
-            path.append(node)
-        return -forward[node][1]
+            recent.append(best)
+            if len(recent) > longest:
+                del recent[0]
+            if i <= DEEP:
+                children[node][piece[i - 1]] = node = len(children)
+                children.append({})
+                forward.append(best)
+        return -recent[-1][1]
 
 
 class Counter:
@@ -89,7 +95,8 @@ _COUNTERS: dict[str, Counter] = {}
 def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_bytes, n_pretokens, n_tokens of the whole text.
 
-    Null texts count as empty (all zero); ids may be null or repeated; other columns are ignored.
+    Null texts count as empty (all zero); ids may be null or repeated, and repeated rows are counted alike; other columns
+    are ignored; an empty table gives no rows. A pre-token may have any length.
     """
     shared = Shared(docs.sparkSession, unigram_scores(load_ranks(ranks_path)))  # a vocabulary file of fixed size
 

@@ -2,9 +2,9 @@
 
 A file is a sequence of blocks. A block codes the ids of consecutive documents as 64-bit words: the top four bits
 select how many ids share the word and their width; an id too wide for any shared word has one of its own (the
-escape). A block carries its documents' ids and lengths, the file's ids before it and its ids before each word group, so any
-part of it can be decoded with array operations. Blocks are rows of Parquet files that Spark writes and commits; files are ranges of
-document ids, so a file's place in the whole follows from the files' totals alone.
+escape). A block carries its documents' ids and lengths, the file's ids before it and its ids before each word group, so
+any part of it can be decoded with array operations. Blocks are rows of Parquet files that Spark writes and commits;
+files are ranges of document ids, so a file's place in the whole follows from the files' totals alone.
 """
 
 from __future__ import annotations

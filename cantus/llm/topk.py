@@ -81,7 +81,7 @@ def maxscore_topk(items: DataFrame, queries: DataFrame, k: int, block_queries: i
     Both frames hold id (bigint) and vector (array<bigint>). Rows without id or with a null vector or component take no
     part; only vectors of a query's length are its candidates; items with the query's id are its own. Rows with the same
     id and vector are one item, and of queries with the same id the first vector in order holds.
-    Returns query_id, rank (from 1), vec_id, score; fewer than k where there are fewer items.
+    Returns query_id, rank (from 1), vec_id, score; fewer than k where there are fewer items, and none for empty tables.
     """
     spark = items.sparkSession
     whole = "id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)"

@@ -262,6 +262,41 @@ def test_token_counts_equal_plain_dynamic_programming(docs):
     assert sorted((r.n_bytes, r.n_pretokens, r.n_tokens) for r in got) == want
 
 
+def test_long_pre_tokens_are_scored_beyond_the_trie(monkeypatch):
+    rng = random.Random(9)
+    scores = {t: -rng.randint(1, 90) for t in (b"a", b"b", b"ab", b"ba", b"abb", b"bbbb", b"abab")}
+    pieces = [bytes(rng.choice(b"abz") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    whole = token_counts.Trie(scores)
+    want = [whole.count(p) for p in pieces]
+    monkeypatch.setattr(token_counts, "DEEP", 5)
+    short = token_counts.Trie(scores)
+    assert [short.count(p) for p in pieces] == want and len(short.children) < len(whole.children) / 3
+
+
+def test_empty_tables_of_the_other_operators(empty, spark):
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    assert token_counts.token_counts(empty, path, public_tokenizers.PATTERN).count() == 0
+    assert byte_bpe.digests(empty, path, public_tokenizers.PATTERN).count() == 0
+    items = spark.createDataFrame([], "id bigint, vector array<bigint>")
+    assert topk.maxscore_topk(items, items, 3).count() == 0
+    assert toxicity.toxicity(empty, spark.createDataFrame([], "doc_id bigint, toxic int")).count() == 0
+    assert chat.conversation_digests(chat.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))).count() == 0
+
+
+def test_one_word_of_a_megabyte(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghij") for _ in range(1 << 20))
+    docs = spark.createDataFrame([(1, word), (1, word), (2, word[:100])], "doc_id bigint, text string")
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    counts = token_counts.token_counts(docs, path, public_tokenizers.PATTERN).collect()
+    assert sorted(r.n_bytes for r in counts) == [100, 1 << 20, 1 << 20] and all(r.n_pretokens == 1 for r in counts)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    got = {r.doc_id: r for r in byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()}
+    assert bytes(got[1].decoded) == word.encode() and bytes(got[2].ids) == np.asarray(library.encode_ordinary(word[:100]), "<u4").tobytes()
+    assert {r.kept for r in near_dedup.near_duplicates(docs).collect() if r.doc_id == 2} == {True}
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 59, 60, 61, 5000):
@@ -271,7 +306,7 @@ def test_simple8b_round_trip():
             words = token_files.encode_words(ids)
             assert np.array_equal(token_files.decode_words(words), ids)
     ids = rng.integers(0, 50_000, 9000).astype("<u4")
-    _, _, _, _, n, offsets, words = token_files._block(0, 0, [1], [ids.tobytes()])
+    _, _, _, _, n, offsets, words = token_files._block(0, 0, 0, [1], [ids.tobytes()])
     part = token_files.decode_slice(np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4"), 4321, 6789)
     assert n == 9000 and np.array_equal(part, ids[4321:6789])
 
