@@ -306,7 +306,7 @@ def test_simple8b_round_trip():
             words = token_files.encode_words(ids)
             assert np.array_equal(token_files.decode_words(words), ids)
     ids = rng.integers(0, 50_000, 9000).astype("<u4")
-    _, _, _, _, n, offsets, words = token_files._block(0, 0, 0, [1], [ids.tobytes()])
+    _, _, _, _, _, n, offsets, words = token_files._block(0, 0, 0, [1], [ids.tobytes()])
     part = token_files.decode_slice(np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4"), 4321, 6789)
     assert n == 9000 and np.array_equal(part, ids[4321:6789])
 
