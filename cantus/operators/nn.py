@@ -1,14 +1,16 @@
 """Neural-network inference.
 
 Two forms. Feed-forward layers are joins with weight tables over rows (track, frame, unit, x) or, for images,
-(track, frame, bin, ch, x). Networks with recurrences or stacks of convolutions run per track as array functions,
-spread over tracks and models; ensembles are averaged by Spark.
+(track, frame, bin, ch, x). Whole networks are array functions. Where every layer has a ``reach``, the frames before and
+after that an output depends on, a clip is run in blocks of frames and its length is no limit; networks with recurrences
+need whole clips and are spread over tracks and models.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,10 @@ from .series import map_series
 
 Array = np.ndarray
 Layer = Callable[[Array], Array]
+#: Frames before and after; negative where a layer moves its input on.
+Reach = tuple[int, int]
+#: Frames whose outputs a task makes at a time where a network allows it.
+BLOCK = 1024
 
 
 # --- layers as joins ------------------------------------------------------------------------------------------------
@@ -137,6 +143,7 @@ class Dense:
     weights: Array
     bias: Array
     activation: Layer | None = None
+    reach = (0, 0)
 
     def __call__(self, x: Array) -> Array:
         y = x @ self.weights + self.bias
@@ -225,6 +232,12 @@ class Conv:
     pad: str = "valid"
     stride: tuple[int, int] = (1, 1)
 
+    @property
+    def reach(self) -> Reach | None:
+        h = self.weights.shape[2]
+        before = h // 2 if self.pad == "same" else 0
+        return (before, h - 1 - before) if self.stride[0] == 1 else None
+
     def __call__(self, x: Array) -> Array:
         x = x[..., None] if x.ndim == 2 else x
         h, w = self.weights.shape[2:]
@@ -245,6 +258,12 @@ class MaxPool:
     stride: tuple[int, int] | None = None
     axis: int | None = None
 
+    @property
+    def reach(self) -> Reach | None:
+        if self.axis is not None:
+            return (0, 0) if self.axis > 0 else None
+        return (0, self.size[0] - 1) if (self.stride or self.size)[0] == 1 else None
+
     def __call__(self, x: Array) -> Array:
         if self.axis is not None:
             return x.max(self.axis)
@@ -261,6 +280,12 @@ class Pad:
     axes: tuple[int, ...] = (0,)
     value: float | None = 0.0
 
+    @property
+    def reach(self) -> Reach | None:
+        if min(self.axes, default=0) < 0:
+            return None
+        return (self.width, -self.width) if 0 in self.axes else (0, 0)
+
     def __call__(self, x: Array) -> Array:
         widths = [(self.width, self.width) if axis in self.axes else (0, 0) for axis in range(x.ndim)]
         return np.pad(x, widths, mode="edge") if self.value is None else np.pad(x, widths, constant_values=self.value)
@@ -272,6 +297,10 @@ class Context:
 
     frames: int
 
+    @property
+    def reach(self) -> Reach:
+        return self.frames // 2, self.frames - 1 - self.frames // 2
+
     def __call__(self, x: Array) -> Array:
         before = self.frames // 2
         wide = np.pad(x, ((before, self.frames - 1 - before), (0, 0)))
@@ -285,28 +314,71 @@ class BatchNorm:
     mean: Array
     inv_std: Array
     activation: Layer | None = None
+    reach = (0, 0)
 
     def __call__(self, x: Array) -> Array:
         y = (x - self.mean) * (self.gamma * self.inv_std) + self.beta
         return self.activation(y) if self.activation else y
 
 
+@dataclass(frozen=True)
+class Means:
+    """Means over runs of ``frames`` frames and over whole other axes."""
+
+    frames: int = 1
+    axes: tuple[int, ...] = (1,)
+
+    @property
+    def reach(self) -> Reach:
+        return 0, self.frames - 1
+
+    def __call__(self, x: Array) -> Array:
+        return np.lib.stride_tricks.sliding_window_view(x.mean(self.axes), self.frames, axis=0).mean(-1)
+
+
 @dataclass(frozen=True)
 class Network:
     layers: tuple[Layer, ...]
 
+    @property
+    def reach(self) -> Reach | None:
+        """Sum of the layers' reaches; None where one of them has none."""
+        all_of = [getattr(layer, "reach", None) for layer in self.layers]
+        return None if None in all_of else (sum(r[0] for r in all_of), sum(r[1] for r in all_of))
+
     def __call__(self, x: Array) -> Array:
         for layer in self.layers:
             x = layer(x)
         return x
 
 
-def run_networks(features: DataFrame, networks: list[Layer]) -> DataFrame:
+@dataclass(frozen=True)
+class Pooled:
+    """Scores of a whole clip: ``head`` of the mean of the body's outputs over frames."""
+
+    body: Layer
+    head: Layer
+
+    def __call__(self, x: Array) -> Array:
+        out = np.asarray(self.body(x))
+        return self.head(out.reshape(len(out), -1).mean(0, keepdims=True))
+
+
+_OUTPUTS = "frame bigint, unit bigint, x double"
+
+
+def run_networks(features: DataFrame, networks: list[Layer], block: int | None = None) -> DataFrame:
     """Outputs of an ensemble on features (track, frame, x array): (track, frame, unit, x), the mean over networks.
 
-    A track and a network are one series, so a task holds one clip at a time and runs one network. The outputs of a
-    network that shortens the clip are numbered from 0.
+    Of pooled networks Spark averages the bodies' outputs. Networks of one reach run in blocks of ``block`` frames; frames are then consecutive from 0 unless the reach is
+    none. Else a track and a network are one series: a task holds one clip at a time and runs one network. The outputs
+    of a network that changes a clip's length are numbered from 0.
     """
+    if all(isinstance(n, Pooled) for n in networks):
+        return _run_pooled(features, networks, block)
+    reaches = {getattr(n, "reach", None) for n in networks}
+    if len(reaches) == 1 and None not in reaches:
+        return _run_blocks(features, networks, *reaches.pop(), block or BLOCK)
     spread = features.select("track", "frame", "x").withColumn("model", F.explode(F.array(*[F.lit(i) for i in range(len(networks))])))
 
     def run(c):
@@ -316,4 +388,44 @@ def run_networks(features: DataFrame, networks: list[Layer]) -> DataFrame:
         frames = c["frame"] if n == len(c["frame"]) else np.arange(n)
         return {"frame": np.repeat(frames, units), "unit": np.tile(np.arange(units), n), "x": out.ravel()}
 
-    return average_predictions(map_series(spread, ["frame", "x", "model"], run, "frame bigint, unit bigint, x double", ("track", "model")))
+    return average_predictions(map_series(spread, ["frame", "x", "model"], run, _OUTPUTS, ("track", "model")))
+
+
+def _run_blocks(features: DataFrame, networks: list[Layer], left: int, right: int, block: int) -> DataFrame:
+    """Every frame goes once to its block and to those that it reaches; a task runs all networks on a block.
+
+    Output j depends on frames j - left to j + right. A block has left + right frames more before it, so that the last one
+    is never shorter than what a network needs, and at least one more after it, by which the clip's end is known.
+    """
+    inner = left == right == 0
+    before, after = (0, 0) if inner else (max(left + right, left, 0), max(right, 1))
+    frame = F.col("frame")
+    runs = F.sequence(F.greatest(F.floor((frame - after) / block), F.lit(0).cast("bigint")), F.floor((frame + before) / block))
+    own = F.floor(frame / block)
+    dealt = features.select("track", "frame", "x", F.explode(F.array(own) if inner else runs).alias("run"))
+
+    def run(c):
+        at, first = c["frame"], int(c["run"][0]) * block
+        end = first + block
+        if not ((at >= first) & (at < end)).any():  # only the neighbours of a block beyond the clip
+            return {"frame": at[:0], "unit": at[:0], "x": np.zeros(0)}
+        if not inner and at[-1] - at[0] + 1 != len(at):
+            raise ValueError("frames must be consecutive")
+        x = np.stack(c["x"]).astype(float)
+        outputs = [np.asarray(network(x)) for network in networks]
+        made = np.mean([out.reshape(len(out), -1) for out in outputs], 0)
+        numbers = at if inner else at[0] + np.arange(len(made))
+        kept = (numbers >= first) & ((numbers < end) | (at[-1] < end))
+        made, numbers, units = made[kept], numbers[kept], made.shape[1]
+        return {"frame": np.repeat(numbers, units), "unit": np.tile(np.arange(units), len(made)), "x": made.ravel()}
+
+    return map_series(dealt, ["frame", "x", "run"], run, _OUTPUTS, ("track", "run")).drop("run")
+
+
+def _run_pooled(features: DataFrame, networks: list[Pooled], block: int | None) -> DataFrame:
+    def score(c):
+        made = np.asarray(networks[int(c["model"][0])].head(c["x"][None, :].astype(float))).ravel()
+        return {"frame": np.zeros(len(made), np.int64), "unit": np.arange(len(made)), "x": made}
+
+    means = [average(run_networks(features, [n.body], block), ("track", "unit")).select("track", F.col("unit").alias("place"), "x", F.lit(i).alias("model")) for i, n in enumerate(networks)]
+    return average_predictions(map_series(reduce(DataFrame.unionByName, means), ["x", "model"], score, _OUTPUTS, ("track", "model"), "place"))

@@ -123,11 +123,7 @@ def chord_features(samples: DataFrame, sample_rate: float, networks: list[nn.Lay
     A network maps (frames, bins) to (frames less 22, bins, features).
     """
     spec = arrays_of(log_filtered(samples, sample_rate, 8192, 10.0, 24, 60.0, 2600.0))
-
-    def around(x: np.ndarray) -> np.ndarray:
-        return np.lib.stride_tricks.sliding_window_view(x, 3, axis=0).mean((1, -1))
-
-    made = nn.run_networks(spec, [nn.Network((n, around)) for n in widened(11, networks, 0.0)])
+    made = nn.run_networks(spec, [nn.Network((n, nn.Means(3))) for n in widened(11, networks, 0.0)])
     rows = made.groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("unit", "x"))).alias("s"))
     return rows.select("track", "frame", F.col("s.x").alias("x"))
 

@@ -170,5 +170,6 @@ def _(spark, sf):
     f"mn AS (SELECT track, o, avg(greatest(x, 0)) AS x FROM c2 GROUP BY 1, 2) SELECT track, 0::BIGINT AS frame, o AS unit, {s6('exp(x) / sum(exp(x)) OVER (PARTITION BY track)')} AS x FROM mn",
 )
 def _(spark, sf):
-    network = nn.Network((nn.BatchNorm(0.0, 1.0, 0.1, 2.0), nn.Conv(np.stack([np.stack([weights(3, 3, o) for o in range(4)])]), np.zeros(4), nn.elu), nn.MaxPool((1, 2)), nn.Conv(np.stack([np.stack([weights(3, 3, c + o) for o in range(2)]) for c in range(4)]), np.zeros(2), nn.relu, "same"), lambda x: x.mean((0, 1), keepdims=True), nn.softmax))
-    return nn.run_networks(arrays_of(spark, sf, 64), [network]).withColumn("x", r6("x"))
+    first, second = np.stack([np.stack([weights(3, 3, o) for o in range(4)])]), np.stack([np.stack([weights(3, 3, c + o) for o in range(2)]) for c in range(4)])
+    body = nn.Network((nn.BatchNorm(0.0, 1.0, 0.1, 2.0), nn.Conv(first, np.zeros(4), nn.elu), nn.MaxPool((1, 2)), nn.Conv(second, np.zeros(2), nn.relu, "same"), nn.Means()))
+    return nn.run_networks(arrays_of(spark, sf, 64), [nn.Pooled(body, nn.softmax)]).withColumn("x", r6("x"))

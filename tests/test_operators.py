@@ -407,3 +407,42 @@ def test_layers_equal_joins(spark):
     assert nn.Conv(kernel[None, None], np.zeros(1), stride=(2, 1))(x).shape == (2, 2, 1)
     assert np.allclose(nn.MaxPool(axis=1)(x), x.max(1)) and nn.Pad(2, (0, 1), None)(x)[0, 0] == x[0, 0]
     assert nn.Pad(1, (1,), 3.0)(x)[:, -1].tolist() == [3.0] * 5
+
+
+def test_blocks_of_frames_equal_whole_clips(spark):
+    rng = np.random.default_rng(8)
+    clips = {t: rng.normal(size=(n, 4)) for t, n in enumerate((5, 6, 10, 11, 23))}
+    rows = spark.createDataFrame([(t, f, x.tolist()) for t, clip in clips.items() for f, x in enumerate(clip)], "track int, frame bigint, x array<double>").cache()
+    conv = lambda h, pad="valid": nn.Conv(rng.normal(size=(1, 1, h, 3)), np.ones(1), nn.relu, pad)
+    dense = nn.Dense(rng.normal(size=(4, 3)), np.ones(3))
+    stacks = {
+        "frames alone": (nn.BatchNorm(0.0, 1.0, 0.1, 2.0), dense),
+        "shrinking": (conv(3), nn.MaxPool((2, 1), (1, 1))),
+        "same length": (conv(3, "same"), nn.Conv(rng.normal(size=(1, 2, 2, 1)), np.zeros(2), pad="same")),
+        "edges repeated": (nn.Pad(2, (0,), None), conv(5)),
+        "growing": (nn.Pad(4), conv(3), nn.Means(2)),
+        "moved on": (nn.Pad(2, (0, 1)),),
+        "context": (nn.Context(4), nn.Dense(rng.normal(size=(16, 2)), np.zeros(2))),
+        "one axis": (conv(2), nn.MaxPool(axis=1)),
+    }
+    for name, layers in stacks.items():
+        networks = [nn.Network(layers), nn.Network((*layers, np.abs))]
+        network = nn.Network((nn.Network(layers), nn.BatchNorm(0.1, 2.0, 0.0, 1.0)))
+        assert network.reach is not None and networks[1].reach is None, name
+        got = {(r.track, r.frame, r.unit): r.x for r in nn.run_networks(rows, [networks[0], network], 5).collect()}
+        want = {}
+        for track, clip in clips.items():
+            both = [np.asarray(n(clip)) for n in (networks[0], network)]
+            for (f, u), x in np.ndenumerate((both[0] + both[1]).reshape(len(both[0]), -1) / 2):
+                want[track, f, u] = x
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values())), name
+    pooled = nn.Pooled(nn.Network(stacks["same length"]), nn.softmax)
+    got = {(r.track, r.unit): r.x for r in nn.run_networks(rows, [pooled], 5).collect()}
+    want = {(t, u): x for t, clip in clips.items() for u, x in enumerate(pooled(clip).ravel())}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
+def test_layers_without_a_reach():
+    assert nn.Conv(np.ones((1, 1, 2, 2)), np.zeros(1), stride=(2, 1)).reach is None
+    assert nn.MaxPool((2, 2)).reach is None and nn.MaxPool(axis=0).reach is None and nn.MaxPool((1, 2)).reach == (0, 0)
+    assert nn.Network((nn.Recurrent(np.ones((1, 1)), np.ones(1), np.ones((1, 1))),)).reach is None
