@@ -86,5 +86,7 @@ def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Column
         if parts:
             yield flush()
 
-    dealt = df.select(*dict.fromkeys([*keys, order, *columns])).repartition(*keys).sortWithinPartitions(*keys, order)
+    # a fixed number: tasks are sized for the kernel's work, so small partitions aren't merged
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(*dict.fromkeys([*keys, order, *columns])).repartition(partitions, *keys).sortWithinPartitions(*keys, order)
     return dealt.mapInArrow(run, out)
