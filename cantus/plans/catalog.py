@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_nn, queries_sequence, queries_signal, queries_spectrum  # noqa: F401
+from . import queries_models, queries_nn, queries_sequence, queries_signal, queries_spectrum  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

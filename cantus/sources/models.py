@@ -17,6 +17,26 @@ from pyspark.sql import functions as F
 _DIGEST = re.compile("[0-9a-f]{64}")
 SCHEMA = "family string, license string, relpath string, sha256 string, url string"
 
+# The model families by name, the task that each serves and how many files it has.
+FAMILIES = {
+    "beats_blstm": ("beats", 8),
+    "beats_lstm": ("beats", 8),
+    "chords_cfcrf": ("chords", 1),
+    "chords_cnn_feat": ("chords", 1),
+    "chords_dccrf": ("chords", 1),
+    "chroma_dnn": ("chroma", 1),
+    "downbeats_bgru_harmonic": ("downbeats", 6),
+    "downbeats_bgru_rhythmic": ("downbeats", 6),
+    "downbeats_blstm": ("downbeats", 8),
+    "key_cnn": ("key", 1),
+    "notes_brnn": ("notes", 1),
+    "notes_cnn": ("notes", 1),
+    "onsets_brnn": ("onsets", 8),
+    "onsets_cnn": ("onsets", 1),
+    "onsets_rnn": ("onsets", 8),
+    "patterns_ballroom": ("patterns", 2),
+}
+
 
 def parse_registry(text: str) -> list[tuple[str, str, str, str, str]]:
     """Rows (family, license, relpath, sha256, url) of a registry; anything out of order raises."""
@@ -44,6 +64,18 @@ def checkpoint_catalog(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(parse_registry(text), SCHEMA)
 
 
+def families(spark: SparkSession) -> DataFrame:
+    """The known families: (family, task, files)."""
+    return spark.createDataFrame([(name, *of) for name, of in FAMILIES.items()], "family string, task string, files bigint")
+
+
+def listed(catalog: DataFrame) -> DataFrame:
+    """Known families against a registry: (family, task, files due, listed files, whole)."""
+    counts = catalog.groupBy("family").agg(F.count("*").alias("listed"))
+    due = families(catalog.sparkSession).join(F.broadcast(counts), "family", "left").withColumn("listed", F.coalesce("listed", F.lit(0).cast("bigint")))
+    return due.withColumn("whole", F.col("listed") == F.col("files"))
+
+
 def family(catalog: DataFrame, name: str) -> DataFrame:
     found = catalog.filter(F.col("family") == name)
     if found.isEmpty():
