@@ -257,7 +257,8 @@ def test_queries_without_sql_read_their_whole_tables(spark, small, monkeypatch):
 
     read = {}
     monkeypatch.setattr(queries_sequence.beats, "dbn_bars", lambda marked: read.setdefault("bars", marked))
-    monkeypatch.setattr(queries_nn.nn, "run_networks", lambda features, networks: read.setdefault("rnn", features))
+    outputs = lambda features, networks: read.setdefault("rnn", features).selectExpr("track", "frame", "0L AS unit", "0D AS x")
+    monkeypatch.setattr(queries_nn.nn, "run_networks", outputs)
     queries = __import__("cantus.plans.catalog", fromlist=["queries"]).queries()
     queries["dbn_bars"](spark, small), queries["bidirectional_rnn"](spark, small)
     blocks = {}
