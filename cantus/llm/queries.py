@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, near_dedup, packing, suffix_dedup, token_counts, token_files, topk, toxicity
+from . import byte_bpe, chat, exact_dedup, near_dedup, packing, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,6 +72,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), sharding.balanced_tree(2, 2, 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -100,4 +104,18 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    sum(CASE WHEN role = 'assistant' THEN escaped + 4 ELSE escaped + named + 17 END)::BIGINT AS formatted_chars
             FROM f GROUP BY conv_id""",
+        "op11_sharding": """
+            WITH crcs AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+            bytes AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+                      [('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS b FROM documents),
+            d AS (SELECT doc_id, key, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) AS crc FROM bytes, crcs),
+            nodes AS (SELECT * FROM (VALUES (0, '', 'g0', 4), (0, '', 'g1', 4), (0, '', 'g8+', 1)) v(level, parent, node, weight)
+                      UNION ALL SELECT 1, 'g' || g, 'g' || g || '/k' || k, 2 FROM range(2) a(g), range(2) b(k)
+                      UNION ALL SELECT 2, 'g' || g || '/k' || k, 'g' || g || '/k' || k || '/' || (4 * g + 2 * k + s), 1 FROM range(2) a(g), range(2) b(k), range(2) c(s)),
+            draws AS (SELECT key, level, parent, node, -ln((('0x' || substr(md5(node || ':' || key), 1, 13))::BIGINT + 0.5) / 4503599627370496) / weight AS draw FROM (SELECT DISTINCT key FROM d), nodes),
+            best AS (SELECT key, parent, arg_min(node, draw) FILTER (node <> 'g8+') AS node, arg_min(node, draw) = 'g8+' AS moved FROM draws GROUP BY key, parent),
+            s AS (SELECT r.key, split_part(z.node, '/', 3)::INTEGER AS shard, r.moved FROM best r JOIN best k ON k.key = r.key AND r.parent = '' AND k.parent = r.node JOIN best z ON z.key = r.key AND z.parent = k.node)
+            SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || ':' || crc), 1, 13), doc_id NULLS FIRST, crc, size) - 1 AS slot,
+                   CASE WHEN moved THEN 8 ELSE shard END AS grown_shard
+            FROM d JOIN s USING (key)""",
     }
