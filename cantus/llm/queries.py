@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, near_dedup, packing, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
+from . import byte_bpe, chat, clustering, exact_dedup, near_dedup, packing, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -76,6 +76,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), sharding.balanced_tree(2, 2, 2))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -118,4 +122,28 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || ':' || crc), 1, 13), doc_id NULLS FIRST, crc, size) - 1 AS slot,
                    CASE WHEN moved THEN 8 ELSE shard END AS grown_shard
             FROM d JOIN s USING (key)""",
+        "op13_clustering": """
+            WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+                WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x) OR abs(x::DOUBLE) > 2097152]) = 0),
+            c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v)::INTEGER - 1 AS number, v FROM v QUALIFY number < 16),
+            a1 AS MATERIALIZED (SELECT row, arg_min(c.number, 4096 * d + c.number) AS cluster, min(d) AS distance FROM (
+                    SELECT v.row, c.number, list_sum([(v.v[i] - c.v[i]) * (v.v[i] - c.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM v, c0 c) c GROUP BY row),
+            c1 AS MATERIALIZED (SELECT c.number, coalesce(m.v, c.v) AS v FROM c0 c LEFT JOIN (
+                    SELECT cluster, list(floor_ ORDER BY i) AS v FROM (SELECT a.cluster, u.i, (sum(v.v[u.i]) - ((sum(v.v[u.i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_
+                        FROM a1 a JOIN v USING (row), range(1, 65) u(i) GROUP BY a.cluster, u.i) GROUP BY cluster) m ON m.cluster = c.number),
+            a2 AS MATERIALIZED (SELECT row, arg_min(c.number, 4096 * d + c.number) AS cluster, min(d) AS distance FROM (
+                    SELECT v.row, c.number, list_sum([(v.v[i] - c.v[i]) * (v.v[i] - c.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM v, c1 c) c GROUP BY row),
+            c2 AS MATERIALIZED (SELECT c.number, coalesce(m.v, c.v) AS v FROM c1 c LEFT JOIN (
+                    SELECT cluster, list(floor_ ORDER BY i) AS v FROM (SELECT a.cluster, u.i, (sum(v.v[u.i]) - ((sum(v.v[u.i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_
+                        FROM a2 a JOIN v USING (row), range(1, 65) u(i) GROUP BY a.cluster, u.i) GROUP BY cluster) m ON m.cluster = c.number),
+            a3 AS MATERIALIZED (SELECT row, arg_min(c.number, 4096 * d + c.number) AS cluster, min(d) AS distance FROM (
+                    SELECT v.row, c.number, list_sum([(v.v[i] - c.v[i]) * (v.v[i] - c.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM v, c2 c) c GROUP BY row),
+            c3 AS MATERIALIZED (SELECT c.number, coalesce(m.v, c.v) AS v FROM c2 c LEFT JOIN (
+                    SELECT cluster, list(floor_ ORDER BY i) AS v FROM (SELECT a.cluster, u.i, (sum(v.v[u.i]) - ((sum(v.v[u.i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_
+                        FROM a3 a JOIN v USING (row), range(1, 65) u(i) GROUP BY a.cluster, u.i) GROUP BY cluster) m ON m.cluster = c.number),
+            a4 AS MATERIALIZED (SELECT row, arg_min(c.number, 4096 * d + c.number) AS cluster, min(d) AS distance FROM (
+                    SELECT v.row, c.number, list_sum([(v.v[i] - c.v[i]) * (v.v[i] - c.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM v, c3 c) c GROUP BY row),
+            sums AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a4 GROUP BY cluster)
+            SELECT v.vec_id, a.cluster, a.distance, s.cluster_inertia, (SELECT sum(distance) FROM a4)::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+            FROM a4 a JOIN v USING (row) JOIN sums s USING (cluster) JOIN c3 c ON c.number = a.cluster""",
     }
