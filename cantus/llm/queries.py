@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, clustering, exact_dedup, near_dedup, packing, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
+from . import byte_bpe, chat, clustering, collocations, exact_dedup, near_dedup, packing, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -76,6 +76,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), sharding.balanced_tree(2, 2, 2))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.ball_kmeans(table(spark, sf_dir, "embeddings"))
 
@@ -122,6 +126,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || ':' || crc), 1, 13), doc_id NULLS FIRST, crc, size) - 1 AS slot,
                    CASE WHEN moved THEN 8 ELSE shard END AS grown_shard
             FROM d JOIN s USING (key)""",
+        "op12_collocations": r"""
+            WITH pieces AS (SELECT row_number() OVER () AS piece, lang, piece AS t FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+            words AS (SELECT lang, [w FOR w IN regexp_split_to_array(t, '[\x20\x09]+') IF w <> ''] AS w FROM pieces),
+            total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+            grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) r(m))),
+            f AS MATERIALIZED (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+            cuts AS (SELECT lang, m, phrase, f, k, string_split(phrase, ' ') AS w FROM f, range(1, 5) r(k) WHERE k < m),
+            scored AS (SELECT c.lang, c.m, c.phrase, c.f AS a, c.k, x.f AS l, y.f AS r, n, 1000 * c.f * n // (x.f * y.f) AS score
+                       FROM cuts c JOIN total USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+            best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+            inside AS (SELECT DISTINCT g.lang, array_to_string(g.w[i:i + s - 1], ' ') AS phrase, g.f FROM (SELECT lang, m, f, string_split(phrase, ' ') AS w FROM f WHERE m > 2) g, range(2, 5) a(s), range(1, 5) b(i) WHERE s < g.m AND i + s - 1 <= g.m),
+            kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= 100 * b.a)),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+            SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score, k AS cut FROM ranked WHERE rank <= 2000""",
         "op13_clustering": """
             WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
                 WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x) OR abs(x::DOUBLE) > 2097152]) = 0),
