@@ -5,7 +5,7 @@ least one there, is never negative and has a bound; terms in order of their boun
 tail that together cannot lift a vector to the current k-th score. The essential terms' postings are traversed for
 all vectors of the shard, the others are probed while vectors remain competitive, and the shards' results are merged.
 
-Rows that repeat an item are dropped first. Queries come in blocks of a checked size; a block is broadcast and meets
+Rows that repeat an item are one item with a number of copies, which are told apart in the ranking. Queries come in blocks of a checked size; a block is broadcast and meets
 every shard where it lies.
 """
 
@@ -25,13 +25,13 @@ BLOCK_QUERIES, SHARD_ROWS, PROBE = 4096, 4096, 8
 class Shard:
     """Postings of a shard: per dimension, the vectors' components with their least and largest."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.postings = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.ids, self.copies, self.postings = ids[order], copies[order], np.ascontiguousarray(vectors[order].T)
         self.low, self.high = self.postings.min(1), self.postings.max(1)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Up to k best (ids, scores), ties to the smaller id; vectors that cannot reach ``threshold`` may be left out."""
+    def search(self, query_id: int, query: np.ndarray, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Up to k best (ids, scores, copies), ties to the smaller id; vectors that cannot reach ``threshold`` may be left out."""
         ends = np.stack([query * self.low, query * self.high])
         base, bounds = int(ends.min(0).sum()), np.abs(ends[1] - ends[0])
         terms = np.argsort(-bounds, kind="stable")
@@ -39,7 +39,7 @@ class Shard:
         tail = np.concatenate((np.cumsum(bounds[terms][::-1])[::-1], [0])) + base  # what terms i.. can add at most
         essential = len(terms) if threshold is None else int(np.count_nonzero(tail[:-1] >= threshold))
         if threshold is not None and tail[0] < threshold:
-            return self.ids[:0], self.low[:0]
+            return self.ids[:0], self.low[:0], self.copies[:0]
         # the terms before the tail decide who may compete at all: traverse their postings for every vector
         first = max(essential, min(PROBE, len(terms)))
         scores = np.full(len(self.ids), int(sum(int(ends[:, t].min()) for t in range(len(query)) if bounds[t] == 0)), np.int64)
@@ -59,36 +59,36 @@ class Shard:
                 scores += query[t] * (self.postings[t] if len(alive) == len(self.ids) else self.postings[t][alive])
             at = min(len(terms), at + PROBE)
         other = self.ids[alive] != query_id
-        ids, scores = self.ids[alive][other], scores[other]
+        ids, scores, copies = self.ids[alive][other], scores[other], self.copies[alive][other]
         if len(ids) > k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             near = scores >= least
-            ids, scores = ids[near], scores[near]
+            ids, scores, copies = ids[near], scores[near], copies[near]
         best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+        return ids[best], scores[best], copies[best]
 
 
-def _merge(best, ids, scores, k):
-    if best is not None:
-        ids, scores = np.concatenate((best[0], ids)), np.concatenate((best[1], scores))
+def _merge(best, found, k):
+    ids, scores, copies = found if best is None else map(np.concatenate, zip(best, found))
     order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+    return ids[order], scores[order], copies[order]
 
 
 def maxscore_topk(items: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k best items of each query by integer inner product, ties to the smaller id.
 
     Both frames hold id (bigint) and vector (array<bigint>). Rows without id or with a null vector or component take no
-    part; only vectors of a query's length are its candidates; items with the query's id are its own. Rows with the same
-    id and vector are one item, and of queries with the same id the first vector in order holds.
+    part; only vectors of a query's length are its candidates; items with the query's id are its own. Every row of items
+    is a candidate of its own, so rows that repeat an item have a rank each, and every row of queries has its own list, so
+    a query_id that occurs in several rows has several.
     Returns query_id, rank (from 1), vec_id, score; fewer than k where there are fewer items, and none for empty tables.
     """
     spark = items.sparkSession
     whole = "id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)"
-    items = items.select("id", "vector").filter(whole).distinct()  # copies would take the places of real neighbours
-    wanted = queries.select("id", "vector").filter(whole).groupBy("id").agg(F.min("vector").alias("vector"))
+    items = items.select("id", "vector").filter(whole).groupBy("id", "vector").agg(F.count("*").alias("copies"))
+    wanted = queries.select("id", "vector").filter(whole).groupBy("id", "vector").agg(F.count("*").alias("copies"))
     blocks = -(-wanted.count() // (block_queries // 2))
-    wanted = written(wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))), "queries") if blocks > 1 else wanted.withColumn("block", F.lit(0))
+    wanted = written(wanted.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(max(1, blocks)))), "queries") if blocks > 1 else wanted.withColumn("block", F.lit(0))
     items = written(items, "items") if blocks > 1 else items
     parts = []
     for b in range(max(1, blocks)):
@@ -97,13 +97,17 @@ def maxscore_topk(items: DataFrame, queries: DataFrame, k: int, block_queries: i
             raise ValueError(f"{len(rows)} queries in a block of {block_queries}: choose a larger block")
         if not rows and b:
             continue
-        shared = Shared(spark, [(r["id"], np.asarray(r["vector"], np.int64)) for r in sorted(rows, key=lambda r: r["id"])])
-        parts.append(items.mapInArrow(_searcher(shared, k, shard_rows), "query_id bigint, vec_id bigint, score bigint"))
+        shared = Shared(spark, [(b * (block_queries + 1) + i, r["id"], np.asarray(r["vector"], np.int64)) for i, r in enumerate(sorted(rows))])
+        about = spark.createDataFrame([(b * (block_queries + 1) + i, r["id"], r["copies"]) for i, r in enumerate(sorted(rows))], "query bigint, query_id bigint, asked bigint")
+        hits = items.mapInArrow(_searcher(shared, k, shard_rows), "query bigint, vec_id bigint, score bigint, copies bigint")
+        parts.append(hits.join(F.broadcast(about), "query"))  # a block's queries
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+    best = ranked.filter(F.col("rank") <= k).withColumn("ask", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("asked"))))
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def _searcher(shared: Shared, k: int, shard_rows: int):
@@ -111,7 +115,7 @@ def _searcher(shared: Shared, k: int, shard_rows: int):
         """Shards of vectors of one length."""
         held: dict[int, list] = {}
         for batch in batches:
-            ids, vectors = batch.column("id").to_numpy(), batch.column("vector")
+            ids, copies, vectors = batch.column("id").to_numpy(), batch.column("copies").to_numpy(), batch.column("vector")
             offsets = vectors.offsets.to_numpy()
             flat = vectors.values.to_numpy(zero_copy_only=False)
             lengths = np.diff(offsets)
@@ -119,27 +123,27 @@ def _searcher(shared: Shared, k: int, shard_rows: int):
                 of = np.flatnonzero(lengths == n)
                 take = flat[offsets[of][:, None] + np.arange(n)] if n else np.zeros((len(of), 0), np.int64)
                 part = held.setdefault(n, [])
-                part.append((ids[of], take))
-                if sum(len(x) for x, _ in part) >= shard_rows:
-                    yield Shard(np.concatenate([x for x, _ in part]), np.concatenate([x for _, x in part])), n
+                part.append((ids[of], copies[of], take))
+                if sum(len(x) for x, *_ in part) >= shard_rows:
+                    yield Shard(*map(np.concatenate, zip(*part))), n
                     held[n] = []
         for n, part in held.items():
             if part:
-                yield Shard(np.concatenate([x for x, _ in part]), np.concatenate([x for _, x in part])), n
+                yield Shard(*map(np.concatenate, zip(*part))), n
 
     def run(batches):
         best: dict[int, tuple] = {}
         for shard, n in shards(batches):
-            for query_id, query in shared.value:
+            for number, query_id, query in shared.value:
                 if len(query) != n:
                     continue
-                known = best.get(query_id)
+                known = best.get(number)
                 threshold = int(known[1][-1]) if known is not None and len(known[0]) == k else None
-                ids, scores = shard.search(query_id, query, k, threshold)
-                if len(ids):
-                    best[query_id] = _merge(known, ids, scores, k)
-        for query_id, (ids, scores) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+                found = shard.search(query_id, query, k, threshold)
+                if len(found[0]):
+                    best[number] = _merge(known, found, k)
+        for number, found in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(found[0]), pa.int64()), *(pa.array(x, pa.int64()) for x in found)], names=["query", "vec_id", "score", "copies"])
 
     return run
 

@@ -390,11 +390,18 @@ def test_topk_equals_brute_force(spark, shard):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_topk_with_repeated_rows(spark):
-    rows = [(0, [1, 0])] + [(1, [9, 0])] * 10 + [(i, [i, 0]) for i in range(2, 7)] + [(6, [6, 1])]
+def test_topk_ranks_every_row(spark):
+    """Each row of items is a candidate, and each row of queries has a list: as the registered SQL has it."""
+    rows = [(0, [1, 0])] + [(1, [9, 0])] * 3 + [(i, [i, 0]) for i in range(2, 7)] + [(6, [6, 1]), (0, [0, -1]), (0, [1, 0])]
     items = spark.createDataFrame(rows, "id bigint, vector array<bigint>").coalesce(1)
-    got = topk.maxscore_topk(items, items.filter("id = 0"), 4).collect()
-    assert sorted(map(tuple, got)) == [(0, 1, 1, 9), (0, 2, 6, 6), (0, 3, 6, 6), (0, 4, 5, 5)]
+    for k, block in ((4, 4096), (7, 6)):
+        got = topk.maxscore_topk(items, items.filter("id = 0"), k, block_queries=block).collect()
+        want = []
+        for q, v in rows:
+            if q == 0:
+                scored = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q)
+                want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+        assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_topk_in_several_blocks(spark):
@@ -631,6 +638,15 @@ def clashing(spark, rows):
     return table.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
 
 
+def test_near_stage_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (1, words), (2, words + " more"), (3, "another text of some seven plain words"), (3, "another text of some seven plain words"), (4, ""), (4, ""), (None, words), (None, words)]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert collections.Counter(map(tuple, left)) == collections.Counter([(1, words), (3, rows[3][1]), (4, ""), (4, ""), (None, words), (None, words)])
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
