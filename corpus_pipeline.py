@@ -33,10 +33,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    gone = near_dedup.near_rows(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("salt").alias("gone_salt"))
+    """One document of each class of near duplicates; of rows that agree in id and text as many as stay of them."""
+    keys = near_dedup.near_rows(docs).groupBy("doc_id", "salt").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
+    judged = written(keys.filter("stay < rows").select(F.col("doc_id").alias("judged_id"), F.col("salt").alias("judged_salt"), "stay"), "judged")
     rows = whole(docs, F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text_of("text").cast("binary")).alias("salt"))
-    return rows.join(gone.hint("merge"), (F.col("id") == F.col("gone_id")) & (F.col("salt") == F.col("gone_salt")), "left_anti").select("row.*")
+    joined = rows.join(judged.hint("merge"), (F.col("id") == F.col("judged_id")) & (F.col("salt") == F.col("judged_salt")), "left")
+    clear = joined.filter("stay IS NULL").select("row.*")
+    if judged.filter("stay > 0").isEmpty():
+        return clear
+    return clear.unionByName(joined.filter("stay > 0").dropDuplicates(["id", "salt"]).select("row.*"))  # one of a class stays
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
