@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -16,15 +17,15 @@ from pyspark.sql import functions as F
 from . import states, tempo
 from .sequence import Mixture, viterbi
 from .series import map_series
+from .split_decode import split_viterbi
 from .signal import hamming
 
 
 def threshold_activations(acts: DataFrame, threshold: float, value: Column | str = "a") -> DataFrame:
     """Frames between the first and last that reach the threshold; none if the only one is frame 0."""
-    track = Window.partitionBy("track")
-    hit = F.when(F.col(value) >= threshold if isinstance(value, str) else value >= threshold, F.col("frame"))
-    marked = acts.withColumn("_lo", F.min(hit).over(track)).withColumn("_hi", F.max(hit).over(track))
-    return marked.filter("frame BETWEEN _lo AND _hi AND _hi > 0").drop("_lo", "_hi")
+    hits = acts.filter(F.col(value) >= threshold if isinstance(value, str) else value >= threshold)
+    ends = hits.groupBy("track").agg(F.min("frame").alias("_lo"), F.max("frame").alias("_hi")).filter("_hi > 0")
+    return acts.join(ends, "track").filter("frame BETWEEN _lo AND _hi").select(*acts.columns)
 
 
 def _regions(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -36,8 +37,28 @@ def _local_minima_around(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero((x < np.roll(x, 1)) & (x < np.roll(x, -1)))
 
 
-def dbn_beats(acts: DataFrame, fps: float, min_bpm: float = 55.0, max_bpm: float = 215.0, num_tempi: int | None = None, transition_lambda: float = 100.0, observation_lambda: int = 16, threshold: float = 0.0, correct: bool = True) -> DataFrame:
-    """Beats (track, t) of activations (track, frame, a)."""
+def _split_beats(path: DataFrame, values: DataFrame, marks: np.ndarray, numbers: np.ndarray, reach: int, fps: float, block: int) -> DataFrame:
+    """(track, t, beat, log_prob): of each stretch of marked states the frame with the largest value, the first of equals.
+
+    ``values`` are (track, frame, v). A stretch belongs to the block it begins in; it is at most ``reach`` frames long, so
+    the block gets as many of the next one's frames, and the last one before it to tell whether a stretch goes on.
+    """
+    size = max(block, reach + 1)
+    at = F.floor(F.col("frame") / size).cast("bigint")
+    place = F.col("frame") - at * size
+    to = F.array_compact(F.array(at, F.when(place < reach, at - 1), F.when(place == size - 1, at + 1)))
+    dealt = path.join(values, ["track", "frame"]).withColumn("block", F.explode(to))
+
+    def pick(c):
+        best = [(lo, lo + int(np.argmax(c["v"][lo:hi]))) for lo, hi in _regions(marks[c["state"]])]
+        found = np.asarray([i for lo, i in best if c["frame"][lo] // size == c["block"][lo]], np.int64)
+        return {"t": c["frame"][found] / fps, "beat": numbers[c["state"][found]], "log_prob": c["log_prob"][found]}
+
+    return map_series(dealt, ["frame", "state", "v", "block", "log_prob"], pick, "t double, beat bigint, log_prob double", ("track", "block")).drop("block")
+
+
+def dbn_beats(acts: DataFrame, fps: float, min_bpm: float = 55.0, max_bpm: float = 215.0, num_tempi: int | None = None, transition_lambda: float = 100.0, observation_lambda: int = 16, threshold: float = 0.0, correct: bool = True, block: int | None = None) -> DataFrame:
+    """Beats (track, t) of activations (track, frame, a). With ``block``, tracks are decoded in blocks of so many frames, whatever their length."""
     space = states.beat_space(60 * fps / max_bpm, 60 * fps / min_bpm, num_tempi)
     model, pointers = states.beat_transitions(space, transition_lambda), states.beat_pointers(space, observation_lambda)
 
@@ -56,6 +77,13 @@ def dbn_beats(acts: DataFrame, fps: float, min_bpm: float = 55.0, max_bpm: float
         return {"t": at[np.asarray(found, np.int64)] / fps}
 
     chosen = threshold_activations(acts, threshold) if threshold else acts
+    if block:
+        if not correct:
+            raise ValueError("split tracks have corrected beats only")
+        heard = chosen.groupBy("track").agg(F.max(F.abs("a")).alias("_top")).filter("_top > 0").select("track")
+        path = split_viterbi(chosen.join(heard, "track", "left_semi"), ["a"], lambda c: states.beat_densities(c["a"], observation_lambda), model, pointers, block=block)
+        reach = math.ceil(int(space.interval.max()) / observation_lambda) + 1
+        return _split_beats(path, chosen.select("track", "frame", F.col("a").alias("v")), pointers == 1, np.ones(space.states, np.int64), reach, fps, block).select("track", "t")
     return map_series(chosen, ["frame", "a"], decode, "t double")
 
 
@@ -86,17 +114,32 @@ def per_model(count: int, **values: object) -> list[tuple]:
 PerModel = float | tuple[float, ...]
 
 
-def dbn_downbeats(acts: DataFrame, fps: float, beats_per_bar: tuple[int, ...] = (3, 4), min_bpm: PerModel = 55.0, max_bpm: PerModel = 215.0, num_tempi: PerModel | None = 60, transition_lambda: PerModel = 100.0, observation_lambda: int = 16, threshold: float = 0.05, correct: bool = True) -> DataFrame:
+def dbn_downbeats(acts: DataFrame, fps: float, beats_per_bar: tuple[int, ...] = (3, 4), min_bpm: PerModel = 55.0, max_bpm: PerModel = 215.0, num_tempi: PerModel | None = 60, transition_lambda: PerModel = 100.0, observation_lambda: int = 16, threshold: float = 0.05, correct: bool = True, block: int | None = None) -> DataFrame:
     """Beats with their number in the bar (track, t, beat) of activations (track, frame, beat, downbeat).
 
     Each bar length is a series of its own per track; the likeliest of a track stays (the first of equals). Tempo limits,
-    number of tempi and transition parameter may differ by bar length.
+    number of tempi and transition parameter may differ by bar length. With ``block``, tracks are decoded in blocks of so
+    many frames, whatever their length.
     """
     models = []
     for beats, (low, high, tempi, change) in zip(beats_per_bar, per_model(len(beats_per_bar), min_bpm=min_bpm, max_bpm=max_bpm, num_tempi=num_tempi, transition_lambda=transition_lambda)):
         space = states.bar_space(beats, 60 * fps / high, 60 * fps / low, tempi)
         models.append((space, states.bar_transitions(space, change), states.downbeat_pointers(space, observation_lambda)))
     chosen = threshold_activations(acts, threshold, F.greatest("beat", "downbeat")) if threshold else acts
+    if block:
+        if not correct:
+            raise ValueError("split tracks have corrected beats only")
+        parts = []
+        heard = chosen.groupBy("track").agg(F.max(F.greatest(F.abs("beat"), F.abs("downbeat"))).alias("_top")).filter("_top > 0").select("track")
+        sounding, values = chosen.join(heard, "track", "left_semi"), chosen.select("track", "frame", F.greatest("beat", "downbeat").alias("v"))
+        for meter, (space, model, pointers) in enumerate(models):
+            path = split_viterbi(sounding, ["beat", "downbeat"], lambda c: states.downbeat_densities(c["beat"], c["downbeat"], observation_lambda), model, pointers, block=block)
+            reach = math.ceil(int(space.interval.max()) / observation_lambda) + 1
+            found = _split_beats(path, values, pointers >= 1, space.position.astype(np.int64) + 1, reach, fps, block)
+            parts.append((path.groupBy("track").agg(F.max("log_prob").alias("score")).withColumn("meter", F.lit(meter)), found.withColumn("meter", F.lit(meter))))
+        scores, beats = (reduce(DataFrame.unionByName, p) for p in zip(*parts))
+        chosen_meter = scores.groupBy("track").agg((-F.max(F.struct("score", (-F.col("meter")).alias("m")))["m"]).alias("meter"))
+        return beats.join(chosen_meter, ["track", "meter"], "left_semi").select("track", "t", "beat")
     spread = chosen.withColumn("meter", F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))))
 
     def decode(c):

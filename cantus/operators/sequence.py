@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .series import map_series
+from .split_decode import split_viterbi
 
 
 @dataclass(frozen=True)
@@ -109,14 +110,16 @@ def forward(transitions: Transitions, densities: np.ndarray, pointers: np.ndarra
     return out
 
 
-def decode_symbols(observations: DataFrame, transitions: Transitions, probabilities: np.ndarray, initial: np.ndarray | None = None) -> DataFrame:
-    """Viterbi over symbols (track, frame, symbol): (track, frame, state, log_prob)."""
+def decode_symbols(observations: DataFrame, transitions: Transitions, probabilities: np.ndarray, initial: np.ndarray | None = None, block: int | None = None) -> DataFrame:
+    """Viterbi over symbols (track, frame, symbol): (track, frame, state, log_prob). With ``block``, tracks are split in blocks of so many frames."""
     probabilities = np.asarray(probabilities, float)
     if not np.allclose(probabilities.sum(1), 1):
         raise ValueError("a state's observation probabilities must sum to 1")
     with np.errstate(divide="ignore"):
         columns = np.log(probabilities.T)
     pointers = np.arange(transitions.states)
+    if block:
+        return split_viterbi(observations, ["symbol"], lambda c: columns[c["symbol"]], transitions, pointers, initial, block)
 
     def decode(c):
         path, score = viterbi(transitions, columns[c["symbol"]], pointers, initial)
@@ -125,12 +128,15 @@ def decode_symbols(observations: DataFrame, transitions: Transitions, probabilit
     return map_series(observations, ["frame", "symbol"], decode, "frame bigint, state bigint, log_prob double")
 
 
-def decode_densities(frames: DataFrame, transitions: Transitions, initial: np.ndarray | None = None, pointers: np.ndarray | None = None) -> DataFrame:
+def decode_densities(frames: DataFrame, transitions: Transitions, initial: np.ndarray | None = None, pointers: np.ndarray | None = None, block: int | None = None) -> DataFrame:
     """Viterbi over any observation model, given as log densities (track, frame, densities array): (track, frame, state, log_prob).
 
-    ``pointers`` name the density of each state, the state's own without them.
+    ``pointers`` name the density of each state, the state's own without them. With ``block``, tracks are split in blocks
+    of so many frames.
     """
     of = np.arange(transitions.states) if pointers is None else np.asarray(pointers)
+    if block:
+        return split_viterbi(frames, ["densities"], lambda c: np.stack(c["densities"]).astype(float), transitions, of, initial, block)
 
     def decode(c):
         path, score = viterbi(transitions, np.stack(c["densities"]).astype(float), of, initial)

@@ -90,3 +90,28 @@ def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Column
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select(*dict.fromkeys([*keys, order, *columns])).repartition(partitions, *keys).sortWithinPartitions(*keys, order)
     return dealt.mapInArrow(run, out)
+
+
+def scan_series(df: DataFrame, columns: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict]], schema: str, keys: tuple[str, ...] = ("track",), order: str = "block", descending: bool = False) -> DataFrame:
+    """Carry a state along each series: ``step(state, row)`` gives the next state and the row's columns of ``schema``.
+
+    For short tables of wide rows, such as one row per block of a series: a task holds a state and a row, not the series.
+    """
+    out = StructType([StructField(k, df.schema[k].dataType) for k in (*keys, order)] + StructType.fromDDL(schema).fields)
+    arrow, names = to_arrow_schema(out), [f.name for f in out.fields]
+
+    def run(batches):
+        current, state = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() if not pa.types.is_list(batch.column(c).type) else batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in dict.fromkeys([*keys, order, *columns])}
+                key = tuple(row[k] for k in keys)
+                if key != current:
+                    current, state = key, start()
+                state, made = step(state, row)
+                made = {**{k: row[k] for k in (*keys, order)}, **made}
+                yield pa.RecordBatch.from_arrays([pa.array([made[n]], t) for n, t in zip(names, arrow.types)], schema=arrow)
+
+    ordered = df.select(*dict.fromkeys([*keys, order, *columns]))
+    sort = [ordered[k] for k in keys] + [ordered[order].desc() if descending else ordered[order]]
+    return ordered.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*sort).mapInArrow(run, out)

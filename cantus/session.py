@@ -31,3 +31,14 @@ def ship(spark: SparkSession) -> SparkSession:
         sys.path.remove(archive)  # the driver keeps to the folder
     _SHIPPED.add(app)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see. A local session that has none gets a folder of its own; a cluster must name one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        configured = tempfile.mkdtemp(prefix="cantus-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
