@@ -1,10 +1,10 @@
 """Phrase collocations from depth-limited count tries.
 
 A task builds, for each run of texts, a count trie of words up to five deep: level by level, where a node is its parent
-and a word. Words are numbered in byte order, so every level comes out sorted; it is serialised as rows (lang, phrase,
-count). The sorted runs are merged by ranges of phrases, which gives exact counts over all texts. Of a frequent phrase,
-parents up the trie are the left parts of its cuts, and suffix links (the phrase without its first word, which is
-frequent too) lead to the right parts.
+and a word. It is serialised in byte order of its phrases, cut into ranges of prefixes whose bounds come from a sample
+of all texts' phrases, and where a range is still large into parts by hash. The sorted pieces of a range and part are
+merged k ways, which gives exact counts over all texts. Of a frequent phrase, parents up the trie are the left parts of
+its cuts, and suffix links (the phrase without its first word, which is frequent too) lead to the right parts.
 
 A phrase is as rare as its rarest pair of words. So a first pass counts words and pairs in a fixed number of hashed
 cells, which never count too little; tries only grow along pairs whose cell is frequent. This drops no frequent phrase
@@ -13,6 +13,9 @@ and, whatever the input, takes a broadcast of 8 MB.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,10 @@ from .common import partitions_for, text_of, written
 CELL_BITS, RANGE_BITS = 26, 8
 #: Bytes of text that one trie covers; a longer piece is not cut.
 TRIE_BYTES = 16 << 20
-#: Bytes of serialised tries that a merging task reads, on average.
-MERGED_BYTES = 32 << 20
+#: Ranges of prefixes at most, and phrases of the sample that each range of cells keeps for their bounds.
+RANGES, SAMPLED = 64, 64
+#: Bytes of text whose tries a merging task reads on average, and of serialised pieces that it holds before it merges them.
+MERGED_TEXT, HELD_BYTES = 8 << 20, 16 << 20
 #: Best phrases are chosen in parts of so many candidates.
 RANKED = 1 << 18
 
@@ -111,42 +116,52 @@ class Words:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed counts of a run of texts, in ranges of cells; counts stop at what 16 bits hold."""
+    """Hashed counts of a run of texts, in ranges of cells, each with a phrase for the sample; counts stop at what 16 bits hold."""
+    ranges = 1 << RANGE_BITS
     for run in runs_of_text(batches):
         words = Words(*run)
         if not len(words.word):
             continue
         single, pair = words.hashes()
         cells, counts = np.unique(np.concatenate([single, pair[words.follows]]), return_counts=True)
-        edges = np.searchsorted(cells, np.arange((1 << RANGE_BITS) + 1) << (CELL_BITS - RANGE_BITS))
+        edges = np.searchsorted(cells, np.arange(ranges + 1) << (CELL_BITS - RANGE_BITS))
         cells, counts = cells.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
-        rows = [(k, cells[lo:hi].tobytes(), counts[lo:hi].tobytes()) for k, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "cells", "counts"])
+        at = np.linspace(0, max(0, len(words.word) - 2), ranges).astype(np.int64)
+        first, second = (words.names.take(pa.array(words.word[np.minimum(at + i, len(words.word) - 1)])) for i in (0, 1))
+        phrases = pc.binary_join_element_wise(first, second, b" ").to_pylist()
+        rows = [(k, cells[lo:hi].tobytes(), counts[lo:hi].tobytes(), phrases[k]) for k, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "cells", "counts", "phrase"])
 
 
 def _frequent_cells(least: int):
     def run(batches):
         width = 1 << (CELL_BITS - RANGE_BITS)
         sums: dict[int, np.ndarray] = {}
+        sample: dict[int, list] = {}
         for batch in batches:
-            for part, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "cells", "counts"))):
+            for part, cells, counts, phrase in zip(*(batch.column(c).to_pylist() for c in ("part", "cells", "counts", "phrase"))):
                 if part not in sums:
-                    sums[part] = np.zeros(width, np.int64)
+                    sums[part], sample[part] = np.zeros(width, np.int64), []
                 sums[part][np.frombuffer(cells, np.uint32) & (width - 1)] += np.frombuffer(counts, np.uint16)  # a run has a cell once
+                sample[part].append((xxhash.xxh3_64_intdigest(phrase, len(sample[part])), phrase))
+                if len(sample[part]) > 4 * SAMPLED:
+                    sample[part] = heapq.nsmallest(SAMPLED, sample[part])
         bits = [np.packbits(s >= least, bitorder="little").tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], names=["part", "bits"])
+        kept = [b"\n".join(p for _, p in heapq.nsmallest(SAMPLED, sample[part])) for part in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary()), pa.array(kept, pa.binary())], names=["part", "bits", "sample"])
 
     return run
 
 
-def frequent_cells(texts: DataFrame, least: int) -> bytes:
-    """A bit per cell: whether it counted ``least`` or more. Its size is fixed."""
-    hashed = texts.mapInArrow(_cells, "part int, cells binary, counts binary").repartition(1 << RANGE_BITS, "part")
-    bits = bytearray(1 << (CELL_BITS - 3))
-    for row in hashed.mapInArrow(_frequent_cells(min(least, 65535)), "part int, bits binary").collect():  # one row per range
+def frequent_cells(texts: DataFrame, least: int) -> tuple[bytes, list[bytes]]:
+    """A bit per cell, whether it counted ``least`` or more, and a sorted sample of pairs of words. The size of both is fixed."""
+    hashed = texts.mapInArrow(_cells, "part int, cells binary, counts binary, phrase binary").repartition(1 << RANGE_BITS, "part")
+    bits, sample = bytearray(1 << (CELL_BITS - 3)), []
+    for row in hashed.mapInArrow(_frequent_cells(min(least, 65535)), "part int, bits binary, sample binary").collect():  # one row per range
         at = row.part << (CELL_BITS - RANGE_BITS - 3)
         bits[at : at + len(row.bits)] = row.bits
-    return bytes(bits)
+        sample += bytes(row.sample).split(b"\n")
+    return bytes(bits), sorted(sample)
 
 
 def trie_levels(words: Words, bits: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
@@ -173,23 +188,85 @@ def trie_levels(words: Words, bits: np.ndarray, depth: int) -> Iterator[tuple[in
         yield level, lang, phrases, counts
 
 
-def _tries(shared, depth: int):
-    """Serialised tries (lang, words, phrase, f), and per language the number of all words as level 0."""
-
+def serialised(words: Words, bits: np.ndarray, depth: int, bounds: list[bytes], parts: int) -> Iterator[tuple[int, int, str, bytes, bytes]]:
+    """The trie of a run as (range, part, language, sorted phrases, counts); the empty phrase counts a language's words."""
+    held: dict[int, list] = {}
+    for _, lang, phrases, counts in trie_levels(words, bits, depth):
+        edges = np.searchsorted(lang, np.arange(len(words.langs) + 1))
+        for code, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+            if hi > lo:
+                held.setdefault(code, []).append((phrases.slice(lo, hi - lo), counts[lo:hi]))
+    for code, total in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
+        levels = [(pa.array([b""], pa.binary()), np.asarray([total])), *held.get(code, [])]
+        phrases, counts = pa.concat_arrays([p for p, _ in levels]), np.concatenate([c for _, c in levels]).astype(np.int64)
+        order = pc.sort_indices(phrases)
+        phrases, counts = phrases.take(order).to_pylist(), counts[order.to_numpy()]
+        edges = [0, *(bisect.bisect_left(phrases, b) for b in bounds), len(phrases)]
+        for number, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if parts == 1:
+                cut = [(0, phrases[lo:hi], counts[lo:hi])] if hi > lo else []
+            else:
+                part = np.asarray([zlib.crc32(p) % parts for p in phrases[lo:hi]], np.int64)
+                of = np.argsort(part, kind="stable")
+                starts = np.flatnonzero(np.diff(part[of], prepend=-1))
+                cut = [(int(part[i[0]]), [phrases[lo + j] for j in i], counts[lo + i]) for i in np.split(of, starts[1:])] if hi > lo else []
+            for part_, names, n in cut:
+                yield number, part_, words.langs[code], b"\n".join(names), n.tobytes()  # a word holds no line break
+
+
+def _tries(shared, depth: int, parts: int):
     def run(batches):
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits, bounds = shared.value
         for texts in runs_of_text(batches):
             words = Words(*texts)
-            if not len(words.word):
-                continue
-            names = pa.array(words.langs)
-            total = np.bincount(words.lang, minlength=len(words.langs))
-            levels = [(0, np.arange(len(total)), pa.array([b""] * len(total), pa.binary()), total)]
-            for level, lang, phrases, counts in (*levels, *trie_levels(words, bits, depth)):
-                for lo in range(0, len(counts), 1 << 16):
-                    hi = min(lo + (1 << 16), len(counts))
-                    columns = [names.take(pa.array(lang[lo:hi])), pa.array(np.full(hi - lo, level, np.int32)), phrases.slice(lo, hi - lo), pa.array(counts[lo:hi].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "f"])
+            if len(words.word):
+                columns = zip(*serialised(words, np.frombuffer(bits, np.uint8), depth, bounds, parts))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["range", "part", "lang", "phrases", "counts"])
+
+    return run
+
+
+def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[bytes], list[int]]:
+    """One sorted run of several, with the counts of equal phrases added up."""
+    if len(runs) == 1:
+        return runs[0]
+    phrases, counts, last = [], [], None
+    for phrase, n in heapq.merge(*(zip(*r) for r in runs)):
+        if phrase == last:
+            counts[-1] += n
+        else:
+            phrases.append(phrase)
+            counts.append(n)
+            last = phrase
+    return phrases, counts
+
+
+def _merging(least: int):
+    """Rows (range, part, lang, phrases, counts) in order of their keys to exact counts of frequent phrases."""
+
+    def groups(batches):
+        current, runs, size = None, [], 0
+        for batch in batches:
+            for *key, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("range", "part", "lang", "phrases", "counts"))):
+                if key != current:
+                    if runs:
+                        yield current[2], *merged(runs)
+                    current, runs, size = key, [], 0
+                runs.append((phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist()))
+                size += len(phrases)
+                if size > HELD_BYTES and len(runs) > 1:
+                    runs = [merged(runs)]
+                    size = 0
+        if runs:
+            yield current[2], *merged(runs)
+
+    def run(batches):
+        for lang, phrases, counts in groups(batches):
+            kept = [(p, n) for p, n in zip(phrases, counts) if n >= least or not p]
+            if kept:
+                names, n = zip(*kept)
+                levels = [p.count(b" ") + 1 if p else 0 for p in names]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(levels, pa.int32()), pa.array(names, pa.binary()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "f"])
 
     return run
 
@@ -198,13 +275,15 @@ def phrase_counts(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: s
     """(lang, words, phrase, f): exact counts of all phrases of up to ``depth`` words that occur ``least`` times or more; words 0 is a language's number of words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_of(text_col).cast("binary").alias("text"))
-    shared = spark.sparkContext.broadcast(frequent_cells(texts, least))  # 8 MB
-    runs = written(texts.mapInArrow(_tries(shared, depth), "lang string, words int, phrase binary, f bigint").withColumn("phrase", F.col("phrase").cast("string")), "tries")
-    total = runs.agg(F.sum(F.octet_length("phrase") + F.lit(24))).first()[0] or 0
-    # sorted runs meet in ranges of phrases; the aggregate keeps the ranges, so this is the only shuffle of them
-    ranged = runs.repartitionByRange(partitions_for(spark, total, MERGED_BYTES), "lang", "words", "phrase")
-    merged = ranged.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    return written(merged.filter((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
+    bits, sample = frequent_cells(texts, least)
+    tasks = partitions_for(spark, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, MERGED_TEXT)
+    ranges = min(tasks, RANGES)
+    bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
+    shared = spark.sparkContext.broadcast((bits, bounds))  # 8 MB and 63 phrases
+    pieces = texts.mapInArrow(_tries(shared, depth, -(-tasks // ranges)), "range int, part int, lang string, phrases binary, counts binary")
+    dealt = pieces.repartition(tasks, "range", "part").sortWithinPartitions("range", "part", "lang")
+    found = dealt.mapInArrow(_merging(least), "lang string, words int, phrase binary, f bigint")
+    return written(found.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
 
 
 def linked(counts: DataFrame, depth: int) -> DataFrame:

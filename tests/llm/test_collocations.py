@@ -53,9 +53,12 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, lang, "p", 1, 2, "r") for i, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("least, depth, top, run", [(5, 5, 2000, 16 << 20), (3, 3, 7, 500), (100, 5, 2000, 2000), (1, 2, 50, 1 << 20)])
-def test_collocations(spark, monkeypatch, least, depth, top, run):
+@pytest.mark.parametrize("least, depth, top, run, share", [(5, 5, 2000, 16 << 20, 8 << 20), (3, 3, 7, 500, 1000), (100, 5, 2000, 2000, 100000), (1, 2, 50, 1 << 20, 3000)])
+def test_collocations(spark, monkeypatch, least, depth, top, run, share):
     monkeypatch.setattr(co.runs_of_text, "__defaults__", (run,))
+    monkeypatch.setattr(co, "MERGED_TEXT", share)  # from one part a range to dozens
+    monkeypatch.setattr(co, "HELD_BYTES", share)
+    monkeypatch.setattr(co, "RANGES", 5)
     rows = texts(least)
     got = co.collocations(frame(spark, rows), least, depth, top)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score", "cut"]
@@ -64,7 +67,7 @@ def test_collocations(spark, monkeypatch, least, depth, top, run):
 
 def test_full_cells_drop_nothing(spark, monkeypatch):
     rows = texts(9)
-    monkeypatch.setattr(co, "frequent_cells", lambda texts, least: b"\xff" * (1 << (co.CELL_BITS - 3)))
+    monkeypatch.setattr(co, "frequent_cells", lambda texts, least: (b"\xff" * (1 << (co.CELL_BITS - 3)), []))
     assert sorted(tuple(r) for r in co.collocations(frame(spark, rows), 4).collect()) == plain(rows, 4, 5, 2000)
 
 
