@@ -179,8 +179,8 @@ def elliptic_lowpass(order: int, ripple: float, rejection: float) -> tuple[np.nd
     return z, p, gain
 
 
-def elliptic_bandpass(order: int, ripple: float, rejection: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of the digital band-pass filter; edges are fractions of the Nyquist frequency."""
+def _bandpass_roots(order: int, ripple: float, rejection: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Zeros, poles and gain of the digital band-pass filter; edges are fractions of the Nyquist frequency."""
     z, p, gain = elliptic_lowpass(order, ripple, rejection)
     a, b = 4 * math.tan(math.pi * low / 2), 4 * math.tan(math.pi * high / 2)
     width, center = b - a, math.sqrt(a * b)
@@ -190,12 +190,37 @@ def elliptic_bandpass(order: int, ripple: float, rejection: float, low: float, h
     gain *= width**degree
     digital = lambda roots: (4 + roots) / (4 - roots)
     gain *= (np.prod(4 - z) / np.prod(4 - p)).real
-    zeros = np.concatenate((digital(z), -np.ones(len(p) - len(z))))
-    return gain * np.poly(zeros).real, np.poly(digital(p)).real
+    return np.concatenate((digital(z), -np.ones(len(p) - len(z)))), digital(p), gain
+
+
+def elliptic_bandpass(order: int, ripple: float, rejection: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of the digital band-pass filter."""
+    z, p, gain = _bandpass_roots(order, ripple, rejection, low, high)
+    return gain * np.poly(z).real, np.poly(p).real
+
+
+def elliptic_sections(order: int, ripple: float, rejection: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same filter as a cascade of second order: numerators and denominators (order x 3), and the largest pole's radius.
+
+    Pairs of poles meet the zeros nearest to them, the sharpest first, so that no section amplifies much.
+    """
+    z, p, gain = _bandpass_roots(order, ripple, rejection, low, high)
+    poles = sorted(p[p.imag > 0], key=lambda v: -abs(v))
+    zeros = list(z[z.imag > 1e-9])
+    b, a = [], []
+    for pole in poles:
+        if zeros:
+            zero = zeros.pop(int(np.argmin(np.abs(np.asarray(zeros) - pole))))
+            b.append([1.0, -2 * zero.real, abs(zero) ** 2])
+        else:  # an odd order's pair at both ends of the band
+            b.append([1.0, 0.0, -1.0])
+        a.append([1.0, -2 * pole.real, abs(pole) ** 2])
+    b = np.asarray(b)
+    return b * abs(gain) ** (1 / len(b)) * np.where(np.arange(len(b)) == 0, np.sign(gain), 1.0)[:, None], np.asarray(a), float(max(map(abs, poles)))
 
 
 def semitone_bands(fmin: float = 27.5, fmax: float = 4200.0, order: int = 4, ripple: float = 1.0, rejection: float = 50.0, quality: float = 25.0, fref: float = A4) -> list[dict]:
-    """A filter per semitone: centre, the rate at which it runs, and its coefficients."""
+    """A filter per semitone: centre, the rate at which it runs, its coefficients as a whole and in sections."""
     out = []
     for step in range(math.floor(math.log2(fmin / fref) * 12), math.ceil(math.log2(fmax / fref) * 12)):
         center = fref * 2 ** (step / 12)
@@ -204,48 +229,70 @@ def semitone_bands(fmin: float = 27.5, fmax: float = 4200.0, order: int = 4, rip
         # low bands run at low rates, where their filters are well conditioned
         rate = 882 if center < 260 else 4410 if center < 2090 else 22050
         half = center / quality / 2
-        b, a = elliptic_bandpass(order, ripple, rejection, (center - half) / (rate / 2), (center + half) / (rate / 2))
-        out.append({"midi": round(69 + 12 * math.log2(center / A4)), "center": center, "rate": rate, "b": b.tolist(), "a": a.tolist()})
+        edges = (center - half) / (rate / 2), (center + half) / (rate / 2)
+        b, a = elliptic_bandpass(order, ripple, rejection, *edges)
+        sections = elliptic_sections(order, ripple, rejection, *edges)
+        out.append({"midi": round(69 + 12 * math.log2(center / A4)), "center": center, "rate": rate, "b": b.tolist(), "a": a.tolist(), "sections": sections[:2], "radius": sections[2]})
     return out
 
 
 class BlockFilters:
     """Recursive filters of one order side by side, in blocks: what a block's samples and the state before it add to the
-    block's output and to the state after it are matrices, made once. All is in extended precision, as narrow
-    bands cancel nearly all of their terms."""
+    block's output and to the state after it are matrices, made once."""
 
-    BLOCK = 16
+    BLOCK = 64
 
-    def __init__(self, b: list, a: list) -> None:
-        b, a = np.asarray(b, np.longdouble), np.asarray(a, np.longdouble)
+    def __init__(self, b: np.ndarray, a: np.ndarray) -> None:
+        b, a = np.asarray(b, float), np.asarray(a, float)
         b, a = b / a[:, :1], a / a[:, :1]
-        count, self.length = a.shape
-        order = self.length - 1
-        step = np.zeros((count, order, order), np.longdouble)
+        count, order = a.shape[0], a.shape[1] - 1
+        step = np.zeros((count, order, order))
         step[:, np.arange(order - 1), np.arange(1, order)] = 1
         step[:, :, 0] -= a[:, 1:]
         push = b[:, 1:] - a[:, 1:] * b[:, :1]
         # responses to the state and to a sample, step by step
-        state, reach = np.tile(np.eye(order, dtype=np.longdouble), (count, 1, 1)), []
+        state, reach = np.tile(np.eye(order), (count, 1, 1)), []
         for _ in range(self.BLOCK):
             reach.append(state)
             state = step @ state
         self.from_state = np.stack([r[:, 0, :] for r in reach], 1)
         pulse = np.stack([b[:, 0], *((r[:, 0, :] * push).sum(1) for r in reach[:-1])], 1)
-        self.from_input = np.zeros((count, self.BLOCK, self.BLOCK), np.longdouble)
+        self.from_input = np.zeros((count, self.BLOCK, self.BLOCK))
         for i in range(self.BLOCK):
             self.from_input[:, i, : i + 1] = pulse[:, i::-1]
         self.to_state = np.stack([(r * push[:, None, :]).sum(2) for r in reversed(reach)], 2)
         self.carry = state
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        """Filter rows (filters x samples)."""
+        """Filter rows (filters x samples) from silence."""
         count, n = x.shape
-        padded = np.zeros((count, -(-n // self.BLOCK) * self.BLOCK), np.longdouble)
+        blocks = -(-n // self.BLOCK)
+        padded = np.zeros((count, blocks * self.BLOCK))
         padded[:, :n] = x
-        out, state = np.empty_like(padded), np.zeros((count, self.length - 1, 1), np.longdouble)
-        for lo in range(0, n, self.BLOCK):
-            block = padded[:, lo : lo + self.BLOCK, None]
-            out[:, lo : lo + self.BLOCK] = (self.from_input @ block + self.from_state @ state)[..., 0]
-            state = self.carry @ state + self.to_state @ block
-        return out[:, :n].astype(float)
+        padded = padded.reshape(count, blocks, self.BLOCK)
+        out = padded @ self.from_input.swapaxes(1, 2)
+        entering = padded @ self.to_state.swapaxes(1, 2)  # what each block adds to the state
+        states, state = np.empty_like(entering), np.zeros((count, entering.shape[2], 1))
+        for k in range(blocks):
+            states[:, k] = state[..., 0]
+            state = self.carry @ state + entering[:, k, :, None]
+        out += states @ self.from_state.swapaxes(1, 2)
+        return out.reshape(count, -1)[:, :n]
+
+
+class SectionFilters:
+    """Cascades of second-order sections side by side; double precision suffices however narrow a band is."""
+
+    def __init__(self, sections: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        b, a = (np.stack([s[i] for s in sections]) for i in (0, 1))
+        self.stages = [BlockFilters(b[:, k], a[:, k]) for k in range(b.shape[1])]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        for stage in self.stages:
+            x = stage(x)
+        return x
+
+
+def run_up(radius: float, accuracy: float = 1e-13) -> int:
+    """Samples after which a filter with poles of that radius has forgotten what came before, but for ``accuracy``."""
+    return math.ceil(math.log(accuracy) / math.log(radius))

@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import NumericType, StructField, StructType
 
 Columns = dict[str, np.ndarray]
 #: Values that a task gathers before it hands them over.
@@ -115,3 +116,17 @@ def scan_series(df: DataFrame, columns: list[str], start: Callable[[], object],
     ordered = df.select(*dict.fromkeys([*keys, order, *columns]))
     sort = [ordered[k] for k in keys] + [ordered[order].desc() if descending else ordered[order]]
     return ordered.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*sort).mapInArrow(run, out)
+
+
+def headed(rows: DataFrame, headers: DataFrame, columns: list[str], keys: tuple[str, ...], order: str = "frame", some: bool = False) -> DataFrame:
+    """``rows`` with a row of ``headers`` (keys, ...) before each series' own; with ``some``, of the series that have one.
+
+    Its columns are keys, order, columns and the headers' own; a kernel finds the header first and skips it for the rest.
+    """
+    own = [c for c in headers.columns if c not in keys]
+    # a null would turn a column of whole numbers to fractions
+    filler = lambda kind: F.lit(0 if isinstance(kind, NumericType) else None).cast(kind)
+    kept = rows.join(headers.select(*keys), [*keys], "left_semi") if some else rows
+    below = kept.select(*keys, order, *columns, *(filler(headers.schema[c].dataType).alias(c) for c in own))
+    above = headers.select(*keys, F.lit(-(1 << 62)).cast("bigint").alias(order), *(filler(rows.schema[c].dataType).alias(c) for c in columns), *own)
+    return below.unionByName(above)

@@ -23,10 +23,9 @@ from typing import TYPE_CHECKING
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from ..session import shared_folder
-from .series import Columns, map_series, scan_series
+from .series import Columns, headed, map_series, scan_series
 
 if TYPE_CHECKING:
     from .sequence import Transitions
@@ -149,20 +148,12 @@ def split_viterbi(frames: DataFrame, columns: list[str], densities: Densities, m
         entry = levelled(steps.advance(np.zeros(model.states), log_densities(c, ~own)))[0] if not own.all() else first
         return forward(entry, log_densities(c, own))
 
-    def headed(headers: DataFrame, header: dict[str, str]) -> DataFrame:
-        """Frames of the blocks that have a header row (keys, block, ...header), which comes before them."""
-        rows = owned.join(headers.select(*keyed), [*keyed], "left_semi").select(*keyed, "frame", *columns, *(F.lit(None if kind.startswith("array") else 0).cast(kind).alias(name) for name, kind in header.items()))
-        # a null would turn a column of whole numbers to fractions
-        fillers = [F.lit(0 if isinstance(frames.schema[c].dataType, NumericType) else None).cast(frames.schema[c].dataType).alias(c) for c in columns]
-        top = headers.select(*keyed, F.lit(-(1 << 62)).cast("bigint").alias("frame"), *fillers, *header)
-        return rows.unionByName(top)
-
     def entered(c):
         here = np.arange(len(c["frame"])) > 0
         return forward(np.asarray(c["entry"][0], float), log_densities(c, here))
 
     def run_entered(headers: DataFrame) -> DataFrame:
-        return map_series(headed(headers, {"entry": "array<double>"}), ["frame", *columns, "entry"], entered, result, keyed)
+        return map_series(headed(owned, headers, columns, keyed, some=True), ["frame", *columns, "entry"], entered, result, keyed)
 
     if ahead:
         near = (F.col("frame") - at * size) >= size - ahead
@@ -209,7 +200,7 @@ def split_viterbi(frames: DataFrame, columns: list[str], densities: Densities, m
             state = int(steps.before(back[t], state))
         return {"frame": c["frame"][1:], "state": path, "log_prob": np.full(len(path), float(c["log_prob"][0]))}
 
-    held = headed(goals, {"entry": "array<double>", "goal": "bigint", "log_prob": "double"})
+    held = headed(owned, goals.select(*keyed, "entry", "goal", "log_prob"), columns, keyed, some=True)
     return map_series(held, ["frame", *columns, "entry", "goal", "log_prob"], read, "frame bigint, state bigint, log_prob double", keyed).drop("block")
 
 

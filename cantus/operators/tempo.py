@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import map_series
+from .series import headed, map_series, scan_series
 from .signal import hamming, smooth
 
 
@@ -49,9 +49,51 @@ def resonated(x: np.ndarray, tau: int, factor: float) -> np.ndarray:
     return y
 
 
-def _resonate(df: DataFrame, taus: list[int], alpha: float | list[float]) -> DataFrame:
-    """Backward filters, a series per track and some delays: (track, n, tau, y)."""
+def carried(state: np.ndarray, tau: int, factor: float, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the ``tau`` outputs before a block (tau x columns) add to its ``length`` outputs, and to the last ``tau`` of both together."""
+    at = np.arange(length)
+    added = float(np.float32(factor)) ** (at // tau + 1)[:, None] * state[at % tau]
+    return added, np.concatenate((state, added))[-tau:]
+
+
+def _resonate_split(df: DataFrame, taus: list[int], factors: list[float], block: int, width: int) -> DataFrame:
+    """Backward filters of tracks of any length, by an affine scan: (track, n, tau, y array).
+
+    Blocks of samples run from silence and report their last outputs; a scan over the blocks adds what each one's state
+    becomes of the state before it, through powers of the factor; with its state, each block is filtered for good.
+    Samples of a track follow each other without gaps; ``x`` are arrays of ``width``.
+    """
+    size, keys = max(block, *taus), ("track", "block")
+    owned = df.select("track", "n", "x").withColumn("block", F.floor(F.col("n") / size).cast("bigint"))
+    pairs = list(zip(taus, factors))
+    cuts = np.cumsum([0, *taus])
+
+    def tails(c):
+        x = np.stack(c["x"]).astype(float)
+        ends = [np.concatenate((np.zeros((t, width)), resonated(x, t, f)))[-t:] for t, f in pairs]
+        return {"tail": np.concatenate(ends).reshape(1, -1), "length": np.asarray([len(x)])}
+
+    def step(state, row):
+        tail, length = row["tail"].reshape(-1, width), int(row["length"])
+        after = [tail[lo:hi] + carried(state[lo:hi], t, f, length)[1] for (t, f), lo, hi in zip(pairs, cuts, cuts[1:])]
+        return np.concatenate(after), {"state": state.ravel().tolist()}
+
+    def filtered(c):
+        x, state = np.stack(c["x"][1:]).astype(float), np.asarray(c["state"][0], float).reshape(-1, width)
+        y = [resonated(x, t, f) + carried(state[lo:hi], t, f, len(x))[0] for (t, f), lo, hi in zip(pairs, cuts, cuts[1:])]
+        return {"n": np.tile(c["n"][1:], len(pairs)), "tau": np.repeat(taus, len(x)), "y": np.concatenate(y)}
+
+    blocks = map_series(owned, ["n", "x"], tails, "tail array<double>, length bigint", keys, "n")
+    states = scan_series(blocks, ["tail", "length"], lambda: np.zeros((int(cuts[-1]), width)), step, "state array<double>")
+    return map_series(headed(owned, states, ["x"], keys, "n"), ["n", "x", "state"], filtered, "n bigint, tau int, y array<double>", keys, "n").drop("block")
+
+
+def _resonate(df: DataFrame, taus: list[int], alpha: float | list[float], block: int | None = None) -> DataFrame:
+    """Backward filters, a series per track and some delays: (track, n, tau, y). With ``block``, tracks are split in blocks of so many samples."""
     factors = factors_of(taus, alpha)
+    if block:
+        arrays = df.select("track", "n", F.array(F.col("x").cast("double")).alias("x"))
+        return _resonate_split(arrays, taus, factors, block, 1).select("track", "n", "tau", F.col("y")[0].alias("y"))
     blocks = [list(zip(taus, factors))[i : i + TOGETHER] for i in range(0, len(taus), TOGETHER)]
     spread = df.select("track", "n", "x", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))).alias("block")) if len(blocks) > 1 else df.select("track", "n", "x", F.lit(0).alias("block"))
 
@@ -62,15 +104,21 @@ def _resonate(df: DataFrame, taus: list[int], alpha: float | list[float]) -> Dat
     return map_series(spread, ["n", "x", "block"], filtered, "n bigint, tau int, y double", ("track", "block"), "n").drop("block")
 
 
-def comb_backward(df: DataFrame, tau: int, alpha: float) -> DataFrame:
-    """x plus the delayed output: (track, n, x) with ``y``."""
-    return df.join(_resonate(df, [tau], alpha).drop("tau"), ["track", "n"])
+def comb_backward(df: DataFrame, tau: int, alpha: float, block: int | None = None) -> DataFrame:
+    """x plus the delayed output: (track, n, x) with ``y``. With ``block``, tracks are split in blocks of so many samples."""
+    return df.join(_resonate(df, [tau], alpha, block).drop("tau"), ["track", "n"])
+
+
+def comb_backward_columns(df: DataFrame, tau: int, alpha: float, width: int, block: int = 1 << 16) -> DataFrame:
+    """The same for signals of several columns, each filtered alone: (track, n, x array of ``width``) to (track, n, y array)."""
+    (factor,) = factors_of([tau], alpha)
+    return _resonate_split(df, [tau], [factor], block, width).drop("tau")
 
 
-def comb_bank(df: DataFrame, taus: list[int], alpha: float | list[float], backward: bool = True) -> DataFrame:
-    """One filter per delay, with a factor for all or one for each: (track, n, tau, y)."""
+def comb_bank(df: DataFrame, taus: list[int], alpha: float | list[float], backward: bool = True, block: int | None = None) -> DataFrame:
+    """One filter per delay, with a factor for all or one for each: (track, n, tau, y). With ``block``, backward filters split tracks."""
     if backward:
-        return _resonate(df, taus, alpha)
+        return _resonate(df, taus, alpha, block)
     factors, series = factors_of(taus, alpha), Window.partitionBy("track").orderBy("n")
     filtered = [F.struct(F.lit(int(t)).alias("tau"), (F.col("x") + F.coalesce(F.lag("x", int(t)).over(series), F.lit(0.0)) * f).alias("y")) for t, f in zip(taus, factors)]
     return df.select("track", "n", F.array(*filtered).alias("all")).select("track", "n", F.inline("all"))
@@ -145,8 +193,8 @@ def detect_tempo(histogram: DataFrame, fps: float, interpolate: bool = False) ->
     return ranked.unionByName(none.select("track", F.lit(1).alias("rank"), F.lit(float("nan")).alias("bpm"), F.lit(0.0).alias("strength")))
 
 
-def estimate_tempo(acts: DataFrame, fps: float, min_bpm: float = 40.0, max_bpm: float = 250.0, method: str = "comb", act_smooth: float | None = 0.14, hist_smooth: int = 9, alpha: float = 0.79) -> DataFrame:
-    """Tempi of activations: smooth, histogram, smooth, peaks."""
+def estimate_tempo(acts: DataFrame, fps: float, min_bpm: float = 40.0, max_bpm: float = 250.0, method: str = "comb", act_smooth: float | None = 0.14, hist_smooth: int = 9, alpha: float = 0.79, interpolate: bool = False) -> DataFrame:
+    """Tempi of activations: smooth, histogram, smooth, peaks; with ``interpolate`` between the histogram's bins, too."""
     taus = intervals(fps, min_bpm, max_bpm).tolist()
     if method == "dbn":
         from .beats import dbn_intervals
@@ -157,7 +205,7 @@ def estimate_tempo(acts: DataFrame, fps: float, min_bpm: float = 40.0, max_bpm:
         if method not in ("comb", "acf"):
             raise ValueError(f"no tempo method {method!r}")
         histogram = comb_histogram(smoothed_acts, taus, alpha) if method == "comb" else acf_histogram(smoothed_acts, taus)
-    return detect_tempo(smooth_histogram(histogram, hist_smooth), fps)
+    return detect_tempo(smooth_histogram(histogram, hist_smooth), fps, interpolate)
 
 
 # --- the same on arrays, for decoders that need a histogram on the way ------------------------------------------------

@@ -261,36 +261,49 @@ def pattern_features(samples: DataFrame, sample_rate: float, crossovers: tuple[f
     return rows.select("track", "frame", F.col("s.mag").alias("x"))
 
 
-def semitone_energies(samples: DataFrame, sample_rate: int, fps: float = 50.0, fmin: float = 27.5, fmax: float = 4200.0) -> DataFrame:
+def semitone_energies(samples: DataFrame, sample_rate: int, fps: float = 50.0, fmin: float = 27.5, fmax: float = 4200.0, frames_per_run: int | None = None) -> DataFrame:
     """Energy of each semitone's band per frame: (track, frame, midi, energy).
 
     Each rate's signal is made once by resampling; all its bands are filtered forth and back together, and only their
-    energies in half-overlapping frames leave the task. A recording is one series, as a filter's state runs through it.
+    energies in half-overlapping frames leave the task. A recording is cut into runs of frames with so many samples
+    around them that the filters, whose poles are known, forget what lies beyond, but for 1e-13 of it.
     """
     bands = filterbanks.semitone_bands(fmin, fmax)
     parts = []
     for rate in sorted({b["rate"] for b in bands}):
         mine = [b for b in bands if b["rate"] == rate]
         at_rate = samples.select("track", "n", "x") if rate == sample_rate else resample(samples, rate, sample_rate)
-        parts.append(map_series(at_rate, ["x"], _band_energies(mine, rate, fps), "frame bigint, midi int, energy double", order="n"))
+        parts.append(_band_energies(at_rate, mine, rate, fps, frames_per_run))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _band_energies(bands: list[dict], rate: int, fps: float):
+def _band_energies(samples: DataFrame, bands: list[dict], rate: int, fps: float, frames_per_run: int | None = None) -> DataFrame:
     size, hop = int(round(2 * rate / fps)), rate / fps
     numbers = np.asarray([b["midi"] for b in bands], np.int32)
+    edge = 27  # samples of the odd extension at a recording's ends
+    around = max(filterbanks.run_up(max(b["radius"] for b in bands)), edge + 1) + size
+    count = frames_per_run or math.ceil(8 * around / hop)
+    n = F.col("n")
+    low, high = F.floor((n - around - size) / (count * hop)) - 1, F.floor((n + around + size) / (count * hop))
+    dealt = samples.select("track", "n", F.col("x").cast("double").alias("x")).withColumn("run", F.explode(F.sequence(F.greatest(low, F.lit(0).cast("bigint")), high)))
 
     def run(c):
-        filters = filterbanks.BlockFilters([b["b"] for b in bands], [b["a"] for b in bands])
-        x = c["x"].astype(float)
-        pad = min(len(x) - 1, 3 * filters.length)
-        # odd extension at both ends, filtered forth and back
+        first = int(c["run"][0]) * count
+        begin, end = math.floor(first * hop) - size // 2 - around, math.floor((first + count - 1) * hop) - size // 2 + size + around
+        inside = (c["n"] >= begin) & (c["n"] < end)
+        x, lo = c["x"][inside], max(0, begin)
+        hi = lo + len(x)  # the recording's end, if it ends in here
+        frames = np.arange(first, min(first + count, math.ceil(hi / hop)))
+        if not len(frames) or not len(x):
+            return {"frame": np.zeros(0, np.int64), "midi": numbers[:0], "energy": np.zeros(0)}
+        filters = filterbanks.SectionFilters([b["sections"] for b in bands])
+        pad = min(len(x) - 1, edge)
+        # odd extension at both ends, filtered forth and back; what it does inside a recording is forgotten
         wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
         y = filters(filters(np.tile(wide, (len(bands), 1)))[:, ::-1])[:, ::-1][:, pad : pad + len(x)]
         total = np.concatenate((np.zeros((len(bands), 1)), np.cumsum(y * y, 1)), 1)
-        at = np.arange(math.ceil(len(x) / hop))
-        start = np.floor(at * hop).astype(np.int64) - size // 2
-        energy = total[:, np.clip(start + size, 0, len(x))] - total[:, np.clip(start, 0, len(x))]
-        return {"frame": np.tile(at, len(bands)), "midi": np.repeat(numbers, len(at)), "energy": np.maximum(energy, 0).ravel() / rate * 22050}
+        start = np.floor(frames * hop).astype(np.int64) - size // 2
+        energy = total[:, np.clip(start + size, lo, hi) - lo] - total[:, np.clip(start, lo, hi) - lo]
+        return {"frame": np.tile(frames, len(bands)), "midi": np.repeat(numbers, len(frames)), "energy": np.maximum(energy, 0).ravel() / rate * 22050}
 
-    return run
+    return map_series(dealt, ["n", "x", "run"], run, "frame bigint, midi int, energy double", ("track", "run"), "n").drop("run")

@@ -39,6 +39,21 @@ def _(spark, sf):
     return tempo.comb_bank(signal_view(spark, sf), [2, 5], 0.79).withColumn("y", r6("y"))
 
 
+@query("comb_bank_split", f"WITH {SIGNAL}, y AS (" + " UNION ALL ".join(_BACK.format(tau=f"{t} AS tau,", t=t, src="sig").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3") for t in (2, 5)) + f") SELECT track, n, tau, {s6('y')} AS y FROM y")
+def _(spark, sf):
+    return tempo.comb_bank(signal_view(spark, sf), [2, 5], 0.79, block=16).withColumn("y", r6("y"))
+
+
+@query(
+    "comb_backward_columns",
+    f"WITH {SPECTROGRAM}, y AS (SELECT a.track, a.frame, a.bin, sum(b.mag * pow(0.79::FLOAT::DOUBLE, (a.frame - b.frame) // 3)) AS y FROM spec a JOIN spec b ON b.track = a.track AND b.bin = a.bin AND b.frame <= a.frame AND (a.frame - b.frame) % 3 = 0 GROUP BY ALL) SELECT track, frame, bin, {s6('y')} AS y FROM y",
+)
+def _(spark, sf):
+    bins = F.sort_array(F.collect_list(F.struct("bin", "mag")))
+    wide = spec_view(spark, sf).groupBy("track", F.col("frame").alias("n")).agg(bins.alias("s")).select("track", "n", F.col("s.mag").alias("x"))
+    return tempo.comb_backward_columns(wide, 3, 0.79, 64, block=16).select("track", F.col("n").alias("frame"), F.posexplode("y").alias("bin", "y")).select("track", "frame", F.col("bin").cast("bigint").alias("bin"), r6("y").alias("y"))
+
+
 _ACF = "acf AS (SELECT a.track, t AS tau, sum(abs(a.a * b.a)) AS bin FROM act a JOIN range(3, 13) r(t) ON true JOIN act b ON b.track = a.track AND b.frame = a.frame + t GROUP BY 1, 2)"
 
 

@@ -201,10 +201,10 @@ def test_transform_of_many_runs(spark, monkeypatch):
     assert len(got) == len(want) == 60 and all(a == b and np.allclose(p, q) and np.allclose(s, t) for (a, p, s), (b, q, t) in zip(got, want))
 
 
-def test_block_filters_equal_their_recursion():
+def test_sections_equal_the_whole_recursion():
     bands = analysis.filterbanks.semitone_bands()[20:26]
     x = np.random.default_rng(2).normal(size=(6, 333))
-    got = analysis.filterbanks.BlockFilters([b["b"] for b in bands], [b["a"] for b in bands])(x)
+    got = analysis.filterbanks.SectionFilters([b["sections"] for b in bands])(x)
     for band, row, y in zip(bands, x, got):
         b, a, want = np.asarray(band["b"]), np.asarray(band["a"]), []
         for i in range(len(row)):
@@ -212,6 +212,40 @@ def test_block_filters_equal_their_recursion():
         assert np.allclose(y, want, atol=1e-8)
 
 
+def test_sections_of_an_odd_order():
+    fb = analysis.filterbanks
+    b, a, radius = fb.elliptic_sections(3, 1.0, 40.0, 0.2, 0.3)
+    whole = fb.elliptic_bandpass(3, 1.0, 40.0, 0.2, 0.3)
+    product = lambda rows: np.polymul(np.polymul(rows[0], rows[1]), rows[2])
+    assert np.allclose(product(b), whole[0]) and np.allclose(product(a), whole[1]) and radius < 1
+
+
+def test_semitone_energies_in_runs_equal_the_whole(spark):
+    """Runs with halos against filtering all samples at once, where a recording is many runs and where it is one."""
+    fb, fps, rate = analysis.filterbanks, 50.0, 4410
+    bands = [b for b in fb.semitone_bands() if b["rate"] == rate][10:14]
+    rng = np.random.default_rng(6)
+    signals = {"long": rng.normal(size=30000), "short": rng.normal(size=200), "tiny": rng.normal(size=20), "one": np.ones(1)}
+    rows = spark.createDataFrame([(t, i, float(v)) for t, x in signals.items() for i, v in enumerate(x)], "track string, n bigint, x double").repartition(3)
+    got = {t: {} for t in signals}
+    for r in analysis._band_energies(rows, bands, rate, fps, 40).collect():
+        assert (r.frame, r.midi) not in got[r.track]
+        got[r.track][r.frame, r.midi] = r.energy
+    size, hop = int(round(2 * rate / fps)), rate / fps
+    for track, x in signals.items():
+        pad = min(len(x) - 1, 27)
+        wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
+        filters = fb.SectionFilters([b["sections"] for b in bands])
+        y = filters(filters(np.tile(wide, (len(bands), 1)))[:, ::-1])[:, ::-1][:, pad : pad + len(x)]
+        want = {}
+        for f in range(int(np.ceil(len(x) / hop))):
+            start = int(np.floor(f * hop)) - size // 2
+            for k, band in enumerate(bands):
+                want[f, band["midi"]] = (y[k, max(0, start) : max(0, start + size)] ** 2).sum() / rate * 22050
+        assert set(want) == set(got[track])
+        assert all(abs(got[track][k] - v) < 1e-9 * max(1, v) for k, v in want.items())
+
+
 def test_bar_activations(spark):
     rate, x = 8000, tone(2.0, 8000)
     rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "track string, n bigint, x double")

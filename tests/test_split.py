@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cantus.operators import beats, split_decode, states
+from cantus.operators import beats, split_decode, tempo
 from cantus.operators.sequence import Transitions, decode_densities, decode_symbols, viterbi
 
 
@@ -113,3 +113,44 @@ def test_downbeats_of_split_tracks(spark):
     whole, split = (sorted(map(tuple, beats.dbn_downbeats(acts, block=b, **args).collect())) for b in (None, 200))
     assert whole == split
     assert {(t, max(n for u, _, n in whole if u == t)) for t, _, _ in whole} == {("three", 3), ("four", 4)}
+
+
+@pytest.mark.parametrize("alpha", [0.79, [0.5, 1.0, -0.9]])
+@pytest.mark.parametrize("block", [7, 64])
+def test_comb_filters_of_split_tracks(spark, alpha, block):
+    rng = np.random.default_rng(block)
+    signals = {"a": rng.normal(size=500), "b": rng.normal(size=block), "c": rng.normal(size=3)}
+    rows = [(t, i, float(v)) for t, x in signals.items() for i, v in enumerate(x)]
+    frame, taus = spark.createDataFrame(rows, "track string, n bigint, x double").repartition(3), [1, 5, 12]
+    got = {(r.track, r.n, r.tau): r.y for r in tempo.comb_bank(frame, taus, alpha, block=block).collect()}
+    factors = [float(np.float32(f)) for f in (alpha if isinstance(alpha, list) else [alpha] * 3)]
+    for t, x in signals.items():
+        for tau, factor in zip(taus, factors):
+            y = []
+            for i, v in enumerate(x):
+                y.append(v + (factor * y[i - tau] if i >= tau else 0))
+            assert np.allclose([got[t, i, tau] for i in range(len(x))], y, atol=1e-9, rtol=1e-9)
+    assert len(got) == 3 * len(rows)
+
+
+def test_comb_filter_of_columns(spark):
+    x = np.random.default_rng(8).normal(size=(300, 2))
+    frame = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "track string, n bigint, x array<double>")
+    got = np.asarray([r.y for r in tempo.comb_backward_columns(frame, 9, 0.6, 2, 50).orderBy("n").collect()])
+    want = x.copy()
+    for i in range(9, 300):
+        want[i] += float(np.float32(0.6)) * want[i - 9]
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_interpolated_tempo_estimation(spark):
+    """A pulse every 20.5 frames: between the histogram's bins with interpolation, at a whole delay without."""
+    a = np.zeros(2000)
+    for k in range(95):
+        at = 20.5 * k
+        a[int(at)] += 1 - at % 1
+        a[int(at) + 1] += at % 1
+    acts = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(a)], "track string, frame bigint, a double")
+    first = lambda **kw: tempo.estimate_tempo(acts, 100.0, 200.0, 400.0, "acf", None, 7, **kw).filter("rank = 1").first().bpm
+    assert abs(6000 / first(interpolate=True) - 20.5) < 0.2
+    assert 6000 / first() in (20.0, 21.0)
