@@ -54,37 +54,61 @@ def frame(df: DataFrame, size: int, hop: float | None = None, *, fps: float | No
     return spread.select("track", "frame", (n - F.floor(F.col("frame") * step) + before).alias("k"), "x").filter((F.col("k") >= 0) & (F.col("k") < size))
 
 
-def map_frames(df: DataFrame, size: int, fn: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, hop: float | None = None, *, fps: float | None = None, sample_rate: float | None = None, origin: int | str = 0, end: str = "normal", pad: float | str = 0.0) -> DataFrame:
+def map_frames(df: DataFrame, size: int, fn: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, hop: float | None = None, *, fps: float | None = None, sample_rate: float | None = None, origin: int | str = 0, end: str = "normal", pad: float | str = 0.0, halo: int = 0) -> DataFrame:
     """Apply ``fn`` to blocks of whole frames (frames x size) of samples (track, n, x): (track, frame, columns of ``schema``).
 
     Samples are shuffled once, by track and run of frames; only those near a run's edge go to two runs. A recording of
-    any length is many runs. Samples outside the recording are ``pad``, or its first and last with 'repeat'.
+    any length is many runs; its samples follow each other, so that a run whose samples end before its frames do holds
+    the recording's end. Samples outside the recording are ``pad``, or its first and last with 'repeat'. With ``halo``,
+    a block begins with so many frames of the run before, if there are any; their results are dropped.
     """
     step = hop_of(hop, fps, sample_rate)
+    if end not in ("normal", "extend"):
+        raise ValueError(f"end is 'normal' or 'extend', not {end!r}")
     before, repeat = size // 2 + origin_of(origin, size), pad == "repeat"
-    edges = [F.min_by("x", "n").cast("double").alias("_a"), F.max_by("x", "n").cast("double").alias("_z")] if repeat else []
-    sizes = df.groupBy("track").agg((F.max("n") + 1).cast("bigint").alias("_size"), *edges).withColumn("_frames", num_frames(F.col("_size"), step, end).cast("bigint"))
-    n = F.col("n")
-    low = F.greatest(F.ceil((n + (before - size + 1)) / step), F.lit(0).cast("bigint"))
-    high = F.least(F.ceil((n + (before + 1)) / step) - 1, F.col("_frames") - 1)
-    dealt = df.join(sizes, "track").withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
-    dealt = dealt.withColumn("run", F.explode(F.sequence(F.floor(F.col("_low") / RUN), F.floor(F.col("_high") / RUN)))).withColumn("x", F.col("x").cast("double"))
+    dealt = run_rows(df, step, before, size, halo)
 
     def make(c):
-        first, frames, at = int(c["run"][0]) * RUN, int(c["_frames"][0]), c["n"]
-        numbers = np.arange(first, min(first + RUN, frames))
-        starts = np.floor(numbers * step).astype(np.int64) - before
+        at, x = c["n"], c["x"]
+        taken = frames_of(int(c["run"][0]), RUN, int(at[-1]) + 1, step, end, halo)
+        if not len(taken):
+            return {"frame": taken, **{k: v[:0] for k, v in fn(np.zeros((1, size))).items()}}
+        line, starts = line_of(at, x, taken, step, before, size, 0.0 if repeat else float(pad))
         low = int(starts[0])
-        line = np.full(int(starts[-1]) + size - low, 0.0 if repeat else float(pad))
         if repeat:
-            line[: max(0, -low)] = c["_a"][0]
-            line[max(0, int(c["_size"][0]) - low) :] = c["_z"][0]
-        inside = (at >= low) & (at < low + len(line))
-        line[at[inside] - low] = c["x"][inside]
-        return {"frame": numbers, **fn(line[(starts - low)[:, None] + np.arange(size)])}
-
-    columns = ["n", "x", "run", "_frames"] + (["_size", "_a", "_z"] if repeat else [])
-    return map_series(dealt, columns, make, f"frame bigint, {schema}", ("track", "run"), "n").drop("run")
+            line[: max(0, -low)] = x[np.searchsorted(at, 0)] if low < 0 else 0.0
+            line[max(0, int(at[-1]) + 1 - low) :] = x[-1]
+        own = taken // RUN == c["run"][0]
+        made = fn(line[(starts - low)[:, None] + np.arange(size)])
+        return {"frame": taken[own], **{k: v[own] for k, v in made.items()}}
+
+    return map_series(dealt, ["n", "x", "run"], make, f"frame bigint, {schema}", ("track", "run"), "n").drop("run")
+
+
+def run_rows(df: DataFrame, step: float, before: int, size: int, halo: int = 0) -> DataFrame:
+    """Samples (track, n, x) with each ``run`` of frames that reaches them, and with those whose frames refer to them."""
+    n = F.col("n")
+    low = F.least(F.ceil((n + (before - size + 1)) / step), F.floor(n / step))
+    high = F.greatest(F.ceil((n + (before + 1)) / step) - 1, F.ceil((n + 1) / step))
+    runs = F.sequence(F.greatest(F.floor(low / RUN), F.lit(0).cast("bigint")), F.floor((high + halo) / RUN))
+    return df.select("track", "n", F.col("x").cast("double").alias("x"), F.explode(runs).alias("run"))
+
+
+def frames_of(run: int, length: int, samples: int, step: float, end: str = "normal", halo: int = 0) -> np.ndarray:
+    """Frames of a run of ``length`` and its halo in a recording of at least so many samples, of which the run's frames see the last."""
+    count = math.ceil(samples / step) if end == "normal" else math.floor(samples / step + 1)
+    last = min((run + 1) * length, count)
+    return np.arange(max(0, run * length - halo), last) if last > run * length else np.zeros(0, np.int64)
+
+
+def line_of(at: np.ndarray, x: np.ndarray, frames: np.ndarray, step: float, before: int, size: int, pad: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The samples that some frames span, with ``pad`` where there are none, and the frames' starts."""
+    starts = np.floor(frames * step).astype(np.int64) - before
+    low = int(starts[0])
+    line = np.full(int(starts[-1]) + size - low, pad)
+    inside = (at >= low) & (at < low + len(line))
+    line[at[inside] - low] = x[inside]
+    return line, starts
 
 
 def frame_counts(df: DataFrame, hop: float, end: str = "normal") -> DataFrame:

@@ -52,6 +52,18 @@ def _series(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: l
         yield current, {c: np.concatenate(v) for c, v in zip(columns, zip(*held))}
 
 
+def tasks_for(df: DataFrame, per_task: int = 64 << 20) -> int:
+    """Tasks for kernels over ``df``: as many as the session's shuffles have, more where the tables it reads are larger than that."""
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        total += size if size < 1 << 60 else 0  # a leaf of unknown size says the largest number there is
+    return max(least, -(-total // per_task))
+
+
 def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Columns], schema: str, keys: tuple[str, ...] = ("track",), order: str = "frame") -> DataFrame:
     """Apply ``fn`` to each series' columns in order; it returns the columns of ``schema``, of any common length."""
     added = StructType.fromDDL(schema)
@@ -87,9 +99,8 @@ def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Column
         if parts:
             yield flush()
 
-    # a fixed number: tasks are sized for the kernel's work, so small partitions aren't merged
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(*dict.fromkeys([*keys, order, *columns])).repartition(partitions, *keys).sortWithinPartitions(*keys, order)
+    # a given number: tasks are sized for the kernel's work, so small partitions aren't merged
+    dealt = df.select(*dict.fromkeys([*keys, order, *columns])).repartition(tasks_for(df), *keys).sortWithinPartitions(*keys, order)
     return dealt.mapInArrow(run, out)
 
 
@@ -115,7 +126,7 @@ def scan_series(df: DataFrame, columns: list[str], start: Callable[[], object],
 
     ordered = df.select(*dict.fromkeys([*keys, order, *columns]))
     sort = [ordered[k] for k in keys] + [ordered[order].desc() if descending else ordered[order]]
-    return ordered.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*sort).mapInArrow(run, out)
+    return ordered.repartition(tasks_for(df), *keys).sortWithinPartitions(*sort).mapInArrow(run, out)
 
 
 def headed(rows: DataFrame, headers: DataFrame, columns: list[str], keys: tuple[str, ...], order: str = "frame", some: bool = False) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from .series import map_series
+
 #: What silence has instead of minus infinity.
 LEAST = -1.7976931348623157e308
 
@@ -84,29 +87,51 @@ def levels(df: DataFrame, keys: tuple[str, ...] = ("track",), p_ref: float = 1.0
     return out.withColumn("spl", F.when(F.col("rms") > 0, F.log10(F.col("rms") / p_ref) * 20).otherwise(F.lit(LEAST)))
 
 
+#: Output samples that one kernel call of a resampler makes.
+RESAMPLED = 1 << 15
+
+
 def resample(df: DataFrame, up: int, down: int, half_width: int = 10, beta: float = 5.0) -> DataFrame:
-    """Polyphase resampling by up/down with a Kaiser-windowed sinc, as a join of samples with the taps they reach.
+    """Polyphase resampling of samples (track, n, x) by up/down with a Kaiser-windowed sinc.
 
-    Each input sample meets the output samples within the filter's support: the pairs are generated per sample, and
-    sums are combined before the shuffle on (track, n).
+    The output is cut into runs, each with the input samples that its filters reach, so a recording is many tasks and
+    every sample is shuffled once but near a run's edge. A run whose samples end before its reach does holds the
+    recording's end; samples outside a recording are zero.
     """
-    import numpy as np
-
     g = math.gcd(up, down)
     up, down = up // g, down // g
     if up == down:
         return df
     widest = max(up, down)
-    taps = 2 * half_width * widest + 1
-    t = np.arange(taps) - half_width * widest
-    h = np.sinc(t / widest) * np.kaiser(taps, beta)
-    h = h / h.sum() * up
-    # output m takes input n by tap m*down - n*up
     reach = half_width * widest
+    t = np.arange(2 * reach + 1) - reach
+    h = np.sinc(t / widest) * np.kaiser(2 * reach + 1, beta)
+    h = h / h.sum() * up
+    taps = 2 * reach // up + 1
+    # output m takes input n by tap m * down - n * up + reach
     n = F.col("n")
-    low = F.greatest(F.ceil((n * up - reach) / down), F.lit(0).cast("bigint"))
-    weights = F.array(*[F.lit(float(w)) for w in h])
-    last = F.floor((F.max("n").over(Window.partitionBy("track")) + 1) * up / down)
-    bounded = df.withColumn("_size", last)
-    pairs = bounded.withColumn("m", F.explode(F.sequence(low, F.floor((n * up + reach) / down)))).filter(F.col("m") < F.col("_size")).withColumn("tap", F.col("m") * down - n * up + reach)
-    return pairs.groupBy("track", F.col("m").alias("n")).agg(F.sum(F.col("x") * F.get(weights, F.col("tap"))).alias("x"))
+    low = F.greatest(F.floor(F.ceil((n * up - reach) / down) / RESAMPLED), F.lit(0).cast("bigint"))
+    high = F.floor((F.floor((n * up + reach) / down) + 1) / RESAMPLED)
+    dealt = df.select("track", "n", F.col("x").cast("double").alias("x"), F.explode(F.sequence(low, high)).alias("run"))
+
+    def make(c):
+        first, count = int(c["run"][0]) * RESAMPLED, (int(c["n"][-1]) + 1) * up // down
+        m = np.arange(first, max(first, min(first + RESAMPLED, count)))
+        if not len(m):
+            return {"m": m, "y": np.zeros(0)}
+        start = -((reach - m * down) // up)  # the first input within reach
+        begin = int(start[0])
+        line = np.zeros(int(start[-1]) + taps - begin)
+        inside = (c["n"] >= begin) & (c["n"] < begin + len(line))
+        line[c["n"][inside] - begin] = c["x"][inside]
+        windows, y, phase = np.lib.stride_tricks.sliding_window_view(line, taps), np.empty(len(m)), m * down - start * up
+        for p in np.unique(phase).tolist():
+            at = np.flatnonzero(phase == p)
+            tap = p - np.arange(taps) * up + reach
+            weights = np.where((tap >= 0) & (tap <= 2 * reach), h[np.clip(tap, 0, 2 * reach)], 0.0)
+            for lo in range(0, len(at), 2048):
+                y[at[lo : lo + 2048]] = windows[start[at[lo : lo + 2048]] - begin] @ weights
+        return {"m": m, "y": y}
+
+    made = map_series(dealt, ["n", "x", "run"], make, "m bigint, y double", ("track", "run"), "n")
+    return made.select("track", F.col("m").alias("n"), F.col("y").alias("x"))

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import beats, filterbanks, labels, nn, onsets, sequence, spectra, tempo
+from ..operators import beats, filterbanks, frontend, labels, nn, onsets, sequence, spectra, tempo
 from ..operators import spectrogram as sg
 from ..operators.series import map_series
 from ..operators.signal import resample
@@ -57,25 +57,23 @@ def log_filtered(samples: DataFrame, sample_rate: float, size: int, fps: float,
 
 def branches(samples: DataFrame, sample_rate: float, plan: tuple[tuple[int, int], ...] = ((1024, 3), (2048, 6), (4096, 12)), fps: float = 100.0, diff_ratio: float = 0.5, mul: float = 1.0) -> DataFrame:
     """Stacked log spectra and their positive differences at several resolutions: (track, frame, x array)."""
-    parts = []
-    for i, (size, per_octave) in enumerate(plan):
-        spec = log_filtered(samples, sample_rate, size, fps, per_octave, mul=mul)
-        lag = sg.diff_frames(diff_ratio, sample_rate / fps, size)
-        both = sg.stack_difference(spec, 10_000, lag)
-        parts.append(both.select("track", "frame", F.lit(i).alias("branch"), "bin", "mag"))
-    stacked = reduce(DataFrame.unionByName, parts).groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("branch", "bin", "mag"))).alias("s"))
-    return stacked.select("track", "frame", F.col("s.mag").alias("x"))
+    return frontend.front_end(samples, sample_rate, frontend.log_branches(samples.sparkSession, sample_rate, plan, fps, diff_ratio), fps, mul)
 
 
 def mel_branches(samples: DataFrame, sample_rate: float, sizes: tuple[int, ...] = (2048, 1024, 4096), bands: int = 80, fps: float = 100.0) -> DataFrame:
     """Log mel energies at several resolutions side by side: (track, frame, x array)."""
-    parts = []
-    for i, size in enumerate(sizes):
-        bank = filterbanks.mel_filterbank(samples.sparkSession, size // 2, sample_rate, bands, 27.5, 16000.0)
-        spec = sg.log_compress(sg.apply_filterbank(spectrogram(samples, sample_rate, size, fps), bank), 1.0, onsets.EPSILON, math.e)
-        parts.append(spec.select("track", "frame", "bin", F.lit(i).alias("branch"), "mag"))
-    stacked = reduce(DataFrame.unionByName, parts).groupBy("track", "frame").agg(F.sort_array(F.collect_list(F.struct("bin", "branch", "mag"))).alias("s"))
-    return stacked.select("track", "frame", F.col("s.mag").alias("x"))
+    made = frontend.mel_branches(samples.sparkSession, sample_rate, sizes, bands, 27.5, 16000.0)
+    return frontend.front_end(samples, sample_rate, made, fps, 1.0, onsets.EPSILON, math.e, interleaved=True)
+
+
+def beat_features(samples: DataFrame, sample_rate: float, online: bool = False, fps: float = 100.0) -> DataFrame:
+    """What the beat networks see: one resolution of twelve bands an octave where no later sample may be waited for."""
+    return branches(samples, sample_rate, ((2048, 12),) if online else ((1024, 6), (2048, 6), (4096, 6)), fps)
+
+
+def note_features(samples: DataFrame, sample_rate: float, fps: float = 100.0) -> DataFrame:
+    """What the recurrent note network sees: three resolutions of twelve bands an octave."""
+    return branches(samples, sample_rate, ((1024, 12), (2048, 12), (4096, 12)), fps, 0.5, 5.0)
 
 
 #: Onset functions that look at phases, bin by bin of the unfiltered spectrum.
@@ -133,13 +131,17 @@ def network_activation(features: DataFrame, networks: list[nn.Layer], unit: int
 
 
 class Analyzer:
-    """Tasks over one table of samples. ``networks`` holds lists of array functions by task; activations are kept."""
+    """Tasks over one table of samples. ``networks`` holds lists of array functions by task; activations are kept.
+
+    ``online`` beat networks see features that wait for no later sample; of ``recurrent_notes`` there is a network that
+    gives one onset activation per pitch.
+    """
 
     TASKS = ("onsets", "beats", "downbeats", "tempo", "key", "chords", "notes", "chroma", "mfcc", "hpss")
 
-    def __init__(self, samples: DataFrame, sample_rate: int, networks: dict[str, list[nn.Layer]] | None = None, crf: sequence.ConditionalRandomField | None = None, fps: float = 100.0) -> None:
+    def __init__(self, samples: DataFrame, sample_rate: int, networks: dict[str, list[nn.Layer]] | None = None, crf: sequence.ConditionalRandomField | None = None, fps: float = 100.0, online: bool = False) -> None:
         self.samples, self.rate, self.networks, self.crf, self.fps = mono(samples, sample_rate), MODEL_RATE, networks or {}, crf, fps
-        self._kept: dict[str, DataFrame] = {}
+        self.online, self._kept = online, {}
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
@@ -163,7 +165,7 @@ class Analyzer:
         self.release()
 
     def activations(self) -> DataFrame:
-        return self._once("beats", lambda: network_activation(branches(self.samples, self.rate, ((1024, 6), (2048, 6), (4096, 6)), self.fps), self._nets("beats")))
+        return self._once("beats", lambda: network_activation(beat_features(self.samples, self.rate, self.online, self.fps), self._nets("beats")))
 
     def onsets(self) -> DataFrame:
         if "onsets" not in self.networks:
@@ -206,12 +208,20 @@ class Analyzer:
 
     def notes(self) -> DataFrame:
         """Networks give note, onset and offset activations per pitch, three units in a row, for frames but five at each end."""
+        if "recurrent_notes" in self.networks:
+            return self.note_onsets()
         rows = arrays_of(log_filtered(self.samples, self.rate, 4096, 50.0, 24, 30.0, 10000.0))
         made = nn.run_networks(rows, widened(5, self._nets("notes")))
         kind = lambda i: F.max(F.when(F.col("unit") % 3 == i, F.col("x")))
         acts = made.groupBy("track", F.expr("unit div 3").alias("pitch"), "frame").agg(kind(0).alias("note"), kind(1).alias("onset"), kind(2).alias("offset"))
         return beats.adsr_notes(acts)
 
+    def note_onsets(self, threshold: float = 0.35, combine: float = 0.05, pitch_offset: int = 21) -> DataFrame:
+        """(track, pitch, t) by the recurrent network: peaks of each pitch's activation."""
+        made = nn.run_networks(note_features(self.samples, self.rate, self.fps), self._nets("recurrent_notes"))
+        acts = made.select("track", (F.col("unit") + pitch_offset).alias("pitch"), "frame", F.col("x").alias("a"))
+        return labels.note_onsets(acts, self.fps, threshold, pre_max=1 / self.fps, post_max=1 / self.fps, combine=combine)
+
     def mfcc(self, bands: int = 30) -> DataFrame:
         spec = self._once("spectrogram", lambda: spectrogram(self.samples, self.rate, 2048, self.fps))
         return sg.mfcc(spec, filterbanks.mel_filterbank(spec.sparkSession, 1024, self.rate, bands, 40.0, 15000.0), bands)

@@ -30,6 +30,56 @@ def test_wav_round_trip(spark, tmp_path, kind):
         wav.read_wav(spark, str(tmp_path), sample_rate=44100).count()
 
 
+def test_a_large_file_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Three gigabytes with a hole in the middle: only what is asked for is read, wherever it lies."""
+    rate, frames = 48000, 800_000_000
+    head = wav.build_wav(rate, np.zeros((0, 2), "<i2"))
+    tail = (np.arange(20000) % 7).astype("<i2")
+    large = bytearray(head)
+    large[-4:] = (4 * frames).to_bytes(4, "little")
+    with open(tmp_path / "large.wav", "wb") as file:
+        file.write(large)
+        file.truncate(len(head) + 4 * frames)
+        file.seek(len(head) + 4 * (frames - 10000))
+        file.write(tail.tobytes())
+    got = wav.read_chunks(spark, str(tmp_path), start=(frames - 10500) / rate, scale=False)
+    samples = np.concatenate([r.samples for r in got.orderBy("first").collect()])
+    assert np.array_equal(samples, np.concatenate((np.zeros(1000), tail)))
+    monkeypatch.setattr(wav, "RANGE_BYTES", 1 << 30)
+    assert wav.read_chunks(spark, str(tmp_path)).rdd.getNumPartitions() >= 4 * frames // wav.TASK_BYTES
+
+
+def test_ranges_equal_whole_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wav, "CHUNK", 37)
+    rng = np.random.default_rng(3)
+    for i, kind in enumerate(("i2", "f4", "u1", "i4", "f8")):
+        (tmp_path / f"{i}.wav").write_bytes(wav.build_wav(1000, (rng.random((900 + i, 1 + i % 2)) * 100).astype(kind)))
+    wide = wav.build_wav(1000, np.zeros(0, "<i2"))[:20] + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (1000).to_bytes(4, "little") + (3000).to_bytes(4, "little") + (3).to_bytes(2, "little") + (24).to_bytes(2, "little")
+    body = rng.integers(0, 256, 3 * 400, np.uint8).tobytes()
+    (tmp_path / "deep.wav").write_bytes(wide + b"LIST" + (3).to_bytes(4, "little") + b"abc\0" + b"data" + len(body).to_bytes(4, "little") + body)
+    for start, stop in ((None, None), (0.1, 0.35), (0.85, 9.0), (2.0, None)):
+        read = lambda: sorted((r.track, r.n, r.ch, r.x, r.sample_rate) for r in wav.read_wav(spark, str(tmp_path), start, stop).collect())
+        ranged = read()
+        with monkeypatch.context() as whole:
+            whole.setattr(wav, "DIRECT", ())
+            assert read() == ranged
+    assert ranged == []
+
+
+def test_very_large_headers():
+    import io
+
+    def header(data_length, ds64=b""):
+        form = b"fmt " + (16).to_bytes(4, "little") + bytes([1, 0, 1, 0]) + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + bytes([2, 0, 16, 0])
+        return (b"RF64" if ds64 else b"RIFF") + b"\xff" * 4 + b"WAVE" + ds64 + form + b"data" + data_length.to_bytes(4, "little")
+
+    size = 10 << 32
+    ds64 = b"ds64" + (28).to_bytes(4, "little") + size.to_bytes(8, "little") + (9 << 32).to_bytes(8, "little") + bytes(12)
+    assert wav.read_header(io.BytesIO(header(0xFFFFFFFF, ds64)), size)[4:] == (len(header(0, ds64)), 9 << 32)
+    assert wav.read_header(io.BytesIO(header(0xFFFFFFFF)), size)[5] == size - len(header(0))
+    assert wav.read_header(io.BytesIO(header(100)), len(header(0)) + 40)[5] == 40
+
+
 def test_wav_errors():
     with pytest.raises(ValueError):
         wav.parse_wav(b"nothing")
