@@ -30,7 +30,7 @@ from .common import partitions_for, text_of, written
 #: Hashed cells, and the ranges of them that are summed up apart.
 CELL_BITS, RANGE_BITS = 26, 8
 #: Bytes of text that one trie covers; a longer piece is not cut.
-TRIE_BYTES = 16 << 20
+TRIE_BYTES = 8 << 20
 #: Ranges of prefixes at most, and phrases of the sample that each range of cells keeps for their bounds.
 RANGES, SAMPLED = 64, 64
 #: Bytes of text whose tries a merging task reads on average, and of serialised pieces that it holds before it merges them.
