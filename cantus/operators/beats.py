@@ -215,23 +215,37 @@ def _window(a: np.ndarray, middle: int, size: int) -> np.ndarray:
     return out
 
 
+def beat_successors(a: np.ndarray, interval: int, look_aside: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """For every place the beat found there, which is where the weighted activation nearby is largest, and the place after it.
+
+    The place after a beat is an interval on; past the end it is the length of ``a``.
+    """
+    n, aside = len(a), max(1, int(interval * look_aside))
+    if aside > interval:
+        raise ValueError("beats must not be looked for farther aside than they are apart")
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(aside), a, np.zeros(aside))), 2 * aside)[:n]
+    step = np.argmax(around * np.asarray(hamming(2 * aside)), 1)
+    beat = np.arange(n) + np.where(step > 0, step - aside, 0)
+    return beat, np.minimum(beat + interval, n)
+
+
 def follow_beats(a: np.ndarray, interval: int, look_aside: float = 0.2) -> np.ndarray:
-    """Beats about ``interval`` apart: from each start go on by the interval to the weighted largest value nearby; the best sum wins."""
-    aside = max(1, int(interval * look_aside))
-    taper = np.asarray(hamming(2 * aside))
-
-    def walk(at: int) -> list[int]:
-        found = []
-        while True:
-            step = int(np.argmax(_window(a, at, 2 * aside) * taper))
-            at = at + step - aside if step > 0 else at
-            found.append(at)
-            if at + interval >= len(a):
-                return found
-            at += interval
-
-    walks = [walk(i) for i in range(int(interval))]
-    return np.asarray(max(walks, key=lambda w: a[w].sum())) if walks else np.zeros(0, np.int64)
+    """Beats about ``interval`` apart, from the start within the first interval whose beats' activations have the largest sum.
+
+    Where a place leads doesn't depend on the start, so sums of all chains are found at once: each round doubles the
+    stretch that a place's sum covers, by adding the sum of the place where that stretch ends.
+    """
+    if not len(a) or interval < 1:
+        return np.zeros(0, np.int64)
+    beat, after = beat_successors(a, int(interval), look_aside)
+    total, jump = np.append(a[beat], 0.0), np.append(after, len(a))
+    while (jump < len(a)).any():
+        total, jump = total + total[jump], jump[jump]
+    at, found = int(np.argmax(total[: min(int(interval), len(a))])), []
+    while at < len(a):
+        found.append(int(beat[at]))
+        at = int(after[at])
+    return np.asarray(found, np.int64)
 
 
 def local_beats(a: np.ndarray, ahead: int, shortest: int, interval_of: Callable[[np.ndarray], int], look_aside: float = 0.2) -> np.ndarray:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import hann
+from .frames import RUN, hann
+from .series import map_series
 
 
 def apply_filterbank(spec: DataFrame, filterbank: DataFrame) -> DataFrame:
@@ -103,27 +105,67 @@ def clp_chroma(semitones: DataFrame, factor: float = 100.0, threshold: float = 0
     return sized.select("track", "frame", "pc", F.when(F.col("_length") < threshold, F.lit(1 / math.sqrt(12))).otherwise(F.col("value") / F.col("_length")).alias("value"))
 
 
-def _reflected(spec: DataFrame, axis: str, reach: int) -> DataFrame:
-    """Rows with mirrored ones beyond both ends of an axis, the edge repeated."""
-    other = "bin" if axis == "frame" else "frame"
-    line = Window.partitionBy("track", other)
-    x, low, high = F.col(axis), F.min(axis).over(line), F.max(axis).over(line)
-    sized = spec.withColumn("_lo", low).withColumn("_hi", high)
-    images = F.array(x, F.when(x - F.col("_lo") < reach, F.col("_lo") * 2 - 1 - x), F.when(F.col("_hi") - x < reach, F.col("_hi") * 2 + 1 - x))
-    return sized.withColumn("_at", F.explode(F.array_compact(images)))
+def selected_median(columns: list[np.ndarray]) -> np.ndarray:
+    """Median of an odd number of equally shaped arrays, place by place, by a network of minima and maxima.
+
+    One more than half of them are held; whatever is least or largest of those can't be the median, as too many others lie
+    on its other side, and makes room for the next one.
+    """
+    held, waiting = list(columns[: len(columns) // 2 + 2]), list(columns[len(columns) // 2 + 2 :])
+    while len(held) > 1:
+        if len(held) == 2:  # of an even rest, which odd numbers don't leave
+            raise ValueError("a median needs an odd number of values")
+        for i in range(len(held) - 1, 0, -1):  # the least goes to the front
+            held[i - 1], held[i] = np.minimum(held[i - 1], held[i]), np.maximum(held[i - 1], held[i])
+        for i in range(1, len(held) - 1):  # the largest of the others to the end
+            held[i], held[i + 1] = np.minimum(held[i], held[i + 1]), np.maximum(held[i], held[i + 1])
+        held = held[1:-1] + waiting[:1]
+        waiting = waiting[1:]
+    return held[0]
+
+
+def running_median(x: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Medians over ``size`` neighbours (an odd number; one more if even) along an axis, borders reflected with the edge repeated."""
+    reach, length = size // 2, x.shape[axis]
+    wide = np.pad(x, [(reach, reach) if i == axis else (0, 0) for i in range(x.ndim)], mode="symmetric")
+    return selected_median([np.take(wide, range(k, k + length), axis) for k in range(2 * reach + 1)])
+
+
+def _medians(spec: DataFrame, sizes: dict[str, tuple[str, int]]) -> DataFrame:
+    """Running medians of whole spectra in runs of frames: columns by name, each along an axis over so many neighbours.
+
+    A run has the frames around it that its medians see, and the recording's end where there are fewer; frames follow each
+    other from 0, each with the same bins.
+    """
+    reach = max([size // 2 for axis, size in sizes.values() if axis == "frame"], default=0)
+    length = max(RUN, reach)
+    frame = F.col("frame")
+    runs = F.sequence(F.greatest(F.floor((frame - reach) / length), F.lit(0).cast("bigint")), F.floor((frame + reach) / length))
+    dealt = spec.select("track", "frame", F.col("bin").cast("bigint").alias("bin"), F.col("mag").cast("double").alias("mag"), F.explode(runs).alias("run"))
+
+    def run(c):
+        frames, at = np.unique(c["frame"], return_inverse=True)
+        bins, to = np.unique(c["bin"], return_inverse=True)
+        if len(frames) * len(bins) != len(at) or frames[-1] - frames[0] + 1 != len(frames):
+            raise ValueError("medians need whole spectra of consecutive frames")
+        x = np.empty((len(frames), len(bins)))
+        x[at, to] = c["mag"]
+        own = frames // length == c["run"][0]
+        n = int(own.sum())
+        made = {name: running_median(x, size, 0 if axis == "frame" else 1)[own].ravel() for name, (axis, size) in sizes.items()}
+        return {"frame": np.repeat(frames[own], len(bins)), "bin": np.tile(bins, n), "mag": x[own].ravel(), **made}
+
+    return map_series(dealt, ["frame", "bin", "mag", "run"], run, "frame bigint, bin bigint, mag double, " + ", ".join(f"`{n}` double" for n in sizes), ("track", "run")).drop("run")
 
 
 def median_filter(spec: DataFrame, size: int, axis: str, to: str) -> DataFrame:
-    """Median over ``size`` neighbours along frames or bins, with reflected borders."""
-    other = "bin" if axis == "frame" else "frame"
-    over = Window.partitionBy("track", other).orderBy("_at").rowsBetween(-(size // 2), size // 2)
-    wide = _reflected(spec, axis, size // 2).withColumn(to, F.percentile("mag", F.lit(0.5)).over(over))
-    return wide.filter(F.col("_at") == F.col(axis)).drop("_at", "_lo", "_hi")
+    """Median over ``size`` neighbours along frames or bins, with reflected borders: (track, frame, bin, mag, ``to``)."""
+    return _medians(spec, {to: (axis, size)})
 
 
 def hpss(spec: DataFrame, masking: str | float = "binary", harmonic: int = 15, percussive: int = 15) -> DataFrame:
     """Harmonic and percussive parts by median filters along frames and bins; soft masks have a power."""
-    both = median_filter(median_filter(spec, harmonic, "frame", "h"), percussive, "bin", "p")
+    both = _medians(spec, {"h": ("frame", harmonic), "p": ("bin", percussive)})
     h, p = F.col("h"), F.col("p")
     if masking == "binary":
         mask_h, mask_p = F.when(h > p, 1.0).otherwise(0.0), F.when(p >= h, 1.0).otherwise(0.0)

@@ -422,9 +422,19 @@ def _(spark, sf):
     return beats.dbn_bars(marked)
 
 
-@query("beat_detection")
+@query(
+    "beat_detection",
+    f"WITH RECURSIVE {_PULSES}, cb(track, tau, frame, y) AS (SELECT track, t, frame, a FROM pu, range(3, 11) r(t) WHERE frame < t UNION ALL SELECT c.track, c.tau, p.frame, p.a + 0.79::FLOAT::DOUBLE * c.y FROM cb c JOIN pu p ON p.track = c.track AND p.frame = c.frame + c.tau), "
+    "wn AS (SELECT *, max(y) OVER (PARTITION BY track, frame) AS m FROM cb), bn AS (SELECT track, tau, sum(y) AS bin FROM wn WHERE y = m GROUP BY 1, 2), "
+    "iv AS (SELECT track, arg_max(tau, round(bin, 9) - tau * 1e-10)::BIGINT AS iv, greatest(1, arg_max(tau, round(bin, 9) - tau * 1e-10) // 5)::BIGINT AS aside FROM bn GROUP BY 1), "
+    "sn AS (SELECT p.track, p.frame AS pos, iv, CASE WHEN k > 0 THEN p.frame + k - aside ELSE p.frame END AS beat FROM pu p JOIN iv USING (track), range(0, 4) r(k) LEFT JOIN pu q ON q.track = p.track AND q.frame = p.frame + k - aside WHERE k < 2 * aside "
+    "QUALIFY row_number() OVER (PARTITION BY p.track, p.frame ORDER BY coalesce(q.a, 0) * (0.54 - 0.46 * cos(2 * pi() * k / (2 * aside - 1))) DESC, k) = 1), "
+    "ch(track, start, iv, beat) AS (SELECT track, pos, iv, beat FROM sn WHERE pos < iv UNION ALL SELECT c.track, c.start, c.iv, s.beat FROM ch c JOIN sn s ON s.track = c.track AND s.pos = c.beat + c.iv), "
+    "sm AS (SELECT c.track, c.start, round(sum(p.a), 9) AS total FROM ch c JOIN pu p ON p.track = c.track AND p.frame = c.beat GROUP BY 1, 2), "
+    f"bs AS (SELECT track, start FROM sm QUALIFY row_number() OVER (PARTITION BY track ORDER BY total DESC, start) = 1) SELECT c.track, {s6('c.beat / 10.0')} AS t FROM ch c JOIN bs USING (track, start)",
+)
 def _(spark, sf):
-    return beats.beat_detection(_pulses(spark, sf), 10.0, min_bpm=60, max_bpm=200)
+    return beats.beat_detection(_pulses(spark, sf), 10.0, min_bpm=60, max_bpm=200).withColumn("t", r6("t"))
 
 
 @query("beat_tracking")
