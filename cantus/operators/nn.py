@@ -163,12 +163,19 @@ class Recurrent:
     activation: Layer = np.tanh
     initial: Array | None = None
 
-    def __call__(self, x: Array) -> Array:
-        inputs, h = x @ self.weights + self.bias, _state(self.initial, len(self.recurrent))
+    def start(self) -> Array:
+        return _state(self.initial, len(self.recurrent))
+
+    def resume(self, x: Array, state: Array) -> tuple[Array, Array]:
+        """Outputs from a state on, and the state after them."""
+        inputs, h = x @ self.weights + self.bias, state
         out = np.empty((len(x), len(h)))
         for t, now in enumerate(inputs):
             out[t] = h = self.activation(now + h @ self.recurrent)
-        return out
+        return out, h
+
+    def __call__(self, x: Array) -> Array:
+        return self.resume(x, self.start())[0]
 
 
 @dataclass(frozen=True)
@@ -188,10 +195,18 @@ class Lstm:
     initial: Array | None = None
     initial_cell: Array | None = None
 
+    def start(self) -> Array:
+        size = len(self.gates[0][1])
+        return np.concatenate((_state(self.initial, size), _state(self.initial_cell, size)))
+
     def __call__(self, x: Array) -> Array:
+        return self.resume(x, self.start())[0]
+
+    def resume(self, x: Array, state: Array) -> tuple[Array, Array]:
+        """Outputs from a state (outputs, then cells) on, and the state after them."""
         pre = [x @ w + b for w, b, _, _ in self.gates]
         size = len(self.gates[0][1])
-        h, c, out = _state(self.initial, size), _state(self.initial_cell, size), np.empty((len(x), size))
+        h, c, out = state[:size], state[size:], np.empty((len(x), size))
         peep = [p if p is not None else np.zeros(size) for *_, p in self.gates]
         rec = [r for _, _, r, _ in self.gates]
         for t in range(len(x)):
@@ -200,7 +215,7 @@ class Lstm:
             c = f * c + i * np.tanh(pre[2][t] + h @ rec[2])
             o = sigmoid(pre[3][t] + h @ rec[3] + c * peep[3])  # sees the new cell
             out[t] = h = o * np.tanh(c)
-        return out
+        return out, np.concatenate((h, c))
 
 
 @dataclass(frozen=True)
@@ -212,14 +227,21 @@ class Gru:
     cell: tuple[Array, Array, Array]
     initial: Array | None = None
 
+    def start(self) -> Array:
+        return _state(self.initial, len(self.cell[1]))
+
     def __call__(self, x: Array) -> Array:
+        return self.resume(x, self.start())[0]
+
+    def resume(self, x: Array, state: Array) -> tuple[Array, Array]:
+        """Outputs from a state on, and the state after them."""
         pre = [x @ w + b for w, b, _ in (self.reset, self.update, self.cell)]
-        h, out = _state(self.initial, len(self.cell[1])), np.empty((len(x), len(self.cell[1])))
+        h, out = state, np.empty((len(x), len(self.cell[1])))
         for t in range(len(x)):
             r, u = sigmoid(pre[0][t] + h @ self.reset[2]), sigmoid(pre[1][t] + h @ self.update[2])
             c = np.tanh(pre[2][t] + r * (h @ self.cell[2]))
             out[t] = h = u * c + (1 - u) * h
-        return out
+        return out, h
 
 
 @dataclass(frozen=True)
@@ -351,6 +373,25 @@ class Network:
             x = layer(x)
         return x
 
+    def start(self) -> Array:
+        """State of all recurrent layers before the first frame."""
+        return np.concatenate([np.zeros(0), *(layer.start() for layer in self.layers if hasattr(layer, "resume"))])
+
+    def resume(self, x: Array, state: Array) -> tuple[Array, Array]:
+        """Outputs of further frames and the state after them; every other layer looks at one frame at a time."""
+        kept, at = [], 0
+        for layer in self.layers:
+            if hasattr(layer, "resume"):
+                size = len(layer.start())
+                x, after = layer.resume(x, state[at : at + size])
+                kept.append(after)
+                at += size
+            elif getattr(layer, "reach", None) in ((0, 0), None) and not isinstance(layer, Bidirectional):
+                x = layer(x)
+            else:
+                raise ValueError(f"a {type(layer).__name__} sees frames that are yet to come or gone")
+        return x, np.concatenate([np.zeros(0), *kept])
+
 
 @dataclass(frozen=True)
 class Pooled:

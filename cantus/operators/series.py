@@ -7,10 +7,13 @@ series at a time and a small one costs no group of its own.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import NumericType, StructField, StructType
@@ -20,6 +23,45 @@ Columns = dict[str, np.ndarray]
 OUT_VALUES = 200_000
 
 
+class Failures:
+    """What went wrong in kernels that were planned while failures are kept: a table for each, made when asked for."""
+
+    def __init__(self) -> None:
+        self.parts: list[DataFrame] = []
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(track, step, error): one row per step of a recording that failed; a recording's first error of a step stands for all."""
+        none = spark.createDataFrame([], "track string, step string, error string")
+        return reduce(DataFrame.unionByName, self.parts, none).groupBy("track", "step").agg(F.min("error").alias("error"))
+
+
+_KEEPING: ContextVar[Failures | None] = ContextVar("keeping", default=None)
+
+
+@contextmanager
+def failures_kept() -> Iterator[Failures]:
+    """Kernels planned in here leave out the series that they fail on, instead of ending the job, and list them."""
+    token = _KEEPING.set(Failures())
+    try:
+        yield _KEEPING.get()
+    finally:
+        _KEEPING.reset(token)
+
+
+def keeping() -> Failures | None:
+    return _KEEPING.get()
+
+
+def error_text(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
+def failure_batch(failed: list[tuple[str, str]], step: str) -> pa.RecordBatch:
+    """Rows (track, step, error)."""
+    columns = ([t for t, _ in failed], [step] * len(failed), [e for _, e in failed])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["track", "step", "error"])
+
+
 def _starts(batch: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
     """Rows whose key differs from that of the row before."""
     differs = np.zeros(batch.num_rows, bool)
@@ -68,7 +110,8 @@ def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Column
     """Apply ``fn`` to each series' columns in order; it returns the columns of ``schema``, of any common length."""
     added = StructType.fromDDL(schema)
     out = StructType([StructField(k, df.schema[k].dataType) for k in keys] + added.fields)
-    arrow, width = to_arrow_schema(out), len(keys)
+    arrow, width, failures = to_arrow_schema(out), len(keys), keeping()
+    tolerant = failures is not None
 
     def run(batches):
         names, parts, held = [], [], 0
@@ -86,7 +129,12 @@ def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Column
             return pa.RecordBatch.from_arrays(made, schema=arrow)
 
         for key, values in _series(batches, keys, columns):
-            result = fn(values)
+            try:
+                result = fn(values)
+            except Exception:
+                if tolerant:
+                    continue
+                raise
             part = [result[f.name] for f in added.fields]
             if not len(part[0]):
                 continue
@@ -101,6 +149,19 @@ def map_series(df: DataFrame, columns: list[str], fn: Callable[[Columns], Column
 
     # a given number: tasks are sized for the kernel's work, so small partitions aren't merged
     dealt = df.select(*dict.fromkeys([*keys, order, *columns])).repartition(tasks_for(df), *keys).sortWithinPartitions(*keys, order)
+    if tolerant:
+        step = getattr(fn, "__qualname__", "kernel").replace(".<locals>", "")
+
+        def fail(batches):
+            failed = []
+            for key, values in _series(batches, keys, columns):
+                try:
+                    fn(values)
+                except Exception as error:
+                    failed.append((str(key[0]), error_text(error)))
+            yield failure_batch(failed, step)
+
+        failures.parts.append(dealt.mapInArrow(fail, "track string, step string, error string"))
     return dealt.mapInArrow(run, out)
 
 

@@ -16,7 +16,6 @@ best last state, block by block, gives every block the state that its path ends
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
@@ -24,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import checkpointed
 from .series import Columns, headed, map_series, scan_series
 
 if TYPE_CHECKING:
@@ -172,16 +171,16 @@ def split_viterbi(frames: DataFrame, columns: list[str], densities: Densities, m
 
         products = map_series(owned, ["frame", *columns], product, "product array<double>", keyed)
         blocks = run_entered(scan_series(products, ["product"], lambda: first, enter, "entry array<double>", keys))
-    blocks = _table(blocks)
+    blocks = checkpointed(blocks, "split")
     series = Window.partitionBy(*keys).orderBy("block")  # over one row per block, without its vectors
-    links = _table(blocks.select(*keyed).withColumn("last", F.lag("block").over(series)))
+    links = checkpointed(blocks.select(*keyed).withColumn("last", F.lag("block").over(series)), "split")
     while True:
         exits = blocks.select(*keys, F.col("block").alias("last"), F.col("exit").alias("passed"))
         due = links.join(exits, [*keys, "last"], "left").select(*keyed, F.coalesce("passed", F.array(*(F.lit(float(x)) for x in first)) if model.states <= SMALL else F.lit(first.tolist()).cast("array<double>")).alias("entry"))
-        wrong = _table(due.join(blocks.select(*keyed, F.col("entry").alias("taken")), [*keyed]).filter(~F.col("entry").eqNullSafe(F.col("taken"))).select(*keyed, "entry"))
+        wrong = checkpointed(due.join(blocks.select(*keyed, F.col("entry").alias("taken")), [*keyed]).filter(~F.col("entry").eqNullSafe(F.col("taken"))).select(*keyed, "entry"), "split")
         if wrong.isEmpty():
             break
-        blocks = _table(blocks.join(wrong.select(*keyed), [*keyed], "left_anti").unionByName(run_entered(wrong)))
+        blocks = checkpointed(blocks.join(wrong.select(*keyed), [*keyed], "left_anti").unionByName(run_entered(wrong)), "split")
 
     def leave(state, row):
         state = int(np.argmax(row["exit"])) if state is None else state
@@ -202,10 +201,3 @@ def split_viterbi(frames: DataFrame, columns: list[str], densities: Densities, m
 
     held = headed(owned, goals.select(*keyed, "entry", "goal", "log_prob"), columns, keyed, some=True)
     return map_series(held, ["frame", *columns, "entry", "goal", "log_prob"], read, "frame bigint, state bigint, log_prob double", keyed).drop("block")
-
-
-def _table(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: rounds neither recompute it nor keep its lineage."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cantus/split-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,13 +12,15 @@ from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import beats, filterbanks, frontend, labels, nn, onsets, sequence, spectra, tempo
 from ..operators import spectrogram as sg
-from ..operators.series import map_series
+from ..operators.series import failures_kept, map_series
 from ..operators.signal import resample
+from ..session import checkpointed
+from ..sources.wav import read_wav
 
 Transform = Callable[[DataFrame], DataFrame]
 MODEL_RATE = 44100
@@ -237,6 +239,19 @@ class Analyzer:
         return {t: getattr(self, t)() for t in tasks}
 
 
+def analyze_files(spark: SparkSession, path: str, tasks: tuple[str, ...], sample_rate: int = MODEL_RATE, **options: object) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One table per task for the WAV files of a folder, and the failures (track, step, error).
+
+    A file that can't be read, or on which a kernel of a task fails, is in the failures and in none of the tables; the
+    others are analysed. ``options`` are the analyzer's.
+    """
+    with failures_kept() as kept:
+        tables = Analyzer(read_wav(spark, path, sample_rate=sample_rate), sample_rate, **options).analyze(tasks)
+    failures = checkpointed(kept.table(spark), "failures")
+    failed = failures.select("track").distinct()
+    return {t: df.join(failed, "track", "left_anti") for t, df in tables.items()}, failures
+
+
 def _per_beat(features: DataFrame, times: DataFrame, divisions: int, fps: float) -> DataFrame:
     """Beat-synchronous features as one array per beat."""
     synced = beats.sync_features(features, times, divisions, fps)

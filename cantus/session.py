@@ -1,13 +1,14 @@
-"""Making the package importable in Python workers."""
+"""Making the package importable in Python workers, and tables in the folder that a cluster shares."""
 
 from __future__ import annotations
 
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 _SHIPPED: set[str] = set()
@@ -42,3 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="cantus-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
+
+
+def checkpointed(df: DataFrame, label: str) -> DataFrame:
+    """Written once to the shared folder and read back: later uses neither recompute it nor keep its lineage."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cantus/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.series import tasks_for
+from ..operators.series import error_text, failure_batch, keeping, tasks_for
 
 #: Frames of a chunk, bytes of a range, and bytes of ranges that a task reads.
 CHUNK, RANGE_BYTES, TASK_BYTES = 1 << 16, 4 << 20, 64 << 20
@@ -120,7 +120,12 @@ _RANGE_ROW = "path string, rate int, channels int, code int, bits int, place big
 
 
 def read_chunks(spark: SparkSession, path: str, start: float | None = None, stop: float | None = None, sample_rate: int | None = None, scale: bool = True) -> DataFrame:
-    """(track, sample_rate, channels, first, samples): interleaved samples from frame ``first`` after ``start`` on."""
+    """(track, sample_rate, channels, first, samples): interleaved samples from frame ``first`` after ``start`` on.
+
+    A broken file ends the job, unless failures are kept (``series.failures_kept``): then it is left out and listed.
+    """
+    failures = keeping()
+    tolerant = failures is not None
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
 
     def span(rate: int, frames: int, name: str) -> tuple[int, int]:
@@ -131,17 +136,45 @@ def read_chunks(spark: SparkSession, path: str, start: float | None = None, stop
     def whole(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rate, samples = parse_wav(content)
-                lo, hi = span(rate, len(samples), name)
+                try:
+                    rate, samples = parse_wav(content)
+                    lo, hi = span(rate, len(samples), name)
+                except Exception:
+                    if tolerant:
+                        continue
+                    raise
                 yield from _chunks(name, rate, samples[lo:hi], 0, scale)
 
+    def opened(name: str, size: int) -> tuple[int, ...]:
+        """The header, and the frames asked for."""
+        with _open(name) as file:
+            rate, channels, code, bits, place, length = read_header(file, size)
+        width = channels * bits // 8
+        return (rate, channels, code, bits, place, width, *span(rate, length // width, name))
+
+    def broken(batches):
+        for batch in batches:
+            failed = []
+            for name, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    if direct:
+                        opened(name, of)
+                    else:
+                        rate, samples = parse_wav(of)
+                        span(rate, len(samples), name)
+                except Exception as error:
+                    failed.append((name, error_text(error)))
+            yield failure_batch(failed, "read_wav")
+
     def ranges(batches):
         for batch in batches:
             for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with _open(name) as file:
-                    rate, channels, code, bits, place, length = read_header(file, size)
-                width = channels * bits // 8
-                lo, hi = span(rate, length // width, name)
+                try:
+                    rate, channels, code, bits, place, width, lo, hi = opened(name, size)
+                except Exception:
+                    if tolerant:
+                        continue
+                    raise
                 step = max(1, RANGE_BYTES // width)
                 firsts = np.arange(lo, max(lo, hi), step)
                 fixed = [pa.array([v] * len(firsts), t) for v, t in ((name, pa.string()), (rate, pa.int32()), (channels, pa.int32()), (code, pa.int32()), (bits, pa.int32()))]
@@ -156,7 +189,10 @@ def read_chunks(spark: SparkSession, path: str, start: float | None = None, stop
                     samples = decode(file.read(frames * channels * bits // 8), channels, code, bits)
                 yield from _chunks(name, rate, samples, first, scale)
 
-    if (path.partition(":")[0] if ":" in path else "") not in DIRECT:
+    direct = (path.partition(":")[0] if ":" in path else "") in DIRECT
+    if tolerant:
+        failures.parts.append(files.select("path", "length" if direct else "content").mapInArrow(broken, "track string, step string, error string"))
+    if not direct:
         return files.select("path", "content").mapInArrow(whole, _CHUNK_ROW)
     listed = files.select("path", "length")
     total = listed.agg(F.sum("length")).first()[0] or 0  # from the listing alone

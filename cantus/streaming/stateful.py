@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
+from ..operators.nn import Network
 from ..operators.sequence import Transitions
 
 
@@ -80,6 +83,38 @@ def ring_buffer(values: DataFrame, length: int) -> DataFrame:
     return _stateful(values.select("track", "frame", "a"), step, f"track {kind}, frame bigint, window array<double>", "last bigint, kept array<double>")
 
 
+class _Continued(StatefulProcessor):
+    """A network's state per track, typed: the last frame and the values of all recurrent layers."""
+
+    def __init__(self, network: Network, out: StructType) -> None:
+        self.network, self.out = network, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "last bigint, kept array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, kept = self.state.get() if self.state.exists() else (-1, self.network.start())
+        fresh = _in_order(rows, last)
+        if not len(fresh):
+            return
+        made, state = self.network.resume(np.stack(fresh.x.to_numpy()).astype(float), np.asarray(kept, float))
+        self.state.update((int(fresh.frame.iloc[-1]), state.tolist()))
+        yield pd.DataFrame({"track": key[0], "frame": fresh.frame, "y": list(made.reshape(len(made), -1))})
+
+    def close(self) -> None:
+        pass
+
+
+def continued_network(features: DataFrame, network: Network) -> DataFrame:
+    """(track, frame, y array) of features (track, frame, x array) by a recurrent network whose state goes on from batch to batch.
+
+    The session's state store must be RocksDB's, as for any operator with typed state.
+    """
+    kind = features.schema["track"].dataType.simpleString()
+    out = StructType.fromDDL(f"track {kind}, frame bigint, y array<double>")
+    return features.select("track", "frame", "x").groupBy("track").transformWithStateInPandas(_Continued(network, out), out, "Append", "None")
+
+
 def activity(events: DataFrame, width: str = "1 hour", late: str = "2 hours", key: str = "event_type", time: str = "ts") -> DataFrame:
     """Events a window and kind, as a running activation curve; a window is out when ``late`` has passed."""
     marked = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
