@@ -34,7 +34,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Registers of a signature and of a band: a link at 0.8 is missed by all bands in 3 of a million cases.
 REGISTERS, BAND = 96, 4
 #: Representatives and shingles on a side of a cell, about: a bucket is dealt out by hash to keep to both.
-CELL_ROWS, CELL_SHINGLES = 512, 1 << 20
+CELL_ROWS, CELL_SHINGLES = 2048, 1 << 20
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -175,10 +175,20 @@ def _sets(batches):
 _LEFT, _RIGHT = 1, 2
 
 
+def _joined(heads: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of several stretches (first place, length) one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(heads - (ends - lengths), lengths)
+
+
 def links_of_cell(comps: list[int], sides: list[int], sets: list[tuple[np.ndarray, np.ndarray | None]]) -> list[tuple[int, int]]:
-    """Links between components: every right row is compared with the left rows that nothing connects it with yet.
+    """Links between components: every right row meets the left rows that may be similar and that nothing connects it with yet.
 
-    A set is its sorted shingle hashes and their numbers (None: all 1). The links form no cycle.
+    A set is its sorted shingle hashes and their numbers (None: all 1). The links form no cycle. Shingles are ordered by
+    their number of sets in the cell. The first one that two similar sets share lies so near the beginning of both that
+    what follows it could hold 0.8 of either (of its shingles, or of its mass where some occur more than once); so only
+    sets that share a shingle of these beginnings are compared, and without repetitions only those of sizes within 0.8
+    that have enough shingles from the first shared one on. No test leaves out a link.
     """
     names, comp = np.unique(np.asarray(comps, np.int64), return_inverse=True)
     roots, side = np.arange(len(names)), np.asarray(sides)
@@ -187,37 +197,56 @@ def links_of_cell(comps: list[int], sides: list[int], sets: list[tuple[np.ndarra
         return []
     right = right[np.argsort(comp[right], kind="stable")]
     sizes = np.asarray([len(s[0]) for s in sets])
-    codes = np.split(np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    heads, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sets)), sizes)
+    _, codes, frequency = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(frequency), np.int64)
+    rank[np.argsort(frequency, kind="stable")] = np.arange(len(frequency))
     repeats = np.asarray([s[1] is not None for s in sets])
-    weights = [np.ones(len(s[0])) if s[1] is None else 1 + np.log(s[1]) for s in sets] if repeats.any() else []
-    shares = [w / w.sum() for w in weights]
-    space = 1 + max(int(c.max()) for c in codes)
-    mine, mass = np.zeros(space, np.int32), np.zeros(space if weights else 0)
-    out, held, held_codes, held_shares, heads = [], np.zeros(0, np.int64), None, None, None
-    in_held = np.zeros(len(sets), bool)
+    order = np.argsort(owner * len(rank) + rank[codes], kind="stable")
+    codes = rank[codes][order]  # of each set, the rarest first
+    begins = sizes - np.ceil(SIMILAR * sizes - 1e-9).astype(np.int64) + 1
+    place = np.arange(len(codes)) - heads[owner]
+    shares = None
+    if repeats.any():
+        weights = np.concatenate([np.ones(len(s[0])) if s[1] is None else 1 + np.log(s[1]) for s in sets])[order]
+        shares = weights / np.add.reduceat(weights, heads)[owner]
+        passed = np.cumsum(shares)
+        left_over = 1 - (passed - shares - (passed - shares)[heads][owner])  # of the mass, this shingle's included
+        begins = np.maximum(begins, np.add.reduceat((left_over >= SIMILAR - 1e-6).astype(np.int64), heads))
+    early = np.flatnonzero((place < begins[owner]) & ((side & _LEFT) > 0)[owner])
+    early = early[np.argsort(codes[early], kind="stable")]
+    sharing, there, starts = owner[early], place[early], np.searchsorted(codes[early], np.arange(len(rank) + 1))
+    mine, mass = np.zeros(len(rank), np.int32), np.zeros(len(rank) if shares is not None else 0)
+    out, found, at_own, at_other = [], np.zeros(len(sets), bool), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
     for f in right.tolist():
-        open_ = np.zeros(len(sets), bool)
-        open_[left[roots[comp[left]] != roots[comp[f]]]] = True
-        count = int(open_.sum())
-        if not count:
+        own = codes[heads[f] : heads[f] + sizes[f]]
+        first = own[: begins[f]]
+        lengths = starts[first + 1] - starts[first]
+        met = _joined(starts[first], lengths)[::-1]  # the first shared shingle is noted last
+        others = sharing[met]
+        found[others], at_own[others], at_other[others] = True, np.repeat(np.arange(len(first)), lengths)[::-1], there[met]
+        near = np.flatnonzero(found)
+        found[near] = False
+        near = near[roots[comp[near]] != roots[comp[f]]]
+        sized = np.minimum(sizes[near], sizes[f]) >= SIMILAR * np.maximum(sizes[near], sizes[f]) - 1e-9
+        sized &= np.minimum(sizes[f] - at_own[near], sizes[near] - at_other[near]) >= SIMILAR / (1 + SIMILAR) * (sizes[f] + sizes[near]) - 1e-9
+        near = near[sized | repeats[near] | repeats[f]]
+        if not len(near):
             continue
-        if (open_ & ~in_held).any() or 2 * count < len(held):
-            held, in_held = np.flatnonzero(open_), open_
-            held_codes = np.concatenate([codes[i] for i in held])
-            held_shares = np.concatenate([shares[i] for i in held]) if weights else None
-            heads = np.cumsum(sizes[held]) - sizes[held]
-        mine[codes[f]] = 1
-        both = np.add.reduceat(mine[held_codes], heads)
-        mine[codes[f]] = 0
-        linked = both / (sizes[f] + sizes[held] - both) >= SIMILAR
-        if weights and (repeats[f] or repeats[held].any()):
+        at = _joined(heads[near], sizes[near])
+        ends = np.cumsum(sizes[near]) - sizes[near]
+        mine[own] = 1
+        both = np.add.reduceat(mine[codes[at]], ends)
+        mine[own] = 0
+        linked = both / (sizes[f] + sizes[near] - both) >= SIMILAR
+        if shares is not None and (repeats[f] or repeats[near].any()):
             # probability Jaccard is at most the common mass of the two distributions
-            mass[codes[f]] = shares[f]
-            common = np.add.reduceat(np.minimum(mass[held_codes], held_shares), heads)
-            mass[codes[f]] = 0
-            for k in np.flatnonzero((common >= SIMILAR - 1e-9) & ~linked & (repeats[held] | repeats[f]) & open_[held]).tolist():
-                linked[k] = probability_jaccard((sets[f][0], weights[f]), (sets[held[k]][0], weights[held[k]])) >= SIMILAR
-        for other in np.unique(comp[held[linked]]).tolist():
+            mass[own] = shares[heads[f] : heads[f] + sizes[f]]
+            common = np.add.reduceat(np.minimum(mass[codes[at]], shares[at]), ends)
+            mass[own] = 0
+            for k in np.flatnonzero((common >= SIMILAR - 1e-9) & ~linked & (repeats[near] | repeats[f])).tolist():
+                linked[k] = probability_jaccard(_weighted_set(sets[f]), _weighted_set(sets[near[k]])) >= SIMILAR
+        for other in np.unique(comp[near[linked]]).tolist():
             a, b = roots[comp[f]], roots[other]
             if a != b:
                 out.append((int(names[comp[f]]), int(names[other])))
@@ -225,6 +254,10 @@ def links_of_cell(comps: list[int], sides: list[int], sets: list[tuple[np.ndarra
     return out
 
 
+def _weighted_set(of: tuple[np.ndarray, np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    return of[0], np.ones(len(of[0])) if of[1] is None else 1 + np.log(of[1])
+
+
 def _cells(batches):
     """Links of cell after cell; the rows of a cell follow each other."""
     current, rows = None, []
