@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import beats, labels, sequence, states, tempo
 from ..operators.series import map_series
-from .registry import query, r6, s6
+from .registry import query, query_on, r6, s6
 from .views import ACTIVATION, SIGNAL, SPECTROGRAM, SYMBOLS
 from .views import activation as act_view
 from .views import signal as signal_view
@@ -259,12 +259,12 @@ def _(spark, sf):
 _BEAT = "iv AS (SELECT i, sum(i) OVER (ORDER BY i) - i AS o FROM range(3, 8) t(i)), bs AS (SELECT o + k AS state, k::DOUBLE / i AS position, i AS interval FROM (SELECT *, unnest(range(0, i)) AS k FROM iv)), nb AS (SELECT count(*) AS n FROM bs)"
 
 
-@query("beat_states", f"WITH {_BEAT} SELECT state::BIGINT AS state, {s6('position')} AS position, interval, 0::BIGINT AS pattern FROM bs")
+@query_on("activation", "state", "beat_states", f"WITH {_BEAT} SELECT state::BIGINT AS state, {s6('position')} AS position, interval, 0::BIGINT AS pattern FROM bs")
 def _(spark, sf):
     return states.beat_space(3, 7).table(spark).withColumn("position", r6("position"))
 
 
-@query("bar_states", f"WITH {_BEAT} SELECT (state + b * n)::BIGINT AS state, {s6('position + b')} AS position, interval, 0::BIGINT AS pattern FROM bs, nb, range(0, 3) t(b)")
+@query_on("activation", "state", "bar_states", f"WITH {_BEAT} SELECT (state + b * n)::BIGINT AS state, {s6('position + b')} AS position, interval, 0::BIGINT AS pattern FROM bs, nb, range(0, 3) t(b)")
 def _(spark, sf):
     return states.bar_space(3, 3, 7).table(spark).withColumn("position", r6("position"))
 
@@ -275,20 +275,20 @@ _EDGES = (
 )
 
 
-@query("exponential_transition", f"WITH {_EDGES} SELECT ai AS before, i AS after, {s6('p / sum(p) OVER (PARTITION BY src)')} AS prob FROM ch JOIN iv ON iv.o = ch.dst")
+@query_on("activation", "before", "exponential_transition", f"WITH {_EDGES} SELECT ai AS before, i AS after, {s6('p / sum(p) OVER (PARTITION BY src)')} AS prob FROM ch JOIN iv ON iv.o = ch.dst")
 def _(spark, sf):
     intervals = np.arange(3, 8)
     p = states.exponential_transition(intervals, intervals, 10.0)
     return spark.createDataFrame([(int(a), int(b), float(p[i, j])) for i, a in enumerate(intervals) for j, b in enumerate(intervals)], "before bigint, after bigint, prob double").withColumn("prob", r6("prob"))
 
 
-@query("beat_transitions", f"WITH {_EDGES} SELECT dst::BIGINT AS dst, src::BIGINT AS src, {s6('p')} AS prob FROM ed")
+@query_on("activation", "src", "beat_transitions", f"WITH {_EDGES} SELECT dst::BIGINT AS dst, src::BIGINT AS src, {s6('p')} AS prob FROM ed")
 def _(spark, sf):
     return states.beat_transitions(states.beat_space(3, 7), 10.0).table(spark).withColumn("prob", r6("prob"))
 
 
-@query(
-    "bar_transitions",
+@query_on(
+    "activation", "src", "bar_transitions",
     f"WITH {_EDGES} SELECT (dst + b * n)::BIGINT AS dst, (src + b * n)::BIGINT AS src, {s6('p')} AS prob FROM ed, nb, range(0, 2) t(b) WHERE src = dst - 1 AND p = 1.0 "
     f"UNION ALL SELECT (dst + b * n)::BIGINT, (src + (1 - b) * n)::BIGINT, {s6('p / sum(p) OVER (PARTITION BY src, b)')} FROM ch, nb, range(0, 2) t(b)",
 )
@@ -296,8 +296,8 @@ def _(spark, sf):
     return states.bar_transitions(states.bar_space(2, 3, 7), 10.0).table(spark).withColumn("prob", r6("prob"))
 
 
-@query(
-    "pattern_transitions",
+@query_on(
+    "activation", "src", "pattern_transitions",
     f"WITH {_EDGES}, pt(k, beats, o) AS (SELECT 0, 3, 0 UNION ALL SELECT 1, 4, 3 * n FROM nb), pn AS (SELECT src, dst, p / sum(p) OVER (PARTITION BY src) AS p FROM ch) "
     f"SELECT (dst + b * n + pt.o)::BIGINT AS dst, (src + b * n + pt.o)::BIGINT AS src, 1.0::DOUBLE AS prob FROM ed, nb, pt, range(0, 4) t(b) WHERE b < beats AND src = dst - 1 AND p = 1.0 "
     f"UNION ALL SELECT (dst + (b + 1) % beats * n + pt.o)::BIGINT, (src + b * n + pt.o)::BIGINT, {s6('p * CASE WHEN b = beats - 1 THEN 0.9 ELSE 1.0 END')} FROM pn, nb, pt, range(0, 4) t(b) WHERE b < beats "
@@ -312,7 +312,7 @@ def _(spark, sf):
 _NOTE = [(0, 0, 0.2), (0, 1, 0.8), (1, 0, 0.2), (1, 2, 0.8), (2, 0, 0.2), (2, 3, 0.8), (3, 3, 0.8 / 1.8), (3, 1, 0.8 / 1.8), (3, 4, 0.2 / 1.8), (4, 0, 1.0)]
 
 
-@query("note_transitions", f"SELECT d::BIGINT AS dst, s::BIGINT AS src, {s6('p::DOUBLE')} AS prob FROM (VALUES {', '.join(map(str, _NOTE))}) t(s, d, p)")
+@query_on("activation", "src", "note_transitions", f"SELECT d::BIGINT AS dst, s::BIGINT AS src, {s6('p::DOUBLE')} AS prob FROM (VALUES {', '.join(map(str, _NOTE))}) t(s, d, p)")
 def _(spark, sf):
     return states.note_transitions(states.NoteStates()).table(spark).withColumn("prob", r6("prob"))
 

@@ -10,7 +10,7 @@ from ..functions import scales
 from ..operators import filterbanks as fb
 from ..operators import frames, onsets, spectra
 from ..operators import spectrogram as sg
-from .registry import query, r6, s6
+from .registry import query, query_on, r6, s6
 from .views import ACTIVATION, ONSETS, SIGNAL, SPECTROGRAM
 from .views import activation as act_view
 from .views import onsets as onset_view
@@ -22,11 +22,11 @@ WIDTH = RATE / (2 * BINS)
 S = f"WITH {SPECTROGRAM} "
 
 
-@query("scales", f"SELECT v, {s6('1127.01048 * ln(v / 700.0 + 1)')} AS mel, {s6('700.0 * (exp(v / 20.0 / 1127.01048) - 1)')} AS hz, {s6('12 * log2(v / 440.0) + 69')} AS midi, {s6('440.0 * pow(2.0, (v / 100.0 - 69) / 12)')} AS pitch FROM (SELECT i * 50.0::DOUBLE AS v FROM range(1, 200) t(i))")
+@query("scales", f"WITH {SIGNAL}, vs AS (SELECT track, n, abs(x) + 1 AS v FROM sig) SELECT track, n, {s6('1127.01048 * ln(v / 700.0 + 1)')} AS mel, {s6('700.0 * (exp(v / 20.0 / 1127.01048) - 1)')} AS hz, {s6('12 * log2(v / 440.0) + 69')} AS midi, {s6('440.0 * pow(2.0, (v / 100.0 - 69) / 12)')} AS pitch FROM vs")
 def _(spark, sf):
-    v = F.col("v")
-    rows = spark.range(1, 200).select((F.col("id") * 50.0).alias("v"))
-    return rows.select("v", r6(scales.hz2mel(v)).alias("mel"), r6(scales.mel2hz(v / 20.0)).alias("hz"), r6(scales.hz2midi(v)).alias("midi"), r6(scales.midi2hz(v / 100.0)).alias("pitch"))
+    v = F.abs("x") + 1
+    rows = signal_view(spark, sf)
+    return rows.select("track", "n", r6(scales.hz2mel(v)).alias("mel"), r6(scales.mel2hz(v / 20.0)).alias("hz"), r6(scales.hz2midi(v)).alias("midi"), r6(scales.midi2hz(v / 100.0)).alias("pitch"))
 
 
 _LOGF = f"lf AS (SELECT row_number() OVER (ORDER BY f) - 1 AS idx, f FROM (SELECT 440.0::DOUBLE * pow(2.0, k / 6.0) AS f FROM range({math.floor(math.log2(300 / 440) * 6)}, {math.ceil(math.log2(16000 / 440) * 6)}) t(k)) WHERE f BETWEEN 300 AND 16000)"
@@ -62,22 +62,22 @@ def _weights(df):
     return df.select(F.col("band").cast("bigint").alias("band"), F.col("bin").cast("bigint").alias("bin"), r6("weight").alias("weight"))
 
 
-@query("log_frequencies", f"WITH {_LOGF} SELECT idx, {s6('f')} AS frequency FROM lf")
+@query_on("values", "floor(frequency)", "log_frequencies", f"WITH {_LOGF} SELECT idx, {s6('f')} AS frequency FROM lf")
 def _(spark, sf):
     return fb.log_frequencies(spark, 6, 300.0, 16000.0).select(F.col("idx").cast("bigint").alias("idx"), r6("frequency").alias("frequency"))
 
 
-@query("mel_frequencies", f"WITH {_MEL} SELECT idx, {s6('f')} AS frequency FROM mf")
+@query_on("values", "floor(frequency)", "mel_frequencies", f"WITH {_MEL} SELECT idx, {s6('f')} AS frequency FROM mf")
 def _(spark, sf):
     return fb.mel_frequencies(spark, 12, 300.0, 16000.0).select(F.col("idx").cast("bigint").alias("idx"), r6("frequency").alias("frequency"))
 
 
-@query("semitone_frequencies", f"SELECT row_number() OVER (ORDER BY f) - 1 AS idx, {s6('f')} AS frequency FROM (SELECT 440.0::DOUBLE * pow(2.0, k / 12.0) AS f FROM range(-40, 40) t(k)) WHERE f BETWEEN 100 AND 2000")
+@query_on("values", "floor(frequency)", "semitone_frequencies", f"SELECT row_number() OVER (ORDER BY f) - 1 AS idx, {s6('f')} AS frequency FROM (SELECT 440.0::DOUBLE * pow(2.0, k / 12.0) AS f FROM range(-40, 40) t(k)) WHERE f BETWEEN 100 AND 2000")
 def _(spark, sf):
     return fb.semitone_frequencies(spark, 100.0, 2000.0).select(F.col("idx").cast("bigint").alias("idx"), r6("frequency").alias("frequency"))
 
 
-@query("bark_frequencies", "SELECT row_number() OVER (ORDER BY d, f) AS i, d AS doubled, f AS frequency FROM (" + " UNION ALL ".join(f"SELECT {d} AS d, unnest([{', '.join(f'{float(x)}::DOUBLE' for x in v)}]) AS f" for d, v in ((0, scales.BARK), (1, scales.BARK_DOUBLE))) + ") WHERE f BETWEEN 50 AND 9500")
+@query_on("values", "floor(frequency)", "bark_frequencies", "SELECT row_number() OVER (ORDER BY d, f) AS i, d AS doubled, f AS frequency FROM (" + " UNION ALL ".join(f"SELECT {d} AS d, unnest([{', '.join(f'{float(x)}::DOUBLE' for x in v)}]) AS f" for d, v in ((0, scales.BARK), (1, scales.BARK_DOUBLE))) + ") WHERE f BETWEEN 50 AND 9500")
 def _(spark, sf):
     from pyspark.sql import Window
 
@@ -85,19 +85,19 @@ def _(spark, sf):
     return both.select(F.row_number().over(Window.orderBy("doubled", "frequency")).cast("bigint").alias("i"), "doubled", "frequency")
 
 
-@query("frequencies2bins", f"WITH {_LOGF}, {_edges('lf', False)}, u AS (SELECT count(DISTINCT bin) AS n FROM edge) SELECT idx, bin, n AS bins FROM edge, u")
+@query_on("spectrum", "bin", "frequencies2bins", f"WITH {_LOGF}, {_edges('lf', False)}, u AS (SELECT count(DISTINCT bin) AS n FROM edge) SELECT idx, bin, n AS bins FROM edge, u")
 def _(spark, sf):
     freqs = fb.log_frequencies(spark, 6, 300.0, 16000.0)
     every, once = fb.frequencies2bins(freqs, BINS, RATE), fb.frequencies2bins(freqs, BINS, RATE, unique=True)
     return every.withColumn("bins", F.lit(once.count()).cast("bigint")).select(F.col("idx").cast("bigint").alias("idx"), "bin", "bins")
 
 
-@query("filterbank_log", f"WITH {_LOGFB} SELECT band, bin, {s6('w')} AS weight FROM fbk")
+@query_on("spectrum", "bin", "filterbank_log", f"WITH {_LOGFB} SELECT band, bin, {s6('w')} AS weight FROM fbk")
 def _(spark, sf):
     return _weights(log_fb(spark))
 
 
-@query("filterbank_mel", f"WITH {_MELFB} SELECT band, bin, {s6('w')} AS weight FROM fbk")
+@query_on("spectrum", "bin", "filterbank_mel", f"WITH {_MELFB} SELECT band, bin, {s6('w')} AS weight FROM fbk")
 def _(spark, sf):
     return _weights(mel_fb(spark))
 
@@ -111,12 +111,12 @@ def rect_fb(spark):
     return fb.rectangular_filterbank(spark, BINS, RATE, [1500.0, 6000.0], 300.0, 16000.0)
 
 
-@query("filterbank_rectangular", f"WITH {_RECTFB} SELECT band, bin, {s6('w')} AS weight FROM fbk")
+@query_on("spectrum", "bin", "filterbank_rectangular", f"WITH {_RECTFB} SELECT band, bin, {s6('w')} AS weight FROM fbk")
 def _(spark, sf):
     return _weights(rect_fb(spark))
 
 
-@query("filterbank_bark", f"WITH bk AS (SELECT row_number() OVER (ORDER BY f) - 1 AS idx, f FROM (SELECT unnest([{', '.join(f'{float(x)}::DOUBLE' for x in scales.BARK)}]) AS f)), {_edges('bk', True)}, {_RECTS} SELECT band, bin, {s6('w')} AS weight FROM fbk")
+@query_on("spectrum", "bin", "filterbank_bark", f"WITH bk AS (SELECT row_number() OVER (ORDER BY f) - 1 AS idx, f FROM (SELECT unnest([{', '.join(f'{float(x)}::DOUBLE' for x in scales.BARK)}]) AS f)), {_edges('bk', True)}, {_RECTS} SELECT band, bin, {s6('w')} AS weight FROM fbk")
 def _(spark, sf):
     return _weights(fb.bark_filterbank(spark, BINS, RATE))
 
@@ -126,17 +126,17 @@ _PCP = _BINF + ", fbk AS (SELECT (((round_even(12 * log2(f / 440.0), 0)::BIGINT
 _HPCP = _BINF + ", pos AS (SELECT bin, 36 * log2(f / 440.0) AS p FROM bf WHERE f BETWEEN 100 AND 16000), away AS (SELECT c AS band, bin, p - c - 36 * round_even((p - c) / 36, 0) AS d FROM pos, range(0, 36) t(c)), fbk AS (SELECT band, bin, pow(cos(pi() * d / 4.0), 2) AS w FROM away WHERE abs(d) < 2)"
 
 
-@query("filterbank_pitch_class", f"WITH {_PCP} SELECT band, bin, w AS weight FROM fbk")
+@query_on("spectrum", "bin", "filterbank_pitch_class", f"WITH {_PCP} SELECT band, bin, w AS weight FROM fbk")
 def _(spark, sf):
     return _weights(fb.pitch_class_filterbank(spark, BINS, RATE, fmax=16000.0))
 
 
-@query("filterbank_harmonic_pitch_class", f"WITH {_HPCP} SELECT band, bin, {s6('w')} AS weight FROM fbk")
+@query_on("spectrum", "bin", "filterbank_harmonic_pitch_class", f"WITH {_HPCP} SELECT band, bin, {s6('w')} AS weight FROM fbk")
 def _(spark, sf):
     return _weights(fb.harmonic_pitch_class_filterbank(spark, BINS, RATE, fmax=16000.0))
 
 
-@query("filterbank_centers", f"WITH {_MELFB}, rk AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {s6('w')} DESC, bin) AS r FROM fbk) SELECT band, {s6(f'min(bin) * {WIDTH}')} AS low, {s6(f'max(CASE WHEN r = 1 THEN bin END) * {WIDTH}')} AS center, {s6(f'max(bin) * {WIDTH}')} AS high FROM rk GROUP BY band")
+@query_on("spectrum", "band", "filterbank_centers", f"WITH {_MELFB}, rk AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {s6('w')} DESC, bin) AS r FROM fbk) SELECT band, {s6(f'min(bin) * {WIDTH}')} AS low, {s6(f'max(CASE WHEN r = 1 THEN bin END) * {WIDTH}')} AS center, {s6(f'max(bin) * {WIDTH}')} AS high FROM rk GROUP BY band")
 def _(spark, sf):
     rows = fb.center_frequencies(mel_fb(spark).withColumn("weight", r6("weight")), BINS, RATE)
     return rows.select(F.col("band").cast("bigint").alias("band"), *(r6(c).alias(c) for c in ("low", "center", "high")))

@@ -74,3 +74,21 @@ ONSETS = (
     "secs AS (SELECT DISTINCT user_id AS track, floor(epoch(ts))::BIGINT AS s FROM events), "
     "ons AS (SELECT track, (s - min(s) OVER (PARTITION BY track)) / 86400.0 AS t FROM secs)"
 )
+
+
+# --- what the data holds at each place of a table that parameters fix --------------------------------------------------
+
+#: By kind: SQL of (k, seen), to be formatted with the family names.
+SEEN = {
+    "spectrum": f"WITH {SPECTROGRAM} SELECT bin AS k, floor(sum(mag) * 1e6 + 0.5) / 1e6 AS seen FROM spec GROUP BY 1",
+    "activation": f"WITH {ACTIVATION} SELECT frame AS k, floor(sum(a) * 1e6 + 0.5) / 1e6 AS seen FROM act GROUP BY 1",
+    "values": "SELECT floor(value)::BIGINT AS k, count(*)::DOUBLE AS seen FROM events GROUP BY 1",
+}
+
+
+def seen(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(k, seen): the magnitude of each bin, the activation of each frame, or the events of each whole value."""
+    if kind == "values":
+        return table(spark, sf_dir, "events").groupBy(F.floor("value").cast("bigint").alias("k")).agg(F.count("*").cast("double").alias("seen"))
+    rows, key, value = (spectrogram(spark, sf_dir), "bin", "mag") if kind == "spectrum" else (activation(spark, sf_dir), "frame", "a")
+    return rows.groupBy(F.col(key).alias("k")).agg((F.floor(F.sum(value) * 1e6 + 0.5) / 1e6).alias("seen"))
