@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .series import map_series
@@ -46,10 +46,10 @@ def frame(df: DataFrame, size: int, hop: float | None = None, *, fps: float | No
     step = hop_of(hop, fps, sample_rate)
     before = size // 2 + origin_of(origin, size)
     n = F.col("n")
-    frames = num_frames(F.max("n").over(Window.partitionBy("track")) + 1, step, end)
+    sized = df.join(df.groupBy("track").agg(num_frames(F.max("n") + 1, step, end).alias("_frames")), "track")
     low = F.greatest(F.ceil((n + (before - size + 1)) / step), F.lit(0).cast("bigint"))
-    high = F.least(F.ceil((n + (before + 1)) / step) - 1, frames - 1)
-    spread = df.select("track", "n", "x", low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+    high = F.least(F.ceil((n + (before + 1)) / step) - 1, F.col("_frames") - 1)
+    spread = sized.select("track", "n", "x", low.alias("_low"), high.alias("_high")).filter("_low <= _high")
     spread = spread.select("track", F.explode(F.sequence("_low", "_high")).alias("frame"), "n", "x")
     return spread.select("track", "frame", (n - F.floor(F.col("frame") * step) + before).alias("k"), "x").filter((F.col("k") >= 0) & (F.col("k") < size))
 
@@ -123,10 +123,10 @@ def frame_arrays(framed: DataFrame) -> DataFrame:
 
 def segment_axis(df: DataFrame, size: int, hop: int) -> DataFrame:
     """Whole windows of ``size`` samples every ``hop``, without padding: (track, segment, k, x)."""
-    n, last = F.col("n"), F.max("n").over(Window.partitionBy("track"))
+    n, sized = F.col("n"), df.join(df.groupBy("track").agg(F.max("n").alias("_last")), "track")
     low = F.greatest(F.ceil((n - (size - 1)) / hop), F.lit(0).cast("bigint"))
-    high = F.least(F.floor(n / hop), F.floor((last + 1 - size) / hop))
-    spread = df.select("track", "n", "x", low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+    high = F.least(F.floor(n / hop), F.floor((F.col("_last") + 1 - size) / hop))
+    spread = sized.select("track", "n", "x", low.alias("_low"), high.alias("_high")).filter("_low <= _high")
     return spread.select("track", F.explode(F.sequence("_low", "_high")).alias("segment"), "n", "x").select("track", "segment", (n - F.col("segment") * hop).alias("k"), "x")
 
 

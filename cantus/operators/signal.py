@@ -31,8 +31,8 @@ def remix(df: DataFrame, num_channels: int, channel: int | None = None) -> DataF
 
 def normalize(df: DataFrame, full_scale: float = 1.0) -> DataFrame:
     """Scale each track so that its largest magnitude is ``full_scale``; a silent track gives null."""
-    peak = F.max(F.abs("x")).over(Window.partitionBy("track"))
-    return df.withColumn("x", F.col("x") / F.nullif(peak, F.lit(0.0)) * full_scale)
+    peaks = df.groupBy("track").agg(F.max(F.abs("x")).alias("_peak"))
+    return df.join(peaks, "track").withColumn("x", F.col("x") / F.nullif("_peak", F.lit(0.0)) * full_scale).select(*df.columns)
 
 
 def adjust_gain(df: DataFrame, gain: float) -> DataFrame:
@@ -69,15 +69,13 @@ def smooth(df: DataFrame, kernel: int | list[float] | None, keys: tuple[str, ...
 
 def trim(df: DataFrame, where: str = "fb") -> DataFrame:
     """Drop silence at the front ('f'), the back ('b') or both."""
-    track = Window.partitionBy("track")
-    sounding = F.when(F.col("x") != 0, F.col("n"))
-    marked = df.withColumn("_first", F.min(sounding).over(track)).withColumn("_last", F.max(sounding).over(track))
-    inside = F.col("_first").isNotNull()
+    sounding = df.filter(F.col("x") != 0).groupBy("track").agg(F.min("n").alias("_first"), F.max("n").alias("_last"))
+    marked, inside = df.join(sounding, "track"), F.lit(True)
     if "f" in where:
         inside &= F.col("n") >= F.col("_first")
     if "b" in where:
         inside &= F.col("n") <= F.col("_last")
-    return marked.filter(inside).drop("_first", "_last")
+    return marked.filter(inside).select(*df.columns)
 
 
 def levels(df: DataFrame, keys: tuple[str, ...] = ("track",), p_ref: float = 1.0) -> DataFrame:

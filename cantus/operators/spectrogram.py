@@ -63,8 +63,8 @@ def stack_difference(spec: DataFrame, bins: int, frames: int = 1, positive: bool
 def context(spec: DataFrame, frames: int, bins: int) -> DataFrame:
     """Each frame with its neighbours as further bins: (track, frame, bin, mag), zeros outside the clip left out."""
     around = frames // 2
-    last = F.max("frame").over(Window.partitionBy("track"))
-    spread = spec.withColumn("_last", last).withColumn("_at", F.explode(F.sequence(F.lit(-around), F.lit(frames - 1 - around))))
+    sized = spec.join(spec.groupBy("track").agg(F.max("frame").alias("_last")), "track")
+    spread = sized.withColumn("_at", F.explode(F.sequence(F.lit(-around), F.lit(frames - 1 - around))))
     target = F.col("frame") - F.col("_at")
     return spread.select("track", target.alias("frame"), ((F.col("_at") + around) * bins + F.col("bin")).alias("bin"), "mag", "_last").filter("frame BETWEEN 0 AND _last").drop("_last")
 
