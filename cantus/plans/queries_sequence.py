@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import beats, labels, sequence, states, tempo
 from ..operators.series import map_series
-from .registry import query, query_on, r6, s6
+from .registry import ORACLES, query, query_on, r6, s6
 from .views import ACTIVATION, SIGNAL, SPECTROGRAM, SYMBOLS
 from .views import activation as act_view
 from .views import signal as signal_view
@@ -397,9 +397,31 @@ def _(spark, sf):
     f"bt AS (SELECT track, arg_max(g, lp - g * 1e-9) AS g FROM bp GROUP BY 1) SELECT sq.track, {s6('(i + lo) / 10.0')} AS t, b + 1 AS beat FROM sq JOIN bt ON bt.track = sq.track AND bt.g = sq.g JOIN lm ON lm.track = sq.track WHERE k = 0",
 )
 def _(spark, sf):
+    return beats.dbn_downbeats(_bars(spark, sf), 10.0, (3, 4), 55, 215, None).withColumn("t", r6("t"))
+
+
+def _bars(spark, sf):
     p = _pulses(spark, sf)
     down = F.when((F.col("frame") % 28 == 3), F.col("a") * 0.7).otherwise(F.col("a") * 0.05)
-    return beats.dbn_downbeats(p.select("track", "frame", (F.col("a") * 0.3).alias("beat"), down.alias("downbeat")), 10.0, (3, 4), 55, 215, None).withColumn("t", r6("t"))
+    return p.select("track", "frame", (F.col("a") * 0.3).alias("beat"), down.alias("downbeat"))
+
+
+# --- the same decoders over split tracks ----------------------------------------------------------------------------
+
+
+@query("hmm_path_split", f"SELECT track, frame, state FROM ({ORACLES['hmm_viterbi_path']})")
+def _(spark, sf):
+    return sequence.decode_symbols(obs_view(spark, sf), _chain(), EMISSION, block=16).select("track", "frame", "state")
+
+
+@query("dbn_beats_split", ORACLES["dbn_beats"])
+def _(spark, sf):
+    return beats.dbn_beats(_pulses(spark, sf), 10.0, 55, 215, block=128).withColumn("t", r6("t"))
+
+
+@query("dbn_downbeats_split", ORACLES["dbn_downbeats"])
+def _(spark, sf):
+    return beats.dbn_downbeats(_bars(spark, sf), 10.0, (3, 4), 55, 215, None, block=128).withColumn("t", r6("t"))
 
 
 _BAR_PLACES = [(m, b) for m in (3, 4) for b in range(1, m + 1)]
