@@ -111,3 +111,18 @@ def test_recurrent_notes_and_chords_of_learned_features(spark):
         chords = a.chords().orderBy("start").collect()
     assert [r.label for r in chords] == ["N", "A:maj"] and abs(chords[1].start - 0.5) <= 0.45
     assert isinstance(nn.Means(3), nn.Means)
+
+
+@pytest.mark.parametrize("bar", [3, 4])
+def test_downbeats_of_a_clear_meter(spark, bar):
+    """Six seconds of a network that hears beats and downbeats plainly: times and numbers are exactly those."""
+    samples = table(spark, {"a": np.zeros(6 * 44100)})
+
+    def network(v):
+        beat = np.arange(len(v)) % 25 == 10
+        down = beat & (np.arange(len(v)) // 25 % bar == 1)
+        return np.stack([np.full(len(v), 0.02), np.where(beat & ~down, 0.9, 0.02), np.where(down, 0.9, 0.02)], 1)
+
+    with analysis.Analyzer(samples, 44100, networks={"downbeats": [network]}, fps=50.0) as a:
+        got = sorted(map(tuple, a.downbeats().select("t", "beat").collect()))
+    assert got == [(pytest.approx(0.2 + 0.5 * k), (k - 1) % bar + 1) for k in range(12)]

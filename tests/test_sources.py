@@ -207,7 +207,7 @@ def test_every_task(recording):
         assert [r.t for r in analyzer.onsets().collect()] == [0.6]
     assert np.allclose(np.diff(sorted(t for (t,) in found["beats"])), 0.5, atol=0.03)
     assert sorted(found["tempo"])[0][1] == pytest.approx(120, abs=4)
-    assert [b for _, b in sorted(found["downbeats"])] in ([1, 2, 3], [2, 3, 1], [3, 1, 2], [2, 3, 4], [3, 4, 1], [4, 1, 2], [1, 2], [2, 3])
+    assert sorted(found["downbeats"]) == [(0.06, 2), (0.56, 3), (1.06, 4)]
     assert found["key"] == [(labels.KEYS[7],)]
     assert [(round(p), on) for p, on, _ in found["notes"]] == [(21, pytest.approx(0.4, abs=0.03))]
     assert {(f, u) for f, u, x in found["chroma"] if x > 0.5} == {(f, 9) for f in range(15)}
