@@ -97,10 +97,8 @@ def maxscore_topk(items: DataFrame, queries: DataFrame, k: int, block_queries: i
             raise ValueError(f"{len(rows)} queries in a block of {block_queries}: choose a larger block")
         if not rows and b:
             continue
-        shared = Shared(spark, [(b * (block_queries + 1) + i, r["id"], np.asarray(r["vector"], np.int64)) for i, r in enumerate(sorted(rows))])
-        about = spark.createDataFrame([(b * (block_queries + 1) + i, r["id"], r["copies"]) for i, r in enumerate(sorted(rows))], "query bigint, query_id bigint, asked bigint")
-        hits = items.mapInArrow(_searcher(shared, k, shard_rows), "query bigint, vec_id bigint, score bigint, copies bigint")
-        parts.append(hits.join(F.broadcast(about), "query"))  # a block's queries
+        shared = Shared(spark, [(b * (block_queries + 1) + i, r["id"], np.asarray(r["vector"], np.int64), r["copies"]) for i, r in enumerate(sorted(rows))])
+        parts.append(items.mapInArrow(_searcher(shared, k, shard_rows), "query bigint, query_id bigint, asked bigint, vec_id bigint, score bigint, copies bigint"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -134,7 +132,7 @@ def _searcher(shared: Shared, k: int, shard_rows: int):
     def run(batches):
         best: dict[int, tuple] = {}
         for shard, n in shards(batches):
-            for number, query_id, query in shared.value:
+            for number, query_id, query, _ in shared.value:
                 if len(query) != n:
                     continue
                 known = best.get(number)
@@ -142,8 +140,11 @@ def _searcher(shared: Shared, k: int, shard_rows: int):
                 found = shard.search(query_id, query, k, threshold)
                 if len(found[0]):
                     best[number] = _merge(known, found, k)
-        for number, found in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(found[0]), pa.int64()), *(pa.array(x, pa.int64()) for x in found)], names=["query", "vec_id", "score", "copies"])
+        for number, query_id, _, asked in shared.value:
+            if number in best:
+                about = ([v] * len(best[number][0]) for v in (number, query_id, asked))
+                columns = [pa.array(x, pa.int64()) for x in (*about, *best[number])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query", "query_id", "asked", "vec_id", "score", "copies"])
 
     return run
 
