@@ -117,7 +117,7 @@ def split_viterbi(frames: DataFrame, columns: list[str], densities: Densities, m
     """
     of = np.arange(model.states) if pointers is None else np.asarray(pointers)
     steps, first = Steps(model, of), entry_of(model, initial)
-    size = int(block or max(256, POINTERS // max(1, model.states)))
+    size = int(block or min(1 << 16, max(256, POINTERS // max(1, model.states))))
     ahead = min(size, RUN_UP if run_up is None else run_up) if model.states > SMALL else 0
     frames = frames.select(*dict.fromkeys([*keys, "frame", *columns]))
     at = F.floor(F.col("frame") / size).cast("bigint")
